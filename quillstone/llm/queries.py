@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules, secret_scan, token_counts
+from . import decontamination, license_scan, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 from .common import documents, held_out, tuned
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
@@ -18,6 +23,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return packing.pack_texts(documents(spark, sf_dir))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return decontamination.contained(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
@@ -32,10 +47,43 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.classify(scanned))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    return substring_dedup.cut_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tuned(spark)
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_quality_classifier, op6_secret_scan, op8_token_counts)}
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    groups = simhash.grouped(documents(spark, sf_dir))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tuned(spark)
+    scored = lm_scoring.score(documents(spark, sf_dir), ~held_out("doc_id", 7, 2))
+    return scored.withColumn("held_out", held_out("doc_id", 7, 2))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_quality_rules,
+        op3_best_fit_packing,
+        op4_decontamination,
+        op5_quality_classifier,
+        op6_secret_scan,
+        op7_substring_dedup,
+        op8_token_counts,
+        op9_simhash_dedup,
+        op10_lm_scoring,
+    )
+}
+
+#: None of these can be put into SQL whole (learned models, digests of spans, merges, hashes of 64 bits): tests hold them against brute force.
 ORACLE: dict[str, str] = {}
