@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import quality_classifier, secret_scan
+from quillstone.llm import decontamination, packing, quality_classifier, secret_scan, simhash
 from quillstone.llm.common import documents, materialise, tuned
 
 
@@ -18,15 +18,36 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_classifier.reject_low_quality(docs, model)
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays, that with the least doc_id."""
+    tuned(spark)
+    return simhash.dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    tuned(spark)
+    return decontamination.drop_contaminated(docs, documents(spark, sf_dir, "benchmark"))
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut from the texts; every document stays."""
     tuned(spark)
     return secret_scan.redact(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each chunk of each document with its bin."""
+    tuned(spark)
+    return packing.pack_texts(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", keep_quality),
+    ("SimHash near-dedup", keep_one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
     ("secret scans", redact_secrets),
+    ("best-fit packing", pack),
 ]
 
 #: Learned models and near-duplicate groups cannot be put into SQL.
