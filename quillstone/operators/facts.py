@@ -71,9 +71,11 @@ def collapse(reports: DataFrame, by: list[str], filed: str, value: str, ties: li
 
 def residual_quarter(points: DataFrame, by: list[str], fy: str, fp: str, value: str) -> DataFrame:
     """Fourth quarters that were not reported: the year less its three reported quarters (column derived)."""
-    p = points.groupBy(*by, fy).pivot(fp, ["Q1", "Q2", "Q3", "Q4", "FY"]).agg(F.first(value, ignorenulls=True))
-    whole = F.col("Q1").isNotNull() & F.col("Q2").isNotNull() & F.col("Q3").isNotNull() & F.col("FY").isNotNull() & F.col("Q4").isNull()
-    made = p.where(whole).select(*by, fy, F.lit("Q4").alias(fp), (F.col("FY") - (F.col("Q1") + F.col("Q2") + F.col("Q3"))).alias(value), F.lit(True).alias("derived"))
+    names = ["p_Q1", "p_Q2", "p_Q3", "p_Q4", "p_FY"]  # a bare FY would clash with a column fy
+    p = points.withColumn("__fp", F.concat(F.lit("p_"), F.col(fp))).groupBy(*by, fy).pivot("__fp", names).agg(F.first(value, ignorenulls=True))
+    q1, q2, q3, q4, year = map(F.col, names)
+    whole = q1.isNotNull() & q2.isNotNull() & q3.isNotNull() & year.isNotNull() & q4.isNull()
+    made = p.where(whole).select(*by, fy, F.lit("Q4").alias(fp), (year - (q1 + q2 + q3)).alias(value), F.lit(True).alias("derived"))
     return points.where(F.col(fp) != "FY").select(*by, fy, fp, value, F.lit(False).alias("derived")).unionByName(made)
 
 

@@ -108,7 +108,7 @@ def weighted(dimensions: DataFrame, by: list[str], score: str, weight: str, unce
         F.coalesce(F.bool_or(F.col(uncertainty_) == "high"), F.lit(False)).alias("unsure"),
         (F.coalesce(F.bool_or(F.col(stretched)), F.lit(False)) if stretched else F.lit(False)).alias("stretched"),
     )
-    total = F.coalesce(safe_div("num", "den"), F.lit(5.5))
+    total = F.round(F.coalesce(safe_div("num", "den"), F.lit(5.5)), 9)  # so that no order of adding decides a verdict
     g = g.withColumn("score", total)
     verdict = first_of((F.col("n_scored") == 0, "Insufficient"), (F.col("weak") | (F.col("score") < 6.0), "Pass"), ((F.col("score") >= 8.0) & ~F.col("unsure") & ~F.col("stretched"), "Strong"), otherwise="Watchlist")
     return g.withColumn("verdict", verdict).drop("num", "den")
@@ -165,16 +165,16 @@ def majority(votes: DataFrame, by: list[str], vote: str, size: str, confidence:
     """Vote of a few samples: the most frequent direction (ties: neutral, weakens, strengthens), the median size of those that agree, their modal confidence (ties: lower; low without a majority), and the sample closest to the median (the first of equals)."""
     pref = rank_of(vote, {"neutral": 0, "weakens": 1, "strengthens": 2}, 3)
     conf = rank_of(confidence, {"low": 0, "medium": 1, "high": 2}, 3)
-    n = votes.groupBy(*by, vote).agg(F.count(F.lit(1)).alias("n"))
+    n = votes.groupBy(*by, vote).agg(F.count(F.lit(1)).alias("__n"))
     total = Window.partitionBy(*by)
-    won = n.withColumns({"all": F.sum("n").over(total), "rn": F.row_number().over(total.orderBy(F.col("n").desc(), pref))}).where("rn = 1").drop("rn")
+    won = n.withColumns({"__all": F.sum("__n").over(total), "__rn": F.row_number().over(total.orderBy(F.col("__n").desc(), pref))}).where("__rn = 1").drop("__rn")
     agree = votes.join(won, [*by, vote])
     median = agree.groupBy(*by).agg(F.median(size).alias("magnitude"))
-    mode = agree.withColumn("c", conf).groupBy(*by, "c", confidence).agg(F.count(F.lit(1)).alias("k"))
-    mode = mode.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("k").desc(), "c"))).where("rn = 1").select(*by, F.col(confidence).alias("mode"))
+    mode = agree.withColumn("__c", conf).groupBy(*by, "__c", confidence).agg(F.count(F.lit(1)).alias("__k"))
+    mode = mode.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("__k").desc(), "__c"))).where("__rn = 1").select(*by, F.col(confidence).alias("__mode"))
     near = agree.join(median, by).groupBy(*by).agg(F.min_by(order, F.struct(F.abs(F.col(size) - F.col("magnitude")), F.col(order))).alias("representative"))
     out = won.join(median, by).join(mode, by).join(near, by)
-    return out.select(*by, F.col(vote).alias("vote"), F.col("n").cast("bigint").alias("n_agree"), "magnitude", F.when(F.col("n") * 2 > F.col("all"), F.col("mode")).otherwise("low").alias("confidence"), "representative")
+    return out.select(*by, F.col(vote).alias("vote"), F.col("__n").cast("bigint").alias("n_agree"), "magnitude", F.when(F.col("__n") * 2 > F.col("__all"), F.col("__mode")).otherwise("low").alias("confidence"), "representative")
 
 
 def item_health(signals: DataFrame, by: list[str], direction: str, adverse: str, magnitude: str) -> DataFrame:

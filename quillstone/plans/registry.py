@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import event_plans, series_plans, text_plans, view_plans
+from .base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["MODULES", "ORACLE", "QUERIES"]
+MODULES = (series_plans, event_plans, text_plans, view_plans)
