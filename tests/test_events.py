@@ -81,9 +81,9 @@ def test_state(spark):
 
 
 def test_votes(spark):
-    v = spark.createDataFrame([(1, 1, "weakens", 0.4, "high"), (1, 2, "weakens", 0.8, "high"), (1, 3, "neutral", 0.1, "low"), (2, 1, "weakens", 0.5, "high"), (2, 2, "neutral", 0.2, "high"), (2, 3, "strengthens", 0.9, "high")], "k int, i int, vote string, size double, conf string")
+    v = spark.createDataFrame([(1, 1, "weakens", 0.25, "high"), (1, 2, "weakens", 0.75, "high"), (1, 3, "neutral", 0.1, "low"), (2, 1, "weakens", 0.5, "high"), (2, 2, "neutral", 0.2, "high"), (2, 3, "strengthens", 0.9, "high")], "k int, i int, vote string, size double, conf string")
     got = {r.k: r for r in scores.majority(v, ["k"], "vote", "size", "conf", "i").collect()}
-    assert (got[1].vote, got[1].n_agree, round(got[1].magnitude, 9), got[1].confidence, got[1].representative) == ("weakens", 2, 0.6, "high", 1)
+    assert (got[1].vote, got[1].n_agree, round(got[1].magnitude, 9), got[1].confidence, got[1].representative) == ("weakens", 2, 0.5, "high", 1)
     assert (got[2].vote, got[2].confidence) == ("neutral", "low")  # a tie
 
 
