@@ -68,10 +68,14 @@ def estimate_prior(n_positive: int, n_labelled: int) -> float:
     return (n_positive + 1) / (n_labelled + 2)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on the non-negative risk; where its negative part falls below 0, that part alone is raised again."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
+    """Full-batch Adam on the non-negative risk; where its negative part falls below 0, that part alone is raised again.
+
+    Weights decay by `decay`, or by more where positives are few (3 over their number).
+    """
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), np.zeros(WIDTH), 0.0, prior)
+    decay = max(decay, 3 / len(positive))
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-2
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     w, b = np.zeros(WIDTH), float(np.log(prior / (1 - prior)))
