@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ from .common import Words, arrow_map, materialise, slices, text_bytes
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: What a bin costs beside its tokens, and what the square of its size adds (attention).
 BIN_COST, SQUARE_COST = 16.0, 1 / 65536
-ITEMS_PER_SALT = 50_000
 
 
 def cost_of(size: int) -> float:
@@ -131,7 +131,7 @@ def pack(lengths: DataFrame, doc_id: str = "doc_id", n_tokens: str = "n_tokens",
     rows = materialise(lengths.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(n_tokens).cast("bigint"), F.lit(0).cast("bigint")).alias("n")), "lengths")
     chunk = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / longest).cast("int") - 1, F.lit(0))))
     chunks = rows.select("doc_id", "n", chunk.alias("chunk")).select("doc_id", "chunk", (F.col("chunk").cast("bigint") * longest).alias("start"), F.least(F.lit(longest).cast("bigint"), F.col("n") - F.col("chunk").cast("bigint") * longest).alias("n_tokens"))
-    salts = max(1, rows.count() // ITEMS_PER_SALT)
+    salts = max(1, isqrt(rows.count()))  # so neither the ranks of a salt nor the offsets of a length are many in one task
     salted = chunks.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "chunk"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("n_tokens", "salt").agg(F.count(F.lit(1)).alias("c"))
     histogram = {r.n_tokens: r.c for r in counts.groupBy("n_tokens").agg(F.sum("c").alias("c")).toLocalIterator()}  # at most longest rows
