@@ -85,5 +85,22 @@ QUERIES = {
     )
 }
 
-#: None of these can be put into SQL whole (learned models, digests of spans, merges, hashes of 64 bits): tests hold them against brute force.
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERS = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+#: The others cannot be put into SQL whole (learned models, merges, spans of regular expressions, 64-bit hashes): tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op4_decontamination": f"""WITH i AS (SELECT item_id, w, least(5, len(w)) AS n FROM (SELECT item_id, {_LETTERS} AS w FROM benchmark) WHERE len(w) > 0),
+s AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS shingle FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+d AS (SELECT doc_id, n, w FROM (SELECT doc_id, {_LETTERS} AS w FROM documents), (SELECT DISTINCT n FROM i)),
+t AS (SELECT DISTINCT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS shingle FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d)),
+q AS (SELECT item_id, count(*) AS q FROM s GROUP BY 1), h AS (SELECT doc_id, item_id, count(*) AS c FROM t JOIN s USING (n, shingle) GROUP BY 1, 2)
+SELECT doc_id, item_id, c / CAST(q AS DOUBLE) AS containment FROM h JOIN q USING (item_id) WHERE c / CAST(q AS DOUBLE) >= 0.8 - 1e-9""",
+    "op7_substring_dedup": r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+v AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d)),
+m AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY h) AS least FROM v),
+c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM m WHERE least < doc_id),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+g AS (SELECT x.doc_id, count(c.p) AS n_removed, string_agg(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.p = c.p GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
+}

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import os
-import zlib
 
 import pytest
 
@@ -36,7 +35,3 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def schema():
     return SCHEMA
-
-
-def crc(i) -> int:
-    return zlib.crc32(("" if i is None else str(i)).encode())

@@ -5,18 +5,24 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import crc
 from pyspark.sql import functions as F
 
 from quillstone.llm import common, decontamination, license_scan, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def crc(i) -> int:
+    return zlib.crc32(("" if i is None else str(i)).encode())
+
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
