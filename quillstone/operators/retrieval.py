@@ -26,15 +26,17 @@ def query_terms(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, terms: str, n: int = 30) -> DataFrame:
     """The n best documents of each query: query, doc, score, rank.
 
-    queries has an array of distinct terms. Postings are built for the queries'
-    terms only (a broadcast semi-join where their table is small; Spark decides),
-    idf is floored, and each partition keeps its own n best before ranks are taken.
+    queries (a stated few) have an array of distinct terms. Postings are built for
+    their terms only: the set of all terms is one row, so texts lose every other
+    token before anything is exploded. idf is floored, and each partition keeps its
+    own n best before ranks are taken.
     """
     each = queries.select(query, F.explode(terms).alias("term"))
-    lengths = docs.select(doc, tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
+    wanted = F.broadcast(each.agg(F.collect_set("term").alias("__w")))  # one row, of the queries' terms
+    lengths = docs.select(doc, tokens(F.col(text)).alias("t")).crossJoin(wanted)
+    lengths = lengths.select(doc, F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains("__w", x)).alias("hit"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    wanted = each.select("term").distinct()
-    tf = lengths.select(doc, "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy(doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = lengths.select(doc, "dl", F.explode("hit").alias("term")).groupBy(doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weights = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")  # stats is one row
