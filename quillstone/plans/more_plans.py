@@ -45,11 +45,11 @@ def q_agreement(spark, d):
     return views.agreement_rate(a, ["user_id"], "a").withColumn("rate", F.round("rate", 6))
 
 
-@query(f"""WITH {YEARLY}, g AS (SELECT y.entity, CAST(floor(m * 10 + 0.5) AS INTEGER) AS m, revenue * 0.05 * m AS v FROM yearly y, (VALUES (15.0::DOUBLE), (20.0), (25.0)) t(m) WHERE fy = 2000) SELECT entity, round(max(CASE WHEN m = 150 THEN v END), 2) AS x15, round(max(CASE WHEN m = 200 THEN v END), 2) AS x20, round(max(CASE WHEN m = 250 THEN v END), 2) AS x25 FROM g GROUP BY 1""")
+@query(f"""WITH {YEARLY}, g AS (SELECT y.entity, CAST(floor(m * 10 + 0.5) AS INTEGER) AS m, revenue * 0.05 * m AS v FROM yearly y, (VALUES (15.0::DOUBLE), (20.0), (25.0)) t(m) WHERE fy = 2000) SELECT entity, round(max(CASE WHEN m = 150 THEN v END), 6) AS x15, round(max(CASE WHEN m = 200 THEN v END), 6) AS x20, round(max(CASE WHEN m = 250 THEN v END), 6) AS x25 FROM g GROUP BY 1""")
 def q_grid_pivot(spark, d):
     x = yearly(spark, d).where("fy = 2000").crossJoin(F.broadcast(solver.grid(spark).where("discount = 0.1"))).withColumn("v", F.col("revenue") * 0.05 * F.col("multiple"))
     p = views.grid_pivot(x, ["entity"], "discount", "multiple", "v", list(solver.MULTIPLES))
-    return p.select("entity", *(F.round(F.col(f"`{m}`"), 2).alias(f"x{int(m)}") for m in solver.MULTIPLES))
+    return p.select("entity", *(F.round(F.col(f"`{m}`"), 6).alias(f"x{int(m)}") for m in solver.MULTIPLES))
 
 
 @query("""SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM orders GROUP BY 1""")
