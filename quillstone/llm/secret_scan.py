@@ -33,7 +33,7 @@ KINDS = {
 }
 BASE = ("assign", "access", "hex")
 #: A text without any of these has no candidate (RE2, one pass in C++).
-_ANY = r"(?i:passwor?d|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{32}|PRIVATE KEY-----|eyJ|gh[pousr]_|xox[abprs]-|sk_live_|AIza|://[A-Za-z0-9._~-]+:|[Bb]earer\x20"
+_ANY = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{32}|PRIVATE KEY-----|eyJ|gh[pousr]_|xox[abprs]-|sk_live_|AIza|://[A-Za-z0-9._~-]+:|[Bb]earer\x20"
 _FLAGS = {"assign": re.ASCII | re.IGNORECASE}
 _COMPILED = {k: (re.compile(p, _FLAGS.get(k, re.ASCII)).finditer, g, n) for k, (p, g, n) in KINDS.items()}
 _ORDER = {k: i for i, k in enumerate(KINDS)}
