@@ -1,11 +1,10 @@
 """Licence scans: Dice coefficient over word bigrams against templates.
 
-Texts are normalised to lower-case runs of letters and digits. Passages to
-compare are the maximal stretches of a text whose bigrams occur in some template
-(over short gaps), so a licence is found as a whole text, as a header or as a
-line inside other text. Dice >= t between sets of a and b bigrams needs
-b >= a * t / (2 - t) and b <= a * (2 - t) / t; templates outside these bounds are
-never compared.
+Texts are normalised to lower-case runs of letters and digits. All passages of a
+text are compared, so a licence is found as a whole text, as a header or as a
+line inside other text, with words put in or changed anywhere. Dice >= t with a
+template of b bigrams needs b * t / (2 - t) of them at least and b * (2 / t - 2)
+others at most; texts and passages outside these bounds are never compared.
 """
 
 from __future__ import annotations
@@ -20,8 +19,6 @@ from .common import Words, slices, text_bytes, window_hashes
 from .decontamination import _BREAK, words_of
 
 DICE = 0.8
-#: Words outside every template that a passage may hold in one place.
-GAP = 4
 #: Licence texts and notices (public texts of their stewards).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -56,21 +53,38 @@ class Templates:
         self.sets = sorted(((len(b), name, b) for name, text in templates if (b := bigrams(words_of(text)))), key=lambda x: (x[0], x[1]))
         self.sizes = np.array([n for n, _, _ in self.sets])
         known = [window_hashes(Words(text_bytes(pa.array([b" ".join(words_of(t)).decode()])), 0, 1).hashes(), 2) for _, t in templates]
+        self.hashed = [(name, frozenset(x.tolist())) for (name, _), x in zip(templates, known, strict=True) if len(x)]
         self.keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *known]))
         self.some = np.zeros(1 << 20, bool)
         self.some[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.shortest = max(1, int(np.ceil(self.ratio * self.sizes[0] - 1e-9))) if len(self.sizes) else 1
 
-    def best(self, words: list[bytes]) -> dict[str, float]:
-        """By licence the best Dice of a passage that reaches the threshold; size bounds first."""
-        own, out = bigrams(words), {}
-        low = int(np.searchsorted(self.sizes, len(own) * self.ratio - 1e-9))
-        high = int(np.searchsorted(self.sizes, len(own) / self.ratio + 1e-9, "right"))
-        for n, name, b in self.sets[low:high]:
-            d = 2 * len(own & b) / (len(own) + n)
-            if d >= self.dice - 1e-9 and d > out.get(name, 0):
-                out[name] = d
-        return out
+    def passages(self, here: list[int], starts: list[int], own: frozenset[int]) -> Iterator[tuple[float, int, int]]:
+        """(Dice, first word, words) of each start's best passage that reaches the threshold.
+
+        The best of all passages starts and ends with a bigram of the template.
+        One with more than size * (2 / dice - 2) distinct other bigrams is below
+        the threshold however it goes on, so no start looks further.
+        """
+        size = len(own)
+        most = size * (2 / self.dice - 2) + 1e-9
+        for s in starts:
+            known, other, top, end = set(), set(), 0.0, s
+            for k in range(s, len(here)):
+                x = here[k]
+                if x not in own:
+                    other.add(x)
+                    if len(other) > most:
+                        break
+                elif x not in known:
+                    known.add(x)
+                    d = 2 * len(known) / (len(known) + len(other) + size)
+                    if d > top:
+                        top, end = d, k
+                    if len(known) == size:
+                        break
+            if top >= self.dice - 1e-9:
+                yield top, s, end - s + 2
 
     def find(self, column: pa.Array, start: int, end: int) -> Iterator[tuple[int, str, float, int, int]]:
         """(text, licence, Dice, first word, words) of the best passage of each licence in each text."""
@@ -88,23 +102,21 @@ class Templates:
         at, text = at[inside], text[inside]
         if not len(at):
             return
-        new = np.append(True, (np.diff(at) > GAP) | (np.diff(text) > 0))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        long = last - first + 1 >= self.shortest
+        edges = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(at))
         best: dict[tuple[int, str], tuple[float, int, int]] = {}
-        raw = w.buf.tobytes()
-        for i, j in zip(first[long].tolist(), last[long].tolist(), strict=True):
-            # a bridge over a gap may join two licences: the passage, and its parts without gaps
-            breaks = [i, *(np.flatnonzero(np.diff(at[i : j + 1]) > 1) + i + 1).tolist(), j + 1]
-            spans = {(i, j), *((a, b - 1) for a, b in zip(breaks[:-1], breaks[1:], strict=True))}
-            for a, b in spans:
-                s, e = int(at[a]), int(at[b]) + 2
-                words = [raw[x:y] for x, y in zip(w.starts[s:e].tolist(), w.ends[s:e].tolist(), strict=True)]
-                for name, d in self.best(words).items():
-                    key, value = (int(text[a]), name), (d, s - int(w.first[text[a]]), e - s)
-                    if (value[0], -value[1], value[2]) > (lambda v: (v[0], -v[1], v[2]))(best.get(key, (0.0, 0, 0))):
-                        best[key] = value
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            t, hits = int(text[i]), set(h[at[i:j]].tolist())
+            if len(hits) < self.shortest:
+                continue
+            begin, stop = int(w.first[t]), int(w.first[t + 1]) - 1
+            here = h[begin:stop].tolist()
+            for name, own in self.hashed:
+                if len(hits & own) < self.ratio * len(own) - 1e-9:
+                    continue
+                starts = [k for k in (at[i:j] - begin).tolist() if here[k] in own]
+                for d, s, n in self.passages(here, starts, own):
+                    if (d, -s, n) > (lambda v: (v[0], -v[1], v[2]))(best.get((t, name), (0.0, 0, 0))):
+                        best[t, name] = (d, s, n)
         for (t, name), (d, s, n) in sorted(best.items()):
             yield t, name, d, s, n
 
