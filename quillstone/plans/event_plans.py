@@ -244,7 +244,7 @@ SELECT a.user_id, any_value(a.vote) AS vote, any_value(a.n) AS n_agree, round(an
 FROM a JOIN m USING (user_id) JOIN c ON c.user_id = a.user_id AND c.rn = 1 GROUP BY 1""")
 def q_majority_vote(spark, d):
     t = F.col("event_type")
-    v = table(spark, d, "events").where(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz")).select("user_id", "event_id", F.when(t == "error", "weakens").when(t == "purchase", "strengthens").otherwise("neutral").alias("vote"), "value", F.when(F.col("value") < 20, "low").when(F.col("value") < 60, "medium").otherwise("high").alias("confidence"))
+    v = table(spark, d, "events").select("user_id", "event_id", F.when(t == "error", "weakens").when(t == "purchase", "strengthens").otherwise("neutral").alias("vote"), "value", F.when(F.col("value") < 20, "low").when(F.col("value") < 60, "medium").otherwise("high").alias("confidence"))
     return scores.majority(v, ["user_id"], "vote", "value", "confidence", "event_id").withColumn("magnitude", F.round("magnitude", 6))
 
 
@@ -291,7 +291,7 @@ b AS (SELECT *, points + CASE WHEN n_categories >= 3 THEN n_categories * 2 ELSE
 SELECT user_id, n_categories, hold, floor(total * 10 + 0.5) / 10 AS score, unconditional OR (total >= 12 AND NOT hold) AS escalate FROM b""")
 def q_triage(spark, d):
     t, v, i = F.col("event_type"), F.col("value"), F.col("event_id")
-    f = events(spark, d).where(F.col("day") < F.lit("2024-01-08").cast("date")).select(
+    f = events(spark, d).select(
         "user_id",
         F.when(t == "error", "item").when(t == "click", "trend").when(t == "signup", "recurrence").when(t == "view", "flag").otherwise("chunks").alias("source"),
         F.when(i % 4 == 0, "going-concern").when(i % 4 == 1, "receivables").when(i % 4 == 2, "margin").otherwise("litigation").alias("category"),

@@ -1,0 +1,27 @@
+"""Queries over whole tables: the rows of their SQL without its filter on time or ids."""
+
+from __future__ import annotations
+
+import os
+
+import oracle
+import pytest
+
+from quillstone.plans import registry
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+WHOLE = {
+    "q_majority_vote": (" WHERE ts < TIMESTAMP '2024-01-03'", ""),
+    "q_triage": (" WHERE CAST(ts AS DATE) < DATE '2024-01-08'", ""),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole(spark, name):
+    cut, whole = WHOLE[name]
+    sql = registry.ORACLE[name]
+    con, df = oracle.connect(SF), registry.QUERIES[name](spark, SF)
+    want = sql.replace(cut, whole)
+    assert not oracle.kinds(df, con, want) and not oracle.difference(df, con, want)
