@@ -66,7 +66,7 @@ def q_strip_totals(spark, d):
     return t.select("doc_id", "chars_before", "chars_after", "n_protected", F.round("share", 6).alias("share"), "suspect")
 
 
-# A quote of each item: its first ten words, in another reading by the item's number; looked for in the documents whose id ends alike.
+# A quote of each item: its first ten words, in another reading by the item's number; looked for in every document.
 _QUOTE = "CASE item_id % 4 WHEN 0 THEN q WHEN 1 THEN upper(q) WHEN 2 THEN replace(q, ' ', '  ') ELSE q || ' nowhere' END"
 _SP = r"trim(regexp_replace(replace({0}, chr(160), ' '), '\s+', ' ', 'g'))"
 _PU = _SP.format("translate({0}, '‘’‚‛“”„‟–—−', '''''''''\"\"\"\"---')")
@@ -78,17 +78,16 @@ SELECT doc_id, item_id, CASE WHEN contains(text, quote) THEN 'exact' WHEN contai
  WHEN contains(lower({_PU.format('text')}), lower({_PU.format('quote')})) THEN 'punctuation-normalized' WHEN contains({_TA.format('text')}, {_TA.format('quote')}) THEN 'table-normalized' ELSE 'no-match' END AS tier FROM p""")
 def q_quote_tiers(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.trim(F.regexp_extract("text", r"^(\S+\s+){0,9}\S+", 0)).alias("q"))
-    q = b.select("item_id", F.expr(_QUOTE.replace("||", "||")).alias("quote"), (F.col("item_id") % 40).alias("k"))
-    p = table(spark, d, "documents").withColumn("k", F.col("doc_id") % 40).join(q, "k")
-    return p.select("doc_id", "item_id", quotes.tier(F.col("text"), F.col("quote")).alias("tier"))
+    q = b.select("item_id", F.expr(_QUOTE.replace("||", "||")).alias("quote"))
+    return quotes.tier_pairs(table(spark, d, "documents").select("doc_id", "text"), q, "text", "quote").select("doc_id", "item_id", "tier")
 
 
 @query(f"""WITH q0 AS (SELECT item_id, trim(regexp_extract(text, '^(\\S+\\s+){{0,9}}\\S+')) AS quote FROM benchmark), p AS (SELECT d.doc_id, q.item_id, d.text, q.quote FROM documents d JOIN q0 q ON d.doc_id % 40 = q.item_id % 40)
 SELECT item_id, count(*) AS n_checked, count(*) FILTER (length({_PU.format('quote')}) >= 12 AND contains(lower({_PU.format('text')}), lower({_PU.format('quote')}))) AS n_verified FROM p GROUP BY 1""")
 def q_quote_verify(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", F.trim(F.regexp_extract("text", r"^(\S+\s+){0,9}\S+", 0)).alias("quote"), (F.col("item_id") % 40).alias("k"))
-    p = table(spark, d, "documents").withColumn("k", F.col("doc_id") % 40).join(q, "k")
-    return p.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(quotes.verified(F.col("text"), F.col("quote"))).alias("n_verified"))
+    q = table(spark, d, "benchmark").select("item_id", F.trim(F.regexp_extract("text", r"^(\S+\s+){0,9}\S+", 0)).alias("quote"))
+    p = quotes.verified_pairs(table(spark, d, "documents").select("text"), q, "text", "quote")
+    return p.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_checked"), F.count_if("verified").alias("n_verified"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in EXPLANATION_STOPWORDS)

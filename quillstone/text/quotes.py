@@ -9,12 +9,32 @@ from ..functions.expr import first_of, norm_punct, norm_space, norm_table
 
 TIERS = ("exact", "whitespace-normalized", "case-insensitive", "punctuation-normalized", "table-normalized", "no-match")
 LEAST_QUOTE = 12
+_FORMS = (lambda c: c, norm_space, F.lower, lambda c: F.lower(norm_punct(c)), norm_table)
 
 
 def tier(text: Column, quote: Column) -> Column:
     """The strictest reading under which the text holds the quote."""
-    forms = (lambda c: c, norm_space, F.lower, lambda c: F.lower(norm_punct(c)), norm_table)
-    return first_of(*((form(text).contains(form(quote)), name) for form, name in zip(forms, TIERS, strict=False)), otherwise=TIERS[-1])
+    return first_of(*((form(text).contains(form(quote)), name) for form, name in zip(_FORMS, TIERS, strict=False)), otherwise=TIERS[-1])
+
+
+def _read(df: DataFrame, column: str, forms, mark: str) -> DataFrame:
+    return df.withColumns({f"__{mark}{i}": form(F.col(column)) for i, form in enumerate(forms)}).drop(column)
+
+
+def tier_pairs(texts: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
+    """Every text with every quote: the other columns of both, and tier. Each text is read once for all quotes."""
+    p = _read(texts, text, _FORMS, "t").crossJoin(_read(quotes, quote, _FORMS, "q"))
+    held = first_of(*((F.col(f"__t{i}").contains(F.col(f"__q{i}")), name) for i, name in enumerate(TIERS[:-1])), otherwise=TIERS[-1])
+    names = [c for c in (*texts.columns, *quotes.columns) if c not in (text, quote)]
+    return p.select(*names, held.alias("tier"))
+
+
+def verified_pairs(texts: DataFrame, quotes: DataFrame, text: str, quote: str, least: int = LEAST_QUOTE) -> DataFrame:
+    """Every text with every quote: the other columns of both, and verified. Each text is read once for all quotes."""
+    form = _FORMS[3]
+    p = _read(texts, text, (form,), "t").crossJoin(_read(quotes, quote, (form,), "q"))
+    names = [c for c in (*texts.columns, *quotes.columns) if c not in (text, quote)]
+    return p.select(*names, ((F.length("__q0") >= least) & F.col("__t0").contains(F.col("__q0"))).alias("verified"))
 
 
 def with_window(text: Column, quote: Column, words: int = 25) -> tuple[Column, Column]:
