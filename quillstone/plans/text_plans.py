@@ -98,9 +98,10 @@ _TOK = f"list_filter(list_distinct(regexp_split_to_array(lower({{0}}), '[^a-z]+'
 h AS (SELECT c.doc_id AS claim_id, c.source, p.doc_id AS prior FROM c JOIN t p ON c.source = p.source AND p.doc_id < c.doc_id WHERE len(list_intersect(c.tokens, p.tokens)) / len(c.tokens) >= 0.6),
 g AS (SELECT claim_id, source, count(DISTINCT prior) AS n_prior FROM h GROUP BY 1, 2) SELECT *, CASE WHEN n_prior >= 4 THEN 'high' WHEN n_prior >= 3 THEN 'medium' ELSE 'low' END AS severity FROM g WHERE n_prior >= 1""")
 def q_recurrence(spark, d):
-    line = F.split("text", "\n")[0]
-    p = table(spark, d, "documents").select("source", F.col("doc_id").alias("filing"), F.col("doc_id").alias("ord"), line.alias("text"))
-    return recurrence.repeated(p.withColumn("claim_id", F.col("filing")), p, "source", filings=1)
+    lines = table(spark, d, "documents").select("source", F.col("doc_id").alias("filing"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    p = lines.withColumns({"ord": F.col("filing"), "claim_id": F.struct("filing", "line")})
+    got = recurrence.repeated(p, p, "source", filings=1)
+    return got.select(F.col("claim_id.filing").alias("claim_id"), F.col("claim_id.line").alias("line"), "source", "n_prior", "severity")
 
 
 _PHRASES = ("released under the mit", *ONE_TIME_PHRASES)

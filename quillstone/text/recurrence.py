@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import EXPLANATION_STOPWORDS, ONE_TIME_PHRASES
@@ -26,19 +26,25 @@ def repeated(claims: DataFrame, passages: DataFrame, entity: str, share: float =
     An inverted index joins them on (entity, token): a passage that holds 60 % of n
     tokens holds one of any n - ceil(0.6 n) + 1 of them, so only that many of a
     claim's tokens (its rarest for the entity) are looked up. Every pair that
-    passes is then counted exactly.
+    passes is then counted exactly. Claims and passages of equal tokens are
+    compared once; a claim_id is one claim.
     """
-    c = claims.select("claim_id", entity, "filing", "ord", content_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= tokens)
-    p = passages.select(entity, F.col("filing").alias("p_filing"), F.col("ord").alias("p_ord"), content_tokens(F.col("text")).alias("p_tokens"))
-    by_token = p.select(entity, "p_filing", "p_ord", "p_tokens", F.explode("p_tokens").alias("token"))
+    sets = lambda c: F.array_sort(content_tokens(F.col(c)))
+    c = claims.select("claim_id", entity, "ord", sets("text").alias("tokens")).where(F.size("tokens") >= tokens)
+    p = passages.select(entity, F.col("filing").alias("p_filing"), F.col("ord").alias("p_ord"), sets("text").alias("p_tokens")).where(F.col("p_ord").isNotNull())
+    by_token = p.select(entity, "p_tokens").distinct().select(entity, "p_tokens", F.explode("p_tokens").alias("token"))
     df = by_token.groupBy(entity, "token").agg(F.count(F.lit(1)).alias("df"))
-    each = c.select("claim_id", entity, "filing", "ord", "tokens", F.explode("tokens").alias("token")).join(df, [entity, "token"], "left")
-    ranked = each.groupBy("claim_id", entity, "filing", "ord", "tokens").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
+    each = c.select(entity, "tokens").distinct().select(entity, "tokens", F.explode("tokens").alias("token")).join(df, [entity, "token"], "left")
+    ranked = each.groupBy(entity, "tokens").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
     need = F.size("tokens") - F.ceil(F.lit(share) * F.size("tokens") - F.lit(1e-9)) + 1
-    probes = ranked.select("claim_id", entity, "filing", "ord", "tokens", F.explode(F.slice("r", F.lit(1), need.cast("int"))).alias("x")).select("claim_id", entity, "filing", "ord", "tokens", F.col("x.token").alias("token"))
-    pairs = probes.join(by_token, [entity, "token"]).where(F.col("p_ord") < F.col("ord")).dropDuplicates(["claim_id", "p_filing", "p_ord", "p_tokens"])
-    hit = pairs.where(overlap(F.col("tokens"), F.col("p_tokens")) >= share)
-    g = hit.groupBy("claim_id", entity).agg(F.count_distinct("p_filing").alias("n_prior")).where(F.col("n_prior") >= filings)
+    probes = ranked.select(entity, "tokens", F.explode(F.slice("r", F.lit(1), need.cast("int"))).alias("x")).select(entity, "tokens", F.col("x.token").alias("token"))
+    pairs = probes.join(by_token, [entity, "token"]).where(overlap(F.col("tokens"), F.col("p_tokens")) >= share).select(entity, "tokens", "p_tokens").distinct()
+    # each filing counts once for equal claims, from its first passage on
+    first = pairs.join(p, [entity, "p_tokens"]).groupBy(entity, "tokens", "p_filing").agg(F.min("p_ord").alias("ord"))
+    both = c.select(entity, "tokens", "ord", "claim_id", F.lit(0).alias("prior")).unionByName(first.select(entity, "tokens", "ord", F.lit(1).alias("prior")), allowMissingColumns=True)
+    before = Window.partitionBy(entity, "tokens").orderBy("ord", "prior").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("n_prior", F.sum("prior").over(before)).where((F.col("prior") == 0) & (F.col("n_prior") >= filings))
+    g = counted.select("claim_id", entity, "n_prior")
     return g.withColumn("severity", first_of((F.col("n_prior") >= 4, "high"), (F.col("n_prior") >= 3, "medium"), otherwise="low"))
 
 
@@ -51,8 +57,6 @@ def one_time(filings: DataFrame, entity: str, phrases: tuple[str, ...] = ONE_TIM
 
     filings: entity, filing, ord, text.
     """
-    from pyspark.sql import Window
-
     found = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.lower(F.col("text")).contains(p))
     each = filings.select(entity, "filing", "ord", F.explode(found).alias("phrase")).distinct()
     before = Window.partitionBy(entity, "phrase").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
