@@ -149,7 +149,7 @@ def q_surface_once(spark, d):
 @query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS note FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'supplier' END AS note FROM supplier)
 SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.note, o.note) AS note FROM o FULL JOIN n ON o.id = n.id""")
 def q_upsert_coalesce(spark, d):
-    old = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("note"))
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("note"))
     new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "supplier").alias("note"))
     return state.upsert_keep_old(old, new, "id", ["name", "note"])
 

@@ -266,4 +266,4 @@ def clear(path: str) -> None:
 @query("SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents WHERE doc_id >= 100 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id < 20 AND s.lang = documents.lang AND s.source = documents.source)) WHERE rn = 1")
 def q_new_feeds(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "lang")
-    return surface_new(docs.where("doc_id >= 100"), docs.where("doc_id < 20").distinct(), ["lang", "source"], [F.col("doc_id")]).select("source", "doc_id", "lang")
+    return surface_new(docs.where("doc_id >= 100"), docs.where("doc_id < 100").distinct(), ["lang", "source"], [F.col("doc_id")]).select("source", "doc_id", "lang")

@@ -14,9 +14,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 WHOLE = {
     "q_majority_vote": (" WHERE ts < TIMESTAMP '2024-01-03'", ""),
+    "q_money_format": (" WHERE c_custkey % 2 = 1", ""),
+    "q_new_feeds": ("s.doc_id < 20", "s.doc_id < 100"),
     "q_quote_tiers": ("d.doc_id % 40 = q.item_id % 40", "true"),
     "q_quote_verify": ("d.doc_id % 40 = q.item_id % 40", "true"),
     "q_triage": (" WHERE CAST(ts AS DATE) < DATE '2024-01-08'", ""),
+    "q_upsert_coalesce": (" WHERE c_custkey % 3 <> 0", ""),
 }
 
 
