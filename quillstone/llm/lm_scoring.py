@@ -1,21 +1,27 @@
-"""Language-model scores by a probabilistic suffix tree.
-
-A text is a stream of words and one end. At the tree's top a word is one symbol,
-by its count in the training texts (absolute discounting); what the discounts
-free goes to the words' spellings, so unseen words have a probability too, and
-all probabilities sum to 1. Words are spelled in bytes, each with a word end
-after it, and a context reaches back to the word's start at most. The tree of
-spellings starts from contexts of up to DEPTH symbols that make up at least LEAST of
-the training symbols (so at most DEPTH / LEAST of them, whatever the input: they
-may be broadcast). A context is retained if its next symbols diverge from those
-of its longest proper suffix (a likelihood-ratio test against the cost of its
-parameters); suffixes of retained ones stay too. Distributions are smoothed into
-their suffix's. A symbol is scored in the longest suffix state.
-
-Words are counted exactly over the whole corpus: chunks of texts give their
-distinct words, which are dealt by hash into buckets; each bucket joins the words
-of all chunks, and in the end answers every chunk with each word's count and
-score. A chunk that holds a word a thousand times asks once.
+"""Language-model scores by a probabilistic suffix tree over words.
+
+A text is a stream of words and one end. Contexts are the words before a token:
+none, one (at the first word: the text's start) or two. A context may be a state
+if it was seen MIN_COUNT times in training, whatever the corpus' size, so the
+tree grows with the corpus. It is one if its next-token distribution diverges
+from its suffix's: the training tokens after it, each predicted with itself left
+out, must be likelier under its own counts smoothed into its suffix than under
+the suffix alone. A token is scored in the longest suffix of what comes before it
+that is a state; its distribution is smoothed into its suffix's, that into the
+empty context's.
+
+The empty context has the words by their counts (absolute discounting); what the
+discounts free goes to the words' spellings, so unseen words have a probability
+too, and all probabilities after any context sum to 1. Spellings are a suffix tree
+of their own, over bytes inside the word, of a bounded size: contexts of up to
+DEPTH bytes that make up at least LEAST of the training bytes. It is the last
+fallback and the only part that is broadcast.
+
+Nothing else is brought to one place. Texts go in chunks (about CHUNK_BYTES of
+text, whole texts only). A chunk asks once for each distinct word, run of two
+words and, after frequent runs, run of three, and once for each context's
+divergence; exchange.py sums over all chunks. Counts and sums are integers, so
+the scores do not depend on the order of tasks.
 """
 
 from __future__ import annotations
@@ -29,16 +35,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, slices, text_bytes
+from .common import Words, materialise, mix, slices, span_hashes, text_bytes
+from .exchange import FAN_BITS, ROWS, answered, ask, reduce_keys
 
-DEPTH, LEAST = 6, 1e-4
-#: Symbols: bytes from 1; then the word end, and the start (in contexts only).
+#: The spelling tree: bytes of context, share of the training bytes.
+DEPTH, LEAST = 4, 1e-4
+#: Symbols of it: bytes from 1; then the word end, and the start (in contexts only).
 WORD_END, START = 257, 258
 _N = 259
 _BITS = np.uint64(9)
-CHUNK_BYTES = 8 << 20
-DOCS_PER_BUCKET = 4_000
+CHUNK_BYTES = 16 << 20
 SMOOTH = 4.0
+#: Least training count of a context; weight of the suffix in contexts of one and of two words.
+MIN_COUNT = 4
+WEIGHTS = (256.0, 32.0)
+#: Divergence sums are integers of 1 / 1024 nat.
+_NAT = 1024
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
 
 def _pack_words(words: pa.Array) -> tuple[bytes, bytes]:
@@ -48,103 +62,57 @@ def _pack_words(words: pa.Array) -> tuple[bytes, bytes]:
     return np.diff(off).astype(np.int32).tobytes(), data
 
 
-def _unpack_words(lengths: bytes, data: bytes) -> pa.Array:
-    off = np.append(0, np.cumsum(np.frombuffer(lengths, np.int32), dtype=np.int64))
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data)])
+_CHUNKS = "chunk bigint, docs int, keep array<{keep}>, lens binary, train binary, ids binary, lengths binary, words binary, counts binary"
 
 
-def _pack_bag(bag: np.ndarray) -> bytes:
-    """Sorted word numbers as differences, plane by plane (small ones compress)."""
-    return np.ascontiguousarray(np.diff(bag, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of some texts: number of words of each, the words' numbers in order, and the distinct words."""
+    parts, lens = [], []
+    for c, d in slices(column):  # word edges of 2 MB at a time
+        w = Words(column, c, d, lower=True)
+        size = w.ends - w.starts
+        off = np.append(0, np.cumsum(size))
+        take = np.repeat(w.starts - off[:-1], size) + np.arange(off[-1])
+        parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(w.buf[take].tobytes())]).dictionary_encode())
+        lens.append(w.counts())
+    coded = pa.chunked_array(parts, parts[0].type).unify_dictionaries()
+    return np.concatenate(lens), np.concatenate([p.indices.to_numpy(zero_copy_only=False) for p in coded.chunks]).astype(np.int64), coded.chunk(0).dictionary
 
 
-def _unpack_bag(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.int64)
-
-
-_PARTS = "chunk bigint, bucket int, size int, lengths binary, words binary, counts binary, docs array<struct<row: int, n: int, bag: binary>>, keep array<{keep}>"
-
-
-def _chunks(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
-    """docs has (keep, train, text). Rows with bucket -1: a chunk's rows as bags of its distinct words; others: its words in one bucket."""
+def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """docs has (keep, train, text). A row for each chunk: its texts as numbers of its distinct words (frequent ones first), and those."""
     keep_type = docs.schema["keep"].dataType.simpleString()
-    doc = pa.struct([("row", pa.int32()), ("n", pa.int32()), ("bag", pa.binary())])
+
+    def one(number: int, keep: list[pa.Array], train: list[np.ndarray], texts: list[pa.Array]) -> pa.RecordBatch:
+        trained, kept = np.concatenate(train), pa.concat_arrays(keep)
+        lens, index, words = _coded(pa.concat_arrays(texts))
+        order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        index = place[index]
+        counts = np.bincount(index[np.repeat(trained, lens)], minlength=len(words)).astype(np.int64)
+        planes = np.ascontiguousarray(index.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+        blobs = (lens.astype(np.int32).tobytes(), trained.tobytes(), planes, *_pack_words(words.take(pa.array(order))), counts.tobytes())
+        columns = [pa.array([number], pa.int64()), pa.array([len(lens)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), *(pa.array([b], pa.binary()) for b in blobs)]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "keep", "lens", "train", "ids", "lengths", "words", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
+        held, size = ([], [], []), 0
         for batch in batches:
             column = text_bytes(batch.column(2))
             train = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in slices(column, chunk_bytes):
-                parts, first = [], [0]
-                at = 0
-                for c, d in slices(column.slice(a, b - a)):  # word edges of 2 MB at a time
-                    w = Words(column, a + c, a + d, lower=True)
-                    size = w.ends - w.starts
-                    off = np.append(0, np.cumsum(size))
-                    take = np.repeat(w.starts - off[:-1], size) + np.arange(off[-1])
-                    parts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(w.buf[take].tobytes())]).dictionary_encode())
-                    first += (w.first[1:] + at).tolist()
-                    at += len(size)
-                coded = pa.chunked_array(parts, parts[0].type).unify_dictionaries()
-                words = coded.chunk(0).dictionary
-                index = np.concatenate([p.indices.to_numpy(zero_copy_only=False) for p in coded.chunks]).astype(np.int64)
-                first = np.array(first)
-                trained = np.repeat(train[a:b], np.diff(first))
-                counts = np.bincount(index[trained], minlength=len(words)).astype(np.int64)
-                bucket = _bucket_of(words, buckets)
-                order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                index, words, counts, bucket = place[index], words.take(pa.array(order)), counts[order], bucket[order]
-                bags = [_pack_bag(np.sort(index[i:j])) for i, j in zip(first[:-1], first[1:], strict=True)]
-                own = pa.StructArray.from_arrays([pa.array(np.arange(b - a), pa.int32()), pa.array(np.diff(first), pa.int32()), pa.array(bags, pa.binary())], fields=list(doc))
-                edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                rows = [(-1, len(words), None, None, None)]
-                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    rows.append((int(bucket[i]), j - i, *_pack_words(words.slice(i, j - i)), counts[i:j].tobytes()))
-                only_first = pa.array([0, *[b - a] * len(rows)], pa.int32())
-                types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types)), pa.ListArray.from_arrays(only_first, own), pa.ListArray.from_arrays(only_first, batch.column(0).slice(a, b - a))],
-                    names=["chunk", "bucket", "size", "lengths", "words", "counts", "docs", "keep"],
-                )
-                number += 1
-
-    return docs.mapInArrow(run, _PARTS.format(keep=keep_type))
-
-
-def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
-    from .common import span_hashes
-
-    if not len(words):
-        return np.zeros(0, np.int64)
-    off = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    buf = np.frombuffer(words.buffers()[2], np.uint8, int(off[-1])) if off[-1] else np.zeros(0, np.uint8)
-    return (span_hashes(buf, off[:-1], off[1:]) % np.uint64(buckets)).astype(np.int64)
+            for a, b in slices(column):
+                for x, part in zip(held, (batch.column(0).slice(a, b - a), train[a:b], column.slice(a, b - a)), strict=True):
+                    x.append(part)
+                size += held[2][-1].nbytes
+                if size >= chunk_bytes:
+                    yield one(number, *held)
+                    number, held, size = number + 1, ([], [], []), 0
+        if held[0]:
+            yield one(number, *held)
 
-
-_TABLE = "bucket int, lengths binary, words binary, counts binary, chunks array<struct<chunk: bigint, size: int, at: binary>>"
-
-
-def _tables(parts: DataFrame) -> DataFrame:
-    """For each bucket: its distinct words, their counts in training texts, and where each chunk's words are among them."""
-    chunk = pa.struct([("chunk", pa.int64()), ("size", pa.int32()), ("at", pa.binary())])
-
-    def run(table: pa.Table) -> pa.Table:
-        each = [_unpack_words(a.as_py(), b.as_py()) for a, b in zip(table.column("lengths"), table.column("words"), strict=True)]
-        coded = pa.chunked_array(each, pa.large_binary()).combine_chunks().dictionary_encode()
-        counts = np.concatenate([np.frombuffer(c.as_py(), np.int64) for c in table.column("counts")])
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        total = np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(total, at, counts)
-        size = table.column("size").to_numpy()
-        ends = np.cumsum(size)
-        own = pa.StructArray.from_arrays([table.column("chunk").combine_chunks(), pa.array(size, pa.int32()), pa.array([at[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)], pa.binary())], fields=list(chunk))
-        lengths, data = _pack_words(coded.dictionary)
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "lengths": pa.array([lengths], pa.binary()), "words": pa.array([data], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary()), "chunks": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)})
-
-    return parts.groupBy("bucket").applyInArrow(run, _TABLE)
+    return docs.mapInArrow(run, _CHUNKS.format(keep=keep_type))
 
 
 def _spell(lengths: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,9 +141,123 @@ def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.frombuffer(batch.column("lengths")[i].as_py(), np.int32).astype(np.int64), np.frombuffer(batch.column("words")[i].as_py(), np.uint8), np.frombuffer(batch.column("counts")[i].as_py(), np.int64)
 
 
-def _next_counts(tables: DataFrame, depth: int, frequent: np.ndarray | None) -> dict[int, np.ndarray]:
+class Chunk:
+    """A chunk's texts as one sequence of numbers: start, words, end of each text; its distinct words, pairs and what they ask."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.number = batch.column("chunk")[i].as_py()
+        self.lengths, self.data, self.counts = _read(batch, i)
+        v = self.distinct = len(self.lengths)
+        self.end, self.start = v, v + 1
+        self.lens = np.frombuffer(batch.column("lens")[i].as_py(), np.int32).astype(np.int64)
+        self.train = np.frombuffer(batch.column("train")[i].as_py(), bool)
+        ids = np.ascontiguousarray(np.frombuffer(batch.column("ids")[i].as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+        n = self.lens + 2
+        off = np.cumsum(n) - n
+        self.seq = np.full(int(n.sum()), self.end, np.int64)
+        self.seq[off] = self.start
+        inner = np.ones(len(self.seq), bool)
+        inner[off] = inner[off + n - 1] = False
+        self.seq[inner] = ids
+        place = np.arange(len(self.seq)) - np.repeat(off, n)
+        trained = np.repeat(self.train, n)
+        #: Where tokens (words and ends) are; and from the second token of a text on.
+        self.token = np.flatnonzero(place >= 1)
+        self.later = np.flatnonzero(place >= 2)
+        self.trained, self.doc = trained, np.repeat(np.arange(len(n)), n)
+        code = self.seq[self.token - 1] * (v + 2) + self.seq[self.token]
+        pairs, of = np.unique(code, return_inverse=True)
+        self.pair_counts = np.bincount(of[trained[self.token]], minlength=len(pairs)).astype(np.int64)
+        self.first, self.second = pairs // (v + 2), pairs % (v + 2)
+        self.pair = np.full(len(self.seq), -1)
+        self.pair[self.token] = of
+
+    def word_hashes(self, family: int = 0) -> np.ndarray:
+        """Of the distinct words, the end and the start."""
+        ends = np.cumsum(self.lengths)
+        return np.concatenate([span_hashes(self.data, ends - self.lengths, ends, family), [_END, _START]])
+
+    def pair_hashes(self) -> np.ndarray:
+        h = self.word_hashes()
+        return mix(mix(h[self.first] + _A) * _A + h[self.second])
+
+    def ask_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and training counts of the words (twice, by two families of hashes: the lesser count is exact) and of the pairs."""
+        words = [mix(self.word_hashes(f)[: self.distinct] ^ s) for f, s in ((0, _A), (1, _B))]
+        return np.concatenate([*words, self.pair_hashes()]), np.concatenate([self.counts, self.counts, self.pair_counts])
+
+    def take_pairs(self, hits: list[dict] | None, texts: int) -> None:
+        """totals: training counts of the words, the end and the start over the corpus; pair_totals: of the pairs."""
+        keys, _ = self.ask_pairs()
+        got, v = answered(hits, keys), self.distinct
+        self.totals = np.append(np.minimum(got[:v], got[v : 2 * v]), [texts, texts])
+        self.pair_totals = got[2 * v :]
+
+    def find_triples(self, least: int) -> None:
+        """triple: their first two words as a pair, then their last; at: where they end, of: which one is there."""
+        self.at = self.later[self.pair_totals[self.pair[self.later - 1]] >= least]
+        v = self.distinct
+        triples, self.of = np.unique(self.pair[self.at - 1] * (v + 2) + self.seq[self.at], return_inverse=True)
+        self.above, self.last = triples // (v + 2), triples % (v + 2)
+        self.triple_counts = np.bincount(self.of[self.trained[self.at]], minlength=len(triples)).astype(np.int64)
+        #: The pair of a triple's last two words, which is one of the chunk's.
+        self.suffix = np.zeros(len(triples), np.int64)
+        self.suffix[self.of] = self.pair[self.at]
+
+    def ask_triples(self) -> tuple[np.ndarray, np.ndarray]:
+        return mix(mix(self.pair_hashes()[self.above] + _B) * _A + self.word_hashes()[self.last]), self.triple_counts
+
+    def take_triples(self, hits: list[dict] | None) -> None:
+        self.triple_totals = answered(hits, self.ask_triples()[0])
+
+    def distributions(self, root: np.ndarray, weights: tuple[float, float]) -> None:
+        """From the natural probabilities of each number in the empty context: of pairs after their first word, of triples after their pair."""
+        self.root = root
+        count = self.totals[self.first]
+        self.pair_p = (self.pair_totals + weights[0] * root[self.second]) / (count + weights[0])
+        self.triple_p = (self.triple_totals + weights[1] * self.pair_p[self.suffix]) / (self.pair_totals[self.above] + weights[1])
+
+    def contexts(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words (start included) and the pairs that may be states."""
+        after = np.zeros(self.distinct + 2, bool)
+        after[self.first] = True
+        pairs = np.zeros(len(self.first), bool)
+        pairs[self.above] = True
+        return np.flatnonzero(after & (self.totals >= least)), np.flatnonzero(pairs)
+
+    def ask_gains(self, least: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the contexts, and this chunk's part of their gains in 1 / 1024 nat."""
+        words, pairs = self.contexts(least)
+        gain = _gains(self.first, self.pair_counts, self.pair_totals, self.totals[self.first], self.root[self.second], weights[0], self.distinct + 2)
+        more = _gains(self.above, self.triple_counts, self.triple_totals, self.pair_totals[self.above], self.pair_p[self.suffix], weights[1], len(self.first))
+        keys = np.concatenate([mix(self.word_hashes()[words] ^ _B), mix(self.pair_hashes()[pairs] ^ _B)])
+        return keys, np.concatenate([gain[words], more[pairs]])
+
+    def score(self, hits: list[dict] | None, least: int, weights: tuple[float, float]) -> np.ndarray:
+        """log10 probability of each text."""
+        words, pairs = self.contexts(least)
+        got = answered(hits, self.ask_gains(least, weights)[0])
+        word_state, pair_state = np.zeros(self.distinct + 2, bool), np.zeros(len(self.first), bool)
+        word_state[words], pair_state[pairs] = got[: len(words)] > 0, got[len(words) :] > 0
+        p = np.zeros(len(self.seq))
+        p[self.token] = np.where(word_state[self.seq[self.token - 1]], self.pair_p[self.pair[self.token]], self.root[self.seq[self.token]])
+        long = pair_state[self.above[self.of]]
+        p[self.at[long]] = self.triple_p[self.of[long]]
+        return np.bincount(self.doc[self.token], weights=np.log10(p[self.token]), minlength=len(self.lens))
+
+
+def _gains(context: np.ndarray, own: np.ndarray, total: np.ndarray, count: np.ndarray, suffix: np.ndarray, weight: float, size: int) -> np.ndarray:
+    """Of each context: how much likelier own training tokens are in it than in its suffix, each with itself left out of the context's counts."""
+    left = (np.maximum(total - 1, 0) + weight * suffix) / ((np.maximum(count - 1, 0) + weight) * suffix)
+    each = np.round(np.log(left) * _NAT).astype(np.int64) * own
+    out = np.zeros(size, np.int64)
+    np.add.at(out, context, each)
+    return out
+
+
+def _next_counts(chunks: DataFrame, depth: int, frequent: np.ndarray | None) -> dict[int, np.ndarray]:
     """Counts of (context, next symbol) for the frequent contexts of one length; depth 0: of the empty one. Bounded: as many rows as contexts and symbols."""
-    sent = tables.sparkSession.sparkContext.broadcast(np.zeros(1, np.uint64) if frequent is None else frequent)
+    sent = chunks.sparkSession.sparkContext.broadcast(np.zeros(1, np.uint64) if frequent is None else frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -197,7 +279,7 @@ def _next_counts(tables: DataFrame, depth: int, frequent: np.ndarray | None) ->
         row, nxt = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(nxt, pa.int64()), pa.array(total[row, nxt].astype(np.int64))], names=["row", "next", "n"])
 
-    got = tables.select("lengths", "words", "counts").mapInArrow(run, "row bigint, next bigint, n bigint").groupBy("row", "next").agg(F.sum("n").alias("n")).toArrow()
+    got = chunks.select("lengths", "words", "counts").mapInArrow(run, "row bigint, next bigint, n bigint").groupBy("row", "next").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((len(sent.value), _N))
     out[got.column("row").to_numpy(), got.column("next").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -270,16 +352,16 @@ def _grow(levels: list[tuple[np.ndarray, np.ndarray]], smooth: float = SMOOTH) -
     return Tree(out_codes, out_rows, logs10)
 
 
-def train(tables: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Tree:
-    """The tree of the bucketed words' spellings."""
-    levels = [(np.zeros(1, np.uint64), _next_counts(tables, 0, None))]
+def train(chunks: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Tree:
+    """The tree of the words' spellings."""
+    levels = [(np.zeros(1, np.uint64), _next_counts(chunks, 0, None))]
     total = levels[0][1].sum()
     contexts = np.array([START, *range(1, 257)], np.uint64)
     for k in range(1, depth + 1):
         if not len(contexts) or not total:
             break
         contexts = np.sort(contexts)
-        counts = _next_counts(tables, k, contexts)
+        counts = _next_counts(chunks, k, contexts)
         levels.append((contexts, counts))
         # contexts of the next length: a context and a byte after it, seen often enough
         row, byte = np.nonzero(counts[:, :257] >= max(2.0, least * total))
@@ -319,68 +401,90 @@ class Top:
         return both - np.log10(self.words) + going
 
 
-def _answers(tables: DataFrame, tree, top: Top) -> DataFrame:
+def _top(counted: DataFrame, texts: int) -> Top:
+    """counted: chunks with the hits of their words. A word's part in the numbers of distinct words: the chunk's share of its count."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths, data, counts = _read(batch, i)
-                score = np.concatenate([np.zeros(0), *(tree.value.score(lengths[a : a + 100_000], data[int(lengths[:a].sum()) : int(lengths[: a + 100_000].sum())]) for a in range(0, len(lengths), 100_000))])
-                score = top.score(counts, score)
-                chunks = batch.column("chunks")[i].as_py()
-                at = [np.frombuffer(c["at"], np.int32) for c in chunks]
-                columns = [pa.array([c["chunk"] for c in chunks], pa.int64()), pa.array([batch.column("bucket")[i].as_py()] * len(chunks), pa.int32()), pa.array([counts[x].tobytes() for x in at], pa.binary()), pa.array([score[x].astype(np.float32).tobytes() for x in at], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "counts", "scores"])
-
-    return tables.mapInArrow(run, "chunk bigint, bucket int, counts binary, scores binary")
+                c = Chunk(batch, i)
+                c.take_pairs(batch.column("pairs")[i].as_py(), 0)
+                own, total = c.counts, c.totals[: c.distinct]
+                share = own / np.maximum(total, 1)
+                sums = (own.sum(), share.sum(), share[total == 1].sum(), share[total == 2].sum())
+                yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in sums], names=["n", "v", "n1", "n2"])
+
+    r = counted.mapInArrow(run, "n double, v double, n1 double, n2 double").agg(*(F.sum(c) for c in ("n", "v", "n1", "n2"))).first()
+    n, v, n1, n2 = (round(x or 0) for x in r)
+    return Top(n, v, texts, n1, n2)
 
 
-def score(docs: DataFrame, train_on: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), docs_per_bucket: int = DOCS_PER_BUCKET, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(
+    docs: DataFrame, train_on: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int = CHUNK_BYTES, least: int = MIN_COUNT, weights: tuple[float, float] = WEIGHTS, fan_bits: int = FAN_BITS
+) -> DataFrame:
     """The keep columns, n_tokens, n_known, train_tokens, base_score and score of each row; train_on: the rows to learn from.
 
     A null or empty text has the end alone. Without training texts every count is
-    0 and spellings are uniform. Rows that repeat count, and are scored, each for
-    itself. Other columns are left out.
+    0, no context is a state and spellings are uniform. Rows that repeat count, and
+    are scored, each for itself. Other columns are left out.
     """
     rows = docs.select(F.struct(*keep).alias("keep"), F.coalesce(train_on, F.lit(False)).alias("train"), F.col(f"`{text}`").alias("text"))
-    buckets = max(8, -(-docs.count() // docs_per_bucket))
     ends = docs.where(train_on).count()
-    parts = materialise(_chunks(rows, buckets, chunk_bytes), "words")
-    tables = materialise(_tables(parts.where("bucket >= 0").drop("docs", "keep")), "vocabulary")
-    top = _top(tables, ends)
+    chunks = materialise(_chunks(rows, chunk_bytes), "chunks")
+    n_chunks = chunks.select("chunk").count()
+    hits = {}
+
+    def asked(name: str, state, keys) -> None:
+        """Ask what keys() gives of every chunk in that state, and keep the answers under name."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    c = state(batch, i)
+                    yield ask(c.number, *keys(c), fan_bits)
+
+        hits[name] = materialise(reduce_keys(_with(chunks, hits).mapInArrow(run, ROWS), "sum", n_chunks, fan_bits).withColumnRenamed("hits", name), name)
+
+    asked("pairs", Chunk, lambda c: c.ask_pairs())
+    top = _top(_with(chunks.drop("keep"), hits), ends)
+    tree = docs.sparkSession.sparkContext.broadcast(train(chunks))
+
+    def counted(batch: pa.RecordBatch, i: int) -> Chunk:
+        c = Chunk(batch, i)
+        c.take_pairs(batch.column("pairs")[i].as_py(), ends)
+        c.find_triples(least)
+        return c
+
+    def modelled(batch: pa.RecordBatch, i: int) -> Chunk:
+        c = counted(batch, i)
+        c.take_triples(batch.column("triples")[i].as_py())
+        spelled = np.concatenate([np.zeros(0), *(tree.value.score(c.lengths[a : a + 100_000], c.data[int(c.lengths[:a].sum()) : int(c.lengths[: a + 100_000].sum())]) for a in range(0, c.distinct, 100_000))])
+        c.distributions(10 ** np.concatenate([top.score(c.totals[: c.distinct], spelled), [top.end, 0.0]]), weights)
+        return c
+
+    asked("triples", counted, lambda c: c.ask_triples())
+    asked("gains", modelled, lambda c: c.ask_gains(least, weights))
     n, v = top.words + ends, top.distinct + (ends > 0)
-    sent = docs.sparkSession.sparkContext.broadcast(train(tables))
-    answers = _answers(tables, sent, top).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "scores"))).alias("answers"))
-    chunks = parts.where("bucket < 0").select("chunk", "docs", "keep").join(answers, "chunk", "left").select("docs", "keep", "answers")
-    keep_type = rows.schema["keep"].dataType.simpleString()
-    end_score = top.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norm = np.log10(n + v + 1)
         for batch in batches:
             for i in range(batch.num_rows):
-                got = batch.column("answers")[i].as_py() or []
-                counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(a["counts"], np.int64) for a in got)])
-                scores = np.concatenate([np.zeros(0), *(np.frombuffer(a["scores"], np.float32).astype(np.float64) for a in got)])
-                base = np.log10(counts + 1.0) - norm
-                docs_ = batch.column("docs").slice(i, 1).flatten()
-                out = np.zeros((4, len(docs_)))
-                for k, bag in enumerate(docs_.field("bag").to_pylist()):
-                    at = _unpack_bag(bag)
-                    out[:, k] = len(at) + 1, (counts[at] > 0).sum() + (ends > 0), base[at].sum() + np.log10(ends + 1.0) - norm, scores[at].sum() + end_score
+                c = modelled(batch, i)
+                seen, doc = c.totals[c.seq[c.token]], c.doc[c.token]
+                size = len(c.lens)
+                base = np.bincount(doc, weights=np.log10(seen + 1.0) - norm, minlength=size)
+                known = np.bincount(doc[seen > 0], minlength=size)
                 kept = batch.column("keep").slice(i, 1).flatten()
-                yield pa.RecordBatch.from_arrays([kept, *(pa.array(out[k].astype(np.int64)) for k in (0, 1)), pa.array(np.full(len(docs_), n), pa.int64()), pa.array(out[2]), pa.array(out[3])], names=["keep", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                numbers = (c.lens + 1, known.astype(np.int64), np.full(size, n), base, c.score(batch.column("gains")[i].as_py(), least, weights))
+                yield pa.RecordBatch.from_arrays([kept, *(pa.array(x) for x in numbers)], names=["keep", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    done = chunks.mapInArrow(run, f"keep {keep_type}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    keep_type = rows.schema["keep"].dataType.simpleString()
+    done = _with(chunks, hits).mapInArrow(run, f"keep {keep_type}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return done.select("keep.*", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _top(tables: DataFrame, texts: int) -> Top:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.frombuffer(c.as_py(), np.int64) for c in batch.column(0)]
-            sums = [[int(f(c)) for c in counts] for f in (np.sum, lambda c: (c > 0).sum(), lambda c: (c == 1).sum(), lambda c: (c == 2).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in sums], names=["n", "v", "n1", "n2"])
-
-    r = tables.select("counts").mapInArrow(run, "n bigint, v bigint, n1 bigint, n2 bigint").agg(*(F.sum(c) for c in ("n", "v", "n1", "n2"))).first()
-    n, v, n1, n2 = (int(x or 0) for x in r)
-    return Top(n, v, texts, n1, n2)
+def _with(chunks: DataFrame, hits: dict[str, DataFrame]) -> DataFrame:
+    for answers in hits.values():
+        chunks = chunks.join(answers, "chunk", "left")
+    return chunks
