@@ -211,11 +211,10 @@ class Chunk:
         self.triple_totals = answered(hits, self.ask_triples()[0])
 
     def distributions(self, root: np.ndarray, weights: tuple[float, float]) -> None:
-        """From the natural probabilities of each number in the empty context: of pairs after their first word, of triples after their pair."""
+        """From the logs of each number's probability in the empty context: those of pairs after their first word, of triples after their pair."""
         self.root = root
-        count = self.totals[self.first]
-        self.pair_p = (self.pair_totals + weights[0] * root[self.second]) / (count + weights[0])
-        self.triple_p = (self.triple_totals + weights[1] * self.pair_p[self.suffix]) / (self.pair_totals[self.above] + weights[1])
+        self.pair_p = _smoothed(self.pair_totals, self.totals[self.first], root[self.second], weights[0])
+        self.triple_p = _smoothed(self.triple_totals, self.pair_totals[self.above], self.pair_p[self.suffix], weights[1])
 
     def contexts(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """The words (start included) and the pairs that may be states."""
@@ -243,13 +242,20 @@ class Chunk:
         p[self.token] = np.where(word_state[self.seq[self.token - 1]], self.pair_p[self.pair[self.token]], self.root[self.seq[self.token]])
         long = pair_state[self.above[self.of]]
         p[self.at[long]] = self.triple_p[self.of[long]]
-        return np.bincount(self.doc[self.token], weights=np.log10(p[self.token]), minlength=len(self.lens))
+        return np.bincount(self.doc[self.token], weights=p[self.token], minlength=len(self.lens)) / np.log(10)
+
+
+def _smoothed(own: np.ndarray, count: np.ndarray, suffix: np.ndarray, weight: float) -> np.ndarray:
+    """log of (own + weight * suffix's probability) / (count + weight); suffix's as a log, as a long unseen word's may be too small for a float."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(own), np.log(weight) + suffix) - np.log(count + weight)
 
 
 def _gains(context: np.ndarray, own: np.ndarray, total: np.ndarray, count: np.ndarray, suffix: np.ndarray, weight: float, size: int) -> np.ndarray:
     """Of each context: how much likelier own training tokens are in it than in its suffix, each with itself left out of the context's counts."""
-    left = (np.maximum(total - 1, 0) + weight * suffix) / ((np.maximum(count - 1, 0) + weight) * suffix)
-    each = np.round(np.log(left) * _NAT).astype(np.int64) * own
+    seen = own > 0
+    own, total, count, suffix, context = (x[seen] for x in (own, total, count, suffix, context))
+    each = np.round((_smoothed(total - 1, count - 1, suffix, weight) - suffix) * _NAT).astype(np.int64) * own
     out = np.zeros(size, np.int64)
     np.add.at(out, context, each)
     return out
@@ -459,7 +465,7 @@ def score(
         c = counted(batch, i)
         c.take_triples(batch.column("triples")[i].as_py())
         spelled = np.concatenate([np.zeros(0), *(tree.value.score(c.lengths[a : a + 100_000], c.data[int(c.lengths[:a].sum()) : int(c.lengths[: a + 100_000].sum())]) for a in range(0, c.distinct, 100_000))])
-        c.distributions(10 ** np.concatenate([top.score(c.totals[: c.distinct], spelled), [top.end, 0.0]]), weights)
+        c.distributions(np.concatenate([top.score(c.totals[: c.distinct], spelled), [top.end, 0.0]]) * np.log(10), weights)
         return c
 
     asked("triples", counted, lambda c: c.ask_triples())

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, decontamination, license_scan, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from quillstone.llm import common, decontamination, exchange, license_scan, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -434,7 +434,7 @@ def test_components(spark):
 
 def test_scores(docs, every, none):
     rows = {}
-    out = lm_scoring.score(docs.withColumns({"score": F.lit(1), "keep": F.lit(2)}), ~common.held_out("doc_id", 7, 2), docs_per_bucket=40, chunk_bytes=4000)
+    out = lm_scoring.score(docs.withColumns({"score": F.lit(1), "keep": F.lit(2)}), ~common.held_out("doc_id", 7, 2), chunk_bytes=4000, fan_bits=2)
     counts = Counter()
     split = [(r[0], (r[1] or "").encode().lower().split()) for r in every]
     for i, w in split:
@@ -453,16 +453,120 @@ def test_scores(docs, every, none):
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in unlearned)
 
 
-def test_tree_sums_to_one(spark):
-    """All words of two letters over three, their spellings and what is longer: probabilities of a proper distribution."""
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["ab ab ba", "ab c", "abc abc ab", "b"])], "doc_id long, text string")
+def learned(spark, texts, **limits):
+    """(tree of spellings, Top) of these training texts."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     rows = df.select(F.struct("doc_id").alias("keep"), F.lit(True).alias("train"), "text")
-    tables = common.materialise(lm_scoring._tables(lm_scoring._chunks(rows, 2, 100).where("bucket >= 0").drop("docs", "keep")), "t")
-    tree, top = lm_scoring.train(tables, least=0.01), lm_scoring._top(tables, 4)
-    assert (top.words, top.distinct, top.texts) == (9, 5, 4) or top.words == 9
+    chunks = common.materialise(lm_scoring._chunks(rows, 100), "t")
+    words = Counter(w for t in texts for w in t.split())
+    top = lm_scoring.Top(sum(words.values()), len(words), len(texts), sum(c == 1 for c in words.values()), sum(c == 2 for c in words.values()))
+    return lm_scoring.train(chunks, **limits), top
+
+
+def test_spellings_sum_to_one(spark):
+    """All words of two letters over three, their spellings and what is longer: probabilities of a proper distribution."""
+    tree, top = learned(spark, ["ab ab ba", "ab c", "abc abc ab", "b"], least=0.01)
+    assert top.words == 9
     words = [bytes(x) for k in (1, 2, 3, 4, 5) for x in np.array(np.meshgrid(*[list(b"abc")] * k)).reshape(k, -1).T.astype(np.uint8)]
     lengths, data = np.array([len(w) for w in words]), np.frombuffer(b"".join(words), np.uint8)
     spelled = tree.score(lengths, data)
     assert 0.1 < (10**spelled).sum() <= 1 + 1e-6
     rowsum = np.exp(tree.logs.astype(np.float64) * np.log(10)).sum(1)
     assert np.allclose(rowsum, 1, atol=1e-4)
+
+
+class BruteTree:
+    """The suffix tree over words from its definition, on dictionaries."""
+
+    def __init__(self, texts, tree, top, least, weights):
+        self.top, self.weights = top, weights
+        self.after, self.spelling = {(): Counter()}, lambda w: tree.score(np.array([len(w.encode())]), np.frombuffer(w.encode(), np.uint8))
+        for t in texts:
+            seq = ["<s>", *t.split(), None]
+            for i in range(1, len(seq)):
+                for k in range(min(i, 2) + 1):
+                    self.after.setdefault(tuple(seq[i - k : i]), Counter())[seq[i]] += 1
+        self.states = {()}
+        for ctx, nxt in self.after.items():
+            n = sum(nxt.values())
+            if ctx and n >= least:
+                gain, w = 0, weights[len(ctx) - 1]
+                for x, c in nxt.items():
+                    p = self.p(x, ctx[1:])
+                    gain += c * round(math.log((c - 1 + w * p) / ((n - 1 + w) * p)) * 1024)
+                if gain > 0:
+                    self.states.add(ctx)
+
+    def p(self, x, ctx):
+        if not ctx:
+            return 10**self.top.end if x is None else 10 ** float(self.top.score(np.array([self.after[()][x]]), self.spelling(x))[0])
+        nxt, w = self.after.get(ctx, Counter()), self.weights[len(ctx) - 1]
+        return (nxt[x] + w * self.p(x, ctx[1:])) / (sum(nxt.values()) + w)
+
+    def state(self, before):
+        return next(tuple(before[len(before) - k :]) for k in (2, 1, 0) if k <= len(before) and tuple(before[len(before) - k :]) in self.states)
+
+    def score(self, text):
+        seq = ["<s>", *text.split(), None]
+        return sum(math.log10(self.p(seq[i], self.state(seq[:i]))) for i in range(1, len(seq)))
+
+
+@pytest.mark.parametrize("fan_bits", (1, 8))
+def test_scores_by_words_before_them(spark, fan_bits):
+    rng = np.random.default_rng(3)
+    chain = {w: rng.choice(list("abcdefgh"), 3) for w in "abcdefgh"}
+
+    def text(n):
+        out = [str(rng.choice(list("abcdefgh")))]
+        while len(out) < n:
+            out.append(str(rng.choice(chain.get(out[-1], list("abcdefgh")))) if rng.random() < 0.9 else str(rng.choice(["x", "yy", "zzz", "Ä"])))
+        return " ".join(out)
+
+    texts = [text(int(rng.integers(1, 60))) for _ in range(80)] + ["", "a b c a b c a b c"] * 3
+    held = [text(30) for _ in range(30)] + ["never seen words", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + held)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in lm_scoring.score(df, F.col("doc_id") < len(texts), chunk_bytes=300, weights=(4.0, 2.0), fan_bits=fan_bits).collect()}
+    tree, top = learned(spark, texts)
+    brute = BruteTree(texts, tree, top, lm_scoring.MIN_COUNT, (4.0, 2.0))
+    assert sum(len(c) == 1 for c in brute.states) > 4 and sum(len(c) == 2 for c in brute.states) > 4
+    assert len(brute.states) < sum(sum(c.values()) >= lm_scoring.MIN_COUNT for c in brute.after.values())
+    for i, t in enumerate(texts + held):
+        assert abs(got[i] - brute.score(t)) < 1e-4, t
+    # after any context the known words, the end and what is left for unseen words sum to 1
+    known = [None, *top_words(texts)]
+    unseen = 1 - sum(brute.p(x, ()) for x in known)
+    assert 0 < unseen < 0.1
+    for ctx in list(brute.states) + [("a", "zzz"), ("never",)]:
+        weight = 1.0
+        for k in range(1, len(ctx) + 1):
+            weight *= brute.weights[k - 1] / (sum(brute.after.get(ctx[len(ctx) - k :], Counter()).values()) + brute.weights[k - 1])
+        assert abs(sum(brute.p(x, ctx) for x in known) + weight * unseen - 1) < 1e-9
+    # word order counts, and contexts help on held-out texts against the empty context alone
+    mixed = [" ".join(rng.permutation(t.split())) for t in held[:30]]
+    assert sum(map(brute.score, held[:30])) > sum(map(brute.score, mixed)) + 50
+    alone = sum(math.log10(brute.p(x, ())) for t in held[:30] for x in [*t.split(), None])
+    assert sum(got[len(texts) + i] for i in range(30)) > alone + 50
+
+
+def top_words(texts):
+    return sorted({w for t in texts for w in t.split()})
+
+
+def test_exchange_over_many_levels(spark):
+    rng = np.random.default_rng(0)
+    held = {c << 33: np.unique(rng.integers(0, 400, int(rng.integers(0, 120)))).astype(np.uint64) for c in range(37)}
+    held[5] = np.zeros(0, np.uint64)
+    keys = {c: rng.permutation(common.mix(k)) for c, k in held.items()}
+    vals = {c: (k % np.uint64(50)).astype(np.int64) - 20 for c, k in keys.items()}
+    for how, reduce in (("sum", sum), ("min", min)):
+        for bits in (1, 2, 8):
+            batches = [exchange.ask(c, keys[c], vals[c], bits) for c in keys]
+            rows = spark.createDataFrame(pa.Table.from_batches(batches)).select("node", "part", "n", "keys", "vals")
+            got = {r.chunk: [h.asDict() for h in r.hits] for r in exchange.reduce_keys(rows, how, len(keys), bits).collect()}
+            by_key = {}
+            for c in keys:
+                for k, v in zip(keys[c].tolist(), vals[c].tolist(), strict=True):
+                    by_key.setdefault(k, []).append(v)
+            assert set(got) == {c for c in keys if len(keys[c])}
+            for c in keys:
+                assert exchange.answered(got.get(c), keys[c]).tolist() == [reduce(by_key[k]) for k in keys[c].tolist()]
