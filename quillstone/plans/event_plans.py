@@ -146,7 +146,7 @@ def q_surface_once(spark, d):
     return E.surface_new(batch, seen.distinct(), ["key"], [F.col("o_orderkey")])
 
 
-@query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS note FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'supplier' END AS note FROM supplier)
+@query("""WITH o AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS note FROM customer), n AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'supplier' END AS note FROM supplier)
 SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.note, o.note) AS note FROM o FULL JOIN n ON o.id = n.id""")
 def q_upsert_coalesce(spark, d):
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("note"))
@@ -234,7 +234,7 @@ def q_flips(spark, d):
     return state.flips(_sticky(spark, d), "status")
 
 
-_VOTES = "votes AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'weakens' WHEN 'purchase' THEN 'strengthens' ELSE 'neutral' END AS vote, value, CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'medium' ELSE 'high' END AS confidence FROM events WHERE ts < TIMESTAMP '2024-01-03')"
+_VOTES = "votes AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'weakens' WHEN 'purchase' THEN 'strengthens' ELSE 'neutral' END AS vote, value, CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'medium' ELSE 'high' END AS confidence FROM events)"
 
 
 @query(f"""WITH {_VOTES}, n AS (SELECT user_id, vote, count(*) AS n FROM votes GROUP BY 1, 2), w AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, CASE vote WHEN 'neutral' THEN 0 WHEN 'weakens' THEN 1 ELSE 2 END) AS rn FROM n),
@@ -283,7 +283,7 @@ _WEIGHT = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CATEGOR
 
 
 @query(f"""WITH f AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'item' WHEN 'click' THEN 'trend' WHEN 'signup' THEN 'recurrence' WHEN 'view' THEN 'flag' ELSE 'chunks' END AS source, CASE event_id % 4 WHEN 0 THEN 'going-concern' WHEN 1 THEN 'receivables' WHEN 2 THEN 'margin' ELSE 'litigation' END AS category,
- CASE WHEN value < 60 THEN 'low' WHEN value < 120 THEN 'medium' WHEN value < 400 OR event_type <> 'error' THEN 'high' ELSE 'critical' END AS severity, CASE event_type WHEN 'view' THEN 1 + event_id % 3 WHEN 'purchase' THEN (event_id % 10) / 20.0 ELSE 0 END AS n FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-08'),
+ CASE WHEN value < 60 THEN 'low' WHEN value < 120 THEN 'medium' WHEN value < 400 OR event_type <> 'error' THEN 'high' ELSE 'critical' END AS severity, CASE event_type WHEN 'view' THEN 1 + event_id % 3 WHEN 'purchase' THEN (event_id % 10) / 20.0 ELSE 0 END AS n FROM events),
 p AS (SELECT *, {_WEIGHT} * CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 4 ELSE 0 END AS base FROM f),
 q AS (SELECT *, CASE WHEN source = 'item' AND severity = 'critical' THEN 100.0 WHEN source = 'item' AND severity = 'high' THEN 8.0 WHEN source = 'flag' THEN base * (1 + log2(greatest(n, 1)) / 2) WHEN source = 'trend' THEN base * 2.0 WHEN source = 'recurrence' THEN base * 1.5 ELSE 0.0 END AS pts FROM p),
 g AS (SELECT user_id, CAST(sum(CAST(round(pts, 6) AS DECIMAL(18,6))) AS DOUBLE) AS points, count(DISTINCT CASE WHEN source IN ('flag', 'trend') AND severity <> 'low' THEN category END) AS n_categories, coalesce(bool_or(source = 'item' AND severity = 'critical'), false) AS unconditional, coalesce(bool_or(source = 'trend' AND severity = 'high'), false) AS strong, coalesce(max(CASE WHEN source = 'chunks' THEN n END), 0) AS failed FROM q GROUP BY 1),

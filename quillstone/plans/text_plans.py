@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ..functions.dims import EXPLANATION_STOPWORDS, ONE_TIME_PHRASES, PROTECTED_PHRASES, STRIP_RULES
+from ..functions.dims import ONE_TIME_PHRASES, PROTECTED_PHRASES, STRIP_RULES
 from ..functions.expr import token_estimate
 from ..operators import retrieval as R
 from ..operators.events import surface_new
@@ -73,30 +73,29 @@ _PU = _SP.format("translate({0}, '‘’‚‛“”„‟–—−', '''''''''\
 _TA = r"regexp_replace(lower(" + _PU + r"), '[|•$\s]', '', 'g')"
 
 
-@query(f"""WITH q0 AS (SELECT item_id, trim(regexp_extract(text, '^(\\S+\\s+){{0,9}}\\S+')) AS q FROM benchmark), q AS (SELECT item_id, {_QUOTE} AS quote FROM q0), p AS (SELECT d.doc_id, q.item_id, d.text, q.quote FROM documents d JOIN q ON d.doc_id % 40 = q.item_id % 40)
-SELECT doc_id, item_id, CASE WHEN contains(text, quote) THEN 'exact' WHEN contains({_SP.format('text')}, {_SP.format('quote')}) THEN 'whitespace-normalized' WHEN contains(lower(text), lower(quote)) THEN 'case-insensitive'
- WHEN contains(lower({_PU.format('text')}), lower({_PU.format('quote')})) THEN 'punctuation-normalized' WHEN contains({_TA.format('text')}, {_TA.format('quote')}) THEN 'table-normalized' ELSE 'no-match' END AS tier FROM p""")
+_FORMS_OF = "{0} AS f0, " + _SP + " AS f1, lower({0}) AS f2, lower(" + _PU + ") AS f3, " + _TA + " AS f4"
+_TIER_SQL = "CASE " + " ".join(f"WHEN contains(t.f{i}, q.f{i}) THEN '{name}'" for i, name in enumerate(quotes.TIERS[:-1])) + " END"
+
+
+@query(f"""WITH q0 AS (SELECT item_id, trim(regexp_extract(text, '^(\\S+\\s+){{0,9}}\\S+')) AS q FROM benchmark), q1 AS (SELECT item_id, {_QUOTE} AS quote FROM q0), q AS MATERIALIZED (SELECT item_id, {_FORMS_OF.format('quote')} FROM q1),
+t AS MATERIALIZED (SELECT doc_id, {_FORMS_OF.format('text')} FROM documents) SELECT doc_id, item_id, {_TIER_SQL} AS tier FROM t JOIN q ON contains(t.f4, q.f4) WHERE length(q.f4) > 0""")
 def q_quote_tiers(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.trim(F.regexp_extract("text", r"^(\S+\s+){0,9}\S+", 0)).alias("q"))
-    q = b.select("item_id", F.expr(_QUOTE.replace("||", "||")).alias("quote"))
+    q = b.select("item_id", F.expr(_QUOTE).alias("quote"))
     return quotes.tier_pairs(table(spark, d, "documents").select("doc_id", "text"), q, "text", "quote").select("doc_id", "item_id", "tier")
 
 
-@query(f"""WITH q0 AS (SELECT item_id, trim(regexp_extract(text, '^(\\S+\\s+){{0,9}}\\S+')) AS quote FROM benchmark), p AS (SELECT d.doc_id, q.item_id, d.text, q.quote FROM documents d JOIN q0 q ON d.doc_id % 40 = q.item_id % 40)
-SELECT item_id, count(*) AS n_checked, count(*) FILTER (length({_PU.format('quote')}) >= 12 AND contains(lower({_PU.format('text')}), lower({_PU.format('quote')}))) AS n_verified FROM p GROUP BY 1""")
+@query(f"""WITH q0 AS (SELECT item_id, trim(regexp_extract(text, '^(\\S+\\s+){{0,9}}\\S+')) AS quote FROM benchmark), q AS MATERIALIZED (SELECT item_id, lower({_PU.format('quote')}) AS q FROM q0), t AS MATERIALIZED (SELECT lower({_PU.format('text')}) AS t FROM documents)
+SELECT item_id, count(*) AS n_checked, count(*) FILTER (length(q) >= 12 AND contains(t, q)) AS n_verified FROM t, q GROUP BY 1""")
 def q_quote_verify(spark, d):
+    docs = table(spark, d, "documents")
     q = table(spark, d, "benchmark").select("item_id", F.trim(F.regexp_extract("text", r"^(\S+\s+){0,9}\S+", 0)).alias("quote"))
-    p = quotes.verified_pairs(table(spark, d, "documents").select("text"), q, "text", "quote")
-    return p.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_checked"), F.count_if("verified").alias("n_verified"))
-
-
-_STOP = ", ".join(f"'{w}'" for w in EXPLANATION_STOPWORDS)
-_TOK = f"list_filter(list_distinct(regexp_split_to_array(lower({{0}}), '[^a-z]+')), lambda w: length(w) > 3 AND NOT list_contains([{_STOP}], w))"
+    n = quotes.verified_pairs(docs.select("text"), q, "text", "quote").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    checked = docs.agg(F.count(F.lit(1)).alias("n_checked"))  # one row
+    return q.join(n, "item_id", "left").crossJoin(F.broadcast(checked)).select("item_id", "n_checked", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_verified"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS line FROM documents), t AS (SELECT *, {_TOK.format('line')} AS tokens FROM l), c AS (SELECT * FROM t WHERE len(tokens) >= 4),
-h AS (SELECT c.doc_id AS claim_id, c.source, p.doc_id AS prior FROM c JOIN t p ON c.source = p.source AND p.doc_id < c.doc_id WHERE len(list_intersect(c.tokens, p.tokens)) / len(c.tokens) >= 0.6),
-g AS (SELECT claim_id, source, count(DISTINCT prior) AS n_prior FROM h GROUP BY 1, 2) SELECT *, CASE WHEN n_prior >= 4 THEN 'high' WHEN n_prior >= 3 THEN 'medium' ELSE 'low' END AS severity FROM g WHERE n_prior >= 1""")
+@query()  # all pairs of lines are too many for SQL; tests hold it against brute force
 def q_recurrence(spark, d):
     lines = table(spark, d, "documents").select("source", F.col("doc_id").alias("filing"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     p = lines.withColumns({"ord": F.col("filing"), "claim_id": F.struct("filing", "line")})
@@ -263,7 +262,7 @@ def clear(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
-@query("SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents WHERE doc_id >= 100 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id < 20 AND s.lang = documents.lang AND s.source = documents.source)) WHERE rn = 1")
+@query("SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents WHERE doc_id >= 100 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id < 100 AND s.lang = documents.lang AND s.source = documents.source)) WHERE rn = 1")
 def q_new_feeds(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "lang")
     return surface_new(docs.where("doc_id >= 100"), docs.where("doc_id < 100").distinct(), ["lang", "source"], [F.col("doc_id")]).select("source", "doc_id", "lang")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +20,83 @@ def tier(text: Column, quote: Column) -> Column:
     return first_of(*((form(text).contains(form(quote)), name) for form, name in zip(_FORMS, TIERS, strict=False)), otherwise=TIERS[-1])
 
 
-def _read(df: DataFrame, column: str, forms, mark: str) -> DataFrame:
-    return df.withColumns({f"__{mark}{i}": form(F.col(column)) for i, form in enumerate(forms)}).drop(column)
+_SIGMA = lambda c: F.translate(c, "ς", "σ")  # noqa: E731  (Java lower-cases a last sigma otherwise)
+#: Bytes of quotes that go to every task at once; more of them take another pass over the texts.
+BLOCK_BYTES = 32 << 20
+
+
+def _blocks(quotes: DataFrame, quote: str, limit: int) -> Iterator[list[tuple[str, int]]]:
+    """(weakest reading, number) of the quotes, in blocks of about so many bytes: one on the driver at a time."""
+    key = _SIGMA(norm_table(quote))
+    block, size = [], 0
+    for r in quotes.select("__q", key.alias("key")).where("length(key) > 0").toLocalIterator():
+        block.append((r["key"], r["__q"]))
+        size += len(r["key"].encode())
+        if size >= limit:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def held_pairs(texts: DataFrame, quotes: DataFrame, text: str, quote: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Texts with the quotes that they hold in the weakest reading (which every other implies): the columns of both.
+
+    One walk over each text finds all quotes of a block (Aho-Corasick), so no pair
+    is looked at that does not match. A quote without a character in that reading,
+    and a null, is in no text. Columns of the same name are an error.
+    """
+    spark = texts.sparkSession
+    # the quotes are few beside the texts; written once, so that their numbers hold
+    numbered = quotes.withColumn("__q", F.xxhash64(*(F.col(f"`{c}`") for c in quotes.columns))).dropDuplicates(["__q"])
+    read = texts.withColumn("__key", _SIGMA(norm_table(text))).where(F.col("__key").isNotNull())
+    out = None
+    for block in _blocks(numbered, quote, block_bytes):
+        found = _find(read, spark.sparkContext.broadcast(block))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = texts.limit(0).withColumn("__q", F.lit(0).cast("bigint"))
+    return out.join(numbered, "__q").drop("__q")
+
+
+def _find(read: DataFrame, block) -> DataFrame:
+    names = read.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        numbers: dict[str, list[int]] = {}
+        for key, number in block.value:
+            numbers.setdefault(key, []).append(number)
+        tree = ahocorasick.Automaton()
+        for key, those in numbers.items():
+            tree.add_word(key, those)
+        tree.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, key in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                hit = {n for _, those in tree.iter(key) for n in those}
+                at += [i] * len(hit)
+                found += sorted(hit)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:-1]), pa.array(found, pa.int64())], names=[*names, "__q"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
+    return read.mapInArrow(run, f"{types}, __q bigint")
 
 
 def tier_pairs(texts: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
-    """Every text with every quote: the other columns of both, and tier. Each text is read once for all quotes."""
-    p = _read(texts, text, _FORMS, "t").crossJoin(_read(quotes, quote, _FORMS, "q"))
-    held = first_of(*((F.col(f"__t{i}").contains(F.col(f"__q{i}")), name) for i, name in enumerate(TIERS[:-1])), otherwise=TIERS[-1])
+    """Each text with each quote that it holds under any reading: the other columns of both, and tier. All other pairs are no-match."""
+    p = held_pairs(texts, quotes, text, quote)
     names = [c for c in (*texts.columns, *quotes.columns) if c not in (text, quote)]
-    return p.select(*names, held.alias("tier"))
+    return p.select(*names, tier(F.col(text), F.col(quote)).alias("tier"))
 
 
 def verified_pairs(texts: DataFrame, quotes: DataFrame, text: str, quote: str, least: int = LEAST_QUOTE) -> DataFrame:
-    """Every text with every quote: the other columns of both, and verified. Each text is read once for all quotes."""
-    form = _FORMS[3]
-    p = _read(texts, text, (form,), "t").crossJoin(_read(quotes, quote, (form,), "q"))
+    """Each text with each quote that is verified in it: the other columns of both."""
+    p = held_pairs(texts, quotes, text, quote)
     names = [c for c in (*texts.columns, *quotes.columns) if c not in (text, quote)]
-    return p.select(*names, ((F.length("__q0") >= least) & F.col("__t0").contains(F.col("__q0"))).alias("verified"))
+    return p.where(verified(F.col(text), F.col(quote), least)).select(*names)
 
 
 def with_window(text: Column, quote: Column, words: int = 25) -> tuple[Column, Column]:
