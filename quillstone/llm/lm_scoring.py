@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, materialise, mix, slices, span_hashes, text_bytes
-from .exchange import FAN_BITS, ROWS, answered, ask, reduce_keys
+from .exchange import FAN_BITS, ROWS, answered, ask, distinct, pack, reduce_keys, unpack
 
 #: The spelling tree: bytes of context, share of the training bytes.
 DEPTH, LEAST = 4, 1e-4
@@ -44,7 +44,7 @@ DEPTH, LEAST = 4, 1e-4
 WORD_END, START = 257, 258
 _N = 259
 _BITS = np.uint64(9)
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 SMOOTH = 4.0
 #: Least training count of a context; weight of the suffix in contexts of one and of two words.
 MIN_COUNT = 4
@@ -138,7 +138,9 @@ def _contexts(symbol: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tup
 
 
 def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(batch.column("lengths")[i].as_py(), np.int32).astype(np.int64), np.frombuffer(batch.column("words")[i].as_py(), np.uint8), np.frombuffer(batch.column("counts")[i].as_py(), np.int64)
+    """lengths, bytes on end and (where the batch has them) training counts of a chunk's words."""
+    counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int64) if "counts" in batch.schema.names else None
+    return np.frombuffer(batch.column("lengths")[i].as_py(), np.int32).astype(np.int64), np.frombuffer(batch.column("words")[i].as_py(), np.uint8), counts
 
 
 class Chunk:
@@ -146,58 +148,51 @@ class Chunk:
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         self.number = batch.column("chunk")[i].as_py()
-        self.lengths, self.data, self.counts = _read(batch, i)
+        self.lengths, self.data, _ = _read(batch, i)
         v = self.distinct = len(self.lengths)
         self.end, self.start = v, v + 1
         self.lens = np.frombuffer(batch.column("lens")[i].as_py(), np.int32).astype(np.int64)
-        self.train = np.frombuffer(batch.column("train")[i].as_py(), bool)
-        ids = np.ascontiguousarray(np.frombuffer(batch.column("ids")[i].as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         n = self.lens + 2
         off = np.cumsum(n) - n
-        self.seq = np.full(int(n.sum()), self.end, np.int64)
+        ids = np.ascontiguousarray(np.frombuffer(batch.column("ids")[i].as_py(), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        self.seq = np.full(int(n.sum()), self.end, np.int32)
         self.seq[off] = self.start
-        inner = np.ones(len(self.seq), bool)
-        inner[off] = inner[off + n - 1] = False
+        inner = self.seq == self.end
+        inner[off + n - 1] = False
         self.seq[inner] = ids
-        place = np.arange(len(self.seq)) - np.repeat(off, n)
-        trained = np.repeat(self.train, n)
+        self.trained = np.repeat(np.frombuffer(batch.column("train")[i].as_py(), bool), n)
         #: Where tokens (words and ends) are; and from the second token of a text on.
-        self.token = np.flatnonzero(place >= 1)
-        self.later = np.flatnonzero(place >= 2)
-        self.trained, self.doc = trained, np.repeat(np.arange(len(n)), n)
-        code = self.seq[self.token - 1] * (v + 2) + self.seq[self.token]
-        pairs, of = np.unique(code, return_inverse=True)
-        self.pair_counts = np.bincount(of[trained[self.token]], minlength=len(pairs)).astype(np.int64)
+        is_token = np.ones(len(self.seq), bool)
+        is_token[off] = False
+        self.token = np.flatnonzero(is_token)
+        is_token[off + 1] = False
+        self.later = np.flatnonzero(is_token)
+        self.first_token, self.off = off - np.arange(len(n)), off
+        code = self.seq[self.token - 1].astype(np.int64) * (v + 2) + self.seq[self.token]
+        pairs, of = distinct(code)
+        self.pair_counts = np.bincount(of[self.trained[self.token]], minlength=len(pairs)).astype(np.int64)
         self.first, self.second = pairs // (v + 2), pairs % (v + 2)
-        self.pair = np.full(len(self.seq), -1)
+        self.pair = np.full(len(self.seq), -1, np.int32)
         self.pair[self.token] = of
+        self.hashes = _word_hashes(self.lengths, self.data)
 
-    def word_hashes(self, family: int = 0) -> np.ndarray:
-        """Of the distinct words, the end and the start."""
-        ends = np.cumsum(self.lengths)
-        return np.concatenate([span_hashes(self.data, ends - self.lengths, ends, family), [_END, _START]])
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the tokens' values by text (each has one token at least, its end)."""
+        return np.add.reduceat(values, self.first_token) if len(values) else np.zeros(0)
 
     def pair_hashes(self) -> np.ndarray:
-        h = self.word_hashes()
-        return mix(mix(h[self.first] + _A) * _A + h[self.second])
+        return mix(mix(self.hashes[self.first] + _A) * _A + self.hashes[self.second])
 
-    def ask_pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and training counts of the words (twice, by two families of hashes: the lesser count is exact) and of the pairs."""
-        words = [mix(self.word_hashes(f)[: self.distinct] ^ s) for f, s in ((0, _A), (1, _B))]
-        return np.concatenate([*words, self.pair_hashes()]), np.concatenate([self.counts, self.counts, self.pair_counts])
-
-    def take_pairs(self, hits: list[dict] | None, texts: int) -> None:
+    def take_pairs(self, totals: bytes, hits: list[dict] | None, texts: int) -> None:
         """totals: training counts of the words, the end and the start over the corpus; pair_totals: of the pairs."""
-        keys, _ = self.ask_pairs()
-        got, v = answered(hits, keys), self.distinct
-        self.totals = np.append(np.minimum(got[:v], got[v : 2 * v]), [texts, texts])
-        self.pair_totals = got[2 * v :]
+        self.totals = np.append(unpack(totals, self.distinct), [texts, texts])
+        self.pair_totals = answered(hits, self.pair_hashes())
 
     def find_triples(self, least: int) -> None:
         """triple: their first two words as a pair, then their last; at: where they end, of: which one is there."""
         self.at = self.later[self.pair_totals[self.pair[self.later - 1]] >= least]
         v = self.distinct
-        triples, self.of = np.unique(self.pair[self.at - 1] * (v + 2) + self.seq[self.at], return_inverse=True)
+        triples, self.of = distinct(self.pair[self.at - 1].astype(np.int64) * (v + 2) + self.seq[self.at])
         self.above, self.last = triples // (v + 2), triples % (v + 2)
         self.triple_counts = np.bincount(self.of[self.trained[self.at]], minlength=len(triples)).astype(np.int64)
         #: The pair of a triple's last two words, which is one of the chunk's.
@@ -205,7 +200,7 @@ class Chunk:
         self.suffix[self.of] = self.pair[self.at]
 
     def ask_triples(self) -> tuple[np.ndarray, np.ndarray]:
-        return mix(mix(self.pair_hashes()[self.above] + _B) * _A + self.word_hashes()[self.last]), self.triple_counts
+        return mix(mix(self.pair_hashes()[self.above] + _B) * _A + self.hashes[self.last]), self.triple_counts
 
     def take_triples(self, hits: list[dict] | None) -> None:
         self.triple_totals = answered(hits, self.ask_triples()[0])
@@ -229,7 +224,7 @@ class Chunk:
         words, pairs = self.contexts(least)
         gain = _gains(self.first, self.pair_counts, self.pair_totals, self.totals[self.first], self.root[self.second], weights[0], self.distinct + 2)
         more = _gains(self.above, self.triple_counts, self.triple_totals, self.pair_totals[self.above], self.pair_p[self.suffix], weights[1], len(self.first))
-        keys = np.concatenate([mix(self.word_hashes()[words] ^ _B), mix(self.pair_hashes()[pairs] ^ _B)])
+        keys = np.concatenate([mix(self.hashes[words] ^ _B), mix(self.pair_hashes()[pairs] ^ _B)])
         return keys, np.concatenate([gain[words], more[pairs]])
 
     def score(self, hits: list[dict] | None, least: int, weights: tuple[float, float]) -> np.ndarray:
@@ -242,7 +237,18 @@ class Chunk:
         p[self.token] = np.where(word_state[self.seq[self.token - 1]], self.pair_p[self.pair[self.token]], self.root[self.seq[self.token]])
         long = pair_state[self.above[self.of]]
         p[self.at[long]] = self.triple_p[self.of[long]]
-        return np.bincount(self.doc[self.token], weights=p[self.token], minlength=len(self.lens)) / np.log(10)
+        return self.per_text(p[self.token]) / np.log(10)
+
+
+def _word_hashes(lengths: np.ndarray, data: np.ndarray, family: int = 0) -> np.ndarray:
+    """Of the distinct words, the end and the start."""
+    ends = np.cumsum(lengths)
+    return np.concatenate([span_hashes(data, ends - lengths, ends, family), [_END, _START]])
+
+
+def _word_keys(lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Each word twice, by two families of hashes: the lesser count is exact."""
+    return np.concatenate([mix(_word_hashes(lengths, data, f)[:-2] ^ s) for f, s in ((0, _A), (1, _B))])
 
 
 def _smoothed(own: np.ndarray, count: np.ndarray, suffix: np.ndarray, weight: float) -> np.ndarray:
@@ -261,9 +267,9 @@ def _gains(context: np.ndarray, own: np.ndarray, total: np.ndarray, count: np.nd
     return out
 
 
-def _next_counts(chunks: DataFrame, depth: int, frequent: np.ndarray | None) -> dict[int, np.ndarray]:
-    """Counts of (context, next symbol) for the frequent contexts of one length; depth 0: of the empty one. Bounded: as many rows as contexts and symbols."""
-    sent = chunks.sparkSession.sparkContext.broadcast(np.zeros(1, np.uint64) if frequent is None else frequent)
+def _next_counts(chunks: DataFrame, depth: int, frequent: np.ndarray) -> np.ndarray:
+    """Counts of (context, next symbol) for the frequent contexts of one length. Bounded: as many rows as contexts and symbols."""
+    sent = chunks.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -273,14 +279,11 @@ def _next_counts(chunks: DataFrame, depth: int, frequent: np.ndarray | None) ->
                 lengths, data, counts = _read(batch, i)
                 symbol, word, place = _spell(lengths, data)
                 weight = counts[word]
-                if depth == 0:
-                    row, at = np.zeros(len(symbol), np.int64), np.arange(len(symbol))
-                else:
-                    *_, (has, code) = _contexts(symbol, place, depth)
-                    at = np.flatnonzero(has & (weight > 0))
-                    slot = np.minimum(np.searchsorted(known, code[at]), len(known) - 1)
-                    hit = known[slot] == code[at]
-                    at, row = at[hit], slot[hit]
+                *_, (has, code) = _contexts(symbol, place, depth)
+                at = np.flatnonzero(has & (weight > 0))
+                slot = np.minimum(np.searchsorted(known, code[at]), len(known) - 1)
+                hit = known[slot] == code[at]
+                at, row = at[hit], slot[hit]
                 total += np.bincount(row * _N + symbol[at], weights=weight[at], minlength=total.size).reshape(total.shape)
         row, nxt = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(nxt, pa.int64()), pa.array(total[row, nxt].astype(np.int64))], names=["row", "next", "n"])
@@ -360,14 +363,15 @@ def _grow(levels: list[tuple[np.ndarray, np.ndarray]], smooth: float = SMOOTH) -
 
 def train(chunks: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Tree:
     """The tree of the words' spellings."""
-    levels = [(np.zeros(1, np.uint64), _next_counts(chunks, 0, None))]
-    total = levels[0][1].sum()
-    contexts = np.array([START, *range(1, 257)], np.uint64)
+    contexts = np.array([*range(1, 257), START], np.uint64)
+    counts = _next_counts(chunks, 1, contexts)
+    levels, total = [(np.zeros(1, np.uint64), counts.sum(0, keepdims=True))], counts.sum()  # each symbol has a symbol or the start before it
     for k in range(1, depth + 1):
         if not len(contexts) or not total:
             break
-        contexts = np.sort(contexts)
-        counts = _next_counts(chunks, k, contexts)
+        if k > 1:
+            contexts = np.sort(contexts)
+            counts = _next_counts(chunks, k, contexts)
         levels.append((contexts, counts))
         # contexts of the next length: a context and a byte after it, seen often enough
         row, byte = np.nonzero(counts[:, :257] >= max(2.0, least * total))
@@ -407,22 +411,28 @@ class Top:
         return both - np.log10(self.words) + going
 
 
-def _top(counted: DataFrame, texts: int) -> Top:
-    """counted: chunks with the hits of their words. A word's part in the numbers of distinct words: the chunk's share of its count."""
+_COUNTED = "chunk bigint, totals binary, spelled binary, n double, v double, n1 double, n2 double"
+
+
+def _counted(chunks: DataFrame, hits: DataFrame, tree) -> DataFrame:
+    """For each chunk its words' training counts over the corpus and log10 probabilities of their spellings.
+
+    n: its training words; v, n1, n2: its share of the distinct words, of those met once and twice (a word's share is that of its count).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                c = Chunk(batch, i)
-                c.take_pairs(batch.column("pairs")[i].as_py(), 0)
-                own, total = c.counts, c.totals[: c.distinct]
+                lengths, data, own = _read(batch, i)
+                got, v = answered(batch.column("hits")[i].as_py(), _word_keys(lengths, data)), len(lengths)
+                total = np.minimum(got[:v], got[v:])
+                spelled = np.concatenate([np.zeros(0), *(tree.value.score(lengths[a : a + 100_000], data[int(lengths[:a].sum()) : int(lengths[: a + 100_000].sum())]) for a in range(0, v, 100_000))])
                 share = own / np.maximum(total, 1)
                 sums = (own.sum(), share.sum(), share[total == 1].sum(), share[total == 2].sum())
-                yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in sums], names=["n", "v", "n1", "n2"])
+                columns = [batch.column("chunk").slice(i, 1), pa.array([pack(total)], pa.binary()), pa.array([spelled.astype(np.float32).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in sums)]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "totals", "spelled", "n", "v", "n1", "n2"])
 
-    r = counted.mapInArrow(run, "n double, v double, n1 double, n2 double").agg(*(F.sum(c) for c in ("n", "v", "n1", "n2"))).first()
-    n, v, n1, n2 = (round(x or 0) for x in r)
-    return Top(n, v, texts, n1, n2)
+    return chunks.select("chunk", "lengths", "words", "counts").join(hits, "chunk", "left").mapInArrow(run, _COUNTED)
 
 
 def score(
@@ -438,38 +448,49 @@ def score(
     ends = docs.where(train_on).count()
     chunks = materialise(_chunks(rows, chunk_bytes), "chunks")
     n_chunks = chunks.select("chunk").count()
-    hits = {}
+    tree = docs.sparkSession.sparkContext.broadcast(train(chunks))
 
-    def asked(name: str, state, keys) -> None:
-        """Ask what keys() gives of every chunk in that state, and keep the answers under name."""
+    def asked(df: DataFrame, keys) -> DataFrame:
+        """What exchange answers to keys(batch, i) of every chunk."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    c = state(batch, i)
-                    yield ask(c.number, *keys(c), fan_bits)
+                    yield ask(batch.column("chunk")[i].as_py(), *keys(batch, i), fan_bits)
 
-        hits[name] = materialise(reduce_keys(_with(chunks, hits).mapInArrow(run, ROWS), "sum", n_chunks, fan_bits).withColumnRenamed("hits", name), name)
+        return reduce_keys(df.mapInArrow(run, ROWS), "sum", n_chunks, fan_bits)
 
-    asked("pairs", Chunk, lambda c: c.ask_pairs())
-    top = _top(_with(chunks.drop("keep"), hits), ends)
-    tree = docs.sparkSession.sparkContext.broadcast(train(chunks))
+    def word_keys(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        lengths, data, counts = _read(batch, i)
+        return _word_keys(lengths, data), np.concatenate([counts, counts])
+
+    words = materialise(_counted(chunks, asked(chunks.select("chunk", "lengths", "words", "counts"), word_keys), tree), "words")
+    n, v, n1, n2 = (round(x or 0) for x in words.agg(*(F.sum(c) for c in ("n", "v", "n1", "n2"))).first())
+    top = Top(n, v, ends, n1, n2)
+    plain = chunks.drop("docs", "keep", "counts")
+
+    def pair_keys(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        c = Chunk(batch, i)
+        return c.pair_hashes(), c.pair_counts
 
     def counted(batch: pa.RecordBatch, i: int) -> Chunk:
         c = Chunk(batch, i)
-        c.take_pairs(batch.column("pairs")[i].as_py(), ends)
+        c.take_pairs(batch.column("totals")[i].as_py(), batch.column("pairs")[i].as_py(), ends)
         c.find_triples(least)
         return c
 
     def modelled(batch: pa.RecordBatch, i: int) -> Chunk:
         c = counted(batch, i)
         c.take_triples(batch.column("triples")[i].as_py())
-        spelled = np.concatenate([np.zeros(0), *(tree.value.score(c.lengths[a : a + 100_000], c.data[int(c.lengths[:a].sum()) : int(c.lengths[: a + 100_000].sum())]) for a in range(0, c.distinct, 100_000))])
+        spelled = np.frombuffer(batch.column("spelled")[i].as_py(), np.float32).astype(np.float64)
         c.distributions(np.concatenate([top.score(c.totals[: c.distinct], spelled), [top.end, 0.0]]) * np.log(10), weights)
         return c
 
-    asked("triples", counted, lambda c: c.ask_triples())
-    asked("gains", modelled, lambda c: c.ask_gains(least, weights))
+    pairs = materialise(asked(plain, pair_keys).withColumnRenamed("hits", "pairs"), "pairs")
+    known = words.select("chunk", "totals", "spelled")
+    with_pairs = plain.join(known, "chunk").join(pairs, "chunk", "left")
+    triples = materialise(asked(with_pairs, lambda batch, i: counted(batch, i).ask_triples()).withColumnRenamed("hits", "triples"), "triples")
+    gains = materialise(asked(with_pairs.join(triples, "chunk", "left"), lambda batch, i: modelled(batch, i).ask_gains(least, weights)).withColumnRenamed("hits", "gains"), "gains")
     n, v = top.words + ends, top.distinct + (ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,20 +498,12 @@ def score(
         for batch in batches:
             for i in range(batch.num_rows):
                 c = modelled(batch, i)
-                seen, doc = c.totals[c.seq[c.token]], c.doc[c.token]
-                size = len(c.lens)
-                base = np.bincount(doc, weights=np.log10(seen + 1.0) - norm, minlength=size)
-                known = np.bincount(doc[seen > 0], minlength=size)
+                seen = c.totals[c.seq[c.token]]
                 kept = batch.column("keep").slice(i, 1).flatten()
-                numbers = (c.lens + 1, known.astype(np.int64), np.full(size, n), base, c.score(batch.column("gains")[i].as_py(), least, weights))
+                numbers = (c.lens + 1, c.per_text((seen > 0).astype(np.int64)), np.full(len(c.lens), n), c.per_text(np.log10(seen + 1.0) - norm), c.score(batch.column("gains")[i].as_py(), least, weights))
                 yield pa.RecordBatch.from_arrays([kept, *(pa.array(x) for x in numbers)], names=["keep", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     keep_type = rows.schema["keep"].dataType.simpleString()
-    done = _with(chunks, hits).mapInArrow(run, f"keep {keep_type}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    all_ = chunks.drop("counts").join(known, "chunk").join(pairs, "chunk", "left").join(triples, "chunk", "left").join(gains, "chunk", "left")
+    done = all_.mapInArrow(run, f"keep {keep_type}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return done.select("keep.*", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-def _with(chunks: DataFrame, hits: dict[str, DataFrame]) -> DataFrame:
-    for answers in hits.values():
-        chunks = chunks.join(answers, "chunk", "left")
-    return chunks
