@@ -27,8 +27,9 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def tuned(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches: some texts are a thousand times the usual length."""
+    """Bound the Arrow batches, by rows and by bytes: some texts are a thousand times the usual length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -43,14 +44,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared checkpoint folder and read it back: the lineage
-    ends there, and a lost executor costs no more than the tasks it ran."""
+    ends there, and a lost executor costs no more than the tasks it ran. The
+    shuffle files that the write needed go when it has ended."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 

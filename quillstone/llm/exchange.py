@@ -29,7 +29,7 @@ _REDUCE = {"sum": np.add, "min": np.minimum}
 
 
 def pack(x: np.ndarray) -> bytes:
-    """int64 numbers: sign folded into the lowest bit, then byte plane by byte plane, without the high planes that are all 0."""
+    """int64 numbers: sign folded into the lowest bit, then byte plane by byte plane, without the planes at either end that are all 0."""
     return _planes(((x << 1) ^ (x >> 63)).view(np.uint64))
 
 
@@ -39,14 +39,17 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """A byte that says where the planes start, then those from the first to the last that has a bit."""
+    bits = int(np.bitwise_or.reduce(x)) if len(x) else 0
+    low, high = ((bits & -bits).bit_length() - 1) // 8 if bits else 0, (bits.bit_length() + 7) // 8
+    return bytes([low]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, low:high].T).tobytes()
 
 
 def _numbers(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    if data:
-        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    if len(data) > 1:
+        low, planes = data[0], np.frombuffer(data, np.uint8, offset=1).reshape(-1, n)
+        out[:, low : low + len(planes)] = planes.T
     return out.view(np.uint64).ravel()
 
 

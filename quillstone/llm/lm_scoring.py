@@ -39,11 +39,11 @@ from .common import Words, materialise, mix, slices, span_hashes, text_bytes
 from .exchange import FAN_BITS, ROWS, answered, ask, distinct, pack, reduce_keys, unpack
 
 #: The spelling tree: bytes of context, share of the training bytes.
-DEPTH, LEAST = 4, 1e-4
-#: Symbols of it: bytes from 1; then the word end, and the start (in contexts only).
-WORD_END, START = 257, 258
-_N = 259
-_BITS = np.uint64(9)
+DEPTH, LEAST = 3, 1e-4
+#: Its symbols: bytes, and bytes that no word has as the word end, the start and (in grams) nothing.
+WORD_END, START, NOTHING = 0x20, 0x09, 0x0A
+_NEVER = [START, *range(0x0A, 0x0E)]
+_N = 256
 CHUNK_BYTES = 4 << 20
 SMOOTH = 4.0
 #: Least training count of a context; weight of the suffix in contexts of one and of two words.
@@ -52,6 +52,8 @@ WEIGHTS = (256.0, 32.0)
 #: Divergence sums are integers of 1 / 1024 nat.
 _NAT = 1024
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Runs of words and contexts have keys of 56 bits (words of 64): of 10^13 runs one in 10^4 shares its key.
+_KEY = np.uint64(0xFFFFFFFFFFFFFF00)
 _END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
 
@@ -118,23 +120,32 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 def _spell(lengths: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each symbol of each word (its bytes, then the word end): the symbol, its word, its place in the word."""
     n = lengths + 1
-    word = np.repeat(np.arange(len(n)), n)
+    word = np.repeat(np.arange(len(n), dtype=np.int32), n)
     start = np.cumsum(n) - n
-    place = np.arange(int(n.sum())) - start[word]
-    symbol = np.full(len(word), WORD_END, np.int64)
-    symbol[place < lengths[word]] = data.astype(np.int64) + 1
+    place = np.arange(int(n.sum()), dtype=np.int32) - start.astype(np.int32)[word]
+    symbol = np.full(len(word), WORD_END, np.uint8)
+    symbol[place < lengths.astype(np.int32)[word]] = data
     return symbol, word, place
 
 
-def _contexts(symbol: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 1: which symbols have so long a context, and its code (9 bits a symbol, the last one lowest)."""
-    code = np.zeros(len(symbol), np.uint64)
-    index = np.arange(len(symbol))
-    for k in range(1, depth + 1):
-        has = place >= k - 1
-        before = np.where(place == k - 1, START, symbol[np.maximum(index - k, 0)]).astype(np.uint64)
-        code = code | (before << (_BITS * np.uint64(k - 1)))
-        yield has, code
+def _before(symbol: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The symbol k places before: the start is before a word's first symbol, nothing before that."""
+    out = np.full(len(symbol), NOTHING, np.uint8)
+    out[k:] = symbol[: len(symbol) - k]
+    out[place == k - 1] = START
+    out[place < k - 1] = NOTHING
+    return out
+
+
+def _slices_of_words(lengths: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of words of about so many bytes, and of their bytes."""
+    ends = np.cumsum(lengths)
+    a = 0
+    while a < len(lengths):
+        start = int(ends[a] - lengths[a])
+        b = max(a + 1, int(np.searchsorted(ends, start + limit, "right")))
+        yield a, b, start, int(ends[b - 1])
+        a = b
 
 
 def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +192,7 @@ class Chunk:
         return np.add.reduceat(values, self.first_token) if len(values) else np.zeros(0)
 
     def pair_hashes(self) -> np.ndarray:
-        return mix(mix(self.hashes[self.first] + _A) * _A + self.hashes[self.second])
+        return mix(mix(self.hashes[self.first] + _A) * _A + self.hashes[self.second]) & _KEY
 
     def take_pairs(self, totals: bytes, hits: list[dict] | None, texts: int) -> None:
         """totals: training counts of the words, the end and the start over the corpus; pair_totals: of the pairs."""
@@ -200,7 +211,7 @@ class Chunk:
         self.suffix[self.of] = self.pair[self.at]
 
     def ask_triples(self) -> tuple[np.ndarray, np.ndarray]:
-        return mix(mix(self.pair_hashes()[self.above] + _B) * _A + self.hashes[self.last]), self.triple_counts
+        return mix(mix(self.pair_hashes()[self.above] + _B) * _A + self.hashes[self.last]) & _KEY, self.triple_counts
 
     def take_triples(self, hits: list[dict] | None) -> None:
         self.triple_totals = answered(hits, self.ask_triples()[0])
@@ -225,7 +236,7 @@ class Chunk:
         gain = _gains(self.first, self.pair_counts, self.pair_totals, self.totals[self.first], self.root[self.second], weights[0], self.distinct + 2)
         more = _gains(self.above, self.triple_counts, self.triple_totals, self.pair_totals[self.above], self.pair_p[self.suffix], weights[1], len(self.first))
         keys = np.concatenate([mix(self.hashes[words] ^ _B), mix(self.pair_hashes()[pairs] ^ _B)])
-        return keys, np.concatenate([gain[words], more[pairs]])
+        return keys & _KEY, np.concatenate([gain[words], more[pairs]])
 
     def score(self, hits: list[dict] | None, least: int, weights: tuple[float, float]) -> np.ndarray:
         """log10 probability of each text."""
@@ -240,15 +251,10 @@ class Chunk:
         return self.per_text(p[self.token]) / np.log(10)
 
 
-def _word_hashes(lengths: np.ndarray, data: np.ndarray, family: int = 0) -> np.ndarray:
+def _word_hashes(lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Of the distinct words, the end and the start."""
     ends = np.cumsum(lengths)
-    return np.concatenate([span_hashes(data, ends - lengths, ends, family), [_END, _START]])
-
-
-def _word_keys(lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Each word twice, by two families of hashes: the lesser count is exact."""
-    return np.concatenate([mix(_word_hashes(lengths, data, f)[:-2] ^ s) for f, s in ((0, _A), (1, _B))])
+    return np.concatenate([span_hashes(data, ends - lengths, ends), [_END, _START]])
 
 
 def _smoothed(own: np.ndarray, count: np.ndarray, suffix: np.ndarray, weight: float) -> np.ndarray:
@@ -267,36 +273,39 @@ def _gains(context: np.ndarray, own: np.ndarray, total: np.ndarray, count: np.nd
     return out
 
 
-def _next_counts(chunks: DataFrame, depth: int, frequent: np.ndarray) -> np.ndarray:
-    """Counts of (context, next symbol) for the frequent contexts of one length. Bounded: as many rows as contexts and symbols."""
-    sent = chunks.sparkSession.sparkContext.broadcast(frequent)
+#: Distinct grams that a task holds before it passes them on.
+_GRAMS = 1 << 20
+
+
+def _grams(chunks: DataFrame, depth: int) -> DataFrame:
+    """gram (depth symbols before, and the symbol, a byte each), n: over all training words. Combined in the task, then by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        total = np.zeros((len(known), _N))
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths, data, counts = _read(batch, i)
-                symbol, word, place = _spell(lengths, data)
-                weight = counts[word]
-                *_, (has, code) = _contexts(symbol, place, depth)
-                at = np.flatnonzero(has & (weight > 0))
-                slot = np.minimum(np.searchsorted(known, code[at]), len(known) - 1)
-                hit = known[slot] == code[at]
-                at, row = at[hit], slot[hit]
-                total += np.bincount(row * _N + symbol[at], weights=weight[at], minlength=total.size).reshape(total.shape)
-        row, nxt = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(nxt, pa.int64()), pa.array(total[row, nxt].astype(np.int64))], names=["row", "next", "n"])
-
-    got = chunks.select("lengths", "words", "counts").mapInArrow(run, "row bigint, next bigint, n bigint").groupBy("row", "next").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((len(sent.value), _N))
-    out[got.column("row").to_numpy(), got.column("next").to_numpy()] = got.column("n").to_numpy()
-    return out
+                for a, b, x, y in _slices_of_words(lengths):
+                    symbol, word, place = _spell(lengths[a:b], data[x:y])
+                    gram = symbol.astype(np.int64)
+                    for k in range(1, depth + 1):
+                        gram |= _before(symbol, place, k).astype(np.int64) << (8 * k)
+                    some, of = distinct(gram)
+                    n = np.bincount(of, weights=counts[a:b][word], minlength=len(some)).astype(np.int64)
+                    both, of = distinct(np.concatenate([held[0], some]))
+                    held = both, np.bincount(of, weights=np.concatenate([held[1], n]), minlength=len(both)).astype(np.int64)
+                if len(held[0]) > _GRAMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["gram", "n"])
+                    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["gram", "n"])
+
+    every = chunks.select("lengths", "words", "counts").mapInArrow(run, "gram bigint, n bigint")
+    return every.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
 class Tree:
-    """codes: by context length the retained contexts; rows: their row in logs (log10 probabilities); row 0 is the empty context."""
+    """codes: by context length the retained contexts (the nearest symbol lowest); rows: their row in logs (log10 probabilities); row 0 is the empty context."""
 
     codes: tuple[np.ndarray, ...]
     rows: tuple[np.ndarray, ...]
@@ -304,79 +313,73 @@ class Tree:
 
     def score(self, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
         """log10 probability of each word with its word end, after a word's start."""
-        symbol, word, place = _spell(lengths, data)
-        state = np.zeros(len(symbol), np.int64)
-        live = np.arange(len(symbol))
-        for k, (has, code) in enumerate(_contexts(symbol, place, len(self.codes))):
-            live = live[has[live]]  # a longer suffix is a state only if the shorter one is
-            known = self.codes[k]
-            if not len(known) or not len(live):
-                break
-            slot = np.minimum(np.searchsorted(known, code[live]), len(known) - 1)
-            hit = known[slot] == code[live]
-            live = live[hit]
-            state[live] = self.rows[k][slot[hit]]
-        return np.bincount(word, weights=self.logs[state, symbol], minlength=len(lengths))
+        out = np.zeros(len(lengths))
+        for a, b, x, y in _slices_of_words(lengths):
+            symbol, word, place = _spell(lengths[a:b], data[x:y])
+            state, code = np.zeros(len(symbol), np.int32), np.zeros(len(symbol), np.int32)
+            live = np.arange(len(symbol))
+            for k, (known, row) in enumerate(zip(self.codes, self.rows, strict=True), 1):
+                live = live[place[live] >= k - 1]  # a longer suffix is a state only if the shorter one is
+                if not len(known) or not len(live):
+                    break
+                code |= _before(symbol, place, k).astype(np.int32) << (8 * (k - 1))
+                slot = np.minimum(np.searchsorted(known, code[live]), len(known) - 1)
+                hit = known[slot] == code[live]
+                live = live[hit]
+                state[live] = row[slot[hit]]
+            out[a:b] = np.bincount(word, weights=self.logs[state, symbol], minlength=b - a)
+        return out
 
 
 def _grow(levels: list[tuple[np.ndarray, np.ndarray]], smooth: float = SMOOTH) -> Tree:
-    """levels: for each context length the contexts and their counts of next symbols."""
-    root = levels[0][1][0].copy()
+    """levels: for each context length (0 first) the contexts in order and their counts of next symbols."""
     seen = np.ones(_N)
-    seen[[0, START]] = 1e-300  # no symbols that follow
-    logs = [np.log(root + seen) - np.log((root + seen).sum())]
-    codes, rows, parent_codes, parent_rows = [], [], np.zeros(1, np.uint64), np.zeros(1, np.int64)
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    n_rows = 1
-    table = logs[0][None]
+    seen[_NEVER] = 1e-300  # no symbols that follow
+    root = levels[0][1][0] + seen
+    table = np.log(root)[None] - np.log(root.sum())
+    codes, rows, tests = [], [], []
+    above_codes, above_rows = np.zeros(1, np.int32), np.zeros(1, np.int64)
     for k, (code, counts) in enumerate(levels[1:], 1):
-        suffix = code & ((np.uint64(1) << (_BITS * np.uint64(k - 1))) - np.uint64(1))
-        slot = np.minimum(np.searchsorted(parent_codes, suffix), len(parent_codes) - 1)
-        ok = (parent_codes[slot] == suffix) & (counts.sum(1) > 0) if len(parent_codes) else np.zeros(len(code), bool)
-        code, counts, above = code[ok], counts[ok], parent_rows[slot[ok]]
+        suffix = code & np.int32((1 << (8 * (k - 1))) - 1)
+        slot = np.minimum(np.searchsorted(above_codes, suffix), max(len(above_codes) - 1, 0))
+        ok = above_codes[slot] == suffix if len(above_codes) else np.zeros(len(code), bool)
+        code, counts, above = code[ok], counts[ok], above_rows[slot[ok]]
         n = counts.sum(1, keepdims=True)
         below = (counts + smooth * np.exp(table[above])) / (n + smooth)
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.where(counts > 0, counts * (np.log(below) - table[above]), 0).sum(1)
-        retained = gain > 0.5 * (counts > 0).sum(1) * np.log(np.maximum(n[:, 0], 2))
-        kept.append((code, retained, above))
-        order = np.argsort(code)
-        code, below = code[order], below[order]
-        kept[-1] = (code, retained[order], above[order])
-        table = np.concatenate([table, np.log(np.maximum(below, 1e-300))])
-        rows.append(np.arange(n_rows, n_rows + len(code)))
+        tests.append((gain > 0.5 * (counts > 0).sum(1) * np.log(np.maximum(n[:, 0], 2)), above))
+        rows.append(np.arange(len(table), len(table) + len(code)))
         codes.append(code)
-        n_rows += len(code)
-        parent_codes, parent_rows = code, rows[-1]
+        table = np.concatenate([table, np.log(np.maximum(below, 1e-300))])
+        above_codes, above_rows = code, rows[-1]
     # a suffix of a retained context stays
-    need = np.zeros(n_rows, bool)
-    for (_, retained, above), row in reversed(list(zip(kept, rows, strict=True))):
+    need = np.zeros(len(table), bool)
+    for (retained, above), row in reversed(list(zip(tests, rows, strict=True))):
         need[row] |= retained
         need[above[need[row]]] = True
     need[0] = True
     new = np.cumsum(need) - 1
-    out_codes = tuple(c[need[r]] for c, r in zip(codes, rows, strict=True))
-    out_rows = tuple(new[r[need[r]]] for r in rows)
-    logs10 = (table[need] / np.log(10)).astype(np.float32)
-    return Tree(out_codes, out_rows, logs10)
+    return Tree(tuple(c[need[r]] for c, r in zip(codes, rows, strict=True)), tuple(new[r[need[r]]] for r in rows), (table[need] / np.log(10)).astype(np.float32))
 
 
 def train(chunks: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Tree:
-    """The tree of the words' spellings."""
-    contexts = np.array([*range(1, 257), START], np.uint64)
-    counts = _next_counts(chunks, 1, contexts)
-    levels, total = [(np.zeros(1, np.uint64), counts.sum(0, keepdims=True))], counts.sum()  # each symbol has a symbol or the start before it
-    for k in range(1, depth + 1):
-        if not len(contexts) or not total:
-            break
-        if k > 1:
-            contexts = np.sort(contexts)
-            counts = _next_counts(chunks, k, contexts)
-        levels.append((contexts, counts))
-        # contexts of the next length: a context and a byte after it, seen often enough
-        row, byte = np.nonzero(counts[:, :257] >= max(2.0, least * total))
-        grown = (contexts[row] << _BITS) | byte.astype(np.uint64)
-        contexts = grown
+    """The tree of the words' spellings. One pass counts grams; of each length the contexts that are frequent enough come to the driver (1 / least of them at most)."""
+    grams = materialise(_grams(chunks, depth), "grams")
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    levels = []
+    for k in range(depth + 1):
+        nearest = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * k)) - 1)) if k else F.lit(0).cast("bigint")
+        each = grams.select(nearest.alias("code"), F.col("gram").bitwiseAND(F.lit(255)).alias("next"), "n")
+        if k:
+            each = each.where(F.shiftright("code", 8 * (k - 1)) != NOTHING)
+        each = each.groupBy("code", "next").agg(F.sum("n").alias("n"))
+        often = each.groupBy("code").agg(F.sum("n").alias("all")).where(F.col("all") >= max(2.0, least * total) if k else F.lit(True)).select("code")
+        got = each.join(often, "code").toArrow()
+        code, of = np.unique(got.column("code").to_numpy(), return_inverse=True)
+        counts = np.zeros((max(len(code), 1 - min(k, 1)), _N))
+        counts[of, got.column("next").to_numpy()] = got.column("n").to_numpy()
+        levels.append((code.astype(np.int32), counts))
     return _grow(levels)
 
 
@@ -424,9 +427,8 @@ def _counted(chunks: DataFrame, hits: DataFrame, tree) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths, data, own = _read(batch, i)
-                got, v = answered(batch.column("hits")[i].as_py(), _word_keys(lengths, data)), len(lengths)
-                total = np.minimum(got[:v], got[v:])
-                spelled = np.concatenate([np.zeros(0), *(tree.value.score(lengths[a : a + 100_000], data[int(lengths[:a].sum()) : int(lengths[: a + 100_000].sum())]) for a in range(0, v, 100_000))])
+                total = answered(batch.column("hits")[i].as_py(), _word_hashes(lengths, data)[:-2])
+                spelled = tree.value.score(lengths, data)
                 share = own / np.maximum(total, 1)
                 sums = (own.sum(), share.sum(), share[total == 1].sum(), share[total == 2].sum())
                 columns = [batch.column("chunk").slice(i, 1), pa.array([pack(total)], pa.binary()), pa.array([spelled.astype(np.float32).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in sums)]
@@ -462,7 +464,7 @@ def score(
 
     def word_keys(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
         lengths, data, counts = _read(batch, i)
-        return _word_keys(lengths, data), np.concatenate([counts, counts])
+        return _word_hashes(lengths, data)[:-2], counts
 
     words = materialise(_counted(chunks, asked(chunks.select("chunk", "lengths", "words", "counts"), word_keys), tree), "words")
     n, v, n1, n2 = (round(x or 0) for x in words.agg(*(F.sum(c) for c in ("n", "v", "n1", "n2"))).first())
