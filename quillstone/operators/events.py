@@ -46,15 +46,20 @@ def is_periodic(form: str) -> Column:
     return F.substring_index(F.upper(F.col(form)), "/", 1).isin("10-K", "10-Q")
 
 
+# Titles of chief and financial executives.
+EXECUTIVES = r"(?i)chief\s+executive|\bceo\b|president\s+and\s+chief|chief\s+financial|\bcfo\b|principal\s+financial"
+
+
 def insider_clusters(buys: DataFrame, issuer: str, owner: Column, date: str, shares: str, price: str, as_of: str, days: int = 14, exec_title: str | None = None, cap: str | None = None) -> DataFrame:
     """Purchases of the last `days` days by issuer: distinct buyers, priced value, shares, first and last day, and severity.
 
-    Critical: three buyers, 250,000 by executives or half a per cent of the
-    company; high: two, 100,000 or a fifth of a per cent; medium: 25,000 in all.
+    Critical: three buyers, 250,000 by the chief or financial executives or half a
+    per cent of the company; high: two, 100,000 in all or a fifth of a per cent;
+    medium: 25,000 in all. exec_title: a column of titles of officers.
     """
     recent = buys.where((F.col(date) <= F.lit(as_of).cast("date")) & (F.col(date) > F.date_sub(F.lit(as_of).cast("date"), days)))
     value = F.when(F.col(price) > 0, F.round(F.col(shares) * F.col(price), 2)).cast("decimal(18,2)")
-    is_exec = F.col(exec_title).rlike("(?i)chief executive|chief financial|ceo|cfo") if exec_title else F.lit(False)
+    is_exec = F.coalesce(F.col(exec_title).rlike(EXECUTIVES), F.lit(False)) if exec_title else F.lit(False)
     g = recent.groupBy(issuer).agg(
         F.count_distinct(owner).alias("n_buyers"),
         F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("value"),
@@ -68,7 +73,7 @@ def insider_clusters(buys: DataFrame, issuer: str, owner: Column, date: str, sha
     share = safe_div("value", "cap")
     level = first_of(
         ((F.col("n_buyers") >= 3) | (F.col("exec_value") >= 250_000) | F.coalesce(share >= 0.005, F.lit(False)), "critical"),
-        ((F.col("n_buyers") >= 2) | (F.col("exec_value") >= 100_000) | F.coalesce(share >= 0.002, F.lit(False)), "high"),
+        ((F.col("n_buyers") >= 2) | (F.col("value") >= 100_000) | F.coalesce(share >= 0.002, F.lit(False)), "high"),
         (F.col("value") >= 25_000, "medium"),
     )
     return g.withColumn("severity", level)

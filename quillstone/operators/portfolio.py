@@ -9,6 +9,25 @@ from ..functions.expr import money_sum, safe_div
 from .asof import backward, forward
 
 
+#: The calendar of a benchmark goes on to this day with its last close.
+LAST_DAY = "2100-01-01"
+
+
+def calendar(benchmark: DataFrame) -> DataFrame:
+    """date, close: for every day from the benchmark's first bar to LAST_DAY the last close at or before it.
+
+    A benchmark has a bar a day at most (the largest close of equal dates), so all
+    of it is an array of some thousand entries in one row; the calendar has a row
+    a day and may be broadcast, whatever the number of positions.
+    """
+    one = benchmark.where(F.col("date").isNotNull()).groupBy("date").agg(F.max("close").alias("close"))
+    bars = one.agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("b")).where(F.size("b") > 0)
+    each = bars.select("b", F.explode(F.sequence(F.lit(1), F.size("b"))).alias("i"))
+    bar, end = F.element_at("b", F.col("i")), F.try_element_at("b", F.col("i") + 1)["date"]
+    spans = each.select(bar["close"].alias("close"), bar["date"].alias("since"), F.coalesce(F.date_sub(end, 1), F.lit(LAST_DAY).cast("date")).alias("until"))
+    return spans.select(F.explode(F.sequence("since", F.greatest("since", "until"))).alias("date"), "close")
+
+
 def value_positions(positions: DataFrame, bars: DataFrame, benchmark: DataFrame, ticker: str, opened: str, mark_date: str | Column, amount: float = 1000.0) -> DataFrame:
     """Fill, mark, return, benchmark return over the same window, alpha, pnl and holding days.
 
@@ -17,17 +36,17 @@ def value_positions(positions: DataFrame, bars: DataFrame, benchmark: DataFrame,
     before the fill. Prices are adjusted closes (column close, by date).
     """
     mark = F.lit(mark_date).cast("date") if isinstance(mark_date, str) else mark_date
-    p = forward(positions.withColumn("__bench", F.lit(1)), bars, [ticker], opened, "date", ["close"], "fill_").withColumn("__mark", mark)
+    p = forward(positions, bars, [ticker], opened, "date", ["close"], "fill_").withColumn("__mark", mark)
     p = backward(p, bars, [ticker], "__mark", "date", ["close"], "mark_")
-    one = benchmark.select(F.lit(1).alias("__bench"), "date", "close")
-    for at, name in (("fill_date", "bench_fill_"), ("mark_date", "bench_mark_")):
-        p = backward(p, one, ["__bench"], at, "date", ["close"], name)
+    days = calendar(benchmark)
+    for at, name in (("fill_date", "bench_fill_close"), ("mark_date", "bench_mark_close")):
+        p = p.join(F.broadcast(days.select(F.col("date").alias("__day"), F.col("close").alias(name))), F.least(F.col(at), F.lit(LAST_DAY).cast("date")) == F.col("__day"), "left").drop("__day")
     live = F.col("fill_close").isNotNull() & (F.col("fill_close") > 0) & (F.col("mark_date") >= F.col("fill_date"))
     ret = F.when(live, safe_div("mark_close", "fill_close") - 1)
     bench = F.when(live & (F.col("bench_fill_close") > 0), safe_div("bench_mark_close", "bench_fill_close") - 1)
     p = p.withColumns({"ret": ret, "bench_ret": bench})
     p = p.withColumns({"alpha": F.col("ret") - F.col("bench_ret"), "pnl": F.col("ret") * amount, "cost": F.when(live, F.lit(amount)), "days": F.when(live, F.greatest(F.datediff("mark_date", "fill_date"), F.lit(0)))})
-    return p.drop("__bench", "__mark", "bench_fill_date", "bench_mark_date")
+    return p.drop("__mark")
 
 
 def summary(valued: DataFrame, by: list[str]) -> DataFrame:

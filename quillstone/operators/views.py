@@ -15,8 +15,8 @@ def price_delta(now: Column, base: Column) -> Column:
 
 
 def adverse(direction: Column, tripwire: Column) -> Column:
-    """A signal against a thesis: it strengthens what a 'strengthens' tripwire watches for, or weakens; a tripwire for both takes either."""
-    return first_of((direction == "neutral", F.lit(False)), (tripwire == "both", F.lit(True)), otherwise=direction == tripwire)
+    """A signal in the direction that trips an item's wire: 'weakens' or 'strengthens'; a wire for 'either' takes any that is not neutral."""
+    return first_of((tripwire == "either", direction != "neutral"), otherwise=direction == tripwire)
 
 
 def agreement(view: Column, verdict: Column) -> Column:
@@ -30,9 +30,10 @@ def agreement_rate(df: DataFrame, by: list[str], column: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count_if(scorable).alias("n_scorable"), F.avg(F.when(scorable, (F.col(column) == "agree").cast("double"))).alias("rate"))
 
 
-def provisional(df: DataFrame, by: list[str], health: str) -> DataFrame:
-    """The worst health of a thesis's items."""
-    level = rank_of(health, {"green": 0, "amber": 1, "red": 2}, 0)
+def provisional(df: DataFrame, by: list[str], direction: str, tripwire: str, magnitude: str) -> DataFrame:
+    """A thesis's status from its signals alone: red with an adverse one of 0.5 or more, amber with one of 0.2 or more, else green (supportive ones raise nothing)."""
+    against = adverse(F.col(direction), F.col(tripwire)) & (F.col(direction) != "neutral")
+    level = first_of((against & (F.col(magnitude) >= 0.5), 2), (against & (F.col(magnitude) >= 0.2), 1), otherwise=0)
     return df.groupBy(*by).agg(F.element_at(F.array(F.lit("green"), F.lit("amber"), F.lit("red")), (F.max(level) + 1).cast("int")).alias("status"))
 
 
@@ -79,9 +80,26 @@ def variance_merge(history: DataFrame, fresh: DataFrame, by: list[str], dimensio
     return kept.select(*by, dimension, prompt, *columns).unionByName(fresh.select(*by, dimension, prompt, *columns))
 
 
-def lookback_days(seen: Column, wide: int = 365, narrow: int = 30) -> Column:
-    """A first run looks back a year, later ones a month."""
-    return F.when(F.coalesce(seen, F.lit(0)) == 0, wide).otherwise(narrow)
+def lookback_since(seen: Column, today: Column, since: Column, wide: int = 365, keep_narrow: Column | bool = False) -> Column:
+    """Where to look back to: a year for a cursor that has seen nothing (unless kept narrow), else the caller's own date."""
+    narrow = keep_narrow if isinstance(keep_narrow, Column) else F.lit(keep_narrow)
+    return F.when((F.coalesce(seen, F.lit(0)) == 0) & ~narrow, F.date_sub(today, wide)).otherwise(since)
+
+
+def by_health(df: DataFrame, health: str, key: str) -> DataFrame:
+    """Unknown, red, amber, green, in a band by key; rank says the place in that order."""
+    return df.withColumn("band", rank_of(health, {"red": 0, "amber": 1, "green": 2}, -1)).orderBy("band", key)
+
+
+def view(signals: DataFrame, direction: str | None = None, focus_only: bool = False) -> DataFrame:
+    """What a reader asked to see; it never bears on what is written."""
+    signals = signals.where(F.col("direction") == direction) if direction else signals
+    return signals.where("focus") if focus_only else signals
+
+
+def signal_order(signals: DataFrame, severity: str, ticker: str) -> DataFrame:
+    """Focus first, then severity (critical first), then ticker."""
+    return signals.orderBy(F.col("focus").desc(), rank_of(severity, SEVERITY_RANK, -1).desc(), ticker)
 
 
 def stale(df: DataFrame, by: list[str], fetched: str, now: str, hours: int = 4) -> DataFrame:
@@ -102,8 +120,9 @@ def growth_label(implied: Column, actual: Column, margin: float = 0.02) -> Colum
     return first_of((implied.isNull() | actual.isNull(), None), (implied > actual + margin, "demanding"), (implied < actual - margin, "forgiving"), otherwise="in-line")
 
 
-def section_usable(confidence: Column, length: Column, least: int = 1000) -> Column:
-    return confidence.isNotNull() & (confidence != "failed") & (length >= least)
+def section_usable(confidence: Column, text: Column) -> Column:
+    """A section that has text and did not fail (an unknown confidence counts as high)."""
+    return F.coalesce(F.length(F.trim(text)) > 0, F.lit(False)) & F.coalesce(confidence, F.lit("high")).isin("high", "low")
 
 
 def run_counts(df: DataFrame, escalate: str, hold: str) -> DataFrame:

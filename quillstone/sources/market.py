@@ -45,22 +45,59 @@ def capture_times(json: Column) -> Column:
 
 
 def caption_cues(json: Column) -> Column:
-    """Cues (start, end, text) of JSON captions; empty ones go."""
+    """Cues (start, end, text) of JSON captions, in whole seconds (half up); empty ones go."""
     events = F.from_json(json, "struct<events: array<struct<tStartMs: double, dDurationMs: double, segs: array<struct<utf8: string>>>>>")["events"]
-    cue = lambda e: F.struct((e["tStartMs"] / 1000).alias("start"), ((e["tStartMs"] + F.coalesce(e["dDurationMs"], F.lit(0.0))) / 1000).alias("end"), F.trim(F.regexp_replace(F.array_join(F.transform(e["segs"], lambda s: s["utf8"]), ""), r"\s+", " ")).alias("text"))
+    whole = lambda ms: F.floor(ms / 1000 + 0.5).cast("double")
+    start = lambda e: F.coalesce(e["tStartMs"], F.lit(0.0))
+    text = lambda e: F.trim(F.regexp_replace(F.array_join(F.transform(e["segs"], lambda s: F.coalesce(s["utf8"], F.lit(""))), ""), r"\s+", " "))
+    cue = lambda e: F.struct(whole(start(e)).alias("start"), whole(start(e) + F.coalesce(e["dDurationMs"], F.lit(0.0))).alias("end"), text(e).alias("text"))
     return F.filter(F.transform(F.filter(events, lambda e: e["segs"].isNotNull()), cue), lambda c: c["text"] != "")
 
 
 def chapters(description: Column) -> Column:
-    """Lines that start with a time: (seconds, title)."""
-    lines = F.filter(F.split(description, "\n"), lambda x: x.rlike(r"^\s*\(?[0-9]{1,2}(:[0-9]{2}){1,2}\)?\s+\S"))
+    """Lines that start with a time: (seconds, title). Fewer than three, or times out of order, are no chapters: an empty array."""
+    line = r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\s+[-–—]?\s*(\S.*)$"
+    lines = F.filter(F.transform(F.split(description, "\r?\n"), F.trim), lambda x: x.rlike(line))
 
     def one(x: Column) -> Column:
-        parts = F.split(F.regexp_extract(x, r"([0-9]{1,2}(?::[0-9]{2}){1,2})", 1), ":")
-        seconds = F.aggregate(parts, F.lit(0), lambda acc, p: acc * 60 + p.cast("int"))
-        return F.struct(seconds.alias("seconds"), F.trim(F.regexp_replace(x, r"^\s*\(?[0-9:]+\)?\s*[-–—]?\s*", "")).alias("title"))
+        a, b, c = (F.regexp_extract(x, line, i) for i in (1, 2, 3))
+        seconds = F.when(c == "", a.cast("int") * 60 + b.cast("int")).otherwise(a.cast("int") * 3600 + b.cast("int") * 60 + c.try_cast("int"))
+        return F.struct(seconds.alias("seconds"), F.trim(F.regexp_extract(x, line, 4)).alias("title"))
 
-    return F.transform(lines, one)
+    found = F.transform(lines, one)
+    later = F.transform(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), lambda x: x["seconds"])
+    ordered = F.forall(F.arrays_zip(F.slice(F.transform(found, lambda x: x["seconds"]), 1, F.greatest(F.size(found) - 1, F.lit(0))).alias("a"), later.alias("b")), lambda z: z["a"] <= z["b"])
+    return F.when((F.size(found) >= 3) & ordered, found).otherwise(F.slice(found, 1, 0))
+
+
+def timed_text(xml: Column) -> Column:
+    """Cues (start, end, text) of captions as XML text elements, whole seconds (half up); entities are read, empty ones go."""
+    element = r'<text\s+start="([0-9.]+)"\s+dur="([0-9.]+)"[^>]*>([\s\S]*?)</text>'
+    whole = lambda x: F.floor(x + 0.5).cast("double")
+
+    def one(m: Column) -> Column:
+        start, length, text = (F.regexp_extract(m, element, i) for i in (1, 2, 3))
+        for mark, plain in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
+            text = F.replace(text, F.lit(mark), F.lit(plain))
+        return F.struct(whole(start.cast("double")).alias("start"), whole(start.cast("double") + length.cast("double")).alias("end"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+
+    return F.filter(F.transform(F.regexp_extract_all(xml, F.lit(element), F.lit(0)), one), lambda c: c["text"] != "")
+
+
+def market_snapshot(quotes: DataFrame, symbol: str, price: str, cap: str, high: str, low: str, volume_3m: str, volume_10d: str) -> DataFrame:
+    """ticker, price, market_cap, high_52w, low_52w and avg_dollar_volume (of three months, else ten days; null without a price)."""
+    volume = F.coalesce(volume_3m, volume_10d)
+    return quotes.select(F.upper(symbol).alias("ticker"), F.col(price).alias("price"), F.col(cap).alias("market_cap"), F.col(high).alias("high_52w"), F.col(low).alias("low_52w"), (F.col(price) * volume).alias("avg_dollar_volume"))
+
+
+ESTIMATES = "array<struct<symbol: string, date: string, revenueAvg: double, revenueLow: double, revenueHigh: double, epsAvg: double, epsLow: double, epsHigh: double, numAnalystsRevenue: int, numAnalystsEps: int>>"
+
+
+def consensus_estimates(replies: DataFrame, json: str, limit: int = 8) -> DataFrame:
+    """A row for each estimate of each reply (at most `limit` of a symbol, by date): symbol, date, position, and the figures, null where the reply has none."""
+    each = replies.select(F.explode(F.from_json(json, ESTIMATES)).alias("e")).select("e.*").withColumns({"symbol": F.upper("symbol"), "date": F.to_date("date")})
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("date", "revenueAvg", "epsAvg"))
+    return each.withColumn("position", place).where(F.col("position") <= limit)
 
 
 def video_id(url: Column) -> Column:

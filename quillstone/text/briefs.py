@@ -34,11 +34,12 @@ def order_flags(flags: DataFrame, *ties: str) -> DataFrame:
     return flags.orderBy(rank_of("severity", SEVERITY_RANK, -1).desc(), F.col("occurrences").desc(), "category", *ties)
 
 
-def first_metrics(metrics: DataFrame, by: list[str], label: str, period: str, value: str, order: str) -> DataFrame:
-    """Metrics without repeats of (label, period, value); the first stays."""
+def first_metrics(metrics: DataFrame, by: list[str], label: str, period: str, value: str, prior: str, order: str) -> DataFrame:
+    """Metrics without repeats of (label, period, value); the first stays. position: those with a prior value come first, each kind in its order."""
     key = F.concat_ws("|", alnum_key(label), F.col(period), F.coalesce(F.col(value).cast("string"), F.lit("null")))
     w = Window.partitionBy(*by, "key").orderBy(order)
-    return metrics.withColumn("key", key).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    one = metrics.withColumn("key", key).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return one.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(prior).isNull(), order)))
 
 
 def first_texts(df: DataFrame, by: list[str], text: str, order: str) -> DataFrame:
@@ -48,6 +49,12 @@ def first_texts(df: DataFrame, by: list[str], text: str, order: str) -> DataFram
     return df.withColumn("key", key).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def claims(df: DataFrame, by: list[str], quote: str, checkable: str, order: str) -> DataFrame:
+    """Claims without repeats of their quote. position: those that can be checked come first, each kind in its order."""
+    one = first_texts(df, by, quote, order)
+    return one.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(checkable).desc(), order)))
+
+
 def drop_rate(df: DataFrame, by: list[str], kept: Column) -> DataFrame:
     """Findings kept and dropped for quotes that were not found; more than a quarter dropped is suspect."""
     g = df.groupBy(*by).agg(F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_dropped"))

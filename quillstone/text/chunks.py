@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tokens import estimate, head, tail
@@ -134,14 +133,35 @@ def fit(ranked: list[tuple[int, int]], budget: int) -> list[int]:
 
 
 def allocate(df: DataFrame, by: list[str], part: str, size: str, budget: int) -> DataFrame:
-    """water_fill() of each key's parts (in the order of `part`)."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by, part, size).schema.fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(part)
-        return pdf.assign(share=water_fill(pdf[size].astype(int).tolist(), budget))
-
-    return df.select(*by, part, size).groupBy(*by).applyInPandas(run, f"{types}, share bigint")
+    """water_fill() of each key's parts (a number, distinct in a key; the first parts in order get what is left over of even shares).
+
+    Only a histogram of sizes is put in order by key: a size is met in full while
+    all smaller ones and it, taken for every part that is left, stay within the
+    budget. That fixes the level; the rest is a projection. Where parts share a
+    left-over, they are numbered within ranges of `part`, so no key is sorted in
+    one task.
+    """
+    df = df.select(*by, part, F.col(size).cast("bigint").alias(size))
+    sizes = df.groupBy(*by, size).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*by)
+    below = w.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)
+    level = sizes.withColumns({"__n": F.sum("n").over(w), "__met": F.coalesce(F.sum("n").over(below), F.lit(0)), "__used": F.coalesce(F.sum(F.col(size) * F.col("n")).over(below), F.lit(0))})
+    full = F.col(size) * (F.col("__n") - F.col("__met")) <= budget - F.col("__used")
+    ends = level.withColumn("__full", full).groupBy(*by).agg(F.max("__n").alias("__n"), F.max(F.when(F.col("__full"), F.col(size))).alias("__most"), F.coalesce(F.sum(F.when(F.col("__full"), F.col("n"))), F.lit(0)).alias("__met"), F.coalesce(F.sum(F.when(F.col("__full"), F.col(size) * F.col("n"))), F.lit(0)).alias("__used"))
+    left, open_ = budget - F.col("__used"), F.col("__n") - F.col("__met")
+    share = F.when(open_ > 0, F.floor(left / F.greatest(open_, F.lit(1))).cast("bigint")).otherwise(0)
+    ends = ends.withColumn("__share", share).withColumn("__over", F.when(open_ > 0, left - F.col("__share") * open_).otherwise(0)).select(*by, "__most", "__share", "__over")
+    j = df.join(ends, by).withColumn("__open", F.col("__most").isNull() | (F.col(size) > F.col("__most")))
+    # the open parts of keys with a left-over, numbered: ranges of part by their quantiles, counts before, places within
+    spread = j.where(F.col("__open") & (F.col("__over") > 0)).select(*by, part)
+    cuts = spread.groupBy(*by).agg(F.percentile_approx(part, F.array(*(F.lit(i / 32) for i in range(1, 32))), F.lit(1000)).alias("__cuts"))
+    ranged = spread.join(cuts, by).select(*by, part, F.size(F.filter("__cuts", lambda c: c < F.col(part))).alias("__range"))
+    before = ranged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(part)) + F.col("__before")
+    placed = ranged.join(before, [*by, "__range"]).select(*by, part, place.alias("__place"))
+    out = j.join(placed, [*by, part], "left")
+    got = F.when(F.col("__open"), F.col("__share") + (F.coalesce(F.col("__place") <= F.col("__over"), F.lit(False))).cast("bigint")).otherwise(F.col(size))
+    return out.select(*by, part, size, got.alias("share"))
 
 
 def trim(lists: dict[str, list[str]], floors: dict[str, int], target: int) -> dict[str, list[str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import first_of, norm_punct, norm_space, norm_table
+from ..operators.views import section_usable
 
 TIERS = ("exact", "whitespace-normalized", "case-insensitive", "punctuation-normalized", "table-normalized", "no-match")
 LEAST_QUOTE = 12
@@ -118,7 +119,34 @@ def tier_counts(pairs: DataFrame, by: list[str], column: str = "tier") -> DataFr
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(column) == t).alias("n_" + t.replace("-", "_")) for t in TIERS))
 
 
-def coverage(df: DataFrame, read: str, total: str, unreliable: str) -> DataFrame:
-    """What of a filing was read, as a warning: none, partial, or some of it unreliable."""
-    text = first_of((F.col(read) == 0, F.lit("nothing could be read")), (F.col(read) < F.col(total), F.concat(F.col(read).cast("string"), F.lit(" of "), F.col(total).cast("string"), F.lit(" sections read"))), (F.col(unreliable) > 0, F.concat(F.col(unreliable).cast("string"), F.lit(" sections unreliable"))), otherwise="")
-    return df.withColumn("warning", text)
+# The compared sections in order, as warnings name them.
+COMPARED = (("mda", "MD&A"), ("risk-factors", "risk factors"))
+
+
+def coverage(df: DataFrame, key: str, section: str, text: str, confidence: str, base_text: str, base_confidence: str) -> DataFrame:
+    """By key: warnings (an array, in the order of the sections) on sections that could not be compared, and whether the MD&A was.
+
+    df: a row for each key and section, with its text and confidence in the
+    quarterly filing and in the annual one. A section without a row is missing in
+    both. The quarter's fault is named before the base's.
+    """
+    usable, base = section_usable(F.col(confidence), F.col(text)), section_usable(F.col(base_confidence), F.col(base_text))
+    how = lambda c: F.when(F.coalesce(c, F.lit("missing")) == "missing", "missing").otherwise("failed extraction")
+    named = F.create_map(*(F.lit(x) for pair in COMPARED for x in pair))
+    sections = F.broadcast(df.sparkSession.createDataFrame([(i, s) for i, (s, _) in enumerate(COMPARED)], f"__at int, {section} string"))
+    every = df.select(key).distinct().crossJoin(sections)  # two fixed rows
+    j = every.join(df.withColumns({"__q": usable, "__k": base}), [key, section], "left")
+    label = named[F.col(section)]
+    quarter = F.concat(F.lit("10-Q "), label, F.lit(" incompletely parsed (section "), how(F.col(confidence)), F.lit(") — "), label, F.lit(" change detection not performed."))
+    annual = F.concat(F.lit("10-K baseline "), label, F.lit(" incompletely parsed (section "), how(F.col(base_confidence)), F.lit(") — "), label, F.lit(" changes could not be compared against the annual baseline."))
+    q, k = F.coalesce("__q", F.lit(False)), F.coalesce("__k", F.lit(False))
+    each = j.withColumns({"__w": F.when(~q, quarter).when(~k, annual), "__ok": q & k})
+    g = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("__w").isNotNull(), F.struct("__at", "__w")))).alias("__ws"), F.bool_and((F.col(section) != "mda") | F.col("__ok")).alias("mda_assessed"))
+    return g.select(key, F.transform("__ws", lambda x: x["__w"]).alias("warnings"), "mda_assessed")
+
+
+def headline(changes: Column, mda_assessed: Column) -> Column:
+    """The number of changes, and what it covers."""
+    n = changes.cast("string")
+    one = changes == 1
+    return F.when(mda_assessed, F.concat(n, F.when(one, " change").otherwise(" changes"))).otherwise(F.concat(n, F.when(one, " risk-factor change").otherwise(" risk-factor changes"), F.lit("; MD&A not assessed")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import asof, portfolio, scores, state, universe
@@ -57,18 +58,56 @@ def test_forms_and_items(spark):
 
 
 def test_surface_twice(spark, tmp_path):
-    t = sinks.Table(spark, str(tmp_path / "t"), "key string, n int")
+    t = sinks.Table(spark, str(tmp_path / "t"), "key string, n int", ["key"], buckets=4)
     batch = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "key string, n int")
-    assert sorted(map(tuple, t.insert_absent(batch, ["key"], [F.col("n")]).collect())) == [("a", 1), ("b", 3)]
-    assert t.insert_absent(batch, ["key"], [F.col("n")]).count() == 0
-    t.upsert(spark.createDataFrame([("b", 9), ("c", 4)], "key string, n int"), ["key"], [F.col("n")])
+    assert sorted(map(tuple, t.insert_absent(batch, [F.col("n")]).collect())) == [("a", 1), ("b", 3)]
+    assert t.insert_absent(batch, [F.col("n")]).count() == 0
+    t.upsert(spark.createDataFrame([("b", 9), ("c", 4)], "key string, n int"), [F.col("n")])
     assert sorted(map(tuple, t.read().collect())) == [("a", 1), ("b", 9), ("c", 4)]
-    t.upsert_keep_old(spark.createDataFrame([("a", None), ("d", 5)], "key string, n int"), "key")
+    t.upsert_keep_old(spark.createDataFrame([("a", None), ("d", 5)], "key string, n int"))
     assert sorted(map(tuple, t.read().collect())) == [("a", 1), ("b", 9), ("c", 4), ("d", 5)]
-    t.replace(spark.createDataFrame([("a", 7), ("a", 8)], "key string, n int"), ["key"])
+    t.replace(spark.createDataFrame([("a", 7), ("a", 8)], "key string, n int"))
     assert sorted(map(tuple, t.read().where("key = 'a'").collect())) == [("a", 7), ("a", 8)]
 
 
+def test_store_of_tables(spark, tmp_path):
+    tables = {"parents": ("k string, v int", ["k"]), "children": ("k string, c string", ["k"])}
+    store = sinks.Store(spark, str(tmp_path / "s"), tables, buckets=3)
+    make = lambda t, *rows: spark.createDataFrame(list(rows), tables[t][0])
+    t = store.transaction()
+    t.upsert("parents", make("parents", ("a", 1), ("b", 2)), [F.col("v")])
+    t.replace("children", make("children", ("a", "x"), ("a", "y"), ("b", "z")))
+    assert store.read("parents").count() == store.read("children").count() == 0  # nothing before commit
+    t.commit()
+    one, two = store.transaction(), store.transaction()
+    one.replace("children", make("children", ("a", "w")))
+    two.upsert("parents", make("parents", ("c", 3)), [F.col("v")])
+    one.commit()
+    with pytest.raises(sinks.Conflict):
+        two.commit()
+    assert sorted(map(tuple, store.read("children").collect())) == [("a", "w"), ("b", "z")]
+    assert sorted(map(tuple, store.read("parents").collect())) == [("a", 1), ("b", 2)]
+    for i in range(3):
+        t = store.transaction()
+        t.upsert("parents", make("parents", ("a", i)), [F.col("v")])
+        t.commit()
+    n = len(store.files.names("data-"))
+    store.vacuum(1)
+    assert len(store.files.names("data-")) < n and sorted(map(tuple, store.read("parents").collect())) == [("a", 2), ("b", 2)]
+    with pytest.raises(ValueError):
+        store.transaction().replace("children", make("children", ("a", "w")), ["c"])
+
+
+def test_run_lock(spark, tmp_path):
+    now = [0.0]
+    a, b = (sinks.RunLock(spark, str(tmp_path / "lock"), 60, lambda: now[0]) for _ in "ab")
+    assert a.acquire("a") and not b.acquire("b")
+    a.release()
+    assert b.acquire("b") and not a.acquire("a")
+    now[0] = 61
+    assert a.acquire("a")  # b's lease has run out
+
+
 def test_state(spark):
     items = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     prior = spark.createDataFrame([(1, "red"), (2, "amber")], "k int, status string")
@@ -144,7 +183,11 @@ def test_lists_and_feeds(spark):
         market.capture_times(F.lit('[["urlkey","timestamp"],["x","20240101120000"],["x","bad"]]')).alias("c"),
         market.video_id(F.lit("https://www.youtube.com/watch?v=abcdefghijk&t=1")).alias("v"),
         market.caption_cues(F.lit('{"events":[{"tStartMs":1000,"dDurationMs":500,"segs":[{"utf8":"hi "},{"utf8":"you"}]},{"tStartMs":2000}]}')).alias("q"),
-        market.chapters(F.lit("intro\n0:00 Start\n1:02:03 - End")).alias("ch"),
+        market.chapters(F.lit("intro\n0:00 Start\n0:59 middle\n1:02:03 - End")).alias("ch"),
+        market.chapters(F.lit("0:00 Start\n1:02:03 - End")).alias("few"),
+        market.chapters(F.lit("0:00 Start\n1:02:03 - Later\n0:10 End")).alias("unordered"),
+        market.timed_text(F.lit('<x><text start="0.4" dur="1.2" a="b">a &amp;amp; b\n c</text><text start="3" dur="1"> </text></x>')).alias("tt"),
     ).first()
     assert one.i == 41234.5 and one.c == ["20240101120000"] and one.v == "abcdefghijk"
-    assert [tuple(x) for x in one.q] == [(1.0, 1.5, "hi you")] and [tuple(x) for x in one.ch] == [(0, "Start"), (3723, "End")]
+    assert [tuple(x) for x in one.q] == [(1.0, 2.0, "hi you")] and [tuple(x) for x in one.ch] == [(0, "Start"), (59, "middle"), (3723, "End")]
+    assert one.few == [] and one.unordered == [] and [tuple(x) for x in one.tt] == [(0.0, 2.0, "a &amp; b c")]
