@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -51,20 +52,37 @@ MIN_COUNT = 4
 WEIGHTS = (256.0, 32.0)
 #: Divergence sums are integers of 1 / 1024 nat.
 _NAT = 1024
+#: log10 probabilities of spellings are kept to 1 / 1024.
+_SPELL = 1024
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Runs of words and contexts have keys of 56 bits (words of 64): of 10^13 runs one in 10^4 shares its key.
 _KEY = np.uint64(0xFFFFFFFFFFFFFF00)
 _END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
 
-def _pack_words(words: pa.Array) -> tuple[bytes, bytes]:
-    """large_binary words as lengths and bytes on end."""
+def _zip(data: bytes) -> bytes:
+    """Blobs are compressed here, as a shuffle's own codec leaves more of them."""
+    return pa.compress(data, "zstd", asbytes=True) if data else b""
+
+
+def _unzip(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
+
+
+def _joined(words: pa.Array) -> bytes:
+    """large_binary words, each with a space after it (no word has one)."""
     off = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    data = b"" if words.buffers()[2] is None else words.buffers()[2].slice(int(off[0]), int(off[-1] - off[0])).to_pybytes()
-    return np.diff(off).astype(np.int32).tobytes(), data
+    if not len(words):
+        return b""
+    data = np.frombuffer(words.buffers()[2], np.uint8)[off[0] : off[-1]]
+    out = np.full(len(data) + len(words), 0x20, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[off[1:] - off[0] + np.arange(len(words))] = False
+    out[inside] = data
+    return out.tobytes()
 
 
-_CHUNKS = "chunk bigint, docs int, keep array<{keep}>, lens binary, train binary, ids binary, lengths binary, words binary, counts binary"
+_CHUNKS = "chunk bigint, docs int, keep array<{keep}>, lens binary, train binary, n int, ids binary, size int, words binary, counts binary"
 
 
 def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -94,9 +112,13 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         index = place[index]
         counts = np.bincount(index[np.repeat(trained, lens)], minlength=len(words)).astype(np.int64)
         planes = np.ascontiguousarray(index.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-        blobs = (lens.astype(np.int32).tobytes(), trained.tobytes(), planes, *_pack_words(words.take(pa.array(order))), counts.tobytes())
-        columns = [pa.array([number], pa.int64()), pa.array([len(lens)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), *(pa.array([b], pa.binary()) for b in blobs)]
-        return pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "keep", "lens", "train", "ids", "lengths", "words", "counts"])
+        text = _joined(words.take(pa.array(order)))
+        one = lambda x, t: pa.array([x], t)
+        columns = [
+            one(number, pa.int64()), one(len(lens), pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), one(lens.astype(np.int32).tobytes(), pa.binary()), one(trained.tobytes(), pa.binary()),
+            one(len(index), pa.int32()), one(_zip(planes), pa.binary()), one(len(text), pa.int32()), one(_zip(text), pa.binary()), one(pack(counts), pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "keep", "lens", "train", "n", "ids", "size", "words", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -150,8 +172,11 @@ def _slices_of_words(lengths: np.ndarray, limit: int = 1 << 18) -> Iterator[tupl
 
 def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """lengths, bytes on end and (where the batch has them) training counts of a chunk's words."""
-    counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int64) if "counts" in batch.schema.names else None
-    return np.frombuffer(batch.column("lengths")[i].as_py(), np.int32).astype(np.int64), np.frombuffer(batch.column("words")[i].as_py(), np.uint8), counts
+    text = np.frombuffer(_unzip(batch.column("words")[i].as_py(), batch.column("size")[i].as_py()), np.uint8)
+    ends = np.flatnonzero(text == 0x20)
+    lengths = np.diff(ends, prepend=-1) - 1
+    counts = unpack(batch.column("counts")[i].as_py(), len(lengths)) if "counts" in batch.schema.names else None
+    return lengths, text[text != 0x20], counts
 
 
 class Chunk:
@@ -165,7 +190,8 @@ class Chunk:
         self.lens = np.frombuffer(batch.column("lens")[i].as_py(), np.int32).astype(np.int64)
         n = self.lens + 2
         off = np.cumsum(n) - n
-        ids = np.ascontiguousarray(np.frombuffer(batch.column("ids")[i].as_py(), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        size = batch.column("n")[i].as_py()
+        ids = np.ascontiguousarray(np.frombuffer(_unzip(batch.column("ids")[i].as_py(), 4 * size), np.uint8).reshape(4, size).T).view(np.int32).ravel()
         self.seq = np.full(int(n.sum()), self.end, np.int32)
         self.seq[off] = self.start
         inner = self.seq == self.end
@@ -259,18 +285,18 @@ def _word_hashes(lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 def _smoothed(own: np.ndarray, count: np.ndarray, suffix: np.ndarray, weight: float) -> np.ndarray:
     """log of (own + weight * suffix's probability) / (count + weight); suffix's as a log, as a long unseen word's may be too small for a float."""
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(own), np.log(weight) + suffix) - np.log(count + weight)
+    out = np.log(weight) + suffix
+    seen = own > 0
+    out[seen] = np.log(own[seen] + weight * np.exp(suffix[seen]))
+    return out - np.log(count + weight)
 
 
 def _gains(context: np.ndarray, own: np.ndarray, total: np.ndarray, count: np.ndarray, suffix: np.ndarray, weight: float, size: int) -> np.ndarray:
     """Of each context: how much likelier own training tokens are in it than in its suffix, each with itself left out of the context's counts."""
     seen = own > 0
     own, total, count, suffix, context = (x[seen] for x in (own, total, count, suffix, context))
-    each = np.round((_smoothed(total - 1, count - 1, suffix, weight) - suffix) * _NAT).astype(np.int64) * own
-    out = np.zeros(size, np.int64)
-    np.add.at(out, context, each)
-    return out
+    each = np.round((_smoothed(total - 1, count - 1, suffix, weight) - suffix) * _NAT) * own
+    return np.bincount(context, weights=each, minlength=size).astype(np.int64)
 
 
 #: Distinct grams that a task holds before it passes them on.
@@ -299,7 +325,7 @@ def _grams(chunks: DataFrame, depth: int) -> DataFrame:
                     held = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["gram", "n"])
 
-    every = chunks.select("lengths", "words", "counts").mapInArrow(run, "gram bigint, n bigint")
+    every = chunks.select("size", "words", "counts").mapInArrow(run, "gram bigint, n bigint")
     return every.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -311,22 +337,26 @@ class Tree:
     rows: tuple[np.ndarray, ...]
     logs: np.ndarray
 
+    @cached_property
+    def longer(self) -> np.ndarray:
+        """By a context's row and the symbol before it the row of the longer context, or -1 (every suffix of a context is one)."""
+        out = np.full(self.logs.shape, -1, np.int32)
+        above, codes = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for k, (code, row) in enumerate(zip(self.codes, self.rows, strict=True)):
+            out[above[np.searchsorted(codes, code & ((1 << (8 * k)) - 1))], code >> (8 * k)] = row
+            above, codes = row, code
+        return out
+
     def score(self, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
         """log10 probability of each word with its word end, after a word's start."""
         out = np.zeros(len(lengths))
         for a, b, x, y in _slices_of_words(lengths):
             symbol, word, place = _spell(lengths[a:b], data[x:y])
-            state, code = np.zeros(len(symbol), np.int32), np.zeros(len(symbol), np.int32)
-            live = np.arange(len(symbol))
-            for k, (known, row) in enumerate(zip(self.codes, self.rows, strict=True), 1):
-                live = live[place[live] >= k - 1]  # a longer suffix is a state only if the shorter one is
-                if not len(known) or not len(live):
-                    break
-                code |= _before(symbol, place, k).astype(np.int32) << (8 * (k - 1))
-                slot = np.minimum(np.searchsorted(known, code[live]), len(known) - 1)
-                hit = known[slot] == code[live]
-                live = live[hit]
-                state[live] = row[slot[hit]]
+            state = np.zeros(len(symbol), np.int32)
+            at = state
+            for k in range(1, len(self.codes) + 1):
+                at = np.where(at >= 0, self.longer[at, _before(symbol, place, k)], -1)
+                state = np.where(at >= 0, at, state)
             out[a:b] = np.bincount(word, weights=self.logs[state, symbol], minlength=b - a)
         return out
 
@@ -431,10 +461,10 @@ def _counted(chunks: DataFrame, hits: DataFrame, tree) -> DataFrame:
                 spelled = tree.value.score(lengths, data)
                 share = own / np.maximum(total, 1)
                 sums = (own.sum(), share.sum(), share[total == 1].sum(), share[total == 2].sum())
-                columns = [batch.column("chunk").slice(i, 1), pa.array([pack(total)], pa.binary()), pa.array([spelled.astype(np.float32).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in sums)]
+                columns = [batch.column("chunk").slice(i, 1), pa.array([pack(total)], pa.binary()), pa.array([pack(np.round(spelled * _SPELL).astype(np.int64))], pa.binary()), *(pa.array([float(x)]) for x in sums)]
                 yield pa.RecordBatch.from_arrays(columns, names=["chunk", "totals", "spelled", "n", "v", "n1", "n2"])
 
-    return chunks.select("chunk", "lengths", "words", "counts").join(hits, "chunk", "left").mapInArrow(run, _COUNTED)
+    return chunks.select("chunk", "size", "words", "counts").join(hits, "chunk", "left").mapInArrow(run, _COUNTED)
 
 
 def score(
@@ -466,7 +496,7 @@ def score(
         lengths, data, counts = _read(batch, i)
         return _word_hashes(lengths, data)[:-2], counts
 
-    words = materialise(_counted(chunks, asked(chunks.select("chunk", "lengths", "words", "counts"), word_keys), tree), "words")
+    words = materialise(_counted(chunks, asked(chunks.select("chunk", "size", "words", "counts"), word_keys), tree), "words")
     n, v, n1, n2 = (round(x or 0) for x in words.agg(*(F.sum(c) for c in ("n", "v", "n1", "n2"))).first())
     top = Top(n, v, ends, n1, n2)
     plain = chunks.drop("docs", "keep", "counts")
@@ -484,7 +514,7 @@ def score(
     def modelled(batch: pa.RecordBatch, i: int) -> Chunk:
         c = counted(batch, i)
         c.take_triples(batch.column("triples")[i].as_py())
-        spelled = np.frombuffer(batch.column("spelled")[i].as_py(), np.float32).astype(np.float64)
+        spelled = unpack(batch.column("spelled")[i].as_py(), c.distinct) / _SPELL
         c.distributions(np.concatenate([top.score(c.totals[: c.distinct], spelled), [top.end, 0.0]]) * np.log(10), weights)
         return c
 

@@ -480,7 +480,7 @@ class BruteTree:
 
     def __init__(self, texts, tree, top, least, weights):
         self.top, self.weights = top, weights
-        self.after, self.spelling = {(): Counter()}, lambda w: tree.score(np.array([len(w.encode())]), np.frombuffer(w.encode(), np.uint8))
+        self.after, self.spelling = {(): Counter()}, lambda w: np.round(tree.score(np.array([len(w.encode())]), np.frombuffer(w.encode(), np.uint8)) * 1024) / 1024
         for t in texts:
             seq = ["<s>", *t.split(), None]
             for i in range(1, len(seq)):
