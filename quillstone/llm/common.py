@@ -155,16 +155,43 @@ def _power_tables(family: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span buf[start:end]; the same bytes hash alike anywhere.
+    """A 64-bit hash of each span buf[start:end] (in order, not overlapping); the same bytes hash alike anywhere.
 
-    The span's polynomial modulo 2**64 (from prefix sums), then mixed.
+    The span's polynomial modulo 2**64 (from prefix sums), then mixed. Long buffers
+    are worked on SLICE_BYTES at a time.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(family, len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")))
+        first, last = int(starts[a]), int(ends[b - 1])
+        up, down = _power_tables(family, last - first + 1)
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum((buf[first:last].astype(np.uint64) + np.uint64(1)) * up[: last - first], out=sums[1:])
+        s, e = starts[a:b] - first, ends[a:b] - first
+        out[a:b] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches dealt anew into batches of about limit bytes of text (the column of that number; a longer text goes alone)."""
+    held, size = [], 0
+    for batch in batches:
+        column = text_bytes(batch.column(text))
+        for a, b in slices(column, min(limit, SLICE_BYTES)):
+            held.append(batch.slice(a, b - a))
+            size += int(np.diff(np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)[[a, b]])[0])
+            if size >= limit:
+                yield _one_batch(held)
+                held, size = [], 0
+    if held:
+        yield _one_batch(held)
+
+
+def _one_batch(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns], names=table.schema.names)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
-"""Sums or least values by 64-bit key over all chunks, given back to every chunk that holds the key.
+"""Sums or least values by key over all chunks, given back to every chunk that holds the key.
 
+A key has 64 bits, or 96 in two arrays (the second with 32 bits), and is a hash.
 A chunk sorts its distinct keys and cuts them by their top bits into FAN rows of
 packed arrays. The rows of FAN chunks with the same bits meet in one group, which
 joins equal keys. If there are more than FAN chunks, such a group is the chunk of
@@ -23,7 +24,7 @@ from .common import materialise
 
 #: Bits of a key that one level takes: FAN = 2 ** FAN_BITS rows of each chunk.
 FAN_BITS = 8
-ROWS = "node bigint, part int, n int, keys binary, vals binary"
+ROWS = "node bigint, part int, n int, keys binary, more binary, vals binary"
 _ANSWER = "node bigint, part int, n int, vals binary"
 _REDUCE = {"sum": np.add, "min": np.minimum}
 
@@ -82,70 +83,75 @@ def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], inverse
 
 
-def cut(keys: np.ndarray, vals: np.ndarray, level: int, bits: int = FAN_BITS) -> list[tuple[int, int, bytes, bytes]]:
-    """(part, n, keys, vals) of keys in sort_order(), cut by the level's bits (from 1); parts without a key are left out."""
+def in_order(keys: np.ndarray, more: np.ndarray | None) -> np.ndarray:
+    return sort_order(keys) if more is None else np.lexsort((more, keys))
+
+
+def cut(keys: np.ndarray, more: np.ndarray | None, vals: np.ndarray, level: int, bits: int = FAN_BITS) -> list[tuple[int, int, bytes, bytes | None, bytes]]:
+    """(part, n, keys, more, vals) of keys in_order(), cut by the level's bits (from 1); parts without a key are left out."""
     part = (keys << np.uint64((level - 1) * bits)) >> np.uint64(64 - bits)
     edges = np.append(np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1)), len(part)).tolist()
-    return [(int(part[a]), b - a, pack_keys(keys[a:b]), pack(vals[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [(int(part[a]), b - a, pack_keys(keys[a:b]), None if more is None else more[a:b].astype(np.uint32).tobytes(), pack(vals[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def ask(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int = FAN_BITS) -> pa.RecordBatch:
-    """The rows of one chunk: its keys (in any order) with their values (int64)."""
-    order = sort_order(keys)
-    rows = cut(keys[order], vals[order], 1, bits)
-    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
-    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), *columns], names=["node", "part", "n", "keys", "vals"])
+def ask(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int = FAN_BITS, more: np.ndarray | None = None) -> pa.RecordBatch:
+    """The rows of one chunk: its distinct keys (in any order) with their values (int64)."""
+    order = in_order(keys, more)
+    rows = cut(keys[order], None if more is None else more[order], vals[order], 1, bits)
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), *columns], names=["node", "part", "n", "keys", "more", "vals"])
 
 
-def answered(hits: list[dict] | None, keys: np.ndarray) -> np.ndarray:
+def answered(hits: list[dict] | None, keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
     """What reduce_keys() gave a chunk (in the order of the parts), in the order of its keys."""
     out = np.zeros(len(keys), np.int64)
     if hits:
-        out[sort_order(keys)] = np.concatenate([unpack(h["vals"], h["n"]) for h in hits])
+        out[in_order(keys, more)] = np.concatenate([unpack(h["vals"], h["n"]) for h in hits])
     return out
 
 
-def _merge(table: pa.Table, how: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys, their reduced values, and for each row where its keys are among them."""
+def _merge(table: pa.Table, how: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, list[np.ndarray]]:
+    """Distinct keys, the rest of them, their reduced values, and for each row where its keys are among them."""
     sizes = table.column("n").to_numpy()
     keys = np.concatenate([unpack_keys(k.as_py(), n) for k, n in zip(table.column("keys"), sizes, strict=True)])
     vals = np.concatenate([unpack(v.as_py(), n) for v, n in zip(table.column("vals"), sizes, strict=True)])
-    order = sort_order(keys)
-    ordered = keys[order]
-    if (ordered[1:] < ordered[:-1]).any():  # two keys that differ in their last bits alone
+    more = None if table.column("more").null_count else np.concatenate([np.frombuffer(m.as_py(), np.uint32) for m in table.column("more")])
+    order = in_order(keys, more)
+    if more is None and (keys[order][1:] < keys[order][:-1]).any():  # two keys that differ in their last bits alone
         order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-    new = np.append(True, ordered[1:] != ordered[:-1]) if len(ordered) else np.zeros(0, bool)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    if more is not None:
+        new[1:] |= more[order][1:] != more[order][:-1]
     at = np.empty(len(keys), np.int64)
     at[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    total = _REDUCE[how].reduceat(vals[order], first) if len(first) else vals
-    return ordered[new], total, np.split(at, np.cumsum(sizes)[:-1])
+    total = _REDUCE[how].reduceat(vals[order], np.flatnonzero(new))
+    return ordered[new], None if more is None else more[order][new], total, np.split(at, np.cumsum(sizes)[:-1])
 
 
 def _top(rows: DataFrame, how: str) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        _, total, at = _merge(table, how)
+        _, _, total, at = _merge(table, how)
         return pa.table({"node": table.column("node"), "part": table.column("part"), "n": table.column("n"), "vals": pa.array([pack(total[i]) for i in at], pa.binary())})
 
     return rows.groupBy("g", "path", "part").applyInArrow(run, _ANSWER)
 
 
-_LEVEL = "node bigint, g bigint, path bigint, inputs array<struct<node: bigint, part: int, n: int, at: binary>>, up array<struct<part: int, n: int, keys: binary, vals: binary>>"
+_LEVEL = "node bigint, g bigint, path bigint, inputs array<struct<node: bigint, part: int, n: int, at: binary>>, up array<struct<part: int, n: int, keys: binary, more: binary, vals: binary>>"
 
 
 def _level(rows: DataFrame, how: str, level: int, bits: int) -> DataFrame:
     fan = 1 << bits
     inputs = pa.struct([("node", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("at", pa.binary())])
-    up = pa.struct([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
+    up = pa.struct([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("vals", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        keys, total, at = _merge(table, how)
+        keys, more, total, at = _merge(table, how)
         g, part = table.column("g")[0].as_py(), table.column("part")[0].as_py()
         path = table.column("path")[0].as_py() * fan + part
         below = pa.StructArray.from_arrays([*(table.column(c).combine_chunks() for c in ("node", "part", "n")), pa.array([i.astype(np.int32).tobytes() for i in at], pa.binary())], fields=list(inputs))
-        rows = cut(keys, total, level + 1, bits)
-        above = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], up.field(k).type) for k in range(4)], fields=list(up))
+        rows = cut(keys, more, total, level + 1, bits)
+        above = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], up.field(k).type) for k in range(5)], fields=list(up))
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (below, above)]
         return pa.table({"node": pa.array([g * fan**level + path], pa.int64()), "g": pa.array([g // fan], pa.int64()), "path": pa.array([path], pa.int64()), "inputs": lists[0], "up": lists[1]})
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, mix, slices, span_hashes, text_bytes
+from .common import Words, in_chunks, materialise, mix, slices, span_hashes, text_bytes
 from .exchange import FAN_BITS, ROWS, answered, ask, distinct, pack, reduce_keys, unpack
 
 #: The spelling tree: bytes of context, share of the training bytes.
@@ -103,38 +103,24 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """docs has (keep, train, text). A row for each chunk: its texts as numbers of its distinct words (frequent ones first), and those."""
     keep_type = docs.schema["keep"].dataType.simpleString()
 
-    def one(number: int, keep: list[pa.Array], train: list[np.ndarray], texts: list[pa.Array]) -> pa.RecordBatch:
-        trained, kept = np.concatenate(train), pa.concat_arrays(keep)
-        lens, index, words = _coded(pa.concat_arrays(texts))
-        order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        index = place[index]
-        counts = np.bincount(index[np.repeat(trained, lens)], minlength=len(words)).astype(np.int64)
-        planes = np.ascontiguousarray(index.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-        text = _joined(words.take(pa.array(order)))
-        one = lambda x, t: pa.array([x], t)
-        columns = [
-            one(number, pa.int64()), one(len(lens), pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), one(lens.astype(np.int32).tobytes(), pa.binary()), one(trained.tobytes(), pa.binary()),
-            one(len(index), pa.int32()), one(_zip(planes), pa.binary()), one(len(text), pa.int32()), one(_zip(text), pa.binary()), one(pack(counts), pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "keep", "lens", "train", "n", "ids", "size", "words", "counts"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        held, size = ([], [], []), 0
-        for batch in batches:
-            column = text_bytes(batch.column(2))
-            train = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in slices(column):
-                for x, part in zip(held, (batch.column(0).slice(a, b - a), train[a:b], column.slice(a, b - a)), strict=True):
-                    x.append(part)
-                size += held[2][-1].nbytes
-                if size >= chunk_bytes:
-                    yield one(number, *held)
-                    number, held, size = number + 1, ([], [], []), 0
-        if held[0]:
-            yield one(number, *held)
+        first = TaskContext.get().partitionId() << 33
+        for number, batch in enumerate(in_chunks(batches, 2, chunk_bytes), first):
+            kept, trained = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            lens, index, words = _coded(text_bytes(batch.column(2)))
+            order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            index = place[index]
+            counts = np.bincount(index[np.repeat(trained, lens)], minlength=len(words)).astype(np.int64)
+            planes = np.ascontiguousarray(index.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+            text = _joined(words.take(pa.array(order)))
+            one = lambda x, t: pa.array([x], t)
+            columns = [
+                one(number, pa.int64()), one(len(lens), pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), one(lens.astype(np.int32).tobytes(), pa.binary()), one(trained.tobytes(), pa.binary()),
+                one(len(index), pa.int32()), one(_zip(planes), pa.binary()), one(len(text), pa.int32()), one(_zip(text), pa.binary()), one(pack(counts), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "keep", "lens", "train", "n", "ids", "size", "words", "counts"])
 
     return docs.mapInArrow(run, _CHUNKS.format(keep=keep_type))
 

@@ -13,9 +13,10 @@ reach it covers) in both. One aggregation over the symbols of all documents
 (about a sixth of the words) tells which are shared; a window with a symbol that
 is not is settled, as are documents without any other window. The windows that
 are left are verified by 96-bit hashes of all their words in a second
-aggregation, which finds the least document of each. Texts go in chunks; a chunk first joins its
-own copies of a symbol or window, so what a third of all documents share reaches
-an aggregation once for each chunk, not for each document.
+aggregation, which finds the least document of each. Texts go in chunks; a chunk
+first joins its own copies of a symbol or window, so what a third of all documents
+share reaches an aggregation once for each chunk, not for each document. Both
+aggregations are exchange.py's.
 """
 
 from __future__ import annotations
@@ -29,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, materialise, mix, slices, text_bytes, window_hashes
+from .common import Words, in_chunks, materialise, mix, text_bytes, window_hashes
+from .exchange import FAN_BITS, ROWS, answered, ask, reduce_keys
 
 WINDOW = 50
 #: Words of a symbol, at most; and the rounds: r joins runs, p pairs.
 LONGEST = 16
 ROUNDS = "rpppppp"
-#: Documents for each bucket of the two aggregations.
-DOCS_PER_BUCKET = 4_000
+CHUNK_BYTES = 4 << 20
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -132,131 +133,65 @@ def _distinct(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray
     return least[by_row], place[number]
 
 
-def _deal(keys: tuple[np.ndarray, ...], doc_ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """By bucket of the first key: the keys' bytes, and the documents as run lengths. The rows come sorted by bucket, in the order of bucket_order()."""
-    order = bucket_order(keys[0], buckets)
-    bucket = (keys[0][order] % np.uint64(buckets)).astype(np.int64)
-    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        ids = doc_ids[order[a:b]]
-        runs = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        packed = b"".join(np.ascontiguousarray(k[order[a:b]]).tobytes() for k in keys)
-        yield int(bucket[a]), packed, ids[runs].tobytes(), np.diff(np.append(runs, b - a)).astype(np.int32).tobytes()
-
-
-def bucket_order(key: np.ndarray, buckets: int) -> np.ndarray:
-    return np.argsort(key % np.uint64(buckets), kind="stable")
-
-
-_PART = "chunk bigint, bucket int, size int, keys binary, ids binary, runs binary"
-
-
-def _shared(parts: DataFrame, narrow: bool) -> DataFrame:
-    """For each (chunk, bucket): a bit for each key. narrow (keys of 64 bits): another chunk has it too; else (64 and 32 bits): another has it with a smaller document."""
-
-    def run(table: pa.Table) -> pa.Table:
-        size = table.column("size").to_numpy()
-        raw, first, second, docs = table.column("keys"), [], [], []
-        for i, n in enumerate(size):
-            b = raw[i].as_py()
-            first.append(np.frombuffer(b, np.uint64, n))
-            second.append(np.zeros(n, np.uint32) if narrow else np.frombuffer(b, np.uint32, n, 8 * n))
-            docs.append(np.repeat(np.frombuffer(table.column("ids")[i].as_py(), np.int64), np.frombuffer(table.column("runs")[i].as_py(), np.int32)))
-        key, more, doc = np.concatenate(first), np.concatenate(second), np.concatenate(docs)
-        least, number = _distinct((key,) if narrow else (more, key), doc)
-        hit = np.bincount(number)[number] > 1 if narrow else doc[least][number] < doc
-        ends = np.cumsum(size)
-        bits = [np.packbits(hit[e - n : e]).tobytes() for e, n in zip(ends, size, strict=True)]
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "size": table.column("size"), "bits": pa.array(bits, pa.binary())})
-
-    return parts.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, size int, bits binary")
-
-
-def _by_chunk(bits: DataFrame) -> DataFrame:
-    return bits.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "size", "bits"))).alias("hits"))
-
-
-def _unpack(hits: list[dict], key: np.ndarray, buckets: int) -> np.ndarray:
-    """The bits of _shared() for a chunk, in the order of its keys."""
-    out = np.zeros(len(key), bool)
-    if hits:
-        got = np.concatenate([np.unpackbits(np.frombuffer(h["bits"], np.uint8), count=h["size"]) for h in hits])
-        out[bucket_order(key, buckets)] = got
-    return out
-
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(_NEVER).to_numpy(zero_copy_only=False)
 
-class _Chunks:
-    """Numbers for chunks that differ over all tasks of a job."""
 
-    def __init__(self):
-        self.next = TaskContext.get().partitionId() << 33
+_SYMBOLS = "chunk bigint, size int, low binary, span binary, index binary, doc binary, n int, names binary, held binary, docs array<struct<id: bigint, mark: bigint, n_words: bigint, sha: string>>"
 
-    def __call__(self) -> int:
-        self.next += 1
-        return self.next - 1
 
+def _first_pass(docs: DataFrame, window: int, chunk_bytes: int) -> DataFrame:
+    """docs has (id, mark, text). A row for each chunk: its documents, its symbols (size of them) and their n distinct names, each with how many documents here have it (2 for more)."""
+    document = pa.struct([("id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(_NEVER).to_numpy(zero_copy_only=False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for chunk, batch in enumerate(in_chunks(batches, 2, chunk_bytes), first):
+            w = Words(text_bytes(batch.column(2)), 0, batch.num_rows)
+            ids = _ids(batch.column(0))
+            whole = bytes(w.raw)
+            starts, ends = w.starts.tolist(), w.ends.tolist()
+            sha = [hashlib.sha256(b" ".join([whole[s:e] for s, e in zip(starts[i:j], ends[i:j], strict=True)])).hexdigest() for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            own = pa.StructArray.from_arrays([batch.column(0), batch.column(1), pa.array(w.counts()), pa.array(sha, pa.string())], fields=list(document))
+            p = Parse(w.hashes(), w.first)
+            at = np.flatnonzero(p.usable(window))
+            name, doc = p.name[at], p.doc[at]
+            least, index = _distinct((name,), ids[doc])
+            held = np.ones(len(least), np.uint8)
+            held[index[doc != doc[least][index]]] = 2
+            blobs = (p.low[at].astype(np.int32), (p.high[at] - p.low[at]).astype(np.uint8), index.astype(np.int32), doc.astype(np.int32))
+            columns = [pa.array([chunk], pa.int64()), pa.array([len(at)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([len(least)], pa.int32()), pa.array([name[least].tobytes()], pa.binary()), pa.array([held.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], names=["chunk", "size", "low", "span", "index", "doc", "n", "names", "held", "docs"])
+
+    return docs.mapInArrow(run, _SYMBOLS)
+
+
+def _read(batch: pa.RecordBatch, i: int, name: str, dtype) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[i].as_py(), dtype)
+
+
+def _ask_symbols(chunks: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield ask(batch.column("chunk")[i].as_py(), _read(batch, i, "names", np.uint64), _read(batch, i, "held", np.uint8).astype(np.int64), bits)
 
+    return chunks.select("chunk", "names", "held").mapInArrow(run, ROWS)
 
-def _first_pass(docs: DataFrame, buckets: int, window: int, chunk_bytes: int) -> DataFrame:
-    """docs has (id, mark, text). Rows with bucket -1: a chunk's documents and symbols; others: a bucket of its symbols."""
-    document = pa.struct([("id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("first", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Chunks()
-        for batch in batches:
-            column = text_bytes(batch.column(2))
-            for a, b in slices(column, chunk_bytes):
-                chunk = number()
-                w = Words(column, a, b)
-                ids = _ids(batch.column(0).slice(a, b - a))
-                whole = bytes(w.raw)
-                starts, ends = w.starts.tolist(), w.ends.tolist()
-                sha = [hashlib.sha256(b" ".join([whole[s:e] for s, e in zip(starts[i:j], ends[i:j], strict=True)])).hexdigest() for i, j in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-                own = pa.StructArray.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(w.counts()), pa.array(sha), pa.array(w.first[:-1].astype(np.int64))], fields=list(document))
-                p = Parse(w.hashes(), w.first)
-                at = np.flatnonzero(p.usable(window))
-                name, doc = p.name[at], p.doc[at]
-                least, index = _distinct((name,), ids[doc])
-                # a symbol that two documents of this chunk have needs no answer from others
-                twice = np.zeros(len(least), bool)
-                twice[index[doc != doc[least][index]]] = True
-                here = twice[index]
-                extra = [p.low[at].astype(np.int32).tobytes(), (p.high[at] - p.low[at]).astype(np.uint8).tobytes(), index.astype(np.int32).tobytes(), np.packbits(here).tobytes(), doc.astype(np.int32).tobytes(), name[least].tobytes()]
-                cols = {"chunk": [chunk], "bucket": [-1], "size": [len(at)], "keys": [None], "ids": [None], "runs": [None], "extra": [extra], "docs": [own]}
-                for bucket, keys, who, runs in _deal((name[least],), ids[doc[least]], buckets):
-                    for c, v in zip(cols, (chunk, bucket, len(keys) // 8, keys, who, runs, None, None), strict=True):
-                        cols[c].append(v)
-                lists = pa.ListArray.from_arrays(pa.array([0, *[len(own)] * len(cols["chunk"])], pa.int32()), own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols["chunk"], pa.int64()), *(pa.array(cols[c], pa.int32()) for c in ("bucket", "size")), *(pa.array(cols[c], pa.binary()) for c in ("keys", "ids", "runs")), pa.array(cols["extra"], pa.list_(pa.binary())), lists],
-                    names=list(cols),
-                )
-
-    return docs.mapInArrow(run, _PART + ", extra array<binary>, docs array<struct<id: bigint, mark: bigint, n_words: bigint, sha: string, first: bigint>>")
-
-
-def _candidates(chunks: DataFrame, buckets: int, window: int) -> DataFrame:
-    """Each document with the windows (starts and lengths of ranges) that are not settled by its symbols."""
+def _candidates(chunks: DataFrame, window: int) -> DataFrame:
+    """Each document with the windows (starts and lengths of ranges) that are not settled by its symbols: a window with one that no other document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                low, span, index, here, doc, names = (batch.column("extra")[i].as_py())
+                low, span = _read(batch, i, "low", np.int32).astype(np.int64), _read(batch, i, "span", np.uint8)
+                index, doc = _read(batch, i, "index", np.int32), _read(batch, i, "doc", np.int32)
+                alone = (answered(batch.column("hits")[i].as_py(), _read(batch, i, "names", np.uint64)) < 2)[index]
                 docs = batch.column("docs")[i].as_py()
-                n = batch.column("size")[i].as_py()
-                low, span = np.frombuffer(low, np.int32).astype(np.int64), np.frombuffer(span, np.uint8)
-                index, doc = np.frombuffer(index, np.int32), np.frombuffer(doc, np.int32)
-                names = np.frombuffer(names, np.uint64)
-                hit = np.unpackbits(np.frombuffer(here, np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
-                hit = hit | _unpack(batch.column("hits")[i].as_py() or [], names, buckets)[index] if n else hit
-                counts = np.array([d["n_words"] for d in docs], np.int64)
-                first = np.append(0, np.cumsum(counts))
+                first = np.append(0, np.cumsum(np.array([d["n_words"] for d in docs], np.int64)))
                 open_ = _window_starts(first, window)
-                miss = ~hit
-                open_ &= ~_settled(len(open_), low[miss], low[miss] + span[miss], first, doc[miss], window)
+                open_ &= ~_settled(len(open_), low[alone], low[alone] + span[alone], first, doc[alone], window)
                 edge = np.diff(open_.astype(np.int8), prepend=0, append=0)
                 edge = _split_at(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), first)
                 of = np.searchsorted(first, edge[0], "right") - 1
@@ -300,11 +235,10 @@ def _gather(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """Chunks of documents that have open windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Chunks()
-        for batch in batches:
-            for a, b in slices(text_bytes(batch.column(1)), chunk_bytes):
-                own = pa.StructArray.from_arrays([c.slice(a, b - a) for c in batch.columns], names=batch.schema.names)
-                yield pa.RecordBatch.from_arrays([pa.array([number()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], names=["chunk", "docs"])
+        first = TaskContext.get().partitionId() << 33
+        for number, batch in enumerate(in_chunks(batches, 1, chunk_bytes), first):
+            own = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], names=["chunk", "docs"])
 
     return docs.mapInArrow(run, _TEXTS)
 
@@ -317,27 +251,24 @@ def _one(batch: pa.RecordBatch, i: int) -> pa.StructArray:
     return batch.column("docs").slice(i, 1).flatten()
 
 
-def _second_pass(chunks: DataFrame, buckets: int, window: int) -> DataFrame:
+def _ask_windows(chunks: DataFrame, window: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 _, _, _, key, more, doc = _windows(*_of_chunk(_one(batch, i)), window)
-                rows = [(b, len(who) and len(k) // 12, k, who, runs) for b, k, who, runs in _deal((key, more), doc, buckets)]
-                types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                columns = [pa.array([batch.column("chunk")[i].as_py()] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "size", "keys", "ids", "runs"])
+                yield ask(batch.column("chunk")[i].as_py(), key, doc, bits, more)
 
-    return chunks.mapInArrow(run, _PART)
+    return chunks.mapInArrow(run, ROWS)
 
 
-def _last_pass(chunks: DataFrame, buckets: int, window: int) -> DataFrame:
+def _last_pass(chunks: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 docs = _one(batch, i)
                 w, ranges, ids = _of_chunk(docs)
-                at, index, here, key, _, _ = _windows(w, ranges, ids, window)
-                hit = at[here | _unpack(batch.column("hits")[i].as_py() or [], key, buckets)[index]]
+                at, index, here, key, more, doc = _windows(w, ranges, ids, window)
+                hit = at[here | (answered(batch.column("hits")[i].as_py(), key, more) < doc)[index]]
                 gone = _marks(len(w), hit, hit + window)
                 whole = w.raw.tobytes()
                 removed, kept = [], []
@@ -350,24 +281,23 @@ def _last_pass(chunks: DataFrame, buckets: int, window: int) -> DataFrame:
     return chunks.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, docs_per_bucket: int = DOCS_PER_BUCKET, chunk_bytes: int = SLICE_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words, one space between; null: all of them) for each row.
 
     Words covered by a window (that many consecutive words of one document) whose
     word sequence also starts in a document with a smaller doc_id are removed.
-    A null text has no words. A null doc_id is larger than any other. Rows that
-    repeat (the same doc_id) take nothing from each other. Other columns are left out.
+    A null text has no words. A null doc_id is larger than any other; one that is
+    no whole number is an error. Rows that repeat (the same doc_id) take nothing
+    from each other. Other columns are left out.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text"))
-    buckets = max(8, -(-docs.count() // docs_per_bucket))
-    parsed = materialise(_first_pass(rows, buckets, window, chunk_bytes), "symbols")
-    hits = _by_chunk(_shared(parsed.where("bucket >= 0").select("chunk", "bucket", "size", "keys", "ids", "runs"), True))
-    chunks = parsed.where("bucket < 0").select("chunk", "size", "extra", "docs").join(hits, "chunk", "left")
-    judged = materialise(_candidates(chunks, buckets, window), "candidates")
+    parsed = materialise(_first_pass(rows, window, chunk_bytes), "symbols")
+    shared = reduce_keys(_ask_symbols(parsed, fan_bits), "sum", parsed.select("chunk").count(), fan_bits)
+    judged = materialise(_candidates(parsed.join(shared, "chunk", "left"), window), "candidates")
     open_ = judged.where(F.col("ranges").isNotNull()).dropDuplicates(["id", "mark"]).select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "n_words", "ranges")
     texts = rows.join(open_, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2"))).select("id", "text", "n_words", "ranges")
     gathered = materialise(_gather(texts, chunk_bytes), "texts")
-    bits = _by_chunk(_shared(_second_pass(gathered, buckets, window), False))
-    cut = _last_pass(gathered.join(bits, "chunk", "left"), buckets, window)
+    least = reduce_keys(_ask_windows(gathered, window, fan_bits), "min", gathered.select("chunk").count(), fan_bits)
+    cut = _last_pass(gathered.join(least, "chunk", "left"), window)
     rest = judged.where(F.col("ranges").isNull()).select(F.col("id").alias("doc_id"), "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
     return cut.unionByName(rest)

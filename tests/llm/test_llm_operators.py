@@ -319,7 +319,7 @@ def plain_cut(rows, window):
 
 @pytest.mark.parametrize("chunk_bytes", [1 << 21, 3000])
 def test_substrings(docs, every, chunk_bytes):
-    out = substring_dedup.cut_repeats(docs, docs_per_bucket=40, chunk_bytes=chunk_bytes)
+    out = substring_dedup.cut_repeats(docs, chunk_bytes=chunk_bytes, fan_bits=2)
     want = plain_cut(every, 50)
     assert sum(w[2] for w in want) > 300
     same(out.select("doc_id", "n_words", "n_removed", "kept_sha256"), want)
@@ -552,21 +552,25 @@ def top_words(texts):
     return sorted({w for t in texts for w in t.split()})
 
 
-def test_exchange_over_many_levels(spark):
+@pytest.mark.parametrize("wide", (False, True))
+def test_exchange_over_many_levels(spark, wide):
     rng = np.random.default_rng(0)
     held = {c << 33: np.unique(rng.integers(0, 400, int(rng.integers(0, 120)))).astype(np.uint64) for c in range(37)}
     held[5] = np.zeros(0, np.uint64)
-    keys = {c: rng.permutation(common.mix(k)) for c, k in held.items()}
-    vals = {c: (k % np.uint64(50)).astype(np.int64) - 20 for c, k in keys.items()}
+    held = {c: rng.permutation(k) for c, k in held.items()}
+    # wide keys: eight share their first 64 bits
+    keys = {c: common.mix(k // np.uint64(8) if wide else k) for c, k in held.items()}
+    more = {c: (k % np.uint64(8)).astype(np.uint32) if wide else None for c, k in held.items()}
+    vals = {c: (common.mix(k) % np.uint64(50)).astype(np.int64) - 20 for c, k in held.items()}
     for how, reduce in (("sum", sum), ("min", min)):
         for bits in (1, 2, 8):
-            batches = [exchange.ask(c, keys[c], vals[c], bits) for c in keys]
-            rows = spark.createDataFrame(pa.Table.from_batches(batches)).select("node", "part", "n", "keys", "vals")
+            batches = [exchange.ask(c, keys[c], vals[c], bits, more[c]) for c in keys]
+            rows = spark.createDataFrame(pa.Table.from_batches(batches)).select("node", "part", "n", "keys", "more", "vals")
             got = {r.chunk: [h.asDict() for h in r.hits] for r in exchange.reduce_keys(rows, how, len(keys), bits).collect()}
             by_key = {}
             for c in keys:
-                for k, v in zip(keys[c].tolist(), vals[c].tolist(), strict=True):
+                for k, v in zip(held[c].tolist(), vals[c].tolist(), strict=True):
                     by_key.setdefault(k, []).append(v)
             assert set(got) == {c for c in keys if len(keys[c])}
             for c in keys:
-                assert exchange.answered(got.get(c), keys[c]).tolist() == [reduce(by_key[k]) for k in keys[c].tolist()]
+                assert exchange.answered(got.get(c), keys[c], more[c]).tolist() == [reduce(by_key[k]) for k in held[c].tolist()]
