@@ -80,3 +80,8 @@ def summary(valued: DataFrame, by: list[str]) -> DataFrame:
             "worst": F.when(F.col("n_open") > 1, F.col("worst")),
         }
     )
+
+
+def by_return(valued: DataFrame, *ties: str) -> DataFrame:
+    """Best return first, pending positions last."""
+    return valued.orderBy(F.col("ret").desc_nulls_last(), *ties)

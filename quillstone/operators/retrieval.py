@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,8 +117,6 @@ def term_rank(docs: DataFrame, doc: str, text: str, terms: tuple[str, ...], n: i
 
 def embed(df: DataFrame, text: str, model, column: str = "embedding") -> DataFrame:
     """model: a function from a list of texts to a list of equal-length float lists; called batch by batch on the executors."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         out = [v for i in range(0, len(texts), 16) for v in model(texts.iloc[i : i + 16].tolist())]
@@ -126,3 +125,24 @@ def embed(df: DataFrame, text: str, model, column: str = "embedding") -> DataFra
         return pd.Series(out)
 
     return df.withColumn(column, run(F.col(text)))
+
+
+def pack_floats(column: str):
+    """An array of numbers as 32-bit floats on end, little-endian."""
+    import numpy as np
+
+    @F.pandas_udf("binary")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return run(column)
+
+
+def unpack_floats(column: str):
+    import numpy as np
+
+    @F.pandas_udf("array<float>")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+
+    return run(column)

@@ -203,12 +203,26 @@ def q_exact_quote(spark, d):
     return R.find_quote(table(spark, d, "documents"), "doc_id", "text", quote)
 
 
-@query()
+_ESTIMATE = r"CAST(ceil(length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) / 3.6::DOUBLE + length(regexp_replace(text, '[^0-9]', '', 'g')) / 2.0::DOUBLE + (length(text) - length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) - length(regexp_replace(text, '[^0-9]', '', 'g')) - length(regexp_replace(text, '[^ \t]', '', 'g'))) * 0.8::DOUBLE) AS BIGINT)"
+
+
+@query(f"""WITH x AS (SELECT source, doc_id, {_ESTIMATE} AS tokens FROM documents), h AS (SELECT source, tokens AS s, count(*) AS n FROM x GROUP BY 1, 2), c AS (SELECT source, s, sum(n) OVER w AS met, sum(s * n) OVER w AS used, sum(n) OVER (PARTITION BY source) AS all_ FROM h WINDOW w AS (PARTITION BY source ORDER BY s)),
+f AS (SELECT source, max(s) AS most, max(met) AS met, max(used) AS used FROM c WHERE s * (all_ - met) + used <= 20000 GROUP BY 1), g AS (SELECT x.*, coalesce(f.most, -1) AS most, 20000 - coalesce(f.used, 0) AS rest, count(*) OVER (PARTITION BY x.source) - coalesce(f.met, 0) AS open_ FROM x LEFT JOIN f USING (source)),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, tokens > most ORDER BY doc_id) AS place FROM g)
+SELECT source, doc_id, tokens, CAST(CASE WHEN tokens <= most THEN tokens ELSE rest // open_ + CASE WHEN place <= rest % open_ THEN 1 ELSE 0 END END AS BIGINT) AS share FROM r""")
 def q_waterfill(spark, d):
     x = table(spark, d, "documents").select("source", "doc_id", token_estimate("text").alias("tokens"))
     return chunks.allocate(x, ["source"], "doc_id", "tokens", 20_000)
 
 
+@query(f"""WITH RECURSIVE {_LINES.replace("unnest(string_split(text, chr(10))) AS line", "unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord")}, b AS (SELECT doc_id, ord, ord % 5 = 0 AS head, {_ESTIMATE} AS n FROM lines),
+w AS (SELECT doc_id, ord, n AS size, 0 AS part FROM b WHERE ord = 0 UNION ALL SELECT b.doc_id, b.ord, CASE WHEN w.size + b.n > 300 OR (w.size >= 150 AND b.head) THEN b.n ELSE w.size + b.n END, CASE WHEN w.size + b.n > 300 OR (w.size >= 150 AND b.head) THEN w.part + 1 ELSE w.part END FROM w JOIN b ON b.doc_id = w.doc_id AND b.ord = w.ord + 1)
+SELECT doc_id, CAST(part AS INTEGER) AS n, CAST(max(part) OVER (PARTITION BY doc_id) + 1 AS INTEGER) AS total, CAST(count(*) AS INTEGER) AS n_blocks FROM w GROUP BY doc_id, part""")
+def q_pack_blocks(spark, d):
+    b = _lines(spark, d).select("doc_id", "ordinal", F.when(F.col("ordinal") % 5 == 0, "heading").otherwise("para").alias("kind"), F.col("line").alias("markdown"))
+    return chunks.chunk(b, ["doc_id"], most=300, least=150, repeated=0).select("doc_id", "n", "total", "n_blocks")
+
+
 @query("""WITH RECURSIVE days AS (SELECT DATE '2024-01-01' AS date UNION ALL SELECT date + 1 FROM days WHERE date < DATE '2024-12-31')
 SELECT CAST(date AS DATE) AS date FROM days WHERE isodow(date) < 6 AND date NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19', DATE '2024-05-27', DATE '2024-06-19', DATE '2024-07-04', DATE '2024-09-02', DATE '2024-10-14', DATE '2024-11-11', DATE '2024-11-28', DATE '2024-12-25')""")
 def q_business_days(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,3 +19,13 @@ SETTINGS = {
 def session(name: str = "quillstone", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder of spark.checkpoint.dir (where that is unset, as in tests, one of the driver's is set)."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
+        where = sc.getCheckpointDir()
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

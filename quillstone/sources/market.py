@@ -57,7 +57,7 @@ def caption_cues(json: Column) -> Column:
 def chapters(description: Column) -> Column:
     """Lines that start with a time: (seconds, title). Fewer than three, or times out of order, are no chapters: an empty array."""
     line = r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\s+[-–—]?\s*(\S.*)$"
-    lines = F.filter(F.transform(F.split(description, "\r?\n"), F.trim), lambda x: x.rlike(line))
+    lines = F.filter(F.transform(F.split(description, "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(line))
 
     def one(x: Column) -> Column:
         a, b, c = (F.regexp_extract(x, line, i) for i in (1, 2, 3))

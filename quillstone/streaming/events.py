@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,7 @@ def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) ->
 
 
 def surface_once(stream: DataFrame, key: list[str], time: str, late: str = "3 days") -> DataFrame:
-    """Each key once, with state for as long as late rows may come."""
+    """Each key once, with state for as long as late rows may come: a key that comes back later than that is new again (surface_for_good keeps them all)."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
@@ -55,3 +55,30 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     q = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cluster_key(by: str, last: str, n: str) -> Column:
+    """A window's key: it changes when a later day or one more kind comes in, so growth surfaces again."""
+    return F.concat_ws(":", F.col(by).cast("string"), F.col(last).cast("string"), F.col(n).cast("string"))
+
+
+def run_to_latest(df: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """Process all there is in update mode into files, one set a batch; read the last row of each key. Nothing is held on the driver."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    q = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = df.sparkSession.read.parquet(f"{path}/out").drop("batch")
+    one = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in key]), "__batch").alias("r"))
+    return one.select(*key, "r.*")
+
+
+def surface_for_good(stream: DataFrame, table, order: list[Column], checkpoint: str) -> None:
+    """Each micro-batch's new keys go into a table that keeps them for ever; a batch that is run again inserts nothing twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.insert_absent(batch, order)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

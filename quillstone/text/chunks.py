@@ -164,6 +164,21 @@ def allocate(df: DataFrame, by: list[str], part: str, size: str, budget: int) ->
     return out.select(*by, part, size, got.alias("share"))
 
 
+def paragraph_chunks(df: DataFrame, keep: list[str], text: str, size: int = 4000) -> DataFrame:
+    """A row for each of paragraphs(): keep, part (from 0), text."""
+    cut = F.udf(lambda t: paragraphs(t, size), "array<string>")
+    return df.select(*keep, F.posexplode(cut(text)).alias("part", "text"))
+
+
+def fit_budget(df: DataFrame, by: list[str], rank: list[str], position: str, size: str, budget: int) -> DataFrame:
+    """Of each key the rows that fit() takes in the order of rank: by, position. What was taken shrinks the budget for what follows, so a key is one fold over its (rank, position, size), gathered without its texts."""
+    entry = F.struct(*rank, F.col(position).alias("__p"), F.col(size).cast("bigint").alias("__s"))
+    g = df.where(F.col(size) <= budget).groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("__r"))
+    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast(f"array<{df.schema[position].dataType.simpleString()}>").alias("took"))
+    step = lambda acc, x: F.when(x["__s"] <= acc["left"], F.struct((acc["left"] - x["__s"]).alias("left"), F.concat(acc["took"], F.array(x["__p"])).alias("took"))).otherwise(acc)
+    return g.select(*by, F.explode(F.aggregate("__r", start, step, lambda acc: acc["took"])).alias(position))
+
+
 def trim(lists: dict[str, list[str]], floors: dict[str, int], target: int) -> dict[str, list[str]]:
     """Drop the last entry of each list in the order of floors, down to its floor, until the whole is within the target."""
     total = sum(estimate(x) for xs in lists.values() for x in xs)

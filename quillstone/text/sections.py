@@ -177,3 +177,9 @@ def locate(section: str, blocks: list[str], probe: int = 200, least: int = 40) -
     first = next(i for i, e in enumerate(ends) if e > start)
     last = next(i for i, e in enumerate(ends) if e >= stop)
     return first, last
+
+
+def located(df: DataFrame, keep: list[str], section: str, blocks: str) -> DataFrame:
+    """locate() for a section's text and its document's blocks (an array): keep, first, last; sections that are not found are left out."""
+    found = F.udf(lambda s, b: locate(s or "", [x or "" for x in b]), "struct<first: int, last: int>")
+    return df.select(*keep, found(section, blocks).alias("__at")).where(F.col("__at").isNotNull()).select(*keep, "__at.first", "__at.last")
