@@ -9,7 +9,9 @@ others at most; texts and passages outside these bounds are never compared.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -46,45 +48,87 @@ def bigrams(words: list[bytes]) -> frozenset[tuple[bytes, ...]]:
     return frozenset(zip(words, words[1:], strict=False)) if len(words) > 1 else frozenset((w,) for w in words)
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The whole texts in the folder licenses (public texts of their stewards), by file name."""
+    folder = resources.files(__package__).joinpath("licenses")
+    return tuple((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt"))
+
+
 class Templates:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, dice: float = DICE):
         self.dice = dice
         self.ratio = dice / (2 - dice)
-        self.sets = sorted(((len(b), name, b) for name, text in templates if (b := bigrams(words_of(text)))), key=lambda x: (x[0], x[1]))
-        self.sizes = np.array([n for n, _, _ in self.sets])
         known = [window_hashes(Words(text_bytes(pa.array([b" ".join(words_of(t)).decode()])), 0, 1).hashes(), 2) for _, t in templates]
         self.hashed = [(name, frozenset(x.tolist())) for (name, _), x in zip(templates, known, strict=True) if len(x)]
+        self.need = np.array([self.ratio * len(own) - 1e-9 for _, own in self.hashed])
         self.keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *known]))
         self.some = np.zeros(1 << 20, bool)
         self.some[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.shortest = max(1, int(np.ceil(self.ratio * self.sizes[0] - 1e-9))) if len(self.sizes) else 1
-
-    def passages(self, here: list[int], starts: list[int], own: frozenset[int]) -> Iterator[tuple[float, int, int]]:
-        """(Dice, first word, words) of each start's best passage that reaches the threshold.
-
-        The best of all passages starts and ends with a bigram of the template.
-        One with more than size * (2 / dice - 2) distinct other bigrams is below
-        the threshold however it goes on, so no start looks further.
+        # of each key the templates that have it
+        pairs = [(np.searchsorted(self.keys, np.array(sorted(own), np.uint64)), i) for i, (_, own) in enumerate(self.hashed)]
+        slot, which = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([p for p, _ in pairs], [np.full(len(p), i) for p, i in pairs]))
+        order = np.argsort(slot, kind="stable")
+        self.which, self.first = which[order], np.searchsorted(slot[order], np.arange(len(self.keys) + 1))
+
+    def best(self, here: list[int], own: frozenset[int]) -> tuple[float, int, int] | None:
+        """(Dice, first word, words) of the best passage (the earliest of equals), if it reaches the threshold.
+
+        The best of all passages starts and ends with a bigram of the template. One
+        with more than size * (2 / dice - 2) distinct other bigrams is below the
+        threshold however it goes on. Two pointers give for each start the longest
+        passage within that bound, and so the most template bigrams that any passage
+        from there can have; starts are tried in order of what that allows, until
+        it allows no more than what was found.
         """
         size = len(own)
         most = size * (2 / self.dice - 2) + 1e-9
-        for s in starts:
-            known, other, top, end = set(), set(), 0.0, s
-            for k in range(s, len(here)):
-                x = here[k]
-                if x not in own:
-                    other.add(x)
-                    if len(other) > most:
-                        break
-                elif x not in known:
-                    known.add(x)
-                    d = 2 * len(known) / (len(known) + len(other) + size)
-                    if d > top:
-                        top, end = d, k
-                    if len(known) == size:
-                        break
-            if top >= self.dice - 1e-9:
-                yield top, s, end - s + 2
+        known, other, n, e = Counter(), Counter(), len(here), 0
+        starts = []
+        for s, x in enumerate(here):
+            while e < n:
+                y = here[e]
+                if y in own:
+                    known[y] += 1
+                elif y in other or len(other) + 1 <= most:
+                    other[y] += 1
+                else:
+                    break
+                e += 1
+            if x in own:
+                starts.append((-2 * len(known) / (len(known) + size), s))
+            if e == s:
+                e = s + 1  # a bigram that no passage can hold
+                continue
+            held = known if x in own else other
+            held[x] -= 1
+            if not held[x]:
+                del held[x]
+        top = (0.0, 0, 0)
+        for bound, s in sorted(starts):
+            if -bound < max(top[0], self.dice - 1e-9) - 1e-12:
+                break
+            d, end = self._longest(here, s, own, most)
+            if (d, -s) > (top[0], -top[1]):
+                top = (d, s, end - s + 2)
+        return top if top[0] >= self.dice - 1e-9 else None
+
+    def _longest(self, here: list[int], s: int, own: frozenset[int], most: float) -> tuple[float, int]:
+        """The best Dice of the passages from s on, and where the shortest such ends."""
+        known, other, top, end, size = set(), set(), 0.0, s, len(own)
+        for k in range(s, len(here)):
+            x = here[k]
+            if x not in own:
+                other.add(x)
+                if len(other) > most:
+                    break
+            elif x not in known:
+                known.add(x)
+                d = 2 * len(known) / (len(known) + len(other) + size)
+                if d > top:
+                    top, end = d, k
+                if len(known) == size:
+                    break
+        return top, end
 
     def find(self, column: pa.Array, start: int, end: int) -> Iterator[tuple[int, str, float, int, int]]:
         """(text, licence, Dice, first word, words) of the best passage of each licence in each text."""
@@ -96,37 +140,39 @@ class Templates:
             return
         at = np.flatnonzero(self.some[(h >> np.uint64(44)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        at = at[self.keys[slot] == h[at]]
+        hit = self.keys[slot] == h[at]
+        at, slot = at[hit], slot[hit]
         text = np.searchsorted(w.first, at, "right") - 1
         inside = at + 2 <= w.first[text + 1]
-        at, text = at[inside], text[inside]
-        if not len(at):
-            return
-        edges = np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(at))
+        text, slot = text[inside], slot[inside]
+        # how many distinct bigrams of each template a text has: the others are never compared
+        both = np.unique(text * len(self.keys) + slot)
+        text, slot = both // len(self.keys), both % len(self.keys)
+        n = self.first[slot + 1] - self.first[slot]
+        entry = np.repeat(self.first[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs, counts = np.unique(np.repeat(text, n) * len(self.hashed) + self.which[entry], return_counts=True)
         best: dict[tuple[int, str], tuple[float, int, int]] = {}
-        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            t, hits = int(text[i]), set(h[at[i:j]].tolist())
-            if len(hits) < self.shortest:
-                continue
-            begin, stop = int(w.first[t]), int(w.first[t + 1]) - 1
-            here = h[begin:stop].tolist()
-            for name, own in self.hashed:
-                if len(hits & own) < self.ratio * len(own) - 1e-9:
-                    continue
-                starts = [k for k in (at[i:j] - begin).tolist() if here[k] in own]
-                for d, s, n in self.passages(here, starts, own):
-                    if (d, -s, n) > (lambda v: (v[0], -v[1], v[2]))(best.get((t, name), (0.0, 0, 0))):
-                        best[t, name] = (d, s, n)
+        held, here = -1, []
+        for pair in pairs[counts >= self.need[pairs % len(self.hashed)]].tolist():
+            t, i = divmod(pair, len(self.hashed))
+            if t != held:
+                held, here = t, h[int(w.first[t]) : int(w.first[t + 1]) - 1].tolist()
+            name, own = self.hashed[i]
+            got = self.best(here, own)
+            if got and ((old := best.get((t, name))) is None or (got[0], -got[1], got[2]) > (old[0], -old[1], old[2])):
+                best[t, name] = got
         for (t, name), (d, s, n) in sorted(best.items()):
             yield t, name, d, s, n
 
 
-def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: tuple[tuple[str, str], ...] = TEMPLATES, dice: float = DICE) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: tuple[tuple[str, str], ...] | None = None, dice: float = DICE) -> DataFrame:
     """A row for each licence in each text: the keep columns, license, dice, first_word, n_words (of its best passage; the earlier of equals).
 
     Null and empty texts have none. Rows that repeat give their rows again; other
-    columns are left out. No shuffle: templates are few and go with the task.
+    columns are left out. No shuffle: templates (notices and whole texts where none
+    are given; some 150 KB) go with the task. Without templates nothing is found.
     """
+    templates = (*TEMPLATES, *full_texts()) if templates is None else templates
     kept = docs.select(*keep, docs[text].alias("__text"))
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
 

@@ -56,3 +56,40 @@ def test_all_passages_by_brute_force():
     want = {(i, name): d for i, t in enumerate(texts) for name, d in brute(t, templates).items()}
     assert got.keys() == want.keys() and len(want) > 100
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_whole_texts():
+    """Each steward's whole text inside other words, as it is and with holders, clauses and changed words, is found as itself; a part of it far under the threshold is not."""
+    rng = random.Random(8)
+    full = license_scan.full_texts()
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense"} <= {n for n, _ in full}
+    texts = []
+    for _, t in full:
+        words = t.split()
+        changed = [w if rng.random() > 0.02 else "changed" for w in words]
+        put = words[: len(words) // 2] + "copyright by Jane Doe and all the contributors of this project".split() + words[len(words) // 2 :]
+        texts += [" ".join(w) for w in (["intro", *words, "outro"], changed, put, words[: len(words) // 3])]
+    templates = (*license_scan.TEMPLATES, *full)
+    got = found(texts, templates)
+    for i, (name, t) in enumerate(full):
+        for k in range(3):
+            d = got[4 * i + k, name]
+            assert d > (0.9 if k else 0.999) and d == max(x for (j, _), x in got.items() if j == 4 * i + k)
+        if len(t.split()) > 400:
+            assert not {n for j, n in got if j == 4 * i + 3} & {name}
+
+
+def test_counts_prune_nothing():
+    """Against every passage compared with every template, texts mixed from the notices' own words."""
+    rng = random.Random(11)
+    templates = tuple((n, t) for n, t in license_scan.TEMPLATES if len(t.split()) < 20)
+    pool = [w for _, t in templates for w in t.split()]
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += [w if rng.random() > 0.1 else rng.choice(pool) for w in rng.choice(templates)[1].split()] + rng.choices(pool, k=rng.randrange(0, 6))
+        texts.append(" ".join(words))
+    got = found(texts, templates)
+    want = {(i, n): d for i, t in enumerate(texts) for n, d in brute(t, templates).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 60
