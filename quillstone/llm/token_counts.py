@@ -2,15 +2,17 @@
 
 Texts are cut where the vocabulary can join nothing, the distinct pieces of a
 batch are held as one ragged numpy array of symbols, and in each round every
-piece applies its own lowest-rank pair (the leftmost of equals), all pieces at
-once. What is left when no pair is known counts: a known symbol as one token, an
-unknown character as its UTF-8 bytes. Only batches are held, so memory does not
-grow with the input, and nothing is shuffled.
+piece applies its own lowest-rank pair, all pieces at once. Where a join can make
+no pair of that rank or a lower one, a piece applies the pair wherever it occurs
+(from the left, without overlap), else the leftmost occurrence alone: both give
+what one join at a time would. So the rounds of a piece are about as many as the
+ranks that it meets, however long it is. What is left when no pair is known
+counts: a known symbol as one token, an unknown character as its UTF-8 bytes. Only
+batches are held, so memory does not grow with the input, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +24,8 @@ from pyspark.sql import DataFrame
 
 _SPACE = "▁"
 _NONE = np.int64(1 << 40)
-#: Pieces beyond this many characters are merged one by one with a heap: rounds over them would be as many as they are long.
-LONG = 1024
+#: Characters of pieces that are merged at once (a longer piece goes alone).
+AT_ONCE = 1 << 20
 #: Pieces whose counts a worker remembers, at most.
 REMEMBERED = 600_000
 
@@ -73,18 +75,16 @@ class PieceCounter:
         known = self.known.__getitem__
         return [sum(map(known, pieces)) for pieces in cut]
 
-    def pieces(self, pieces: list[str], at_once: int = 50_000) -> list[int]:
+    def pieces(self, pieces: list[str]) -> list[int]:
         """Tokens of each of these, none of which is empty."""
-        out = [0] * len(pieces)
-        short = [i for i, p in enumerate(pieces) if len(p) <= LONG]
-        for k in range(0, len(short), at_once):
-            part = short[k : k + at_once]
-            for i, n in zip(part, self._arrays([pieces[i] for i in part]).tolist(), strict=True):
-                out[i] = n
-        for i, p in enumerate(pieces):
-            if len(p) > LONG:
-                out[i] = self._heap(p)
-        return out
+        out, part, size = [], [], 0
+        for p in pieces:
+            if part and size + len(p) > AT_ONCE:
+                out += self._arrays(part).tolist()
+                part, size = [], 0
+            part.append(p)
+            size += len(p)
+        return out + (self._arrays(part).tolist() if part else [])
 
     def _hash_pairs(self) -> None:
         """An open-addressed table of the pairs: of each key's first free slots, at most probes are tried."""
@@ -102,6 +102,11 @@ class PieceCounter:
             self.probes += 1
         self.rank = np.array([r for r, _ in self.pairs.values()], np.int64)
         self.into = np.array([m for _, m in self.pairs.values()], np.int32)
+        # the lowest rank of the pairs that a symbol is in: a join into a symbol of higher ones makes nothing that is due sooner
+        lowest = np.full(self.width, _NONE)
+        for (a, b), (r, _) in self.pairs.items():
+            lowest[a], lowest[b] = min(lowest[a], r), min(lowest[b], r)
+        self.lowest = lowest
 
     def _first_slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -136,18 +141,26 @@ class PieceCounter:
         rank[np.cumsum(lengths) - 1] = _NONE
         while len(sym):
             starts = np.flatnonzero(np.diff(piece, prepend=-1))
-            best = np.minimum.reduceat((rank << 20) + (np.arange(len(sym)) - np.repeat(starts, np.diff(np.append(starts, len(sym))))), starts)
-            going = best < _NONE << 20
+            lengths = np.diff(np.append(starts, len(sym)))
+            best = np.minimum.reduceat(rank, starts)
+            going = best < _NONE
             if not going.all():  # these are done
-                lengths = np.diff(np.append(starts, len(sym)))
                 total += np.bincount(piece, weights=self.costs[sym] * np.repeat(~going, lengths), minlength=len(total)).astype(np.int64)
                 stay = np.repeat(going, lengths)
                 sym, piece, rank, into = sym[stay], piece[stay], rank[stay], into[stay]
                 if not len(sym):
                     break
-                starts = np.cumsum(np.append(0, lengths[going][:-1]))
-                best = best[going]
-            at = starts + (best & 0xFFFFF)
+                lengths, best = lengths[going], best[going]
+            due = np.repeat(best, lengths)
+            at = np.flatnonzero(rank == due)
+            # of neighbours that are due the first, third, ...: each takes the symbol after it
+            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            risky = self.lowest[into[at]] <= due[at]
+            if risky.any():
+                of = piece[at]
+                alone = np.isin(of, of[risky])
+                at = at[~alone | (np.diff(of, prepend=-1) != 0)]
             sym[at] = into[at]
             rank[at] = rank[at + 1]  # no pair after the last symbol of a piece
             gone = np.ones(len(sym), bool)
@@ -163,28 +176,6 @@ class PieceCounter:
                     rank[where], into[where] = self._look_up(sym[where], sym[where + 1])
         return total
 
-    def _heap(self, piece: str) -> int:
-        """The same rule, one pair at a time: lowest rank first, then leftmost."""
-        unknown = self.width - 1
-        sym = self.of_char[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist()
-        n = len(sym)
-        total = sum(len(c.encode()) for c, s in zip(piece, sym, strict=True) if s == unknown)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(p[0], i, sym[i], sym[i + 1], p[1]) for i in range(n - 1) if (p := self.pairs.get((sym[i], sym[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], alive[j], after[i] = m, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x in (i, before[i]):
-                if x >= 0 and after[x] < n and (p := self.pairs.get((sym[x], sym[after[x]]))):
-                    heapq.heappush(heap, (p[0], x, sym[x], sym[after[x]], p[1]))
-        return total + sum(self.cost[s] for s, ok in zip(sym, alive, strict=True) if ok and s != unknown)
-
 
 @lru_cache(2)
 def counter(path: str) -> PieceCounter:

@@ -360,6 +360,20 @@ def test_pieces():
     assert own.count(texts) == [len(sp.encode(t or "")) for t in texts]
 
 
+def test_long_pieces():
+    """Unspaced texts far beyond a word: letters alone, syllables, base64, runs and a text of one character over and over, next to short ones."""
+    import base64
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), token_counts.PieceCounter(MODEL)
+    rng = np.random.default_rng(5)
+    pick = lambda parts, n: "".join(rng.choice(parts, n))
+    syllables = ["the", "ing", "ed", "er", "tion", "qu", "an", "re", "st", "on", "é", "ß", "ñ", "語"]
+    texts = [pick(list("abcdefghijklmnopqrstuvwxyz"), 100_000), pick(syllables, 30_000), base64.b64encode(rng.bytes(60_000)).decode(), "ab" * 50_000, "a" * 100_000, "ä語" * 20_000, "short one", " " * 20_000]
+    texts += [pick(syllables + [" "], 300) for _ in range(50)]
+    assert own.count(texts) == [len(sp.encode(t)) for t in texts]
+
+
 # --- 9 SimHash
 
 
