@@ -3,8 +3,12 @@
 Features of a whole text are shares of bytes and of byte classes, gathered with
 numpy. The model is linear and minimises the non-negative unbiased risk
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) with the logistic loss, from trusted
-positives and unlabelled texts; pi is the estimated class prior. It is fitted on
-a bounded sample on the driver, and its weights (a few KB) go to the executors.
+positives and unlabelled texts. pi, the share of positives among the unlabelled, is
+estimated from those two alone (best-bin estimation: the least ratio, with its
+error bound, of the unlabelled's to the positives' share above a score's threshold,
+for scores that tell the two apart and that were learnt on other rows). No label
+but the trusted positives' is looked at. The model is fitted on a bounded sample on
+the driver, and its weights (a few KB) go to the executors.
 """
 
 from __future__ import annotations
@@ -63,9 +67,29 @@ class Model:
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
-def estimate_prior(n_positive: int, n_labelled: int) -> float:
-    """The share of positives among labelled rows, kept off 0 and 1 by one row of each kind."""
-    return (n_positive + 1) / (n_labelled + 2)
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The least, over thresholds, of the unlabelled's share above one over the positives', where its confidence bound is least."""
+    bound = np.sqrt(np.log(4 / delta) / 2 / len(unlabelled)) + np.sqrt(np.log(4 / delta) / 2 / len(positive))
+    at = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), at, "left") / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), at, "left") / len(unlabelled)
+    k = int(np.argmin((u + bound) / p))
+    return float(u[k] / p[k])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, kept within 0.02 and 0.98; 0.5 where there are too few rows to tell.
+
+    Rows of each half are scored by a model that tells positives from unlabelled ones of the other half.
+    """
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        p, u = positive[k::2], unlabelled[k::2]
+        model = _descend(p, u, lambda sp, su: ((sp - 1) / len(sp), su / len(su)), 0.0, 150, 0.05, max(1e-3, 3 / len(p)))  # noqa: B023
+        found.append(best_bin(model.score(positive[1 - k :: 2]), model.score(unlabelled[1 - k :: 2])))
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
@@ -75,29 +99,40 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     """
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), np.zeros(WIDTH), 0.0, prior)
-    decay = max(decay, 3 / len(positive))
+
+    def slopes(sp: np.ndarray, su: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the risk by each row's z, from the rows' scores."""
+        tiny = 1e-12
+        negative = -np.log(1 - su + tiny).mean() + prior * np.log(1 - sp + tiny).mean()
+        if negative >= 0:
+            return prior * (sp - 1) / len(sp) - prior * sp / len(sp), su / len(su)
+        return prior * sp / len(sp), -su / len(su)
+
+    model = _descend(positive, unlabelled, slopes, float(np.log(prior / (1 - prior))), steps, rate, max(decay, 3 / len(positive)))
+    return Model(model.mean, model.scale, model.weights, model.bias, prior)
+
+
+def _descend(positive: np.ndarray, unlabelled: np.ndarray, slopes, bias: float, steps: int, rate: float, decay: float) -> Model:
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-2
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
-    w, b = np.zeros(WIDTH), float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(WIDTH), bias
     m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     for t in range(1, steps + 1):
         zp, zu = p @ w.astype(np.float32) + b, u @ w.astype(np.float32) + b
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_pos, gp_neg, gu = (sp - 1) / len(p), sp / len(p), su / len(u)
-        if negative >= 0:
-            dp, du = prior * gp_pos - prior * gp_neg, gu
-        else:
-            dp, du = prior * gp_neg, -gu
-        g = np.append(dp @ p + du @ u + decay * w, dp.sum() + du.sum())
+        dp, du = slopes(1 / (1 + np.exp(-zp.astype(np.float64))), 1 / (1 + np.exp(-zu.astype(np.float64))))
+        g = np.append(dp.astype(np.float32) @ p + du.astype(np.float32) @ u + decay * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(mean, scale, w, float(b), prior)
+    return Model(mean, scale, w, float(b), 0.5)
+
 
+def _rows(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> np.ndarray:
+    """Features of the documents of these (bounded) ids, on the driver, in an order that does not depend on their arrival.
 
-def _rows(df: DataFrame, text: str) -> np.ndarray:
-    """Features of these (bounded) rows, on the driver, in an order that does not depend on their arrival."""
+    An id that repeats counts once, with the least of its texts, so rows are bounded as ids are.
+    """
+    df = docs.select(doc_id, text).join(F.broadcast(ids), doc_id, "left_semi").groupBy(doc_id).agg(F.min(text).alias(text))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = text_bytes(batch.column(0))
@@ -112,18 +147,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """learn_from: a condition on doc_id for the rows whose labels (and texts) may be used; None: all.
 
     At most positives trusted rows (label 1) and unlabelled rows are used, those
-    first by a hash of the id; labels of the unlabelled are not looked at. The
-    prior is estimated over all labels that may be used.
+    first by a hash of the id; labels of the unlabelled are not looked at. Without
+    positives, or without any text, every score is 0.5.
     """
     ok = F.lit(True) if learn_from is None else learn_from
-    used = labels.select(doc_id, label).where(ok & F.col(doc_id).isNotNull() & F.col(label).isNotNull())
-    n = used.agg(F.count_if(F.col(label) == 1), F.count(F.lit(1))).first()
-    order = (F.xxhash64(doc_id), F.col(doc_id))
-    trusted = used.where(F.col(label) == 1).select(doc_id).distinct().orderBy(*order).limit(positives)
-    p = _rows(docs.select(doc_id, text).join(F.broadcast(trusted), doc_id, "left_semi"), text)
+    trusted = labels.select(doc_id, label).where(ok & F.col(doc_id).isNotNull() & (F.col(label) == 1)).select(doc_id).distinct()
+    p = _rows(docs, trusted.orderBy(F.xxhash64(doc_id), doc_id).limit(positives), doc_id, text)
     web = docs.select(doc_id).where(ok & F.col(doc_id).isNotNull()).orderBy(F.xxhash64(F.lit(1), doc_id), doc_id).limit(unlabelled).distinct()
-    u = _rows(docs.select(doc_id, text).join(F.broadcast(web), doc_id, "left_semi"), text)
-    return fit(p, u, estimate_prior(n[0], n[1]))
+    u = _rows(docs, web, doc_id, text)
+    return fit(p, u, estimate_prior(p, u))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
