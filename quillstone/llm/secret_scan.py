@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, materialise
 
@@ -25,7 +26,8 @@ KINDS = {
     "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
-    "pem": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 0, 40),
+    # its lines (of 20 characters or more, the last of any length before the end mark), so that prose after a header is no key
+    "pem": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*(?:Proc-Type|DEK-Info): [^\n]*)*(?:\s*[A-Za-z0-9+/=]{20,})+(?:\s*[A-Za-z0-9+/=]+(?=\s*-----END))?(?:\s*-----END [A-Z ]{0,20}PRIVATE KEY-----)?", 0, 40),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
     "vendor": (r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 0, 16),
     "url": (r"://[A-Za-z0-9._~-]{1,64}:([^\s/@:]{6,128})@", 1, 6),
@@ -128,19 +130,27 @@ def redact(docs: DataFrame, repository: Column, owner: Column, text: str = "text
     each = find(*args)
     with_secrets = materialise(each.where(F.size("__found") > 0).withColumn("__row", F.monotonically_increasing_id()), "secrets")
     found = classify(with_secrets, **limits)
-    whole = F.col(f"__doc.`{text}`")
-    spans = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))
-
-    def put(acc: Column, x: Column) -> Column:
-        gap = F.substring(whole, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
-        new = x["start"] >= acc["at"]
-        return F.struct(F.when(new, F.concat(acc["done"], gap, F.lit(marker))).otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], x["end"]).alias("at"))
-
-    walked = F.aggregate(spans, start, put, lambda acc: F.concat(acc["done"], F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole))))
-    new = F.when(F.size("spans") > 0, walked).otherwise(whole)
-    out = {c: F.col(f"__doc.`{c}`") for c in names} | {text: new}
+    changed = found.select("__doc", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), F.col(f"__doc.`{text}`").alias("__t"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = [cut(t, a, b, marker) for t, a, b in zip(*(batch.column(k).to_pylist() for k in (3, 1, 2)), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(a) for a in batch.column(1).to_pylist()]), pa.array(new, pa.string())], names=["__doc", "__cut", "__new"])
+
+    walked = arrow_map(changed, run, T.StructType([T.StructField("__doc", changed.schema["__doc"].dataType), T.StructField("__cut", T.BooleanType()), T.StructField("__new", T.StringType())]))
+    out = {c: F.col(f"__doc.`{c}`") for c in names} | {text: F.col("__new")}
     if "n_chars" in names and "n_chars" != text:
-        out["n_chars"] = F.when(F.size("spans") > 0, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+        out["n_chars"] = F.when(F.col("__cut"), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
     clean = each.where(F.size("__found") == 0).select("__doc.*")
-    return clean.unionByName(found.select(*(v.alias(c) for c, v in out.items())))
+    return clean.unionByName(walked.select(*(v.alias(c) for c, v in out.items())))
+
+
+def cut(text: str | None, starts: list[int], ends: list[int], marker: str) -> str | None:
+    """text with marker in place of each span, in one walk; overlapping spans are one."""
+    if not starts:
+        return text
+    out, at = [], 0
+    for a, b in sorted(zip(starts, ends, strict=True)):
+        if a >= at:
+            out += [text[at:a], marker]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
