@@ -33,10 +33,12 @@ def tuned(spark: SparkSession, rows: int = 512) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; one of its own only where that is unset."""
+    """The shared folder in spark.checkpoint.dir; one of its own only where that is unset and the session is local, as in tests."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
@@ -58,6 +60,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def superseded(df: DataFrame) -> None:
+    """Remove a table of materialise() that nothing will read again."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for entry in [e for e in _written if any(f.endswith(e[1].split(":", 1)[-1]) for f in folders)]:
+        _delete(*entry)
+        _written.remove(entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
@@ -66,14 +81,12 @@ _written: list[tuple[SparkSession, str]] = []
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended before: its folder goes with it
             return
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """fn on each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

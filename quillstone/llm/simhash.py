@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise
+from .common import arrow_map, materialise, superseded
 
 BITS, DISTANCE = 64, 3
 #: Lowest bit and width of each segment.
@@ -162,9 +162,12 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.select("u", "v").union(now.select("v", "u"))
         large = _least(both, state[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = materialise(large, "edges")
+        superseded(now)
         least = _least(large, state[0])
         small = least.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         now = materialise(small, "edges")
+        superseded(large)
         last, state = state, _state(now)
         if state == last:
             break
