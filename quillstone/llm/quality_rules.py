@@ -210,6 +210,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, doc_id: str =
 def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = 20_000, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> list[Rule]:
     """Learn on a sample of at most rows labelled documents (label 0: bad); their counts come to the driver, nothing else."""
     sample = labelled_sample(docs.select(doc_id, text), labels.select(doc_id, label), rows, doc_id, label)
+    sample = sample.groupBy(doc_id).agg(F.min(text).alias(text), F.min("__label").alias("__label"))  # an id that repeats counts once, with the least of its texts
     table = attributes(with_counts(sample, text, ("__label",)).where("n_words > 0")).select("__label", *ATTRIBUTES).toPandas()
     table = table.sort_values(list(table.columns))  # the order of arrival does not count
     return learn({k: table[k].to_numpy() for k in ATTRIBUTES}, table["__label"].to_numpy() == 0)
