@@ -11,11 +11,13 @@ from .common import documents, held_out, tuned
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in every text: their best passage's Dice."""
     tuned(spark)
     return license_scan.scan(documents(spark, sf_dir))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, the base test and the learned list's verdict."""
     tuned(spark)
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
     rules = quality_rules.fit_rules(docs, labels)
@@ -24,16 +26,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of every text (lengths: words and one end) and their bins."""
     tuned(spark)
     return packing.pack_texts(documents(spark, sf_dir))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain."""
     tuned(spark)
     return decontamination.contained(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text by a model that learnt from rows whose crc32 modulo 3 is not 1."""
     tuned(spark)
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
     model = quality_classifier.train(docs, labels, learn_from=~held_out("doc_id", 3, 1))
@@ -42,28 +47,33 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text; repositories are source and language, owners are sources."""
     tuned(spark)
     scanned = secret_scan.scan(documents(spark, sf_dir), F.concat_ws("/", "source", "lang"), F.col("source"))
     return secret_scan.digest(secret_scan.classify(scanned))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every text keeps without windows of 50 words that a smaller doc_id has too."""
     tuned(spark)
     return substring_dedup.cut_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text."""
     tuned(spark)
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text."""
     tuned(spark)
     groups = simhash.grouped(documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every text by a model that learnt from rows whose crc32 modulo 7 is not 2."""
     tuned(spark)
     scored = lm_scoring.score(documents(spark, sf_dir), ~held_out("doc_id", 7, 2))
     return scored.withColumn("held_out", held_out("doc_id", 7, 2))

@@ -42,3 +42,46 @@ def test_labels_keep_good(spark):
     labels = common.documents(spark, larger, "labels")
     good, bad = labels.where("quality = 1"), labels.where("quality = 0")
     assert kept.join(good, "doc_id").count() >= 0.98 * good.count() and kept.join(bad, "doc_id").count() <= 0.4 * bad.count()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, root long, spans string, n_tokens string, __row long"
+
+
+def _tables(spark, path, docs, labels, benchmark):
+    spark.createDataFrame(docs, ODD).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("labelled", (True, False))
+def test_odd_input_through_all_stages(spark, tmp_path, odd_rows, labelled):
+    """Nulls in every column, empty and very long texts, repeated rows, columns that clash with names the operators use."""
+    import corpus_pipeline
+    from quillstone.llm import common
+
+    docs = [(*r, None, 7, None, "x", "y", 1) for r in odd_rows]
+    labels = [(i % 9 if i else None, i % 2, None) for i in range(20)] + [(4, None, 0)] if labelled else []
+    sf = _tables(spark, tmp_path / "sf", docs, labels, [(1, "word3 word4 word5 word6 word7 word8"), (None, "q"), (2, None), (2, "")])
+    rows = common.documents(spark, sf)
+    columns = rows.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = rows
+        rows = common.materialise(stage(spark, rows, sf), "odd")
+        if name != "best-fit packing":
+            assert rows.columns == columns and rows.subtract(before.withColumn("text", before["text"])).count() <= (1 if name == "secret scans" else 0)
+        if name == "SimHash near-dedup":
+            assert rows.count() == rows.select("doc_id", "text").distinct().count()
+        if name == "benchmark decontamination":
+            assert rows.where("text like 'word0 word1%'").count() == 0
+        if name == "secret scans":
+            assert rows.where("text like '%hunter2secret%' or text like '%AKIA%'").count() == 0
+            last = rows.count()
+    assert rows.select("doc_id").distinct().count() <= last and corpus_pipeline.run(spark, sf).count() == rows.count()
+
+
+def test_empty_tables_through_all_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = _tables(spark, tmp_path / "sf", [], [], [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
