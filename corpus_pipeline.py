@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontamination, packing, quality_classifier, secret_scan, simhash
+from quillstone.llm import decontamination, packing, quality_classifier, secret_scan, simhash, token_counts
 from quillstone.llm.common import documents, materialise, tuned
 
 
@@ -37,9 +38,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each chunk of each document with its bin."""
+    """Each chunk of each document with its bin; lengths are tokens of a public tokenizer, and one end for a text that has any."""
     tuned(spark)
-    return packing.pack_texts(docs)
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return packing.pack(counted.select("doc_id", (F.col("n_tokens") + (F.col("n_tokens") > 0).cast("bigint")).alias("n_tokens")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
