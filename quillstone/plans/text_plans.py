@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions.dims import ONE_TIME_PHRASES, PROTECTED_PHRASES, STRIP_RULES
 from ..functions.expr import token_estimate
 from ..operators import retrieval as R
 from ..operators.events import surface_new
+from ..session import scratch
 from ..sources import filings as SF
 from ..streaming import events as ST
 from ..text import boilerplate, briefs, chunks, layout, quotes, recurrence, transcripts
@@ -247,10 +245,7 @@ def _stream(spark, d):
 
 
 def _checkpoint(spark) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    import uuid
-
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}" if where else tempfile.mkdtemp(prefix="quillstone-stream-")
+    return scratch(spark, "stream")
 
 
 @query("SELECT event_type || ':' || user_id AS key, count(*) > 0 AS seen FROM events GROUP BY 1")
@@ -266,14 +261,8 @@ def q_stream_cluster(spark, d):
     s = _stream(spark, d)
     kinds = F.size(F.collect_set("event_type")).cast("bigint")
     c = ST.sliding_clusters(s, ["user_id"], "at", "1 day", "1 day", "3 days", n=F.count(F.lit(1)), n_kinds=kinds)
-    at = _checkpoint(spark)
-    q = c.writeStream.outputMode("complete").format("memory").queryName("q" + at[-32:].replace("-", "").replace("/", "")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(q.name).select("user_id", F.to_date("window_start").alias("day"), "n", "n_kinds")
-
-
-def clear(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+    out = ST.run_to_latest(c, _checkpoint(spark), ["user_id", "window_start"])
+    return out.select("user_id", F.to_date("window_start").alias("day"), "n", "n_kinds")
 
 
 @query("SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents WHERE doc_id >= 100 AND NOT EXISTS (SELECT 1 FROM documents s WHERE s.doc_id < 100 AND s.lang = documents.lang AND s.source = documents.source)) WHERE rn = 1")

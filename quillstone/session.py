@@ -22,10 +22,12 @@ def session(name: str = "quillstone", master: str | None = None, **settings: str
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir (where that is unset, as in tests, one of the driver's is set)."""
+    """A fresh path in the shared folder of spark.checkpoint.dir (where that is unset in a local session, as in tests, one of the driver's is set)."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
         where = sc.getCheckpointDir()
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
