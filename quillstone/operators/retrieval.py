@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import SEARCH_STOPWORDS
 from ..functions.expr import norm_punct, safe_div
+from ..session import written
 
 # BM25's parameters, its least idf, and the fusion constant.
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
@@ -29,13 +30,14 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, t
 
     queries (a stated few) have an array of distinct terms. Postings are built for
     their terms only: the set of all terms is one row, so texts lose every other
-    token before anything is exploded. idf is floored, and each partition keeps its
+    token before anything is exploded. Texts are read once: lengths and hits are a
+    small table, which the counts, the idf and the scores come from. idf is floored, and each partition keeps its
     own n best before ranks are taken.
     """
     each = queries.select(query, F.explode(terms).alias("term"))
     wanted = F.broadcast(each.agg(F.collect_set("term").alias("__w")))  # one row, of the queries' terms
     lengths = docs.select(doc, tokens(F.col(text)).alias("t")).crossJoin(wanted)
-    lengths = lengths.select(doc, F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains("__w", x)).alias("hit"))
+    lengths = written(lengths.select(doc, F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains("__w", x)).alias("hit")), "lengths")
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     tf = lengths.select(doc, "dl", F.explode("hit").alias("term")).groupBy(doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,3 +31,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
         where = sc.getCheckpointDir()
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: what several parts of a plan use is not computed again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

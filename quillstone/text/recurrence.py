@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import EXPLANATION_STOPWORDS, ONE_TIME_PHRASES
 from ..functions.expr import first_of, safe_div
+from ..session import written
 
 
 def content_tokens(text: Column, stopwords: tuple[str, ...] = EXPLANATION_STOPWORDS) -> Column:
@@ -25,24 +26,29 @@ def repeated(claims: DataFrame, passages: DataFrame, entity: str, share: float =
 
     An inverted index joins them on (entity, token): a passage that holds 60 % of n
     tokens holds one of any n - ceil(0.6 n) + 1 of them, so only that many of a
-    claim's tokens (its rarest for the entity) are looked up. Every pair that
-    passes is then counted exactly. Claims and passages of equal tokens are
-    compared once; a claim_id is one claim.
+    claim's tokens (its rarest for the entity) are looked up. The index has ids in
+    place of token sets; every pair that it gives is then counted exactly. Claims
+    and passages of equal tokens are compared once; a claim_id is one claim.
     """
     sets = lambda c: F.array_sort(content_tokens(F.col(c)))
-    c = claims.select("claim_id", entity, "ord", sets("text").alias("tokens")).where(F.size("tokens") >= tokens)
-    p = passages.select(entity, F.col("filing").alias("p_filing"), F.col("ord").alias("p_ord"), sets("text").alias("p_tokens")).where(F.col("p_ord").isNotNull())
-    by_token = p.select(entity, "p_tokens").distinct().select(entity, "p_tokens", F.explode("p_tokens").alias("token"))
-    df = by_token.groupBy(entity, "token").agg(F.count(F.lit(1)).alias("df"))
-    each = c.select(entity, "tokens").distinct().select(entity, "tokens", F.explode("tokens").alias("token")).join(df, [entity, "token"], "left")
-    ranked = each.groupBy(entity, "tokens").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
-    need = F.size("tokens") - F.ceil(F.lit(share) * F.size("tokens") - F.lit(1e-9)) + 1
-    probes = ranked.select(entity, "tokens", F.explode(F.slice("r", F.lit(1), need.cast("int"))).alias("x")).select(entity, "tokens", F.col("x.token").alias("token"))
-    pairs = probes.join(by_token, [entity, "token"]).where(overlap(F.col("tokens"), F.col("p_tokens")) >= share).select(entity, "tokens", "p_tokens").distinct()
+    keyed = lambda df: df.withColumn("id", F.struct(F.xxhash64(entity, "tokens").alias("a"), F.xxhash64(F.lit(1), entity, "tokens").alias("b")))  # noqa: E731  (128 bits stand for a set of tokens)
+    c = keyed(claims.select("claim_id", entity, "ord", sets("text").alias("tokens")).where(F.size("tokens") >= tokens))
+    p = keyed(passages.select(entity, F.col("filing").alias("p_filing"), F.col("ord").alias("p_ord"), sets("text").alias("tokens")).where(F.col("p_ord").isNotNull()))
+    own, other = c.select("id", entity, "tokens").distinct(), written(p.select("id", entity, "tokens").distinct(), "passages")
+    index = other.select("id", entity, F.explode("tokens").alias("token"))
+    df = index.groupBy(entity, "token").agg(F.count(F.lit(1)).alias("df"))
+    each = own.select("id", entity, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, [entity, "token"], "left")
+    ranked = each.groupBy("id", entity).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
+    need = F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
+    probes = ranked.select("id", entity, F.explode(F.slice("r", F.lit(1), need.cast("int"))).alias("x")).select(F.col("id").alias("claim"), entity, F.col("x.token").alias("token"))
+    met = probes.join(index, [entity, "token"]).select("claim", "id").distinct()
+    both = met.join(own.select(F.col("id").alias("claim"), F.col("tokens").alias("claim_tokens")), "claim").join(other.select("id", "tokens"), "id")
+    pairs = both.where(overlap(F.col("claim_tokens"), F.col("tokens")) >= share).select("claim", "id")
     # each filing counts once for equal claims, from its first passage on
-    first = pairs.join(p, [entity, "p_tokens"]).groupBy(entity, "tokens", "p_filing").agg(F.min("p_ord").alias("ord"))
-    both = c.select(entity, "tokens", "ord", "claim_id", F.lit(0).alias("prior")).unionByName(first.select(entity, "tokens", "ord", F.lit(1).alias("prior")), allowMissingColumns=True)
-    before = Window.partitionBy(entity, "tokens").orderBy("ord", "prior").rowsBetween(Window.unboundedPreceding, 0)
+    of = p.groupBy("id", "p_filing").agg(F.min("p_ord").alias("ord"))
+    first = pairs.join(of, "id").groupBy(F.col("claim").alias("id"), "p_filing").agg(F.min("ord").alias("ord"))
+    both = c.select("id", entity, "ord", "claim_id", F.lit(0).alias("prior")).unionByName(first.select("id", "ord", F.lit(1).alias("prior")), allowMissingColumns=True)
+    before = Window.partitionBy("id").orderBy("ord", "prior").rowsBetween(Window.unboundedPreceding, 0)
     counted = both.withColumn("n_prior", F.sum("prior").over(before)).where((F.col("prior") == 0) & (F.col("n_prior") >= filings))
     g = counted.select("claim_id", entity, "n_prior")
     return g.withColumn("severity", first_of((F.col("n_prior") >= 4, "high"), (F.col("n_prior") >= 3, "medium"), otherwise="low"))
