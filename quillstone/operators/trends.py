@@ -59,3 +59,13 @@ def restated(points: DataFrame, by: list[str], least: int = 3, period: str = "pe
     """Concepts whose published values were restated: high if in three periods or more."""
     g = points.where(F.col("restated_from").isNotNull()).groupBy(*by).agg(F.count_distinct(period).cast("int").alias("n_restated"))
     return g.withColumn("severity", F.when(F.col("n_restated") >= least, "high").otherwise("medium"))
+
+
+def with_series(findings: DataFrame, pairs: DataFrame, by: list[str], period: list[str], least: int = 6) -> DataFrame:
+    """findings with series: the value of each of the last pairs, oldest first, as many as the run is long (six at least)."""
+    key = [*by, "metric"]
+    latest = Window.partitionBy(*key).orderBy(*(F.col(p).desc() for p in period))
+    last = pairs.select(*key, *period, "value", F.row_number().over(latest).alias("__rn"))
+    shown = findings.select(*key, "id", F.greatest("run", F.lit(least)).alias("__n")).join(last, key).where(F.col("__rn") <= F.col("__n"))
+    g = shown.groupBy(*key, "id").agg(F.array_sort(F.collect_list(F.struct(*period, "value"))).alias("series"))
+    return findings.join(g, [*key, "id"], "left")

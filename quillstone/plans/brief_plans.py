@@ -171,6 +171,14 @@ def q_top_flags(spark, d):
     return briefs.top_of(e.withColumn("severity", severity), ["user_id"], [rank_of("severity", SEVERITY_RANK, -1).desc(), F.col("event_id")], 20).select("user_id", "event_id")
 
 
+@query("""WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'flags' ELSE 'metrics' END AS list, length(text) AS n FROM conversations), p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, list ORDER BY turn) AS place, sum(n) OVER (PARTITION BY conv_id) AS total FROM x),
+l AS (SELECT *, place > CASE list WHEN 'metrics' THEN 1 ELSE 2 END AS loose FROM p), d AS (SELECT a.conv_id, a.turn, a.loose, a.total, coalesce(sum(b.n), 0) AS before FROM l a LEFT JOIN l b ON b.conv_id = a.conv_id AND b.loose AND a.loose AND (b.list = 'metrics' AND a.list = 'flags' OR b.list = a.list AND b.place > a.place) GROUP BY ALL)
+SELECT conv_id, turn FROM d WHERE NOT (loose AND total - before > 900)""")
+def q_trim_brief(spark, d):
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "flags").otherwise("metrics").alias("list"), F.length("text").alias("n"))
+    return briefs.trim_to(x, ["conv_id"], "list", "turn", "n", {"metrics": 1, "flags": 2}, 900).select("conv_id", "turn")
+
+
 # --- quotes
 
 _Q25 = "array_to_string(regexp_split_to_array(trim(text, ' '), '\\s+')[1:25], ' ')"

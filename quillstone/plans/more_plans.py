@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
-from ..operators import solver, views
+from ..operators import views
 from ..text import render
 from .base import YEARLY, query, table, yearly
 from .event_plans import _STICKY, _sticky
 
 
-@query(f"""WITH {YEARLY}, x AS (SELECT entity, revenue / nullif(n, 0) AS price, shares, listed * 0.1 AS cash, CASE WHEN entity % 3 = 0 THEN NULL ELSE listed * 0.2 END AS debt, revenue * 0.1 - cost * 0.01 AS ebit, revenue, revenue * 0.05 AS fcf, revenue * 0.07 AS net_income FROM yearly WHERE fy = 2000),
+@query(f"""WITH {YEARLY}, x AS (SELECT entity, fy, revenue / nullif(n, 0) AS price, shares, listed * 0.1 AS cash, CASE WHEN entity % 3 = 0 THEN NULL ELSE listed * 0.2 END AS debt, revenue * 0.1 - cost * 0.01 AS ebit, revenue, revenue * 0.05 AS fcf, revenue * 0.07 AS net_income FROM yearly),
 c AS (SELECT *, price * shares AS cap, price * shares + coalesce(debt, 0) - coalesce(cash, 0) AS ev FROM x)
-SELECT entity, round(ev, 2) AS ev, CASE WHEN ebit > 0 THEN round(ev / ebit, 6) END AS ev_ebit, CASE WHEN revenue > 0 THEN round(ev / revenue, 6) END AS ev_sales, CASE WHEN cap > 0 THEN round(fcf / cap, 6) END AS fcf_yield, round(coalesce(cash, 0) - coalesce(debt, 0), 2) AS net_cash FROM c""")
+SELECT entity, fy, round(ev, 2) AS ev, CASE WHEN ebit > 0 THEN round(ev / ebit, 6) END AS ev_ebit, CASE WHEN revenue > 0 THEN round(ev / revenue, 6) END AS ev_sales, CASE WHEN cap > 0 THEN round(fcf / cap, 6) END AS fcf_yield, round(coalesce(cash, 0) - coalesce(debt, 0), 2) AS net_cash FROM c""")
 def q_snapshot_ratios(spark, d):
     c = F.col
-    x = yearly(spark, d).where("fy = 2000").select("entity", safe_div("revenue", "n").alias("price"), "shares", (c("listed") * 0.1).alias("cash"), F.when(c("entity") % 3 != 0, c("listed") * 0.2).alias("debt"), (c("revenue") * 0.1 - c("cost") * 0.01).alias("ebit"), "revenue", (c("revenue") * 0.05).alias("fcf"), (c("revenue") * 0.07).alias("net_income"))
+    x = yearly(spark, d).select("entity", "fy", safe_div("revenue", "n").alias("price"), "shares", (c("listed") * 0.1).alias("cash"), F.when(c("entity") % 3 != 0, c("listed") * 0.2).alias("debt"), (c("revenue") * 0.1 - c("cost") * 0.01).alias("ebit"), "revenue", (c("revenue") * 0.05).alias("fcf"), (c("revenue") * 0.07).alias("net_income"))
     s = views.snapshot(x)
-    return s.select("entity", F.round("ev", 2).alias("ev"), *(F.round(k, 6).alias(k) for k in ("ev_ebit", "ev_sales", "fcf_yield")), F.round("net_cash", 2).alias("net_cash"))
+    return s.select("entity", "fy", F.round("ev", 2).alias("ev"), *(F.round(k, 6).alias(k) for k in ("ev_ebit", "ev_sales", "fcf_yield")), F.round("net_cash", 2).alias("net_cash"))
 
 
 @query("""WITH a AS (SELECT user_id, event_type, CAST(count(*) AS DOUBLE) AS s FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2), b AS (SELECT user_id, event_type, CAST(count(*) AS DOUBLE) AS s FROM events WHERE ts >= TIMESTAMP '2024-01-25' GROUP BY 1, 2),
@@ -45,13 +45,6 @@ def q_agreement(spark, d):
     return views.agreement_rate(a, ["user_id"], "a").withColumn("rate", F.round("rate", 6))
 
 
-@query(f"""WITH {YEARLY}, g AS (SELECT y.entity, CAST(floor(m * 10 + 0.5) AS INTEGER) AS m, revenue * 0.05 * m AS v FROM yearly y, (VALUES (15.0::DOUBLE), (20.0), (25.0)) t(m) WHERE fy = 2000) SELECT entity, round(max(CASE WHEN m = 150 THEN v END), 6) AS x15, round(max(CASE WHEN m = 200 THEN v END), 6) AS x20, round(max(CASE WHEN m = 250 THEN v END), 6) AS x25 FROM g GROUP BY 1""")
-def q_grid_pivot(spark, d):
-    x = yearly(spark, d).where("fy = 2000").crossJoin(F.broadcast(solver.grid(spark).where("discount = 0.1"))).withColumn("v", F.col("revenue") * 0.05 * F.col("multiple"))
-    p = views.grid_pivot(x, ["entity"], "discount", "multiple", "v", list(solver.MULTIPLES))
-    return p.select("entity", *(F.round(F.col(f"`{m}`"), 6).alias(f"x{int(m)}") for m in solver.MULTIPLES))
-
-
 @query("""SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM orders GROUP BY 1""")
 def q_severity_counts(spark, d):
     p = F.col("o_orderpriority")

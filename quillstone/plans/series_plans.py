@@ -79,6 +79,19 @@ def q_trend_detectors(spark, d):
     return _trend_out(T.detect(pairs, T.detector_table(spark, _MANY), ["entity"], _latest()))
 
 
+@query(f"""WITH {_WIDE}, d(id, metric) AS (VALUES ('revenue-declining', 'revenue'), ('share-count-growing', 'shares')), r AS (SELECT *, row_number() OVER (PARTITION BY entity, metric ORDER BY fy DESC, fq DESC) AS rn FROM pairs),
+o AS (SELECT entity, id, metric, rn, CASE WHEN id = 'revenue-declining' THEN value < prior_value ELSE value > prior_value END AS worse, value, prior_value FROM r JOIN d USING (metric)),
+n AS (SELECT entity, id, metric, coalesce(min(rn) FILTER (NOT coalesce(worse, false)), count(*) + 1) - 1 AS run, max(abs(value - prior_value) / abs(prior_value)) FILTER (rn = 1) AS change FROM o GROUP BY 1, 2, 3)
+SELECT n.entity, n.id, CAST(count(*) AS INTEGER) AS n_shown, round(arg_min(r.value, (r.fy, r.fq)), 2) AS oldest, round(arg_max(r.value, (r.fy, r.fq)), 2) AS latest FROM n JOIN r ON r.entity = n.entity AND r.metric = n.metric AND r.rn <= greatest(n.run, 6) WHERE n.run >= 1 AND n.change >= 0.01 GROUP BY 1, 2""")
+def q_trend_series(spark, d):
+    wide = _counted(series(spark, d)).select("entity", "fy", "fq", "n_periods", "revenue", F.col("shares").cast("double").alias("shares"))
+    pairs = S.yoy_pairs(S.long(wide, ["entity", "fy", "fq", "n_periods"], ["revenue", "shares"]), ["entity", "metric"], "fy", "fq", ["value"])
+    found = T.detect(pairs, T.detector_table(spark, _MANY[:2]), ["entity"], _latest())
+    out = T.with_series(found, pairs, ["entity"], ["fy", "fq"])
+    at = lambda i: F.round(F.element_at("series", i)["value"], 2)
+    return out.select("entity", "id", F.size("series").alias("n_shown"), at(1).alias("oldest"), at(-1).alias("latest"))
+
+
 @query(f"WITH {SERIES} SELECT a.entity, a.fy, a.fq, a.revenue, b.revenue AS prior_revenue, round(a.revenue / nullif(b.revenue, 0) - 1, 6) AS growth FROM series a JOIN series b ON a.entity = b.entity AND a.fq = b.fq AND a.fy = b.fy + 1")
 def q_yoy_pairs(spark, d):
     p = S.yoy_pairs(series(spark, d), ["entity"], "fy", "fq", ["revenue"])
@@ -234,22 +247,22 @@ def q_altman(spark, d):
 
 
 def _dcf_input(spark, d):
-    return yearly(spark, d).where("fy = 2000").select("entity", (F.col("revenue") * 0.05).alias("fcf"), (F.col("revenue") * (1.0 + (F.col("entity") % 5) * 0.25)).alias("price"))
+    return yearly(spark, d).select("entity", "fy", (F.col("revenue") * 0.05).alias("fcf"), (F.col("revenue") * (1.0 + (F.col("entity") % 5) * 0.25)).alias("price"))
 
 
 _PV = "list_sum(list_transform(range(1, 11), lambda t: fcf * pow(1 + {g}, t) / pow(1 + discount, t))) + fcf * pow(1 + {g}, 10) * multiple / pow(1 + discount, 10)"
 
 
-@query(f"""WITH RECURSIVE {YEARLY}, x AS (SELECT entity, revenue * 0.05 AS fcf, revenue * (1.0 + (entity % 5) * 0.25) AS price FROM yearly WHERE fy = 2000),
+@query(f"""WITH RECURSIVE {YEARLY}, x AS (SELECT entity, fy, revenue * 0.05 AS fcf, revenue * (1.0 + (entity % 5) * 0.25) AS price FROM yearly),
 cells AS (SELECT * FROM x, (VALUES (0.08::DOUBLE), (0.10), (0.12)) a(discount), (VALUES (15.0::DOUBLE), (20.0), (25.0)) b(multiple)),
 s AS (SELECT *, 0 AS i, -0.10::DOUBLE AS lo, 0.50::DOUBLE AS hi, NULL::DOUBLE AS g FROM cells
- UNION ALL SELECT entity, fcf, price, discount, multiple, i + 1, CASE WHEN pv < price THEN mid ELSE lo END, CASE WHEN pv < price THEN hi ELSE mid END, CASE WHEN abs(pv - price) / price < 0.001 THEN mid END
+ UNION ALL SELECT entity, fy, fcf, price, discount, multiple, i + 1, CASE WHEN pv < price THEN mid ELSE lo END, CASE WHEN pv < price THEN hi ELSE mid END, CASE WHEN abs(pv - price) / price < 0.001 THEN mid END
  FROM (SELECT *, {_PV.format(g='mid')} AS pv FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE g IS NULL AND i < 60))),
-r AS (SELECT entity, discount, multiple, any_value(fcf) AS fcf, any_value(price) AS price, coalesce(max(g), max((lo + hi) / 2) FILTER (i = 60)) AS g FROM s GROUP BY 1, 2, 3)
-SELECT entity, discount, multiple, CASE WHEN fcf > 0 AND price > 0 AND {_PV.format(g='(-0.10::DOUBLE)')} <= price AND {_PV.format(g='0.50::DOUBLE')} >= price THEN round(g, 9) END AS implied_growth FROM r""")
+r AS (SELECT entity, fy, discount, multiple, any_value(fcf) AS fcf, any_value(price) AS price, coalesce(max(g), max((lo + hi) / 2) FILTER (i = 60)) AS g FROM s GROUP BY 1, 2, 3, 4)
+SELECT entity, fy, discount, multiple, CASE WHEN fcf > 0 AND price > 0 AND {_PV.format(g='(-0.10::DOUBLE)')} <= price AND {_PV.format(g='0.50::DOUBLE')} >= price THEN round(g, 9) END AS implied_growth FROM r""")
 def q_reverse_dcf(spark, d):
     out = solver.reverse_dcf(_dcf_input(spark, d), "fcf", "price")
-    return out.select("entity", "discount", "multiple", F.round("implied_growth", 9).alias("implied_growth"))
+    return out.select("entity", "fy", "discount", "multiple", F.round("implied_growth", 9).alias("implied_growth"))
 
 
 @query(f"""WITH {YEARLY}, m AS (SELECT entity, (n * 40000.0) / nullif(revenue * 0.05, 0) AS pe FROM yearly)

@@ -70,10 +70,3 @@ def q_versus_median(spark, d):
     p = table(spark, d, "part")
     m = p.groupBy("p_brand").agg(F.median("p_retailprice").alias("m"))
     return p.join(m, "p_brand").select("p_partkey", "p_brand", "p_retailprice", universe.versus_median(F.col("p_retailprice"), F.col("m")).alias("label"))
-
-
-@query("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-03-31' GROUP BY 1, 2""")
-def q_status_rollup(spark, d):
-    line = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("2001-03-31").cast("timestamp_ntz"))
-    net = F.col("l_extendedprice").cast("decimal(12,2)") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
-    return line.groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("sum_qty"), F.sum(net).cast("double").alias("revenue"), F.count(F.lit(1)).alias("n"))

@@ -63,3 +63,19 @@ def drop_rate(df: DataFrame, by: list[str], kept: Column) -> DataFrame:
 
 def top_of(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
+
+
+def trim_to(df: DataFrame, by: list[str], list_: str, position: str, tokens: str, floors: dict[str, int], target: int) -> DataFrame:
+    """Rows of a key's lists cut to a token budget: last entries go first, list after list in the order of floors, each down to its floor, until the rest fits.
+
+    An entry goes if all that would go before it leaves more than the target, which
+    is a running sum over the entries in that order; a brief has some hundred.
+    """
+    w = Window.partitionBy(*by)
+    place = F.row_number().over(w.partitionBy(*by, list_).orderBy(position))
+    rank = rank_of(list_, {k: i for i, k in enumerate(floors)})
+    floor = rank_of(list_, dict(floors))
+    m = df.withColumns({"__place": place, "__rank": rank, "__total": F.sum(tokens).over(w)}).withColumn("__loose", F.coalesce(F.col("__place") > floor, F.lit(False)))
+    gone = F.sum(F.when(F.col("__loose"), F.col(tokens)).otherwise(0)).over(w.orderBy(F.col("__loose").desc(), "__rank", F.col("__place").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    left = F.col("__total") - F.coalesce(gone, F.lit(0))
+    return m.withColumn("__left", left).where(~(F.col("__loose") & (F.col("__left") > target))).drop("__place", "__rank", "__total", "__loose", "__left")
