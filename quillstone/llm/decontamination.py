@@ -8,8 +8,11 @@ size of its part), and no contained item is missed, however long the document.
 Every shingle of every whole document is looked up in the sketches (numpy, on
 flat arrays); what is met is verified on the exact shingles.
 
-Sketches are sent to the executors in blocks of items of a bounded size; a larger
-benchmark takes more blocks, each over all documents.
+A benchmark up to BLOCK_BYTES goes to the executors whole. A larger one stays where
+it is: documents are read once, their shingles that a bitmap of the benchmark's
+passes (a fixed size) meet its sketches in a join, and the pairs that they give are
+verified on all their shingles by a second one. Both ways have the same result but
+for hashes (64 bits) in place of the shingles' words in the second.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, text_bytes, window_hashes
+from .common import Words, materialise, slices, text_bytes, window_hashes
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Bytes of item texts in a block, at most (an item that is longer goes alone).
+#: Bytes of item texts that are sent to the executors, at most.
 BLOCK_BYTES = 8 << 20
+#: Bits of the hash that the bitmap of a larger benchmark goes by: 2 ** 26 bits, 8 MB.
+MAP_BITS = 26
 #: What is no part of a word here: ASCII other than letters and digits.
 _BREAK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _words = re.compile(rb"[0-9a-z\x80-\xff]+").findall
@@ -115,20 +120,18 @@ def _filter(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks_of(benchmark: DataFrame, text: str, item_id: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of a bounded size, never more than one of them (and one partition of rows) on the driver."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull()).distinct().orderBy("i", "t").toLocalIterator():
-        block.append((row.i, row.t))
-        size += len(row.t)
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _items(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
+    return benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull()).distinct()
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_text: str = "text", item_id: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
+def _small(items: DataFrame, block_bytes: int) -> list[tuple[object, str]] | None:
+    """All items if they are small enough to be sent, else None."""
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > block_bytes:
+        return None
+    return [(r.i, r.t) for r in items.orderBy("i", "t").collect()]
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_text: str = "text", item_id: str = "item_id", containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The keep columns, item_id and containment (share of the item's distinct shingles that the document has), where that is 0.8 or more.
 
     Shingles have five words (an item of fewer: all of them; of none: it is in no
@@ -137,15 +140,15 @@ def contained(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: t
     """
     kept = docs.select(*keep, docs[text].alias("__text"))
     kind = benchmark.schema[item_id].dataType.simpleString()
+    items = _items(benchmark, item_text, item_id)
+    small = _small(items, block_bytes)
+    if small is None:
+        rows = docs.select(F.struct(*keep).alias("__keep"), docs[text].alias("__text")).withColumn("__row", F.monotonically_increasing_id())
+        found, each = _joined(rows, items, containment)
+        return each.join(found, "__row").select("__keep.*", F.col("i").alias("item_id"), "containment")
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
-    out = None
-    for items in blocks_of(benchmark, item_text, item_id):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, containment))
-        part = kept.mapInArrow(_run(index), ", ".join([*types, f"item_id {kind}", "containment double"]))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = kept.where(F.lit(False)).select(*keep, F.lit(None).cast(kind).alias("item_id"), F.lit(None).cast("double").alias("containment"))
-    return out
+    index = docs.sparkSession.sparkContext.broadcast(Index(small, containment))
+    return kept.mapInArrow(_run(index), ", ".join([*types, f"item_id {kind}", "containment double"]))
 
 
 def _run(index):
@@ -161,14 +164,86 @@ def _run(index):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
+_ITEM = "number bigint, n int, h bigint, sketch boolean, least int, q int"
+
+
+def _hashed_items(items: DataFrame, containment: float) -> DataFrame:
+    """items has (number, t). A row for each distinct shingle of each item: its length and hash, whether it is in the item's sketch, the shingles that must be found, and all there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                n = length_for(words)
+                if not n:
+                    continue
+                hashes = np.unique(window_hashes(Words(text_bytes(pa.array([b" ".join(words).decode()])), 0, 1).hashes(), n))
+                q = len(hashes)
+                part = 1 << (q - 1).bit_length()
+                least = lambda k: max(1, int(np.ceil(containment * k - 1e-9)))
+                size = max(part - least(part) + 1, q - least(q) + 1)
+                ones = np.ones(q, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(number * ones), pa.array(n * ones, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(np.arange(q) < size), pa.array(least(q) * ones, pa.int32()), pa.array(q * ones, pa.int32())], names=["number", "n", "h", "sketch", "least", "q"])
+
+    return items.select("number", "t").mapInArrow(run, _ITEM)
+
+
+def _bitmap(hashed: DataFrame) -> np.ndarray:
+    """A bit for the leading bits of each hash; one bitmap of a task at a time comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << MAP_BITS, bool)
+        for batch in batches:
+            out[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["bits"])
+
+    total = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for r in hashed.select("h").coalesce(64).mapInArrow(run, "bits binary").toLocalIterator():
+        total |= np.frombuffer(r.bits, np.uint8)
+    return total
+
+
+def _joined(rows: DataFrame, items: DataFrame, containment: float) -> tuple[DataFrame, DataFrame]:
+    """rows has (__text, __row, ...). (__row, i, containment) of what is found, and the rows as they were written (their numbers hold)."""
+    items = materialise(items.withColumn("number", F.monotonically_increasing_id()), "items")
+    hashed = materialise(_hashed_items(items, containment), "shingles")
+    lengths = [r.n for r in hashed.select("n").distinct().collect()]  # five at most
+    each = materialise(rows, "texts")
+    bits = rows.sparkSession.sparkContext.broadcast(_bitmap(hashed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.unpackbits(bits.value).astype(bool)
+        for batch in batches:
+            column, ids = text_bytes(batch.column(0)), batch.column(1).to_numpy()
+            for a, b in slices(column):
+                w = Words(column, a, b, lower=True, no_word=_BREAK)
+                words = w.hashes()
+                for n in lengths:
+                    h = window_hashes(words, n)
+                    at = np.flatnonzero(some[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]) if len(h) else np.zeros(0, np.int64)
+                    text = np.searchsorted(w.first, at, "right") - 1
+                    inside = at + n <= w.first[text + 1] if len(at) else np.zeros(0, bool)
+                    both = np.unique(np.stack([ids[a + text[inside]].view(np.uint64), h[at[inside]]], 1), axis=0) if inside.any() else np.zeros((0, 2), np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(np.full(len(both), n), pa.int32()), pa.array(both[:, 1].view(np.int64))], names=["__row", "n", "h"])
+
+    hits = materialise(each.select("__text", "__row").mapInArrow(run, "__row bigint, n int, h bigint").join(hashed.select("n", "h").distinct(), ["n", "h"], "left_semi"), "hits")
+    pairs = hits.join(hashed.where("sketch").select("n", "h", "number"), ["n", "h"]).select("__row", "number").distinct()
+    counted = pairs.join(hashed.select("number", "n", "h", "least", "q"), "number").join(hits, ["__row", "n", "h"]).groupBy("__row", "number").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("least"), F.max("q").alias("q"))
+    found = counted.where("c >= least").join(items.select("number", "i"), "number").select("__row", "i", (F.col("c") / F.col("q")).alias("containment"))
+    return found, each
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (all columns, whatever their names) without the rows that contain an item."""
     names = docs.columns
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__doc"), F.col(f"`{text}`").alias("__text"))
-    for items in blocks_of(benchmark, item_text, item_id):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, containment))
-        out = out.mapInArrow(_clean(index), out.schema)
-    return out.select("__doc.*")
+    items = _items(benchmark, item_text, item_id)
+    small = _small(items, block_bytes)
+    if small is None:
+        found, each = _joined(out.withColumn("__row", F.monotonically_increasing_id()), items, containment)
+        return each.join(found.select("__row").distinct(), "__row", "left_anti").select("__doc.*")
+    index = docs.sparkSession.sparkContext.broadcast(Index(small, containment))
+    return out.mapInArrow(_clean(index), out.schema).select("__doc.*")
 
 
 def _clean(index):
