@@ -432,11 +432,17 @@ def q_contexts(spark, d):
     return contexts.contexts(s, "doc_id", {})
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, list_aggregate([l[1]], 'string_agg') IS NOT NULL AS any, false AS with_header FROM l""")
+_PARTS = "regexp_replace(substr(text, {0}, 30), '[^a-z]', ' ', 'g')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_PARTS.format(1)} AS a, {_PARTS.format(31)} AS b, CAST(doc_id AS VARCHAR) AS n FROM documents)
+SELECT doc_id, b || chr(10) || 'the zqrevenue' || n || ' grew' || chr(10) || a AS text, false AS above FROM p""")
 def q_snippet(spark, d):
-    cut = F.udf(lambda t: snippets.snippet(t, "zzz qqq", 50), "struct<text: string, above: boolean>")
-    x = table(spark, d, "documents").select("doc_id", cut("text").alias("s"))
-    return x.select("doc_id", F.col("s.text").isNotNull().alias("any"), F.col("s.above").alias("with_header"))
+    part = lambda i: F.regexp_replace(F.substring("text", i, 30), "[^a-z]", " ")
+    n = F.col("doc_id").cast("string")
+    cut = F.udf(lambda t, k: snippets.snippet(t, f"zqrevenue{k}", 200), "struct<text: string, above: boolean>")
+    x = table(spark, d, "documents").select("doc_id", cut(F.concat(part(31), F.lit("\nthe zqrevenue"), n, F.lit(" grew\n"), part(1)), "doc_id").alias("s"))
+    return x.select("doc_id", "s.text", "s.above")
 
 
 @query("SELECT doc_id, trim(text, ' ') AS body FROM documents WHERE NOT regexp_matches(text, '^\\s') AND text = trim(text, ' ')")

@@ -78,17 +78,17 @@ def contexts(sections: DataFrame, key: str, terms: dict[str, tuple[str, ...]], r
     spark = sections.sparkSession
     dims = spark.createDataFrame([(d, i, s) for d, ss in (routes or ROUTES).items() for i, s in enumerate(ss)], "dimension string, __at int, section string")
     routed = sections.select(key, "section", "bundled").join(F.broadcast(dims), "section")
-    own = routed.select(key, "dimension", F.struct("__at", F.lit(0).alias("k")).alias("at"), "section")
-    other = routed.select(key, "dimension", "__at", F.posexplode("bundled").alias("k", "section")).select(key, "dimension", F.struct("__at", (F.col("k") + 1).alias("k")).alias("at"), "section")
-    first = own.unionByName(other).groupBy(key, "dimension", "section").agg(F.min("at").alias("at"))
+    own = routed.select(key, "dimension", F.struct("__at", F.lit(0).alias("k")).alias("__place"), "section")
+    other = routed.select(key, "dimension", "__at", F.posexplode("bundled").alias("__k", "section")).select(key, "dimension", F.struct("__at", (F.col("__k") + 1).alias("k")).alias("__place"), "section")
+    first = own.unionByName(other).groupBy(key, "dimension", "section").agg(F.min("__place").alias("__place"))
     texts = first.join(sections.select(key, "section", "text"), [key, "section"]).where(F.length("text") > 0)
-    g = texts.groupBy(key, "dimension").agg(F.array_sort(F.collect_list(F.struct("at", "section", "text"))).alias("s"))
+    g = texts.groupBy(key, "dimension").agg(F.array_sort(F.collect_list(F.struct("__place", "section", "text"))).alias("__s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[(x["section"], x["text"]) for x in s] for s in batch.column("s").to_pylist()]
+            rows = [[(x["section"], x["text"]) for x in s] for s in batch.column("__s").to_pylist()]
             made = [assemble(s, terms.get(d, ()), ceiling) for s, d in zip(rows, batch.column("dimension").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("dimension"), pa.array([", ".join(n for n, _ in s) for s in rows], pa.string()), pa.array(made, pa.string())], names=[key, "dimension", "sources", "context"])
 
     kind = sections.schema[key].dataType.simpleString()
-    return g.select(key, "dimension", "s").mapInArrow(run, f"`{key}` {kind}, dimension string, sources string, context string")
+    return g.select(key, "dimension", "__s").mapInArrow(run, f"`{key}` {kind}, dimension string, sources string, context string")
