@@ -2,13 +2,14 @@
 
 A key has 64 bits, or 96 in two arrays (the second with 32 bits), and is a hash.
 A chunk sorts its distinct keys and cuts them by their top bits into FAN rows of
-packed arrays. The rows of FAN chunks with the same bits meet in one group, which
-joins equal keys. If there are more than FAN chunks, such a group is the chunk of
-the next level and cuts its keys by the next bits, until one group has all that is
-left of its bits. The answers go back down the same way. So a chunk makes FAN rows
-on each level however many chunks there are, no group holds more keys than FAN rows
-of a chunk's FAN-th part, no row spans all chunks, and as keys are hashes no key is
-hot: a chunk asks once, whatever it holds of it.
+packed arrays. Chunks are dealt into groups of about FAN; a group's rows with the
+same bits meet in one task, which joins equal keys. If there is more than one group,
+what a task holds is a chunk of the next level and cut by the next bits, until one
+group has all that is left of its bits. The answers go back down the same way. So a
+chunk makes FAN rows on a level and a level has about as many chunks as the one
+below it at most, however many there are; no task holds more keys than FAN rows of a
+chunk's FAN-th part, no row spans all chunks, and as keys are hashes no key is hot: a
+chunk asks once, whatever it holds of it.
 """
 
 from __future__ import annotations
@@ -181,12 +182,12 @@ def reduce_keys(rows: DataFrame, how: str, chunks: int, bits: int = FAN_BITS) ->
 
     how: "sum" or "min" of the values of a key over all chunks. A chunk without a key gets no row.
     """
-    fan, levels = 1 << bits, 1
-    while fan**levels < chunks:
-        levels += 1
-    rows = rows.withColumns({"g": F.pmod(F.xxhash64("node"), F.lit(fan ** (levels - 1))), "path": F.lit(0).cast("bigint")})
+    fan = 1 << bits
+    groups = -(-max(chunks, 1) // fan)
+    rows = rows.withColumns({"g": F.pmod(F.xxhash64("node"), F.lit(groups)), "path": F.lit(0).cast("bigint")})
     stored = []
-    for level in range(1, levels):
+    while groups > 1:
+        level, groups = len(stored) + 1, -(-groups // fan)
         done = materialise(_level(rows, how, level, bits), "exchange")
         stored.append(done)
         rows = done.select("node", "g", "path", F.explode("up").alias("up")).select("node", "g", "path", "up.*")
