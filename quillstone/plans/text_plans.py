@@ -65,7 +65,7 @@ def q_strip_totals(spark, d):
 
 
 # A quote of each item: its first ten words, in another reading by the item's number; looked for in every document.
-_QUOTE = "CASE item_id % 4 WHEN 0 THEN q WHEN 1 THEN upper(q) WHEN 2 THEN replace(q, ' ', '  ') ELSE q || ' nowhere' END"
+_QUOTE = "CASE item_id % 4 WHEN 0 THEN q WHEN 1 THEN translate(q, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN replace(q, ' ', '  ') ELSE q || ' nowhere' END"
 _SP = r"trim(regexp_replace(replace({0}, chr(160), ' '), '\s+', ' ', 'g'))"
 _PU = _SP.format("translate({0}, '‘’‚‛“”„‟–—−', '''''''''\"\"\"\"---')")
 _TA = r"regexp_replace(lower(" + _PU + r"), '[|•$\s]', '', 'g')"

@@ -32,18 +32,19 @@ def repeated(claims: DataFrame, passages: DataFrame, entity: str, share: float =
     """
     sets = lambda c: F.array_sort(content_tokens(F.col(c)))
     keyed = lambda df: df.withColumn("id", F.struct(F.xxhash64(entity, "tokens").alias("a"), F.xxhash64(F.lit(1), entity, "tokens").alias("b")))  # noqa: E731  (128 bits stand for a set of tokens)
-    c = keyed(claims.select("claim_id", entity, "ord", sets("text").alias("tokens")).where(F.size("tokens") >= tokens))
-    p = keyed(passages.select(entity, F.col("filing").alias("p_filing"), F.col("ord").alias("p_ord"), sets("text").alias("tokens")).where(F.col("p_ord").isNotNull()))
-    own, other = c.select("id", entity, "tokens").distinct(), written(p.select("id", entity, "tokens").distinct(), "passages")
+    c = written(keyed(claims.select("claim_id", entity, "ord", sets("text").alias("tokens")).where(F.size("tokens") >= tokens)), "claims")
+    p = written(keyed(passages.select(entity, F.col("filing").alias("p_filing"), F.col("ord").alias("p_ord"), sets("text").alias("tokens")).where(F.col("p_ord").isNotNull())), "passages")
+    first_of_id = lambda df: df.groupBy("id").agg(F.first(entity).alias(entity), F.first("tokens").alias("tokens"))  # noqa: E731  (equal ids have equal rows)
+    own, other = first_of_id(c), first_of_id(p)
     index = other.select("id", entity, F.explode("tokens").alias("token"))
     df = index.groupBy(entity, "token").agg(F.count(F.lit(1)).alias("df"))
     each = own.select("id", entity, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, [entity, "token"], "left")
     ranked = each.groupBy("id", entity).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
     need = F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
     probes = ranked.select("id", entity, F.explode(F.slice("r", F.lit(1), need.cast("int"))).alias("x")).select(F.col("id").alias("claim"), entity, F.col("x.token").alias("token"))
-    met = probes.join(index, [entity, "token"]).select("claim", "id").distinct()
+    met = probes.join(index, [entity, "token"]).where("claim != id").select("claim", "id").distinct()
     both = met.join(own.select(F.col("id").alias("claim"), F.col("tokens").alias("claim_tokens")), "claim").join(other.select("id", "tokens"), "id")
-    pairs = both.where(overlap(F.col("claim_tokens"), F.col("tokens")) >= share).select("claim", "id")
+    pairs = both.where(overlap(F.col("claim_tokens"), F.col("tokens")) >= share).select("claim", "id").union(own.select(F.col("id").alias("claim"), "id"))
     # each filing counts once for equal claims, from its first passage on
     of = p.groupBy("id", "p_filing").agg(F.min("p_ord").alias("ord"))
     first = pairs.join(of, "id").groupBy(F.col("claim").alias("id"), "p_filing").agg(F.min("ord").alias("ord"))
