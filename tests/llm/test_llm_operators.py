@@ -591,3 +591,47 @@ def test_exchange_over_many_levels(spark, wide):
             assert set(got) == {c for c in keys if len(keys[c])}
             for c in keys:
                 assert exchange.answered(got.get(c), keys[c], more[c]).tolist() == [reduce(by_key[k]) for k in held[c].tolist()]
+
+
+# --- scores on held-out rows, clashing names, nothing to look for
+
+
+def test_classifier_on_held_out_rows(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    docs, labels = common.documents(spark, sf), common.documents(spark, sf, "labels")
+    mine = ~common.held_out("doc_id", 3, 1)
+    model = quality_classifier.train(docs, labels, learn_from=mine)
+    rows = quality_classifier.score(docs, model).join(labels, "doc_id").where(~mine).select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.95
+    share = labels.where(mine).agg(F.avg("quality")).first()[0]
+    assert abs(model.prior - share) < 0.1  # found without a look at label 0
+    swapped = labels.withColumn("quality", F.when(F.col("quality") == 1, 1).otherwise(F.lit(None)))
+    again = quality_classifier.train(docs, swapped, learn_from=mine)
+    assert again.prior == model.prior and np.array_equal(again.weights, model.weights)
+
+
+def test_prior_from_scores_alone():
+    rng = np.random.default_rng(0)
+    for share in (0.2, 0.5, 0.8):
+        make = lambda n, good: (rng.normal(0, 1, (n, quality_classifier.WIDTH)) + (np.arange(quality_classifier.WIDTH) < 5) * (3 if good else 0)).astype(np.float32)
+        n = 3000
+        unlabelled = np.concatenate([make(int(n * share), True), make(n - int(n * share), False)])
+        assert abs(quality_classifier.estimate_prior(make(1500, True), rng.permutation(unlabelled)) - share) < 0.06
+    assert quality_classifier.estimate_prior(np.zeros((3, 2)), np.zeros((100, 2))) == 0.5
+
+
+def test_clashing_names_and_nothing_to_find(spark, docs, none):
+    clash = docs.withColumns({c: F.lit(1) for c in ("license", "dice", "first_word", "__row", "secret", "spans", "copied", "id", "mark", "ranges", "kept", "chunk", "hits", "node")})
+    assert license_scan.scan(clash).count() == license_scan.scan(docs).count() and license_scan.scan(none).count() == 0
+    assert license_scan.scan(docs, templates=()).count() == 0 and license_scan.scan(docs, templates=(("none", " .,"),)).count() == 0
+    plain = secret_scan.digest(secret_scan.classify(secret_scan.scan(docs, F.col("source"), F.col("source"))))
+    same(secret_scan.digest(secret_scan.classify(secret_scan.scan(clash, F.col("source"), F.col("source")))), [tuple(r) for r in plain.collect()])
+    same(substring_dedup.cut_repeats(clash, fan_bits=2).select("doc_id", "n_removed"), [tuple(r) for r in substring_dedup.cut_repeats(docs, fan_bits=2).select("doc_id", "n_removed").collect()])
+    assert substring_dedup.cut_repeats(none).count() == 0 and packing.pack_texts(none).count() == 0
+    assert secret_scan.redact(none, F.col("source"), F.col("source")).count() == 0 and simhash.dedup(none).count() == 0
+    assert secret_scan.redact(clash, F.col("source"), F.col("source")).columns == clash.columns
