@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -49,6 +49,11 @@ def trailing_run(flag: Name, by: list[str], order_desc: list[Column]) -> tuple[W
     return w, F.min(F.coalesce(col(flag).cast("int"), F.lit(0))).over(w)
 
 
+def columns_of(df: DataFrame, by: list[str], name: Name, value: str, names: dict[str, object]) -> DataFrame:
+    """Long rows to a column for each of the named values (column to value): one aggregation, combined before its shuffle."""
+    return df.groupBy(*by).agg(*(F.first(F.when(col(name) == v, F.col(value)), ignorenulls=True).alias(c) for c, v in names.items()))
+
+
 def rank_of(x: Name, ranks: dict[str, int], otherwise: int | None = None) -> Column:
     """A word's rank in a fixed order."""
     return first_of(*((col(x) == k, v) for k, v in ranks.items()), otherwise=otherwise)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import CONCEPTS
-from ..functions.expr import first_of, js_round, safe_div
+from ..functions.expr import columns_of, first_of, js_round, safe_div
 
 #: A later value differs from the one before if by more than this share of the larger.
 MATERIAL = 0.005
@@ -72,7 +72,7 @@ def collapse(reports: DataFrame, by: list[str], filed: str, value: str, ties: li
 def residual_quarter(points: DataFrame, by: list[str], fy: str, fp: str, value: str) -> DataFrame:
     """Fourth quarters that were not reported: the year less its three reported quarters (column derived)."""
     names = ["p_Q1", "p_Q2", "p_Q3", "p_Q4", "p_FY"]  # a bare FY would clash with a column fy
-    p = points.withColumn("__fp", F.concat(F.lit("p_"), F.col(fp))).groupBy(*by, fy).pivot("__fp", names).agg(F.first(value, ignorenulls=True))
+    p = columns_of(points, [*by, fy], fp, value, {n: n.removeprefix("p_") for n in names})
     q1, q2, q3, q4, year = map(F.col, names)
     whole = q1.isNotNull() & q2.isNotNull() & q3.isNotNull() & year.isNotNull() & q4.isNull()
     made = p.where(whole).select(*by, fy, F.lit("Q4").alias(fp), (year - (q1 + q2 + q3)).alias(value), F.lit(True).alias("derived"))
@@ -103,7 +103,7 @@ def annual(facts: DataFrame, by: list[str], fy: str, end: str, rank: Column, ord
 def annual_rows(facts: DataFrame, by: list[str], fy: str, concept: str, value: str, last: int = 10) -> DataFrame:
     """Revenue, ebit, net income, fcf = cfo - |capex|, debt and debt / equity by year; missing flows are 0; the last ten years that have revenue or ebit."""
     names = ["revenue", "ebit", "netIncome", "cfo", "capex", "debt", "equity"]
-    p = facts.groupBy(*by, fy).pivot(concept, names).agg(F.first(value, ignorenulls=True)).where(F.col("revenue").isNotNull() | F.col("ebit").isNotNull())
+    p = columns_of(facts, [*by, fy], concept, value, {n: n for n in names}).where(F.col("revenue").isNotNull() | F.col("ebit").isNotNull())
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in names if c != "equity"}
     p = p.withColumns(zero).withColumns({"fcf": F.col("cfo") - F.abs("capex"), "debt_to_equity": F.when(F.col("equity") > 0, safe_div("debt", "equity"))})
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(fy).desc()))

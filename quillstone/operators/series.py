@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import safe_div
+from ..functions.expr import columns_of, safe_div
 
 
 def as_of(df: DataFrame, end: str, bound: str | Column, filed: str | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def yoy_pairs(df: DataFrame, by: list[str], fy: str, fp: str, values: list[str])
 
 def wide(df: DataFrame, by: list[str], name: str, value: str, names: list[str], needs: str | None = None) -> DataFrame:
     """Long facts to a column for each name, in one aggregation; rows without `needs` are no period."""
-    out = df.groupBy(*by).pivot(name, names).agg(F.first(value, ignorenulls=True))
+    out = columns_of(df, by, name, value, {n: n for n in names})
     return out.where(F.col(needs).isNotNull()) if needs else out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import SEVERITY_BY_RANK, SEVERITY_RANK
-from ..functions.expr import first_of, rank_of, safe_div
+from ..functions.expr import columns_of, first_of, rank_of, safe_div
 
 
 def price_delta(now: Column, base: Column) -> Column:
@@ -57,7 +57,7 @@ def first_keys(df: DataFrame, key: str, order: list[Column], n: int) -> DataFram
 
 
 def grid_pivot(cells: DataFrame, by: list[str], row: str, column: str, value: str, columns: list) -> DataFrame:
-    return cells.groupBy(*by, row).pivot(column, columns).agg(F.first(value))
+    return columns_of(cells, [*by, row], column, value, {str(c): c for c in columns})
 
 
 def bar_position(df: DataFrame, by: list[str], score: str, low: float = 1.0, high: float = 10.0) -> DataFrame:
