@@ -13,12 +13,12 @@ from .event_plans import _STICKY, _sticky
 
 @query(f"""WITH {YEARLY}, x AS (SELECT entity, fy, revenue / nullif(n, 0) AS price, shares, listed * 0.1 AS cash, CASE WHEN entity % 3 = 0 THEN NULL ELSE listed * 0.2 END AS debt, revenue * 0.1 - cost * 0.01 AS ebit, revenue, revenue * 0.05 AS fcf, revenue * 0.07 AS net_income FROM yearly),
 c AS (SELECT *, price * shares AS cap, price * shares + coalesce(debt, 0) - coalesce(cash, 0) AS ev FROM x)
-SELECT entity, fy, round(ev, 2) AS ev, CASE WHEN ebit > 0 THEN round(ev / ebit, 6) END AS ev_ebit, CASE WHEN revenue > 0 THEN round(ev / revenue, 6) END AS ev_sales, CASE WHEN cap > 0 THEN round(fcf / cap, 6) END AS fcf_yield, round(coalesce(cash, 0) - coalesce(debt, 0), 2) AS net_cash FROM c""")
+SELECT entity, fy, round(ev, 6) AS ev, CASE WHEN ebit > 0 THEN round(ev / ebit, 6) END AS ev_ebit, CASE WHEN revenue > 0 THEN round(ev / revenue, 6) END AS ev_sales, CASE WHEN cap > 0 THEN round(fcf / cap, 6) END AS fcf_yield, round(coalesce(cash, 0) - coalesce(debt, 0), 6) AS net_cash FROM c""")
 def q_snapshot_ratios(spark, d):
     c = F.col
     x = yearly(spark, d).select("entity", "fy", safe_div("revenue", "n").alias("price"), "shares", (c("listed") * 0.1).alias("cash"), F.when(c("entity") % 3 != 0, c("listed") * 0.2).alias("debt"), (c("revenue") * 0.1 - c("cost") * 0.01).alias("ebit"), "revenue", (c("revenue") * 0.05).alias("fcf"), (c("revenue") * 0.07).alias("net_income"))
     s = views.snapshot(x)
-    return s.select("entity", "fy", F.round("ev", 2).alias("ev"), *(F.round(k, 6).alias(k) for k in ("ev_ebit", "ev_sales", "fcf_yield")), F.round("net_cash", 2).alias("net_cash"))
+    return s.select("entity", "fy", F.round("ev", 6).alias("ev"), *(F.round(k, 6).alias(k) for k in ("ev_ebit", "ev_sales", "fcf_yield")), F.round("net_cash", 6).alias("net_cash"))
 
 
 @query("""WITH a AS (SELECT user_id, event_type, CAST(count(*) AS DOUBLE) AS s FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2), b AS (SELECT user_id, event_type, CAST(count(*) AS DOUBLE) AS s FROM events WHERE ts >= TIMESTAMP '2024-01-25' GROUP BY 1, 2),
