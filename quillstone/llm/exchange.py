@@ -103,11 +103,21 @@ def ask(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int = FAN_BITS, mo
     return pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), *columns], names=["node", "part", "n", "keys", "more", "vals"])
 
 
-def answered(hits: list[dict] | None, keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
-    """What reduce_keys() gave a chunk (in the order of the parts), in the order of its keys."""
+def zipped(data: bytes) -> bytes:
+    """Compressed here, as a shuffle's own codec leaves more; after its size."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unzipped(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(pa.py_buffer(data).slice(8), size, "zstd", asbytes=True) if size else b""
+
+
+def answered(hits: bytes | None, keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """What reduce_keys() gave a chunk, in the order of its keys."""
     out = np.zeros(len(keys), np.int64)
     if hits:
-        out[in_order(keys, more)] = np.concatenate([unpack(h["vals"], h["n"]) for h in hits])
+        out[in_order(keys, more)] = unpack(unzipped(hits), len(keys))
     return out
 
 
@@ -173,6 +183,18 @@ def _down(level: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, _ANSWER)
 
 
+def _of_chunk(answers: DataFrame) -> DataFrame:
+    """A chunk's answers in the order of its parts, as one blob."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total = np.concatenate([unpack(h["vals"], h["n"]) for h in batch.column("hits")[i].as_py()])
+                yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), pa.array([zipped(pack(total))], pa.binary())], names=["chunk", "hits"])
+
+    return by_chunk(answers).mapInArrow(run, "chunk bigint, hits binary")
+
+
 def by_chunk(answers: DataFrame, name: str = "chunk") -> DataFrame:
     return answers.groupBy(F.col("node").alias(name)).agg(F.array_sort(F.collect_list(F.struct("part", "n", "vals"))).alias("hits"))
 
@@ -194,4 +216,4 @@ def reduce_keys(rows: DataFrame, how: str, chunks: int, bits: int = FAN_BITS) ->
     answers = _top(rows, how)
     for level in reversed(stored):
         answers = _down(level, answers)
-    return by_chunk(answers)
+    return _of_chunk(answers)

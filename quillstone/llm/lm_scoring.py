@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, in_chunks, materialise, mix, slices, span_hashes, text_bytes
-from .exchange import FAN_BITS, ROWS, answered, ask, distinct, pack, reduce_keys, unpack
+from .exchange import FAN_BITS, ROWS, answered, ask, distinct, pack, reduce_keys, unpack, unzipped, zipped
 
 #: The spelling tree: bytes of context, share of the training bytes.
 DEPTH, LEAST = 3, 1e-4
@@ -50,8 +50,8 @@ SMOOTH = 4.0
 #: Least training count of a context; weight of the suffix in contexts of one and of two words.
 MIN_COUNT = 4
 WEIGHTS = (256.0, 32.0)
-#: Divergence sums are integers of 1 / 1024 nat.
-_NAT = 1024
+#: Divergence sums are integers of 1 / 64 nat.
+_NAT = 64
 #: log10 probabilities of spellings are kept to 1 / 1024.
 _SPELL = 1024
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -60,15 +60,6 @@ _KEY = np.uint64(0xFFFFFFFFFFFFFF00)
 _END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
 
-def _zip(data: bytes) -> bytes:
-    """Blobs are compressed here, as a shuffle's own codec leaves more of them."""
-    return pa.compress(data, "zstd", asbytes=True) if data else b""
-
-
-def _unzip(data: bytes, size: int) -> bytes:
-    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
-
-
 def _joined(words: pa.Array) -> bytes:
     """large_binary words, each with a space after it (no word has one)."""
     off = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
@@ -82,7 +73,7 @@ def _joined(words: pa.Array) -> bytes:
     return out.tobytes()
 
 
-_CHUNKS = "chunk bigint, docs int, keep array<{keep}>, lens binary, train binary, n int, ids binary, size int, words binary, counts binary"
+_CHUNKS = "chunk bigint, docs int, keep array<{keep}>, lens binary, train binary, n int, ids binary, words binary, counts binary"
 
 
 def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -118,9 +109,9 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             one = lambda x, t: pa.array([x], t)
             columns = [
                 one(number, pa.int64()), one(len(lens), pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), one(lens.astype(np.int32).tobytes(), pa.binary()), one(trained.tobytes(), pa.binary()),
-                one(len(index), pa.int32()), one(_zip(planes), pa.binary()), one(len(text), pa.int32()), one(_zip(text), pa.binary()), one(pack(counts), pa.binary()),
+                one(len(index), pa.int32()), one(zipped(planes), pa.binary()), one(zipped(text), pa.binary()), one(pack(counts), pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "keep", "lens", "train", "n", "ids", "size", "words", "counts"])
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "keep", "lens", "train", "n", "ids", "words", "counts"])
 
     return docs.mapInArrow(run, _CHUNKS.format(keep=keep_type))
 
@@ -158,7 +149,7 @@ def _slices_of_words(lengths: np.ndarray, limit: int = 1 << 18) -> Iterator[tupl
 
 def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """lengths, bytes on end and (where the batch has them) training counts of a chunk's words."""
-    text = np.frombuffer(_unzip(batch.column("words")[i].as_py(), batch.column("size")[i].as_py()), np.uint8)
+    text = np.frombuffer(unzipped(batch.column("words")[i].as_py()), np.uint8)
     ends = np.flatnonzero(text == 0x20)
     lengths = np.diff(ends, prepend=-1) - 1
     counts = unpack(batch.column("counts")[i].as_py(), len(lengths)) if "counts" in batch.schema.names else None
@@ -177,7 +168,7 @@ class Chunk:
         n = self.lens + 2
         off = np.cumsum(n) - n
         size = batch.column("n")[i].as_py()
-        ids = np.ascontiguousarray(np.frombuffer(_unzip(batch.column("ids")[i].as_py(), 4 * size), np.uint8).reshape(4, size).T).view(np.int32).ravel()
+        ids = np.ascontiguousarray(np.frombuffer(unzipped(batch.column("ids")[i].as_py()), np.uint8).reshape(4, size).T).view(np.int32).ravel()
         self.seq = np.full(int(n.sum()), self.end, np.int32)
         self.seq[off] = self.start
         inner = self.seq == self.end
@@ -206,7 +197,7 @@ class Chunk:
     def pair_hashes(self) -> np.ndarray:
         return mix(mix(self.hashes[self.first] + _A) * _A + self.hashes[self.second]) & _KEY
 
-    def take_pairs(self, totals: bytes, hits: list[dict] | None, texts: int) -> None:
+    def take_pairs(self, totals: bytes, hits: bytes | None, texts: int) -> None:
         """totals: training counts of the words, the end and the start over the corpus; pair_totals: of the pairs."""
         self.totals = np.append(unpack(totals, self.distinct), [texts, texts])
         self.pair_totals = answered(hits, self.pair_hashes())
@@ -225,7 +216,7 @@ class Chunk:
     def ask_triples(self) -> tuple[np.ndarray, np.ndarray]:
         return mix(mix(self.pair_hashes()[self.above] + _B) * _A + self.hashes[self.last]) & _KEY, self.triple_counts
 
-    def take_triples(self, hits: list[dict] | None) -> None:
+    def take_triples(self, hits: bytes | None) -> None:
         self.triple_totals = answered(hits, self.ask_triples()[0])
 
     def distributions(self, root: np.ndarray, weights: tuple[float, float]) -> None:
@@ -243,14 +234,14 @@ class Chunk:
         return np.flatnonzero(after & (self.totals >= least)), np.flatnonzero(pairs)
 
     def ask_gains(self, least: int, weights: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the contexts, and this chunk's part of their gains in 1 / 1024 nat."""
+        """Keys of the contexts, and this chunk's part of their gains in 1 / 64 nat."""
         words, pairs = self.contexts(least)
         gain = _gains(self.first, self.pair_counts, self.pair_totals, self.totals[self.first], self.root[self.second], weights[0], self.distinct + 2)
         more = _gains(self.above, self.triple_counts, self.triple_totals, self.pair_totals[self.above], self.pair_p[self.suffix], weights[1], len(self.first))
         keys = np.concatenate([mix(self.hashes[words] ^ _B), mix(self.pair_hashes()[pairs] ^ _B)])
         return keys & _KEY, np.concatenate([gain[words], more[pairs]])
 
-    def score(self, hits: list[dict] | None, least: int, weights: tuple[float, float]) -> np.ndarray:
+    def score(self, hits: bytes | None, least: int, weights: tuple[float, float]) -> np.ndarray:
         """log10 probability of each text."""
         words, pairs = self.contexts(least)
         got = answered(hits, self.ask_gains(least, weights)[0])
@@ -311,7 +302,7 @@ def _grams(chunks: DataFrame, depth: int) -> DataFrame:
                     held = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["gram", "n"])
 
-    every = chunks.select("size", "words", "counts").mapInArrow(run, "gram bigint, n bigint")
+    every = chunks.select("words", "counts").mapInArrow(run, "gram bigint, n bigint")
     return every.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -450,7 +441,7 @@ def _counted(chunks: DataFrame, hits: DataFrame, tree) -> DataFrame:
                 columns = [batch.column("chunk").slice(i, 1), pa.array([pack(total)], pa.binary()), pa.array([pack(np.round(spelled * _SPELL).astype(np.int64))], pa.binary()), *(pa.array([float(x)]) for x in sums)]
                 yield pa.RecordBatch.from_arrays(columns, names=["chunk", "totals", "spelled", "n", "v", "n1", "n2"])
 
-    return chunks.select("chunk", "size", "words", "counts").join(hits, "chunk", "left").mapInArrow(run, _COUNTED)
+    return chunks.select("chunk", "words", "counts").join(hits, "chunk", "left").mapInArrow(run, _COUNTED)
 
 
 def score(
@@ -482,7 +473,7 @@ def score(
         lengths, data, counts = _read(batch, i)
         return _word_hashes(lengths, data)[:-2], counts
 
-    words = materialise(_counted(chunks, asked(chunks.select("chunk", "size", "words", "counts"), word_keys), tree), "words")
+    words = materialise(_counted(chunks, asked(chunks.select("chunk", "words", "counts"), word_keys), tree), "words")
     n, v, n1, n2 = (round(x or 0) for x in words.agg(*(F.sum(c) for c in ("n", "v", "n1", "n2"))).first())
     top = Top(n, v, ends, n1, n2)
     plain = chunks.drop("docs", "keep", "counts")

@@ -510,7 +510,7 @@ class BruteTree:
                 gain, w = 0, weights[len(ctx) - 1]
                 for x, c in nxt.items():
                     p = self.p(x, ctx[1:])
-                    gain += c * round(math.log((c - 1 + w * p) / ((n - 1 + w) * p)) * 1024)
+                    gain += c * round(math.log((c - 1 + w * p) / ((n - 1 + w) * p)) * lm_scoring._NAT)
                 if gain > 0:
                     self.states.add(ctx)
 
@@ -583,7 +583,7 @@ def test_exchange_over_many_levels(spark, wide):
         for bits in (1, 2, 8):
             batches = [exchange.ask(c, keys[c], vals[c], bits, more[c]) for c in keys]
             rows = spark.createDataFrame(pa.Table.from_batches(batches)).select("node", "part", "n", "keys", "more", "vals")
-            got = {r.chunk: [h.asDict() for h in r.hits] for r in exchange.reduce_keys(rows, how, len(keys), bits).collect()}
+            got = {r.chunk: bytes(r.hits) for r in exchange.reduce_keys(rows, how, len(keys), bits).collect()}
             by_key = {}
             for c in keys:
                 for k, v in zip(held[c].tolist(), vals[c].tolist(), strict=True):
