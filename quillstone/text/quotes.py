@@ -119,8 +119,10 @@ def tier_counts(pairs: DataFrame, by: list[str], column: str = "tier") -> DataFr
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(column) == t).alias("n_" + t.replace("-", "_")) for t in TIERS))
 
 
-# The compared sections in order, as warnings name them.
+# The compared sections in order, as warnings name them, and the warnings ({0}: the section's name, {1}: how it failed).
 COMPARED = (("mda", "MD&A"), ("risk-factors", "risk factors"))
+QUARTER_WARNING = "10-Q {0} incompletely parsed (section {1}) — {0} change detection not performed."
+BASE_WARNING = "10-K baseline {0} incompletely parsed (section {1}) — {0} changes could not be compared against the annual baseline."
 
 
 def coverage(df: DataFrame, key: str, section: str, text: str, confidence: str, base_text: str, base_confidence: str) -> DataFrame:
@@ -137,8 +139,8 @@ def coverage(df: DataFrame, key: str, section: str, text: str, confidence: str,
     every = df.select(key).distinct().crossJoin(sections)  # two fixed rows
     j = every.join(df.withColumns({"__q": usable, "__k": base}), [key, section], "left")
     label = named[F.col(section)]
-    quarter = F.concat(F.lit("10-Q "), label, F.lit(" incompletely parsed (section "), how(F.col(confidence)), F.lit(") — "), label, F.lit(" change detection not performed."))
-    annual = F.concat(F.lit("10-K baseline "), label, F.lit(" incompletely parsed (section "), how(F.col(base_confidence)), F.lit(") — "), label, F.lit(" changes could not be compared against the annual baseline."))
+    said = lambda text, why: F.replace(F.replace(F.lit(text), F.lit("{0}"), label), F.lit("{1}"), why)
+    quarter, annual = said(QUARTER_WARNING, how(F.col(confidence))), said(BASE_WARNING, how(F.col(base_confidence)))
     q, k = F.coalesce("__q", F.lit(False)), F.coalesce("__k", F.lit(False))
     each = j.withColumns({"__w": F.when(~q, quarter).when(~k, annual), "__ok": q & k})
     g = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("__w").isNotNull(), F.struct("__at", "__w")))).alias("__ws"), F.bool_and((F.col(section) != "mda") | F.col("__ok")).alias("mda_assessed"))

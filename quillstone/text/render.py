@@ -9,6 +9,11 @@ from ..functions.dims import SEVERITY_RANK
 from ..functions.expr import first_of, rank_of
 
 
+# How states and verdicts are shown.
+HEALTH_LABEL = {"green": "🟢 Hold", "amber": "🟡 Watch", "red": "🔴 Exit"}
+VERDICT_MARK = {"Strong": "🟢", "Watchlist": "🟡", "Pass": "🔴"}
+
+
 def money(x: Column) -> Column:
     """$1.2B, $3.4M, $5K or $6."""
     a = F.abs(x)
@@ -72,7 +77,7 @@ def card_markdown(cards: DataFrame, dimensions: DataFrame, by: str) -> DataFrame
     one, two = (lambda p: lambda c: F.format_string(f"%.{p}f", F.col(c)))(1), (lambda p: lambda c: F.format_string(f"%.{p}f", F.col(c)))(2)
     row = F.concat(F.lit("| "), F.col("label"), F.lit(" | **"), one("score"), F.lit("** | "), F.coalesce(F.when(F.col("spread").isNotNull(), one("spread")), F.lit("—")), F.lit(" | "), F.when(F.col("uncertainty") == "high", "⚠️ **high**").otherwise(F.col("uncertainty")), F.lit(" | "), two("weight"), F.lit(" |"))
     table = _lines(dimensions, by, [F.col("position")], row, "__t")
-    mark = first_of((F.col("verdict") == "Strong", "🟢"), (F.col("verdict") == "Watchlist", "🟡"), (F.col("verdict") == "Pass", "🔴"), otherwise="⚪")
+    mark = first_of(*((F.col("verdict") == v, m) for v, m in VERDICT_MARK.items()), otherwise="⚪")
     head = F.concat(F.lit("# "), F.col(by).cast("string"), F.lit(" — Decision Card\n\n**Verdict:** "), mark, F.lit(" "), F.col("verdict"), F.lit("  •  **Weighted score:** "), one("score"), F.lit(" / 10\n\n## Summary\n\n"), F.col("summary"))
     body = F.concat(F.lit("\n\n## Dimension scores\n\n| Dimension | Score | Range | Uncertainty | Effective weight |\n|---|---|---|---|---|\n"), F.col("__t"))
     return cards.join(table, by, "left").select(by, F.concat(head, F.coalesce(body, F.lit(""))).alias("text"))
@@ -87,7 +92,7 @@ def escape(x: Column) -> Column:
 
 def digest_html(flips: DataFrame, thesis: str, label: str, base: str) -> DataFrame:
     """One mail for each thesis: subject, and its changed items as an HTML list with a link."""
-    named = lambda c: first_of((F.col(c) == "green", "🟢 Hold"), (F.col(c) == "amber", "🟡 Watch"), otherwise="🔴 Exit")
+    named = lambda c: first_of(*((F.col(c) == k, v) for k, v in HEALTH_LABEL.items()))
     item = F.concat(F.lit("<li><b>"), escape(F.col(label)), F.lit("</b>: "), named("prior"), F.lit(" → "), named("status"), F.lit("</li>"))
     g = flips.groupBy(thesis).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("i"), item.alias("line")))).alias("l"))
     n = F.size("l")
