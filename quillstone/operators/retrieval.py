@@ -14,9 +14,12 @@ from ..session import written
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
 
 
+TOKEN = r"[\p{L}\p{N}]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits (in any script)."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def query_terms(text: Column) -> Column:
@@ -35,9 +38,11 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, t
     own n best before ranks are taken.
     """
     each = queries.select(query, F.explode(terms).alias("term"))
-    wanted = F.broadcast(each.agg(F.collect_set("term").alias("__w")))  # one row, of the queries' terms
-    lengths = docs.select(doc, tokens(F.col(text)).alias("t")).crossJoin(wanted)
-    lengths = written(lengths.select(doc, F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains("__w", x)).alias("hit")), "lengths")
+    plain = F.sort_array(F.collect_set(F.when(F.col("term").rlike("^[a-z0-9]+$"), F.col("term"))))  # no token has anything else
+    wanted = F.broadcast(each.agg(F.concat(F.lit(r"(?<![\p{L}\p{N}])("), F.array_join(plain, "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("__w")))  # one row, of the queries' terms
+    low = F.lower(text)
+    lengths = docs.crossJoin(wanted).select(doc, F.regexp_count(low, F.lit(TOKEN)).alias("dl"), F.regexp_extract_all(low, F.col("__w"), F.lit(1)).alias("hit"))
+    lengths = written(lengths, "lengths")
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     tf = lengths.select(doc, "dl", F.explode("hit").alias("term")).groupBy(doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -12,8 +12,8 @@ from ..session import written
 
 def content_tokens(text: Column, stopwords: tuple[str, ...] = EXPLANATION_STOPWORDS) -> Column:
     """Distinct words of more than three letters that say something."""
-    words = F.array_distinct(F.split(F.lower(text), "[^a-z]+"))
-    return F.array_except(F.filter(words, lambda w: F.length(w) > 3), F.array(*map(F.lit, stopwords)))
+    words = F.regexp_extract_all(F.lower(text), F.lit("(?<![a-z])[a-z]{4,}"), F.lit(0))
+    return F.array_except(words, F.array(*(F.lit(w) for w in stopwords if len(w) > 3)))  # without repeats
 
 
 def overlap(claim: Column, other: Column) -> Column:
@@ -30,16 +30,18 @@ def repeated(claims: DataFrame, passages: DataFrame, entity: str, share: float =
     place of token sets; every pair that it gives is then counted exactly. Claims
     and passages of equal tokens are compared once; a claim_id is one claim.
     """
-    sets = lambda c: F.array_sort(content_tokens(F.col(c)))
+    sets = lambda c: F.sort_array(content_tokens(F.col(c)))
     keyed = lambda df: df.withColumn("id", F.struct(F.xxhash64(entity, "tokens").alias("a"), F.xxhash64(F.lit(1), entity, "tokens").alias("b")))  # noqa: E731  (128 bits stand for a set of tokens)
-    c = written(keyed(claims.select("claim_id", entity, "ord", sets("text").alias("tokens")).where(F.size("tokens") >= tokens)), "claims")
-    p = written(keyed(passages.select(entity, F.col("filing").alias("p_filing"), F.col("ord").alias("p_ord"), sets("text").alias("tokens")).where(F.col("p_ord").isNotNull())), "passages")
+    once = claims is passages  # then its texts are read once
+    p = written(keyed(passages.select(*(["claim_id"] if once else []), entity, F.col("filing").alias("p_filing"), F.col("ord").alias("p_ord"), sets("text").alias("tokens"))), "passages")
+    c = p.withColumnRenamed("p_ord", "ord") if once else written(keyed(claims.select("claim_id", entity, "ord", sets("text").alias("tokens"))), "claims")
+    c, p = c.where(F.size("tokens") >= tokens).select("claim_id", entity, "ord", "tokens", "id"), p.where(F.col("p_ord").isNotNull()).select(entity, "p_filing", "p_ord", "tokens", "id")
     first_of_id = lambda df: df.groupBy("id").agg(F.first(entity).alias(entity), F.first("tokens").alias("tokens"))  # noqa: E731  (equal ids have equal rows)
     own, other = first_of_id(c), first_of_id(p)
     index = other.select("id", entity, F.explode("tokens").alias("token"))
     df = index.groupBy(entity, "token").agg(F.count(F.lit(1)).alias("df"))
     each = own.select("id", entity, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, [entity, "token"], "left")
-    ranked = each.groupBy("id", entity).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
+    ranked = each.groupBy("id", entity).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
     need = F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
     probes = ranked.select("id", entity, F.explode(F.slice("r", F.lit(1), need.cast("int"))).alias("x")).select(F.col("id").alias("claim"), entity, F.col("x.token").alias("token"))
     met = probes.join(index, [entity, "token"]).where("claim != id").select("claim", "id").distinct()
