@@ -35,9 +35,10 @@ def repeated(claims: DataFrame, passages: DataFrame, entity: str, share: float =
     once = claims is passages  # then its texts are read once
     p = written(keyed(passages.select(*(["claim_id"] if once else []), entity, F.col("filing").alias("p_filing"), F.col("ord").alias("p_ord"), sets("text").alias("tokens"))), "passages")
     c = p.withColumnRenamed("p_ord", "ord") if once else written(keyed(claims.select("claim_id", entity, "ord", sets("text").alias("tokens"))), "claims")
-    c, p = c.where(F.size("tokens") >= tokens).select("claim_id", entity, "ord", "tokens", "id"), p.where(F.col("p_ord").isNotNull()).select(entity, "p_filing", "p_ord", "tokens", "id")
-    first_of_id = lambda df: df.groupBy("id").agg(F.first(entity).alias(entity), F.first("tokens").alias("tokens"))  # noqa: E731  (equal ids have equal rows)
-    own, other = first_of_id(c), first_of_id(p)
+    first_of_id = lambda df, name: written(df.groupBy("id").agg(F.first(entity).alias(entity), F.first("tokens").alias("tokens")), name)  # noqa: E731  (equal ids have equal rows)
+    other = first_of_id(p, "sets")
+    own = (other if once else first_of_id(c, "claim-sets")).where(F.size("tokens") >= tokens)
+    c, p = c.where(F.size("tokens") >= tokens).select("claim_id", entity, "ord", "id"), p.where(F.col("p_ord").isNotNull()).select("p_filing", "p_ord", "id")
     index = other.select("id", entity, F.explode("tokens").alias("token"))
     df = index.groupBy(entity, "token").agg(F.count(F.lit(1)).alias("df"))
     each = own.select("id", entity, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, [entity, "token"], "left")
