@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy step works on at once (a longer text goes alone).
@@ -73,6 +73,34 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Values of a summary that is sent to all tasks (8 bytes each), at most; a larger one is shuffled.
+SENT_VALUES = 1 << 20
+#: Slices of each key of a summary that is shuffled: a key that a third of the rows have is met by so many tasks.
+SLICES = 32
+
+
+def meet(rows: DataFrame, summary: DataFrame, keys: list[tuple[str, str]], spread: Column, values: Column | None = None) -> DataFrame:
+    """rows, each with the row of the written summary that has its key (nulls equal, nulls where there is none).
+
+    keys: pairs of column names, those of summary go. values: how many 8-byte values
+    a row of the summary holds (its columns by default). A summary of up to
+    SENT_VALUES values in all is broadcast; of a larger one each row is repeated
+    SLICES times, once for each slice that spread deals the rows into, and joined.
+    """
+    size = summary.agg(F.sum(values if values is not None else F.lit(len(summary.columns)))).first()[0] or 0
+    gone = [b for _, b in keys]
+    on = F.lit(True)
+    if size <= SENT_VALUES:
+        for a, b in keys:
+            on = on & rows[a].eqNullSafe(summary[b])
+        return rows.join(F.broadcast(summary), on, "left").drop(*gone)
+    left = rows.withColumn("__slice", F.pmod(spread, F.lit(SLICES)).cast("int"))
+    right = summary.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    for a, b in keys:
+        on = on & left[a].eqNullSafe(right[b])
+    return left.join(right, on & (left["__slice"] == right["__of"]), "left").drop("__slice", "__of", *gone)
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
