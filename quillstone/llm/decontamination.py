@@ -10,9 +10,9 @@ flat arrays); what is met is verified on the exact shingles.
 
 A benchmark up to BLOCK_BYTES goes to the executors whole. A larger one stays where
 it is: documents are read once, their shingles that a bitmap of the benchmark's
-passes (a fixed size) meet its sketches in a join, and the pairs that they give are
-verified on all their shingles by a second one. Both ways have the same result but
-for hashes (64 bits) in place of the shingles' words in the second.
+passes (a fixed size) meet its sketches in a join, and the pairs that have enough
+hashes in common are verified on the words of all their shingles, as in the first
+way. Both ways have the same result, whatever hashes are equal by chance.
 """
 
 from __future__ import annotations
@@ -131,11 +131,12 @@ def _small(items: DataFrame, block_bytes: int) -> list[tuple[object, str]] | Non
     return [(r.i, r.t) for r in items.orderBy("i", "t").collect()]
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_text: str = "text", item_id: str = "item_id", containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_text: str = "text", item_id: str = "item_id", containment: float = CONTAINMENT, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
     """The keep columns, item_id and containment (share of the item's distinct shingles that the document has), where that is 0.8 or more.
 
     Shingles have five words (an item of fewer: all of them; of none: it is in no
-    document). Null texts have no words. A row of docs that repeats gives its rows
+    document). hash_bits: of the shingles' hashes in joins (fewer only cost time).
+    Null texts have no words. A row of docs that repeats gives its rows
     again; items that repeat whole count once. Other columns are left out.
     """
     kept = docs.select(*keep, docs[text].alias("__text"))
@@ -144,7 +145,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: t
     small = _small(items, block_bytes)
     if small is None:
         rows = docs.select(F.struct(*keep).alias("__keep"), docs[text].alias("__text")).withColumn("__row", F.monotonically_increasing_id())
-        found, each = _joined(rows, items, containment)
+        found, each = _joined(rows, items, containment, hash_bits)
         return each.join(found, "__row").select("__keep.*", F.col("i").alias("item_id"), "containment")
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
     index = docs.sparkSession.sparkContext.broadcast(Index(small, containment))
@@ -164,11 +165,23 @@ def _run(index):
     return run
 
 
-_ITEM = "number bigint, n int, h bigint, sketch boolean, least int, q int"
+_ITEM = "number bigint, n int, h bigint, sketch boolean, least int"
 
 
-def _hashed_items(items: DataFrame, containment: float) -> DataFrame:
-    """items has (number, t). A row for each distinct shingle of each item: its length and hash, whether it is in the item's sketch, the shingles that must be found, and all there are."""
+def _least(containment: float, k: int) -> int:
+    return max(1, int(np.ceil(containment * k - 1e-9)))
+
+
+def _cut(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of each hash."""
+    return hashes & np.uint64(((1 << bits) - 1) << (64 - bits))
+
+
+def _hashed_items(items: DataFrame, containment: float, hash_bits: int) -> DataFrame:
+    """items has (number, t). A row for each distinct hash of each item's shingles: their length and the hash, whether it is in the item's sketch, and how many must be found.
+
+    Shingles that share a hash by chance are one here, and count as found together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,13 +190,13 @@ def _hashed_items(items: DataFrame, containment: float) -> DataFrame:
                 n = length_for(words)
                 if not n:
                     continue
-                hashes = np.unique(window_hashes(Words(text_bytes(pa.array([b" ".join(words).decode()])), 0, 1).hashes(), n))
-                q = len(hashes)
-                part = 1 << (q - 1).bit_length()
-                least = lambda k: max(1, int(np.ceil(containment * k - 1e-9)))
-                size = max(part - least(part) + 1, q - least(q) + 1)
+                hashes = np.unique(_cut(window_hashes(Words(text_bytes(pa.array([b" ".join(words).decode()])), 0, 1).hashes(), n), hash_bits))
+                q, exact = len(hashes), len(set(shingles_of(words, n)))
+                part = 1 << (exact - 1).bit_length()
+                must = max(1, _least(containment, exact) - (exact - q))
+                size = max(part - _least(containment, part) + 1, q - must + 1)
                 ones = np.ones(q, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(number * ones), pa.array(n * ones, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(np.arange(q) < size), pa.array(least(q) * ones, pa.int32()), pa.array(q * ones, pa.int32())], names=["number", "n", "h", "sketch", "least", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(number * ones), pa.array(n * ones, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(np.arange(q) < size), pa.array(must * ones, pa.int32())], names=["number", "n", "h", "sketch", "least"])
 
     return items.select("number", "t").mapInArrow(run, _ITEM)
 
@@ -203,10 +216,26 @@ def _bitmap(hashed: DataFrame) -> np.ndarray:
     return total
 
 
-def _joined(rows: DataFrame, items: DataFrame, containment: float) -> tuple[DataFrame, DataFrame]:
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (__row, i, item's text, document's text, and no more) to (__row, i, share of the item's distinct shingles, by their words, in the document)."""
+    held: tuple[int, int, set] = (-1, 0, set())  # rows come sorted by document: its shingles serve all its items
+    for batch in batches:
+        numbers, item, text = (batch.column(k).to_pylist() for k in (0, 2, 3))
+        shares = []
+        for row, a, b in zip(numbers, item, text, strict=True):
+            words = words_of(a)
+            n = length_for(words)
+            if held[:2] != (row, n):
+                held = row, n, set(shingles_of(words_of(b), n))
+            of_item = set(shingles_of(words, n))
+            shares.append(len(of_item & held[2]) / len(of_item))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], names=["__row", "i", "containment"])
+
+
+def _joined(rows: DataFrame, items: DataFrame, containment: float, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """rows has (__text, __row, ...). (__row, i, containment) of what is found, and the rows as they were written (their numbers hold)."""
     items = materialise(items.withColumn("number", F.monotonically_increasing_id()), "items")
-    hashed = materialise(_hashed_items(items, containment), "shingles")
+    hashed = materialise(_hashed_items(items, containment, hash_bits), "shingles")
     lengths = [r.n for r in hashed.select("n").distinct().collect()]  # five at most
     each = materialise(rows, "texts")
     bits = rows.sparkSession.sparkContext.broadcast(_bitmap(hashed))
@@ -219,7 +248,7 @@ def _joined(rows: DataFrame, items: DataFrame, containment: float) -> tuple[Data
                 w = Words(column, a, b, lower=True, no_word=_BREAK)
                 words = w.hashes()
                 for n in lengths:
-                    h = window_hashes(words, n)
+                    h = _cut(window_hashes(words, n), hash_bits)
                     at = np.flatnonzero(some[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]) if len(h) else np.zeros(0, np.int64)
                     text = np.searchsorted(w.first, at, "right") - 1
                     inside = at + n <= w.first[text + 1] if len(at) else np.zeros(0, bool)
@@ -228,8 +257,10 @@ def _joined(rows: DataFrame, items: DataFrame, containment: float) -> tuple[Data
 
     hits = materialise(each.select("__text", "__row").mapInArrow(run, "__row bigint, n int, h bigint").join(hashed.select("n", "h").distinct(), ["n", "h"], "left_semi"), "hits")
     pairs = hits.join(hashed.where("sketch").select("n", "h", "number"), ["n", "h"]).select("__row", "number").distinct()
-    counted = pairs.join(hashed.select("number", "n", "h", "least", "q"), "number").join(hits, ["__row", "n", "h"]).groupBy("__row", "number").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("least"), F.max("q").alias("q"))
-    found = counted.where("c >= least").join(items.select("number", "i"), "number").select("__row", "i", (F.col("c") / F.col("q")).alias("containment"))
+    counted = pairs.join(hashed.select("number", "n", "h", "least"), "number").join(hits, ["__row", "n", "h"]).groupBy("__row", "number").agg(F.count(F.lit(1)).alias("c"), F.max("least").alias("least"))
+    likely = counted.where("c >= least").join(items, "number").select("__row", "i", "t")
+    both = likely.join(each.select("__row", "__text"), "__row").sortWithinPartitions("__row").select("__row", "i", "t", "__text")
+    found = both.mapInArrow(_verified, f"__row bigint, i {items.schema['i'].dataType.simpleString()}, containment double").where(F.col("containment") >= containment - 1e-9)
     return found, each
 
 

@@ -180,15 +180,13 @@ def _pairs(blocks: DataFrame, anchors: DataFrame, work: Callable[[Block, Block],
     Each side is repeated for the other's block numbers and both are dealt by the
     pair, so that a pair is met in one task and pairs spread evenly.
     """
-    spark = blocks.sparkSession
     of_rows, of_anchors = ([r[0] for r in x.select("block").collect()] for x in (blocks, anchors))  # numbers of blocks: one for ROWS and for ANCHORS rows
-    n = max(1, min(len(of_rows) * len(of_anchors), 2 * spark.sparkContext.defaultParallelism * max(1, len(of_anchors))))
+    n = max(1, min(len(of_rows) * len(of_anchors), 2 * blocks.sparkSession.sparkContext.defaultParallelism * max(1, len(of_anchors))))
     cells = ["ids", "labels", "vectors", "positives", "scores"]
 
     def dealt(side: DataFrame, mine: str, other: str, numbers: list[int]) -> DataFrame:
-        each = spark.createDataFrame([(numbers,)], "numbers array<bigint>")
         named = side.select(F.col("block").alias(mine), *(F.col(c).alias(f"{mine}_{c}") for c in cells))
-        return named.join(F.broadcast(each)).select("*", F.explode("numbers").alias(other)).drop("numbers").repartition(n, "rb", "ab")
+        return named.select("*", F.explode(F.lit(numbers)).alias(other)).repartition(n, "rb", "ab")
 
     pairs = dealt(blocks, "rb", "ab", of_anchors).join(dealt(anchors, "ab", "rb", of_rows), ["rb", "ab"])
 

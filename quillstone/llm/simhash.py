@@ -205,7 +205,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     mark = F.xxhash64(F.col(f"`{text}`"))
     rows = grouped(docs, text, doc_id, (mark,))
     # of each group one (doc_id, mark), found by partial aggregates
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("__more0").alias("mark"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__more0").alias("mark"))
     kept = rows.groupBy("root").agg(F.min(order).alias("k"))
     copies = rows.groupBy("doc_id", "__more0").agg(F.count(F.lit(1)).alias("__copies"))
     kept = kept.select(F.when(~F.col("k.none"), F.col("k.id")).alias("doc_id"), F.col("k.mark").alias("__more0"))

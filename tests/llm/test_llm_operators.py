@@ -214,6 +214,8 @@ def test_decontamination(spark, docs, none, every):
     same(decontamination.contained(docs.withColumns({"item_id": F.lit(1), "h": F.lit(2)}), bench, block_bytes=0).select("doc_id", "item_id"), want)
     shares = lambda df: sorted((r.doc_id or -1, r.item_id, round(r.containment, 9)) for r in df.collect())
     assert shares(decontamination.contained(docs, bench, block_bytes=0)) == shares(decontamination.contained(docs, bench))
+    # hashes that are equal by chance change nothing: pairs are verified on words
+    assert shares(decontamination.contained(docs, bench, block_bytes=0, hash_bits=9)) == shares(decontamination.contained(docs, bench))
     same(decontamination.drop_contaminated(docs, bench, block_bytes=0).select("doc_id", F.length("text")), [(r[0], None if r[1] is None else len(r[1])) for r in clean])
     assert decontamination.contained(none, bench, block_bytes=0).count() == 0 and decontamination.contained(docs, bench.where("item_id = 3"), block_bytes=-1).count() == 0
 
@@ -416,6 +418,12 @@ def test_simhash(docs, every, none):
     assert simhash.grouped(none).count() == 0
     kept = simhash.dedup(docs.withColumn("fp", F.lit(1)))
     assert kept.count() == len({c for *_, c in want}) and kept.columns == [*docs.columns, "fp"]
+    # ids may be texts: the least of each group stays, a null only where there is no other
+    named = docs.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.format_string("%08d", "doc_id")))
+    ids = sorted(r.doc_id or "" for r in simhash.dedup(named).select("doc_id").collect())
+    assert ids == sorted("" if r.doc_id is None else f"{r.doc_id:08d}" for r in kept.select("doc_id").collect())
+    some = docs.sparkSession.createDataFrame([("a", "one two three four"), ("b", "one two three four"), (None, "one two three four")], "doc_id string, text string")
+    assert [r.doc_id for r in simhash.dedup(some).collect()] == ["a"]
 
 
 @pytest.mark.parametrize("block", [2048, 16])
