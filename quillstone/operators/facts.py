@@ -48,25 +48,33 @@ def span_kind(start: str, end: str, fp: str) -> Column:
     return first_of((days.between(80, 100), "quarter"), (days.between(350, 380) & (F.col(fp) == "FY"), "annual"))
 
 
+def material(a: Column, b: Column) -> Column:
+    return F.abs(a - b) > MATERIAL * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
+
+
+def fold(reports: Column, value: Column, restated_from: Column) -> Column:
+    """(value, restated_from) after an array of reports (field v), in their order, from what held before them.
+
+    A materially different value replaces the current one; the value that the first
+    such report replaced stays as restated_from, whatever follows.
+    """
+    start = F.struct(value.cast("double").alias("value"), restated_from.cast("double").alias("restated_from"))
+    return F.aggregate(reports, start, lambda now, x: F.when(material(now["value"], x["v"]), F.struct(x["v"].alias("value"), F.coalesce(now["restated_from"], now["value"]).alias("restated_from"))).otherwise(now))
+
+
 def collapse(reports: DataFrame, by: list[str], filed: str, value: str, ties: list[str], labels: list[str] = ()) -> DataFrame:
     """One point for each period from all its reports.
 
     In order of filing a later value replaces the current one if it differs by
     more than half a per cent of the larger (1 at least); smaller drifts add up to
-    nothing. restated_from is the value first disclosed, where the last differs
-    from it that way. labels come from the earliest report. A period's reports are
-    few, so they are folded as an array; no order across partitions is needed.
+    nothing. restated_from is the value first disclosed, if any report replaced it.
+    labels come from the earliest report. A period's reports are few, so they are
+    folded as an array; no order across partitions is needed.
     """
     row = F.struct(F.col(filed).alias("f"), *(F.col(t).alias(f"t{i}") for i, t in enumerate(ties)), F.col(value).cast("double").alias("v"), *labels)
     g = reports.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("r"))
-
-    def material(a: Column, b: Column) -> Column:
-        return F.abs(a - b) > MATERIAL * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
-
-    first = F.col("r")[0]["v"]
-    last = F.aggregate(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), first, lambda now, x: F.when(material(now, x["v"]), x["v"]).otherwise(now))
-    out = g.withColumn("value", last)
-    return out.select(*by, "value", F.when(material(first, F.col("value")), first).alias("restated_from"), F.size("r").cast("int").alias("n_reports"), *(F.col("r")[0][c].alias(c) for c in labels))
+    out = g.withColumn("__p", fold(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))), F.col("r")[0]["v"], F.lit(None)))
+    return out.select(*by, "__p.value", "__p.restated_from", F.size("r").cast("int").alias("n_reports"), *(F.col("r")[0][c].alias(c) for c in labels))
 
 
 def residual_quarter(points: DataFrame, by: list[str], fy: str, fp: str, value: str) -> DataFrame:

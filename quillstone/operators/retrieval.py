@@ -46,13 +46,18 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str, query: str, t
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     tf = lengths.select(doc, "dl", F.explode("hit").alias("term")).groupBy(doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    idf, part = score_part()
     weights = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")  # stats is one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = each.join(tf, "term").join(weights, "term").groupBy(query, doc).agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(hits, query, [F.col("score").desc(), F.col(doc)], n)
 
 
+def score_part() -> tuple[Column, Column]:
+    """A term's idf (from n_docs and df; floored), and what it adds to a document's score (from idf, tf, dl and avgdl)."""
+    idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    return idf, F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
 def ranked(hits: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return hits.withColumn("rank", rank).where(F.col("rank") <= n)  # Spark keeps n of each partition first (group limit)

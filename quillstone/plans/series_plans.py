@@ -302,9 +302,10 @@ def q_scale_repair(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_FACTS}, o AS (SELECT *, row_number() OVER (PARTITION BY entity, fy, fq ORDER BY filed, accn, line, val) AS rn FROM facts),
-f AS (SELECT entity, fy, fq, rn, val AS first_val, val AS now FROM o WHERE rn = 1
- UNION ALL SELECT f.entity, f.fy, f.fq, o.rn, f.first_val, CASE WHEN abs(f.now - o.val) > 0.005 * greatest(abs(f.now), abs(o.val), 1.0) THEN o.val ELSE f.now END FROM f JOIN o ON o.entity = f.entity AND o.fy = f.fy AND o.fq = f.fq AND o.rn = f.rn + 1)
-SELECT entity, fy, fq, now AS value, CASE WHEN abs(first_val - now) > 0.005 * greatest(abs(first_val), abs(now), 1.0) THEN first_val END AS restated_from, CAST(rn AS INTEGER) AS n_reports FROM f
+f AS (SELECT entity, fy, fq, rn, val AS now, CAST(NULL AS DOUBLE) AS was FROM o WHERE rn = 1
+ UNION ALL SELECT f.entity, f.fy, f.fq, o.rn, CASE WHEN abs(f.now - o.val) > 0.005 * greatest(abs(f.now), abs(o.val), 1.0) THEN o.val ELSE f.now END,
+  CASE WHEN abs(f.now - o.val) > 0.005 * greatest(abs(f.now), abs(o.val), 1.0) THEN coalesce(f.was, f.now) ELSE f.was END FROM f JOIN o ON o.entity = f.entity AND o.fy = f.fy AND o.fq = f.fq AND o.rn = f.rn + 1)
+SELECT entity, fy, fq, now AS value, was AS restated_from, CAST(rn AS INTEGER) AS n_reports FROM f
  QUALIFY row_number() OVER (PARTITION BY entity, fy, fq ORDER BY rn DESC) = 1""")
 def q_collapse_reports(spark, d):
     return facts.collapse(_facts(spark, d), ["entity", "fy", "fq"], "filed", "val", ["accn", "line"])

@@ -88,8 +88,14 @@ class Store:
         names = self.files.names("manifest-")
         return (int(names[-1][9:19]), json.loads(self.files.read(names[-1]))) if names else (-1, {})
 
-    def read(self, table: str) -> DataFrame:
-        return self._folders(table, [f for fs in self.state()[1].get(table, {}).values() for f in fs])
+    def read(self, table: str, state: dict | None = None, buckets: set[str] | None = None) -> DataFrame:
+        """A table as it is, or as it was in a state; of some buckets only, if they are given."""
+        held = (self.state()[1] if state is None else state).get(table, {})
+        return self._folders(table, [f for b, fs in held.items() if buckets is None or b in buckets for f in fs])
+
+    def buckets_of(self, table: str, keys: DataFrame) -> set[str]:
+        """The buckets that keys (a stated few, or bounded by the number of buckets) are in."""
+        return {r[0] for r in keys.select(self._bucket(table).alias("b")).distinct().collect()}
 
     def _folders(self, table: str, folders: list[str]) -> DataFrame:
         schema = self.tables[table][0]
@@ -120,11 +126,13 @@ class Transaction:
         self.store, (self.number, self.old) = store, store.state()
         self.new = {t: dict(b) for t, b in self.old.items()}
 
-    def _write(self, table: str, df: DataFrame) -> dict[str, str]:
-        """df in a new folder, cut by bucket: the buckets that have rows, and their folders."""
+    def _write(self, table: str, df: DataFrame, files: int = 1, order: tuple[str, ...] = ()) -> dict[str, str]:
+        """df in a new folder, cut by bucket: the buckets that have rows, and their folders. files: of each bucket, at most; order: of rows in a file."""
         store = self.store
         folder = f"data-{table}-{uuid.uuid4().hex}"
-        df.withColumn("__bucket", store._bucket(table)).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{store.files.path}/{folder}")
+        cut = df.withColumn("__bucket", store._bucket(table))
+        dealt = cut.repartition("__bucket") if files == 1 else cut.repartition("__bucket", F.pmod(F.xxhash64(*df.columns), F.lit(files)))
+        (dealt.sortWithinPartitions("__bucket", *order) if order else dealt).write.partitionBy("__bucket").parquet(f"{store.files.path}/{folder}")
         got = [s.getPath().getName() for s in store.files.fs.listStatus(store.files._at(folder)) if s.isDirectory() and s.getPath().getName().startswith("__bucket=")]
         return {g.split("=", 1)[1]: f"{folder}/{g}" for g in got}
 
@@ -137,6 +145,22 @@ class Transaction:
         done = self._write(table, change(old, store._folders(table, list(staged.values()))))
         self.new.setdefault(table, {}).update({b: [done[b]] if b in done else [] for b in staged})
 
+    def append(self, table: str, rows: DataFrame, files: int = 1, order: tuple[str, ...] = ()) -> None:
+        """Rows that are known to be new go in; nothing that is there is read or written again."""
+        for b, f in self._write(table, rows.select(*self.store._folders(table, []).columns), files, order).items():
+            of_table = self.new.setdefault(table, {})
+            of_table[b] = [*of_table.get(b, []), f]
+
+    def delete(self, table: str, keys: DataFrame) -> None:
+        """The rows of these keys go."""
+        key = self.store.tables[table][1]
+        padded = keys.select(*key).distinct().select(*(F.col(f.name) if f.name in key else F.lit(None).cast(f.dataType).alias(f.name) for f in self.store._folders(table, []).schema))
+        self._rewrite(table, padded, lambda old, gone: old.join(gone.select(*key), key, "left_anti"))
+
+    def rewrite_all(self, table: str, rows: DataFrame, files: int = 1, order: tuple[str, ...] = ()) -> None:
+        """The table is these rows from now on."""
+        self.new[table] = {b: [f] for b, f in self._write(table, rows.select(*self.store._folders(table, []).columns), files, order).items()}
+
     def insert_absent(self, table: str, batch: DataFrame, order: list) -> DataFrame:
         """Rows whose key is new go in once; they are returned. Nothing that is there is written again."""
         store = self.store
