@@ -30,15 +30,20 @@ def form_table(spark: SparkSession, rows: tuple = FORM_SIGNALS) -> DataFrame:
 def form_signals(filings: DataFrame, forms: DataFrame, form: str) -> DataFrame:
     """Filings whose form is a key, or an amendment of one that takes them.
 
-    An equi-join: a form with '/' is looked up whole and by what stands before it.
+    A form with '/' is looked up whole and by what stands before it in one map of the
+    forms (a few dozen, on every task); of several the least ord counts. Filings are
+    not shuffled, and equal ones stay as many as they are.
     """
+    names = [c for c in forms.columns if c != "ord"]
+    one = forms.groupBy(F.upper("key").alias("k")).agg(F.min(F.struct("ord", *names)).alias("v"))
+    table = one.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__forms"))  # one row
     upper = F.upper(F.col(form))
-    keys = F.array_distinct(F.array(upper, *(F.substring_index(upper, "/", n) for n in (1, 2))))
-    each = filings.withColumn("__key", F.explode(keys))
+    whole = F.try_element_at("__forms", upper)
     # a key from before a '/' is an amendment's
-    hit = each.join(F.broadcast(forms.withColumn("__key", F.upper("key"))), "__key").where((F.col("__key") == upper) | ~F.col("exact_only"))
-    first = Window.partitionBy(*filings.columns).orderBy("ord")
-    return hit.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn", "__key", "ord")
+    parts = [F.try_element_at("__forms", F.substring_index(upper, "/", n)) for n in (1, 2)]
+    found = F.array(whole, *(F.when(~p["exact_only"], p) for p in parts))
+    hit = filings.join(F.broadcast(table)).withColumn("__hit", F.array_min(F.filter(found, lambda x: x.isNotNull())))
+    return hit.where(F.col("__hit").isNotNull()).select(*filings.columns, *(F.col("__hit")[c].alias(c) for c in names))
 
 
 def is_periodic(form: str) -> Column:
@@ -51,13 +56,13 @@ EXECUTIVES = r"(?i)chief\s+executive|\bceo\b|president\s+and\s+chief|chief\s+fin
 
 
 def insider_clusters(buys: DataFrame, issuer: str, owner: Column, date: str, shares: str, price: str, as_of: str, days: int = 14, exec_title: str | None = None, cap: str | None = None) -> DataFrame:
-    """Purchases of the last `days` days by issuer: distinct buyers, priced value, shares, first and last day, and severity.
+    """Purchases of the last `days` days, the first of them included, by issuer: distinct buyers, priced value, shares, first and last day, and severity.
 
     Critical: three buyers, 250,000 by the chief or financial executives or half a
     per cent of the company; high: two, 100,000 in all or a fifth of a per cent;
     medium: 25,000 in all. exec_title: a column of titles of officers.
     """
-    recent = buys.where((F.col(date) <= F.lit(as_of).cast("date")) & (F.col(date) > F.date_sub(F.lit(as_of).cast("date"), days)))
+    recent = buys.where((F.col(date) <= F.lit(as_of).cast("date")) & (F.col(date) >= F.date_sub(F.lit(as_of).cast("date"), days)))
     value = F.when(F.col(price) > 0, F.round(F.col(shares) * F.col(price), 2)).cast("decimal(18,2)")
     is_exec = F.coalesce(F.col(exec_title).rlike(EXECUTIVES), F.lit(False)) if exec_title else F.lit(False)
     g = recent.groupBy(issuer).agg(
@@ -80,8 +85,8 @@ def insider_clusters(buys: DataFrame, issuer: str, owner: Column, date: str, sha
 
 
 def confluence(signals: DataFrame, by: str, kind: str, date: str, as_of: str, days: int = 30, kinds: int = 2, done: DataFrame | None = None) -> DataFrame:
-    """Keys with two or more distinct kinds in the window: the sorted kinds, and the latest row's kind and date; keys in `done` are left out."""
-    window = signals.where((F.col(date) <= F.lit(as_of).cast("date")) & (F.col(date) > F.date_sub(F.lit(as_of).cast("date"), days)))
+    """Keys with two or more distinct kinds from `days` days before as_of to it, both included: the sorted kinds, and the latest row's kind and date; keys in `done` are left out."""
+    window = signals.where((F.col(date) <= F.lit(as_of).cast("date")) & (F.col(date) >= F.date_sub(F.lit(as_of).cast("date"), days)))
     if done is not None:
         window = window.join(done.select(by).distinct(), by, "left_anti")
     g = window.groupBy(by).agg(F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("kinds"), F.count_distinct(kind).alias("n_kinds"), F.count(F.lit(1)).alias("n"), F.max(F.struct(date, kind)).alias("__last"))

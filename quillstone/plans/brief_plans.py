@@ -141,15 +141,14 @@ def q_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", head(text).alias("head"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, doc_id, length(p) AS n FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS ord FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n') AS l FROM documents)) WHERE length(p) <= 1500),
-big AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n')) AS p FROM documents) WHERE length(p) > 1500 OR trim(p) = ''),
-w AS (SELECT doc_id, k, n AS size, 1 AS part FROM t WHERE k = 1 UNION ALL SELECT t.doc_id, t.k, CASE WHEN w.size + t.n + 2 > 1000 THEN t.n ELSE w.size + t.n + 2 END, CASE WHEN w.size + t.n + 2 > 1000 THEN w.part + 1 ELSE w.part END FROM w JOIN t ON t.doc_id = w.doc_id AND t.k = w.k + 1)
-SELECT doc_id, CAST(part - 1 AS INTEGER) AS part, max(size) AS n FROM w WHERE doc_id NOT IN (SELECT doc_id FROM big) GROUP BY 1, 2""")
+@query("""WITH RECURSIVE p AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS ord FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n') AS l FROM documents)),
+x AS (SELECT doc_id, ord, unnest(CASE WHEN length(p) > 1500 THEN list_transform(range(0, length(p), 1000), lambda i: substr(p, i + 1, 1000)) ELSE [p] END) AS x, unnest(range(0, CASE WHEN length(p) > 1500 THEN length(p) ELSE 1 END, 1000)) AS i FROM p),
+t AS (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY ord, i) AS k, doc_id, length(x) AS n, trim(regexp_replace(x, '\\s', '', 'g')) <> '' AS said FROM x),
+w AS (SELECT doc_id, k, n AS size, 1 AS part, said FROM t WHERE k = 1 UNION ALL SELECT t.doc_id, t.k, CASE WHEN w.size = 0 OR w.size + t.n + 2 > 1000 THEN t.n ELSE w.size + t.n + 2 END, CASE WHEN w.size > 0 AND w.size + t.n + 2 > 1000 THEN w.part + 1 ELSE w.part END, t.said FROM w JOIN t ON t.doc_id = w.doc_id AND t.k = w.k + 1),
+g AS (SELECT doc_id, part, max(size) AS n, bool_or(said) AS said, part = max(part) OVER (PARTITION BY doc_id) AS is_last FROM w GROUP BY 1, 2)
+SELECT doc_id, CAST(part - 1 AS INTEGER) AS part, n FROM g WHERE said OR NOT is_last""")
 def q_paragraphs(spark, d):
-    text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    docs = table(spark, d, "documents").withColumn("p", F.split(text, r"\n\s*\n"))
-    # paragraphs that are cut hard, or empty, have a test of their own
-    docs = docs.where(F.forall("p", lambda x: (F.length(x) <= 1500) & (F.trim(x) != ""))).withColumn("text", text)
+    docs = table(spark, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     out = chunks.paragraph_chunks(docs, ["doc_id"], "text", 1000)
     return out.select("doc_id", "part", F.length("text").cast("bigint").alias("n"))
 

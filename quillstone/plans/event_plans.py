@@ -71,7 +71,7 @@ def q_portfolio(spark, d):
 
 
 @query("""WITH b AS (SELECT l_partkey % 100 AS issuer, l_suppkey AS owner, CAST(l_shipdate AS DATE) AS day, l_quantity AS shares, CASE WHEN l_discount = 0 THEN NULL ELSE l_extendedprice / l_quantity END AS price FROM lineitem),
-r AS (SELECT *, CAST(CASE WHEN price > 0 THEN round(shares * price, 2) END AS DECIMAL(18,2)) AS value FROM b WHERE day <= DATE '2001-03-31' AND day > DATE '2001-03-17'),
+r AS (SELECT *, CAST(CASE WHEN price > 0 THEN round(shares * price, 2) END AS DECIMAL(18,2)) AS value FROM b WHERE day <= DATE '2001-03-31' AND day >= DATE '2001-03-17'),
 g AS (SELECT issuer, count(DISTINCT owner) AS n_buyers, CAST(coalesce(sum(value), 0) AS DOUBLE) AS value, CAST(sum(CAST(shares AS DECIMAL(18,4))) AS DOUBLE) AS shares, min(day) AS first_date, max(day) AS last_date, count(*) AS n_buys FROM r GROUP BY 1)
 SELECT *, CASE WHEN n_buyers >= 3 THEN 'critical' WHEN n_buyers >= 2 OR value >= 100000 THEN 'high' WHEN value >= 25000 THEN 'medium' END AS severity FROM g""")
 def q_insider_cluster(spark, d):
@@ -82,7 +82,7 @@ def q_insider_cluster(spark, d):
     return out.select("issuer", "n_buyers", "value", "shares", "first_date", "last_date", "n_buys", "severity")
 
 
-@query(f"""WITH w AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) <= DATE '{EVENTS_AS_OF}' AND CAST(ts AS DATE) > DATE '{EVENTS_AS_OF}' - 7),
+@query(f"""WITH w AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) <= DATE '{EVENTS_AS_OF}' AND CAST(ts AS DATE) >= DATE '{EVENTS_AS_OF}' - 7),
 g AS (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, count(DISTINCT event_type) AS n_kinds, count(*) AS n, max(day) AS last_date, arg_max(event_type, (day, event_type)) AS last_kind FROM w GROUP BY 1) SELECT * FROM g WHERE n_kinds >= 2""")
 def q_confluence(spark, d):
     return E.confluence(events(spark, d), "user_id", "event_type", "day", EVENTS_AS_OF, days=7)

@@ -6,12 +6,13 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import calls, fact_store, jobs, search_index
+from ..operators import calls, fact_store, jobs, medians, search_index
 from ..session import scratch
-from ..sources import sinks
-from .base import query, table
+from ..sources import days, sinks
+from ..streaming import events as ST
+from .base import events, query, table
 from .series_plans import _FACTS, _facts
-from .text_plans import _BM25, _queries
+from .text_plans import _BM25, _queries, _stream
 
 
 @query(f"WITH {_BM25} SELECT query, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm")
@@ -137,3 +138,39 @@ def q_job_claims(spark, d):
     over = queue.claim("c", at(40), 5)
     queue.fail("c", over[:2], at(41), "no text")
     return queue.read().select("job", "status", "attempts", "worker")
+
+
+@query("""WITH RECURSIVE d AS (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events), w AS (SELECT DISTINCT user_id, day FROM d WHERE CAST(day + 1 AS TIMESTAMP) <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY),
+c AS (SELECT w.user_id, w.day, string_agg(DISTINCT d.event_type, ',' ORDER BY d.event_type) AS kinds, count(DISTINCT d.event_type) AS n_kinds FROM w JOIN d ON d.user_id = w.user_id AND d.day BETWEEN w.day - 7 AND w.day GROUP BY 1, 2 HAVING count(DISTINCT d.event_type) >= 3),
+e AS (SELECT user_id, min(day) AS day FROM c GROUP BY 1 UNION ALL SELECT e.user_id, (SELECT min(c.day) FROM c WHERE c.user_id = e.user_id AND c.day > e.day + 7) AS day FROM e WHERE e.day IS NOT NULL)
+SELECT c.user_id, c.day, kinds, n_kinds FROM c JOIN e ON c.user_id = e.user_id AND c.day = e.day""")
+def q_stream_confluence(spark, d):
+    """Users with three kinds of events within a week and a day, told of once while it lasts, over a stream."""
+    s = _stream(spark, d).where("user_id is not null")
+    at = scratch(spark, "confluence")
+    return ST.run_to_table(ST.confluence_once(s, "user_id", "event_type", "at", 7, 3), f"{at}/out", f"{at}/state")
+
+
+@query("SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def q_large_medians(spark, d):
+    """Exact medians of a few groups that hold all lines."""
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    m = medians.medians(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    return m.join(lines.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")), ["l_returnflag", "l_linestatus"])
+
+
+@query("""SELECT 'orders' AS source, count(*) AS n, CAST(max(o_orderdate) AS DATE) AS latest, false AS failed FROM orders UNION ALL SELECT 'events', count(*), CAST(max(ts) AS DATE), false FROM events
+UNION ALL SELECT 'parts', count(*), NULL, false FROM part UNION ALL SELECT 'texts', NULL, NULL, true""")
+def q_isolated_feeds(spark, d):
+    """Four sources, one of which cannot be read to its end (texts that are no numbers)."""
+    rows, issues = days.gather(
+        spark,
+        {
+            "orders": lambda: table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("date").alias("date")),
+            "texts": lambda: table(spark, d, "documents").select(F.concat(F.lit("no number "), "text").cast("bigint").alias("key")),
+            "events": lambda: events(spark, d).select(F.col("event_id").alias("key"), F.col("day").alias("date")),
+            "parts": lambda: table(spark, d, "part").select(F.col("p_partkey").alias("key")),
+        },
+    )
+    read = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("latest")).withColumn("failed", F.lit(False))
+    return read.unionByName(issues.select("source", F.lit(True).alias("failed")), allowMissingColumns=True)

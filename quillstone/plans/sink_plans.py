@@ -17,7 +17,7 @@ from ..streaming import events as ST
 from ..text import chunks, contexts, render, snippets
 from .base import YEARLY, events, query, table, yearly
 from .event_plans import _STICKY, _VALUED, _sticky, _valued
-from .text_plans import _stream
+from .text_plans import _ESTIMATE, _stream
 
 # --- writes
 
@@ -103,15 +103,14 @@ def q_job_transition(spark, d):
     return sinks.transition(o.select("o_orderkey", status.alias("status")), o.where("o_totalprice > 300000").select("o_orderkey"), "o_orderkey", "status", "pending", "running")
 
 
-@query("SELECT 'a' AS owner, 1 AS step, true AS got UNION ALL SELECT 'b', 2, false UNION ALL SELECT 'b', 3, true UNION ALL SELECT 'a', 4, true")
+@query("SELECT owner, CAST(row_number() OVER (ORDER BY owner) AS INTEGER) AS step, (row_number() OVER (ORDER BY owner) - 1) % 3 = 0 AS got FROM (SELECT DISTINCT o_orderpriority AS owner FROM orders)")
 def q_run_lock(spark, d):
-    now, path = [0.0], scratch(spark, "lock")
-    a, b = (sinks.RunLock(spark, path, 60, lambda: now[0]) for _ in range(2))
-    got = [("a", 1, a.acquire("a")), ("b", 2, b.acquire("b"))]
-    a.release()
-    got.append(("b", 3, b.acquire("b")))
-    now[0] = 61.0
-    got.append(("a", 4, a.acquire("a")))  # b's lease has run out
+    """The priorities of orders are runs that ask for one lock every twenty seconds; a lease is sixty seconds long."""
+    path, got = scratch(spark, "lock"), []
+    owners = table(spark, d, "orders").select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()  # a handful of priorities
+    for step, (owner,) in enumerate(owners):
+        lock = sinks.RunLock(spark, path, 60, lambda step=step: 20.0 * step)
+        got.append((owner, step + 1, lock.acquire(owner)))
     return spark.createDataFrame(got, "owner string, step int, got boolean")
 
 
@@ -303,9 +302,20 @@ def q_instant_points(spark, d):
     return facts.instant_points(table(spark, d, "orders").select("o_orderkey", fp.alias("fp")), "fp")
 
 
-@query(f"SELECT concept, kind, unit, count(*) AS n_tags FROM (VALUES {', '.join(f'({c!r}, {k!r}, {u!r}, {t!r})' for c, k, u, ts in CONCEPTS for t in ts)}) v(concept, kind, unit, tag) GROUP BY 1, 2, 3")
+_TAGS = [t for *_, ts in CONCEPTS for t in ts]
+
+
+@query(f"""WITH v(concept, kind, unit, tag) AS (VALUES {', '.join(f'({c!r}, {k!r}, {u!r}, {t!r})' for c, k, u, ts in CONCEPTS for t in ts)}), f AS (SELECT {_TAGS!r}[1 + o_orderkey % {len(_TAGS)}] AS tag, o_totalprice AS val FROM orders),
+n AS (SELECT concept, kind, unit, count(*) AS n_tags FROM v GROUP BY 1, 2, 3)
+SELECT concept, kind, unit, n_tags, count(*) AS n_facts, CAST(sum(CAST(val AS DECIMAL(18,2))) AS DOUBLE) AS total FROM f JOIN v USING (tag) JOIN n USING (concept, kind, unit) GROUP BY 1, 2, 3, 4""")
 def q_concept_table(spark, d):
-    return facts.concept_table(spark).groupBy("concept", "kind", "unit").agg((F.max("priority") + 1).cast("bigint").alias("n_tags"))
+    """Facts (orders that carry a tag) by the concept that their tag reports."""
+    concepts = facts.concept_table(spark)
+    tag = F.element_at(F.lit(_TAGS), (F.col("o_orderkey") % len(_TAGS) + 1).cast("int"))
+    j = table(spark, d, "orders").select(tag.alias("tag"), "o_totalprice").join(F.broadcast(concepts), "tag")  # a few dozen fixed tags
+    n = concepts.groupBy("concept", "kind", "unit").agg(F.count(F.lit(1)).alias("n_tags"))
+    g = j.groupBy("concept", "kind", "unit").agg(F.count(F.lit(1)).alias("n_facts"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    return g.join(F.broadcast(n), ["concept", "kind", "unit"]).select("concept", "kind", "unit", "n_tags", "n_facts", "total")
 
 
 @query("""WITH x AS (SELECT user_id, event_type AS concept, CAST(ts AS DATE) AS period, CASE WHEN value > 40 THEN value END AS restated_from FROM events) SELECT user_id, concept, CAST(count(DISTINCT period) AS INTEGER) AS n_restated, CASE WHEN count(DISTINCT period) >= 3 THEN 'high' ELSE 'medium' END AS severity FROM x WHERE restated_from IS NOT NULL GROUP BY 1, 2""")
@@ -327,7 +337,7 @@ _TITLES = "['Chief  Executive', 'VP Sales (ceo)', 'Principal Financial Officer',
 
 
 @query(f"""WITH b AS (SELECT l_partkey % 100 AS issuer, l_suppkey AS owner, CAST(l_shipdate AS DATE) AS day, CAST(round(l_extendedprice, 2) AS DECIMAL(18,2)) AS value, {_TITLES}[1 + l_linenumber % 5] AS title FROM lineitem),
-g AS (SELECT issuer, count(DISTINCT owner) AS n_buyers, CAST(sum(value) AS DOUBLE) AS value, CAST(coalesce(sum(value) FILTER (title IN ('Chief  Executive', 'VP Sales (ceo)', 'Principal Financial Officer')), 0) AS DOUBLE) AS exec_value FROM b WHERE day <= DATE '2001-03-31' AND day > DATE '2001-03-17' GROUP BY 1)
+g AS (SELECT issuer, count(DISTINCT owner) AS n_buyers, CAST(sum(value) AS DOUBLE) AS value, CAST(coalesce(sum(value) FILTER (title IN ('Chief  Executive', 'VP Sales (ceo)', 'Principal Financial Officer')), 0) AS DOUBLE) AS exec_value FROM b WHERE day <= DATE '2001-03-31' AND day >= DATE '2001-03-17' GROUP BY 1)
 SELECT *, CASE WHEN n_buyers >= 3 OR exec_value >= 250000 THEN 'critical' WHEN n_buyers >= 2 OR value >= 100000 THEN 'high' WHEN value >= 25000 THEN 'medium' END AS severity FROM g""")
 def q_executive_buys(spark, d):
     title = F.element_at(F.array(*map(F.lit, ("Chief  Executive", "VP Sales (ceo)", "Principal Financial Officer", "oceoanic", "Director"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
@@ -335,7 +345,7 @@ def q_executive_buys(spark, d):
     return E.insider_clusters(b, "issuer", F.col("owner"), "day", "shares", "price", "2001-03-31", exec_title="title").select("issuer", "n_buyers", "value", "exec_value", "severity")
 
 
-@query("""WITH w AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-20' AND CAST(ts AS DATE) > DATE '2024-01-13'), done AS (SELECT user_id FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase' AND value > 100) > 0)
+@query("""WITH w AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-20' AND CAST(ts AS DATE) >= DATE '2024-01-13'), done AS (SELECT user_id FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase' AND value > 100) > 0)
 SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM w WHERE user_id NOT IN (SELECT user_id FROM done) GROUP BY 1 HAVING count(DISTINCT event_type) >= 2""")
 def q_confluence_once(spark, d):
     done = table(spark, d, "events").where("event_type = 'purchase' and value > 100").select("user_id")
@@ -345,11 +355,11 @@ def q_confluence_once(spark, d):
 # --- streams
 
 
-@query("""WITH e AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('purchase', 'signup')), w AS (SELECT DISTINCT user_id, CAST(day + CAST(i AS INTEGER) AS DATE) AS last FROM e, range(0, 14) t(i))
-SELECT w.user_id, w.last - 13 AS first_day, count(*) AS n, count(DISTINCT event_type) AS kinds, max(day) AS last_date, w.user_id || ':' || max(day) || ':' || count(DISTINCT event_type) AS key FROM w JOIN e ON e.user_id = w.user_id AND e.day BETWEEN w.last - 13 AND w.last GROUP BY w.user_id, w.last""")
+@query("""WITH e AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('purchase', 'signup')), w AS (SELECT DISTINCT user_id, CAST(day + CAST(i AS INTEGER) AS DATE) AS last FROM e, range(0, 15) t(i))
+SELECT w.user_id, w.last - 14 AS first_day, count(*) AS n, count(DISTINCT event_type) AS kinds, max(day) AS last_date, w.user_id || ':' || max(day) || ':' || count(DISTINCT event_type) AS key FROM w JOIN e ON e.user_id = w.user_id AND e.day BETWEEN w.last - 14 AND w.last GROUP BY w.user_id, w.last""")
 def q_stream_windows(spark, d):
     s = _stream(spark, d).where("event_type in ('purchase', 'signup')")
-    c = ST.sliding_clusters(s, ["user_id"], "at", "14 days", "1 day", "3 days", n=F.count(F.lit(1)), kinds=F.size(F.collect_set("event_type")).cast("bigint"), last_date=F.max(F.to_date("at")))
+    c = ST.sliding_clusters(s, ["user_id"], "at", "15 days", "1 day", "3 days", n=F.count(F.lit(1)), kinds=F.size(F.collect_set("event_type")).cast("bigint"), last_date=F.max(F.to_date("at")))
     out = ST.run_to_latest(c, scratch(spark, "windows"), ["user_id", "window_start"])
     day = F.to_date("window_start")
     return out.select("user_id", day.alias("first_day"), "n", "kinds", "last_date", ST.cluster_key("user_id", "last_date", "kinds").alias("key"))
@@ -445,9 +455,9 @@ def q_snippet(spark, d):
     return x.select("doc_id", "s.text", "s.above")
 
 
-@query("SELECT doc_id, trim(text, ' ') AS body FROM documents WHERE NOT regexp_matches(text, '^\\s') AND text = trim(text, ' ')")
+@query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '^[\x09-\x0D ]+', '') ELSE text END AS body FROM documents")
 def q_body_only(spark, d):
-    t = table(spark, d, "documents").where(~F.col("text").rlike(r"^\s") & (F.col("text") == F.trim("text")))
+    t = table(spark, d, "documents")
     marked = F.concat(F.lit(f"{chunks.OVERLAP}\nwhat came before\n{chunks.OVERLAP_END}\n\n"), F.col("text"))
     return t.withColumn("chunk", F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.col("text"))).select("doc_id", chunks.body_only("chunk").alias("body"))
 
@@ -455,14 +465,16 @@ def q_body_only(spark, d):
 # --- hooks
 
 
-@query("""SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) >= 0 THEN '{"digest": "' || left(sha1(left(text, 100)), 12) || '", "length": ' || length(left(text, 100)) || '}' END AS response, CAST(NULL AS VARCHAR) AS error FROM documents""")
+@query(f"""WITH x AS (SELECT doc_id, text, {_ESTIMATE} > 8000 AS long FROM documents)
+SELECT doc_id, CASE WHEN NOT long THEN '{{"digest": "' || left(sha1(text), 12) || '", "length": ' || length(text) || '}}' END AS response, CASE WHEN long THEN 'prompt does not fit the context' END AS error FROM x""")
 def q_model_call(spark, d):
-    return hooks.call(table(spark, d, "documents").withColumn("p", F.substring("text", 1, 100)), "p", hooks.stub, ["doc_id"])
+    """Every whole text as a prompt; those that do not fit a model's context are refused."""
+    return hooks.call(table(spark, d, "documents"), "text", hooks.stub, ["doc_id"])
 
 
-@query("SELECT doc_id, CAST(3 AS BIGINT) AS dims, CAST(length(left(text, 50)) AS DOUBLE) AS first FROM documents")
+@query("SELECT doc_id, CAST(3 AS BIGINT) AS dims, CAST(length(text) AS DOUBLE) AS first FROM documents")
 def q_embed(spark, d):
-    e = retrieval.embed(table(spark, d, "documents").withColumn("t", F.substring("text", 1, 50)), "t", lambda texts: [[float(len(t)), 1.0, 0.0] for t in texts])
+    e = retrieval.embed(table(spark, d, "documents"), "text", lambda texts: [[float(len(t)), 1.0, 0.0] for t in texts])
     return e.select("doc_id", F.size("embedding").cast("bigint").alias("dims"), F.col("embedding")[0].cast("double").alias("first"))
 
 

@@ -221,10 +221,17 @@ def q_pack_blocks(spark, d):
     return chunks.chunk(b, ["doc_id"], most=300, least=150, repeated=0).select("doc_id", "n", "total", "n_blocks")
 
 
-@query("""WITH RECURSIVE days AS (SELECT DATE '2024-01-01' AS date UNION ALL SELECT date + 1 FROM days WHERE date < DATE '2024-12-31')
-SELECT CAST(date AS DATE) AS date FROM days WHERE isodow(date) < 6 AND date NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19', DATE '2024-05-27', DATE '2024-06-19', DATE '2024-07-04', DATE '2024-09-02', DATE '2024-10-14', DATE '2024-11-11', DATE '2024-11-28', DATE '2024-12-25')""")
+@query("""WITH s AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders), y AS (SELECT unnest(range(year(a), year(b) + 2)) AS y FROM s),
+f AS (SELECT make_date(y, m, d) AS h FROM y, (VALUES (1, 1), (6, 19), (7, 4), (11, 11), (12, 25)) v(m, d)), o AS (SELECT CASE isodow(h) WHEN 6 THEN h - 1 WHEN 7 THEN h + 1 ELSE h END AS h FROM f),
+m AS (SELECT make_date(y, m, 1) AS one, w, n FROM y, (VALUES (1, 1, 3), (2, 1, 3), (9, 1, 1), (10, 1, 2), (11, 4, 4)) v(m, w, n)), l AS (SELECT make_date(y, 5, 31) AS e FROM y),
+h AS (SELECT h FROM o UNION ALL SELECT CAST(one + CAST((w - isodow(one) + 7) % 7 + 7 * (n - 1) AS INTEGER) AS DATE) FROM m UNION ALL SELECT CAST(e - CAST((isodow(e) + 6) % 7 AS INTEGER) AS DATE) FROM l),
+c AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n_orders FROM orders GROUP BY 1), e AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s)
+SELECT e.date, coalesce(n_orders, 0) AS n_orders FROM e LEFT JOIN c ON e.date = c.date WHERE isodow(e.date) < 6 AND e.date NOT IN (SELECT CAST(h AS DATE) FROM h)""")
 def q_business_days(spark, d):
-    return SF.business_days(spark, "2024-01-01", "2024-12-31").select("date")
+    """The business days from the first order to the last, with their orders."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("n_orders"))
+    first, last = orders.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    return SF.business_days(spark, first, last).join(orders, "date", "left").select("date", F.coalesce("n_orders", F.lit(0)).alias("n_orders"))
 
 
 @query("""WITH l AS (SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CASE o_orderkey % 5 WHEN 0 THEN '10-K' WHEN 1 THEN '10-K/A' WHEN 2 THEN '4' ELSE 'S-1' END AS form, CAST(o_orderdate AS DATE) AS filing_date FROM orders WHERE o_orderkey % 7 <> 0)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+DAY_MS = 86_400_000
+
 
 def read(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -82,3 +84,42 @@ def surface_for_good(stream: DataFrame, table, order: list[Column], checkpoint:
         table.insert_absent(batch, order)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def confluence_once(stream: DataFrame, by: str, kind: str, time: str, days: int = 30, kinds: int = 2, late: str = "3 days") -> DataFrame:
+    """by, day, kinds, n_kinds: a key on the first day that ends a span of `days` days and itself with two or more kinds, and not again while a span still holds the last such day.
+
+    A key's days wait in its state until the watermark has passed them and are then
+    taken in order, so the result does not depend on how events are dealt into files or
+    batches. State keeps each kind's last day and the last day that was told of, and
+    goes when neither can count any more. Rows later than `late` are dropped by the
+    watermark; a null key or kind is none.
+    """
+    stream = stream.where(F.col(by).isNotNull() & F.col(kind).isNotNull()).withWatermark(time, late)
+    rows = stream.select(F.col(by).alias("key"), F.col(kind).cast("string").alias("kind"), F.col(time).alias("at"), F.unix_date(F.to_date(time)).alias("n_day"))
+
+    def run(k, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting_days, waiting, names, last, told = state.get if state.exists else ([], [], [], [], None)
+        pending, seen, out = {d: set(x) for d, x in zip(waiting_days, waiting, strict=True)}, dict(zip(names, last, strict=True)), []
+        for part in parts:
+            for day, name in part[["n_day", "kind"]].drop_duplicates().itertuples(index=False, name=None):
+                pending.setdefault(int(day), set()).add(name)
+        passed = state.getCurrentWatermarkMs()
+        for day in sorted(d for d in pending if (d + 1) * DAY_MS <= passed):
+            seen.update({x: day for x in pending.pop(day)})
+            seen = {x: d for x, d in seen.items() if d >= day - days}
+            if len(seen) >= kinds and (told is None or told < day - days):
+                out.append((k[0], day, ",".join(sorted(seen)), len(seen)))
+                told = day
+        over = max([*seen.values(), -1 if told is None else told, 0]) + days + 1
+        if not pending and over * DAY_MS <= passed:
+            state.remove()
+        else:
+            state.update((list(pending), [sorted(x) for x in pending.values()], list(seen), list(seen.values()), told))
+            state.setTimeoutTimestamp(max(((min(pending) if pending else over) + 1) * DAY_MS - 1, passed + 1))
+        yield pd.DataFrame(out, columns=["key", "n_day", "kinds", "n_kinds"])
+
+    kept = "days array<long>, waiting array<array<string>>, names array<string>, last array<long>, told long"
+    out = f"key {stream.schema[by].dataType.simpleString()}, n_day int, kinds string, n_kinds long"
+    told = rows.groupBy("key").applyInPandasWithState(run, out, kept, "append", "EventTimeTimeout")
+    return told.select(F.col("key").alias(by), F.date_from_unix_date("n_day").alias("day"), "kinds", "n_kinds")

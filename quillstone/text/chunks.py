@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,7 +167,10 @@ def allocate(df: DataFrame, by: list[str], part: str, size: str, budget: int) ->
 
 def paragraph_chunks(df: DataFrame, keep: list[str], text: str, size: int = 4000) -> DataFrame:
     """A row for each of paragraphs(): keep, part (from 0), text."""
-    cut = F.udf(lambda t: paragraphs(t, size), "array<string>")
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: paragraphs(t, size))
+
     return df.select(*keep, F.posexplode(cut(text)).alias("part", "text"))
 
 
