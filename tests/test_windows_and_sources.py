@@ -35,7 +35,7 @@ def test_equal_filings_stay(spark):
     f = spark.createDataFrame([(1, "S-1"), (1, "S-1"), (1, "S-1/A"), (2, None), (3, "none"), (4, "SC 13G/A")], "key2 int, form string")
     got = E.form_signals(f, E.form_table(spark), "form")
     assert sorted((r.key2, r.form) for r in got.collect()) == [(1, "S-1"), (1, "S-1"), (1, "S-1/A")]
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = E.form_signals(f, E.form_table(spark), "form")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1  # the forms', which are a few dozen
 
 
