@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.sinks import Store
-from .retrieval import ranked, score_part, tokens
+from .retrieval import TOKEN, ranked, score_part, tokens
 
-#: Buckets of terms; files that a bucket's postings of one batch go to, one for each ROWS of all of them, at most FILES.
+#: Buckets of terms; files that a bucket goes to when the index is compacted, one for each ROWS of the whole, at most FILES.
 BUCKETS, FILES, ROWS = 16, 64, 1 << 24
 POSTINGS = "term string, doc bigint, filing string, generation bigint, tf int, dl int"
 FILINGS = "filing string, generation bigint, n_docs bigint, n_texts bigint, length bigint"
@@ -46,13 +46,12 @@ class SearchIndex:
         """Index the documents of whole filings; what those filings had before is replaced. A null text has no terms and no length but counts as a document; a null filing is none and goes unindexed."""
         change = self.store.transaction()
         generation = F.lit(change.number + 1).cast("bigint")
-        own = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(filing).cast("string").alias("filing"), tokens(F.col(text)).alias("t")).where(F.col("filing").isNotNull())
-        # one pass over the texts: a document's terms are counted in its row, nothing is shuffled but postings
-        counted = own.select("doc", "filing", F.size("t").alias("dl"), F.sort_array("t").alias("s"))
-        counted = written(counted.select("doc", "filing", "dl", F.when(F.size("s") > 0, runs(F.col("s"))).alias("p")), "postings")
-        n = counted.agg(F.sum(F.size("p"))).first()[0] or 0
-        change.append("postings", counted.select("doc", "filing", "dl", F.explode("p").alias("p")).select("p.term", "doc", "filing", generation.alias("generation"), "p.tf", "dl"), self._files(n), ("term",))
-        sums = counted.groupBy("filing").agg(F.count(F.lit(1)).alias("n_docs"), F.count("dl").alias("n_texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).withColumn("generation", generation)
+        own = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(filing).cast("string").alias("filing"), F.col(text).alias("text")).where(F.col("filing").isNotNull())
+        # a document's terms are counted in its row and written where they are: neither texts nor postings are shuffled
+        counted = own.select("doc", "filing", F.sort_array(tokens(F.col("text"))).alias("s")).where(F.size("s") > 0)
+        change.append("postings", counted.select("doc", "filing", F.size("s").alias("dl"), F.explode(runs(F.col("s"))).alias("p")).select("p.term", "doc", "filing", generation.alias("generation"), "p.tf", "dl"), 0, ("term",))
+        lengths = own.select("filing", F.regexp_count(F.lower("text"), F.lit(TOKEN)).alias("dl"))
+        sums = lengths.groupBy("filing").agg(F.count(F.lit(1)).alias("n_docs"), F.count("dl").alias("n_texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).withColumn("generation", generation)
         change.upsert("filings", sums, [F.col("generation").desc()])
         change.commit()
 
@@ -66,7 +65,7 @@ class SearchIndex:
         change.commit()
 
     def compact(self) -> None:
-        """Postings of generations that do not count go for good, and each bucket becomes as few files as its rows allow."""
+        """Postings of generations that do not count go for good, and each bucket becomes as few files as its rows allow (a batch leaves a file for each task and bucket)."""
         change = self.store.transaction()
         state = self.store.state()[1]
         living = written(self._living(state, self.store.read("postings", state)), "living")

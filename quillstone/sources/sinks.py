@@ -127,11 +127,11 @@ class Transaction:
         self.new = {t: dict(b) for t, b in self.old.items()}
 
     def _write(self, table: str, df: DataFrame, files: int = 1, order: tuple[str, ...] = ()) -> dict[str, str]:
-        """df in a new folder, cut by bucket: the buckets that have rows, and their folders. files: of each bucket, at most; order: of rows in a file."""
+        """df in a new folder, cut by bucket: the buckets that have rows, and their folders. files: of each bucket, at most (0: a file for each task and bucket, nothing is shuffled); order: of rows in a file."""
         store = self.store
         folder = f"data-{table}-{uuid.uuid4().hex}"
         cut = df.withColumn("__bucket", store._bucket(table))
-        dealt = cut.repartition("__bucket") if files == 1 else cut.repartition("__bucket", F.pmod(F.xxhash64(*df.columns), F.lit(files)))
+        dealt = cut if not files else cut.repartition("__bucket") if files == 1 else cut.repartition("__bucket", F.pmod(F.xxhash64(*df.columns), F.lit(files)))
         (dealt.sortWithinPartitions("__bucket", *order) if order else dealt).write.partitionBy("__bucket").parquet(f"{store.files.path}/{folder}")
         got = [s.getPath().getName() for s in store.files.fs.listStatus(store.files._at(folder)) if s.isDirectory() and s.getPath().getName().startswith("__bucket=")]
         return {g.split("=", 1)[1]: f"{folder}/{g}" for g in got}
