@@ -15,24 +15,58 @@ So a filing is replaced without reading or writing any other's postings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
 from ..sources.sinks import Store
-from .retrieval import TOKEN, ranked, score_part, tokens
+from .retrieval import ranked, score_part
 
 #: Buckets of terms; files that a bucket goes to when the index is compacted, one for each ROWS of the whole, at most FILES.
 BUCKETS, FILES, ROWS = 16, 64, 1 << 24
 POSTINGS = "term string, doc bigint, filing string, generation bigint, tf int, dl int"
+#: What retrieval.TOKEN finds, letters and digits of any script, as Python says it; postings that a task holds before they leave.
+WORD, HELD = re.compile(r"[^\W_]+"), 1 << 17
 FILINGS = "filing string, generation bigint, n_docs bigint, n_texts bigint, length bigint"
 
 
-def runs(sorted_terms: Column) -> Column:
-    """(term, tf) of each run of equal terms of a sorted array: starts are found once, and each ends where the next begins."""
-    at = F.filter(F.sequence(F.lit(0), F.size(sorted_terms) - 1), lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1)))
-    ends = F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(sorted_terms)))
-    return F.zip_with(at, ends, lambda a, b: F.struct(F.get(sorted_terms, a).alias("term"), (b - a).alias("tf")))
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, filing, lower-cased text or null) to the terms of each text: term, doc, filing, tf, dl. Rows leave as they fill, so that no batch of texts has to be held as postings."""
+
+    def out(batch: pa.RecordBatch, at: list[int], each: list[Counter]) -> pa.RecordBatch:
+        sizes, rows = [len(c) for c in each], pa.array(at)
+        many = pa.array(np.repeat(np.arange(len(at)), sizes))
+        term, tf = pa.array((t for c in each for t in c), pa.string()), pa.array((n for c in each for n in c.values()), pa.int32())
+        dl = pa.array([c.total() for c in each], pa.int32()).take(many)
+        return pa.RecordBatch.from_arrays([term, batch.column(0).take(rows).take(many), batch.column(1).take(rows).take(many), tf, dl], ["term", "doc", "filing", "tf", "dl"])
+
+    for batch in batches:
+        at, each, held = [], [], 0
+        for i, text in enumerate(batch.column(2)):
+            terms = Counter(WORD.findall(text.as_py() or ""))
+            if terms:
+                at.append(i)
+                each.append(terms)
+                held += len(terms)
+            if held >= HELD:
+                yield out(batch, at, each)
+                at, each, held = [], [], 0
+        if held:
+            yield out(batch, at, each)
+
+
+@F.pandas_udf(T.LongType())
+def n_terms(low: pd.Series) -> pd.Series:
+    """How many terms a lower-cased text has; null has none."""
+    return low.map(lambda t: None if t is None else len(WORD.findall(t))).astype("Int64")
 
 
 class SearchIndex:
@@ -48,9 +82,10 @@ class SearchIndex:
         generation = F.lit(change.number + 1).cast("bigint")
         own = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(filing).cast("string").alias("filing"), F.col(text).alias("text")).where(F.col("filing").isNotNull())
         # a document's terms are counted in its row and written where they are: neither texts nor postings are shuffled
-        counted = own.select("doc", "filing", F.sort_array(tokens(F.col("text"))).alias("s")).where(F.size("s") > 0)
-        change.append("postings", counted.select("doc", "filing", F.size("s").alias("dl"), F.explode(runs(F.col("s"))).alias("p")).select("p.term", "doc", "filing", generation.alias("generation"), "p.tf", "dl"), 0, ("term",))
-        lengths = own.select("filing", F.regexp_count(F.lower("text"), F.lit(TOKEN)).alias("dl"))
+        low = own.select("doc", "filing", F.lower("text").alias("low"))
+        postings = low.where(F.col("low").isNotNull()).mapInArrow(counted, "term string, doc bigint, filing string, tf int, dl int")
+        change.append("postings", postings.select("term", "doc", "filing", generation.alias("generation"), "tf", "dl"), 0, ("term",))
+        lengths = low.select("filing", n_terms("low").alias("dl"))
         sums = lengths.groupBy("filing").agg(F.count(F.lit(1)).alias("n_docs"), F.count("dl").alias("n_texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).withColumn("generation", generation)
         change.upsert("filings", sums, [F.col("generation").desc()])
         change.commit()
