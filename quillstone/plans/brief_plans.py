@@ -45,7 +45,7 @@ def q_table_markdown(spark, d):
     return layout.blocks(g.select("c_custkey", html.alias("html")), ["c_custkey"], "html").select("c_custkey", "markdown")
 
 
-_ITEMED = """parts AS (SELECT doc_id, list_transform([1, 2, 3], lambda i: regexp_replace(coalesce(string_split(text, chr(10))[i], ''), '[<>&]', '', 'g')) AS p FROM documents),
+_ITEMED = """parts AS (SELECT doc_id, list_transform([coalesce(l[1], ''), coalesce(l[2], ''), coalesce(array_to_string(l[3:], chr(10)), '')], lambda x: regexp_replace(x, '[<>&]', '', 'g')) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 b AS (SELECT doc_id, 'Item 1. Business' AS t1, p[1] AS b1, 'Item 1A. Risk Factors' AS t2, p[2] AS b2, 'Item 7. Discussion' AS t3, p[3] AS b3 FROM parts),
 s AS (SELECT doc_id, 'business' AS section, 1 AS at, trim(t1 || b1, ' ') AS text FROM b UNION ALL SELECT doc_id, 'risk-factors', 2, trim(t2 || b2, ' ') FROM b UNION ALL SELECT doc_id, 'mda', 3, trim(t3 || b3, ' ') FROM b)"""
 
@@ -54,10 +54,14 @@ s AS (SELECT doc_id, 'business' AS section, 1 AS at, trim(t1 || b1, ' ') AS text
 o AS (SELECT a.doc_id, a.section, a.text, a.whole, (SELECT {{t: b.text, s: b.section}} FROM f b WHERE b.doc_id = a.doc_id AND b.whole AND b.at <> a.at ORDER BY b.at < a.at, CASE WHEN b.at > a.at THEN b.at ELSE -b.at END LIMIT 1) AS other FROM f a)
 SELECT doc_id, section, CASE WHEN NOT whole AND other IS NOT NULL THEN other.t ELSE text END AS text, CASE WHEN NOT whole THEN other.s END AS bundled_from FROM o""")
 def q_sections(spark, d):
-    line = lambda i: F.regexp_replace(F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(i)), F.lit("")), "[<>&]", "")
+    """Each whole text under three items: its first line, its second, and all the others."""
+    lines = F.split("text", "\n")
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[<>&]", "")
+    line = lambda i: plain(F.try_element_at(lines, F.lit(i)))
+    rest = plain(F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
     title = lambda t: F.lit(f"<h2><b>{t}</b></h2>")
     contents = F.lit("<table><tr><td><a href='#a'>Item 1. Business 3</a></td></tr><tr><td><a href='#b'>Item 1A. Risk Factors 9</a></td></tr></table>")
-    html = F.concat(F.lit("<html><body>"), contents, title("Item 1. Business"), F.lit("<p>"), line(1), F.lit("</p>"), title("Item 1A. Risk Factors"), F.lit("<p>"), line(2), F.lit("</p>"), title("Item 7. Discussion"), F.lit("<p>"), line(3), F.lit("</p></body></html>"))
+    html = F.concat(F.lit("<html><body>"), contents, title("Item 1. Business"), F.lit("<p>"), line(1), F.lit("</p>"), title("Item 1A. Risk Factors"), F.lit("<p>"), line(2), F.lit("</p>"), title("Item 7. Discussion"), F.lit("<p>"), rest, F.lit("</p></body></html>"))
     f = table(spark, d, "documents").select("doc_id", html.alias("html"))
     return sections.sections(f, "doc_id", "html").select("doc_id", "section", "text", "bundled_from")
 

@@ -18,6 +18,9 @@ OVERLAP_END = "[end of context — new material begins here]"
 TABLE_GOES_ON = "[table continues from previous chunk]"
 MOST, LEAST, REPEATED = 8000, 4000, 200
 
+#: Parts that the first rows of a size are found in before they are found among all of its rows.
+SPREAD = 64
+
 
 def split_table(markdown: str, most: int = MOST) -> list[str]:
     """A table beyond the budget in row groups, each under the captions and header; one whose header alone takes four fifths stays whole."""
@@ -175,12 +178,31 @@ def paragraph_chunks(df: DataFrame, keep: list[str], text: str, size: int = 4000
 
 
 def fit_budget(df: DataFrame, by: list[str], rank: list[str], position: str, size: str, budget: int) -> DataFrame:
-    """Of each key the rows that fit() takes in the order of rank: by, position. What was taken shrinks the budget for what follows, so a key is one fold over its (rank, position, size), gathered without its texts."""
-    entry = F.struct(*rank, F.col(position).alias("__p"), F.col(size).cast("bigint").alias("__s"))
-    g = df.where(F.col(size) <= budget).groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("__r"))
-    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast(f"array<{df.schema[position].dataType.simpleString()}>").alias("took"))
-    step = lambda acc, x: F.when(x["__s"] <= acc["left"], F.struct((acc["left"] - x["__s"]).alias("left"), F.concat(acc["took"], F.array(x["__p"])).alias("took"))).otherwise(acc)
-    return g.select(*by, F.explode(F.aggregate("__r", start, step, lambda acc: acc["took"])).alias(position))
+    """Of each key the rows that fit() takes in the order of rank (then position): by, position. Rows without a size are not taken; no size is below zero.
+
+    What was taken shrinks the budget for what follows. So of rows of one size those
+    taken come first: after one of them did not fit, none does. Of a size only as many
+    can be taken as the budget holds, so only its first budget / size rows can matter;
+    rows of size zero always fit. What is left of a key is bounded by the budget, not by
+    the key: at most the sum of budget / size over its distinct sizes, which is under
+    budget * (1 + ln(budget)). That is folded by fit(). The first rows of a size are
+    found within SPREAD parts of it first, so no task sorts a key or a size whole.
+    """
+    x = df.select(*by, *(F.col(c).alias(f"__r{i}") for i, c in enumerate(rank)), F.col(position).alias("__p"), F.col(size).cast("bigint").alias("__s"))
+    free = x.where("__s = 0").select(*by, F.col("__p").alias(position))
+    order = [f"__r{i}" for i in range(len(rank))] + ["__p"]
+    x = x.where((F.col("__s") > 0) & (F.col("__s") <= budget)).withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
+    holds = F.floor(F.lit(budget) / F.col("__s"))
+    for within in ([*by, "__s", "__part"], [*by, "__s"]):
+        x = x.withColumn("__n", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("__n") <= holds)
+    kind = df.schema[position].dataType.simpleString()
+
+    @F.pandas_udf(f"array<{kind}>")
+    def taken(positions: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([[p[i] for i in fit(list(enumerate(s)), budget)] for p, s in zip(positions, sizes)], dtype=object)
+
+    g = x.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "__s"))).alias("__e"))
+    return g.select(*by, F.explode(taken(F.col("__e.__p"), F.col("__e.__s"))).alias(position)).unionByName(free)
 
 
 def trim(lists: dict[str, list[str]], floors: dict[str, int], target: int) -> dict[str, list[str]]:

@@ -100,19 +100,23 @@ def anchors(html: str | None) -> tuple[list[dict], str]:
     return near, "".join(p.parts)
 
 
-def candidates(filings: DataFrame, key: str, html: str) -> DataFrame:
-    """A row for each anchor of each filing (key, item, at, title, score) and its filing's text."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for k, h in pdf.itertuples(index=False, name=None):
-                found, text = anchors(h)
-                rows += [(k, a["item"], a["at"], a["title"], a["score"], text) for a in found]
-            yield pd.DataFrame(rows, columns=[key, "item", "at", "title", "score", "body"])
-
-    kind = filings.schema[key].dataType.simpleString()
-    return filings.select(key, html).mapInPandas(run, f"`{key}` {kind}, item string, at int, title string, score int, body string")
+def cut(html: str | None, items: tuple, stub: int) -> list[tuple]:
+    """(section, score, text, bundled_from) of one filing's sections, in the order of their places."""
+    found, body = anchors(html)
+    best = {}
+    for section, item, words in items:
+        fit = [a for a in found if a["item"] == item and a["score"] >= LEAST_SCORE and (not words or any(w in a["title"].lower() for w in words))]
+        if fit:
+            best[section] = max(fit, key=lambda a: (a["score"], a["at"]))
+    placed = sorted(best.items(), key=lambda x: (x[1]["at"], x[0]))
+    ends = [a["at"] for _, a in placed[1:]] + [len(body)]
+    texts = [body[a["at"] : end].strip(" ") for (_, a), end in zip(placed, ends)]
+    whole = [i for i, t in enumerate(texts) if len(t) >= stub]
+    out = []
+    for i, (section, a) in enumerate(placed):
+        other = None if len(texts[i]) >= stub else next((j for j in whole if j > i), next((j for j in reversed(whole) if j < i), None))
+        out.append((section, a["score"], texts[i], None) if other is None else (section, a["score"], texts[other], placed[other][0]))
+    return out
 
 
 def sections(filings: DataFrame, key: str, html: str, items: tuple = TENK_ITEMS, stub: int = 200) -> DataFrame:
@@ -121,22 +125,18 @@ def sections(filings: DataFrame, key: str, html: str, items: tuple = TENK_ITEMS,
     Of an item's anchors (those with its title words, where it has any) the best
     score wins, the later of equals; below -2 the section is missing. A section
     runs to the next chosen anchor; a stub takes the text of the nearest one that
-    is none, forward first.
+    is none, forward first. Anchors are chosen and sections cut where the filing is
+    read, so no text is shuffled; each row is a filing of its own, keys that repeat
+    or are null included, and a null filing has no sections.
     """
-    spark = filings.sparkSession
-    dim = spark.createDataFrame([(s, i, list(w)) for s, i, w in items], "section string, item string, words array<string>")
-    c = candidates(filings, key, html).join(F.broadcast(dim), "item")
-    fits = (F.size("words") == 0) | F.exists("words", lambda w: F.lower("title").contains(w))
-    best = Window.partitionBy(key, "section").orderBy(F.col("score").desc(), F.col("at").desc())
-    chosen = c.where(fits & (F.col("score") >= LEAST_SCORE)).withColumn("rn", F.row_number().over(best)).where("rn = 1")
-    by_place = Window.partitionBy(key).orderBy("at")
-    end = F.coalesce(F.lead("at").over(by_place), F.length("body"))
-    cut = chosen.withColumn("text", F.trim(F.substring(F.col("body"), F.col("at") + 1, end - F.col("at")))).drop("body")
-    full = F.when(F.length("text") >= stub, F.struct("text", "section"))
-    ahead = F.first(full, ignorenulls=True).over(by_place.rowsBetween(1, Window.unboundedFollowing))
-    behind = F.last(full, ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    out = cut.withColumn("other", F.coalesce(ahead, behind)).withColumn("is_stub", (F.length("text") < stub) & F.col("other").isNotNull())
-    return out.select(key, "section", "score", F.when(F.col("is_stub"), F.col("other.text")).otherwise(F.col("text")).alias("text"), F.when(F.col("is_stub"), F.col("other.section")).alias("bundled_from"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(k, *r) for k, h in zip(pdf[key], pdf[html]) for r in cut(h, items, stub)]
+            yield pd.DataFrame(rows, columns=[key, "section", "score", "text", "bundled_from"])
+
+    kind = filings.schema[key].dataType.simpleString()
+    return filings.select(key, html).mapInPandas(run, f"`{key}` {kind}, section string, score int, text string, bundled_from string")
 
 
 def item_table(spark: SparkSession) -> DataFrame:

@@ -50,3 +50,29 @@ def test_benchmark_calendar(spark):
     got = {str(r.date): r.close for r in portfolio.calendar(b).where("date <= '2024-01-07'").collect()}
     assert got == {"2024-01-03": 1.0, "2024-01-04": 1.0, "2024-01-05": 3.0, "2024-01-06": 3.0, "2024-01-07": 3.0}
     assert portfolio.calendar(b.limit(0)).count() == 0
+
+
+def test_budget_of_any_key(spark):
+    """Sizes of zero, none, ties of rank, sizes beyond the budget, a null key; against the fold over all rows."""
+    rng = random.Random(7)
+    rows = []
+    for k in [*range(30), None]:
+        for p in rng.sample(range(1000), rng.randrange(1, 120)):
+            rows.append((k, rng.randrange(6), p, rng.choice([None, 0, 1, 1, 2, 64, rng.randrange(40), rng.randrange(3000)])))
+    df = spark.createDataFrame(rows, "k int, r int, p long, s int").withColumn("extra", F.lit(1))
+    for budget in (0, 1, 63, 500, 10**6):
+        got = sorted(((r.k, r.p) for r in chunks.fit_budget(df, ["k"], ["r"], "p", "s", budget).collect()), key=str)
+        want = []
+        for k in [*range(30), None]:
+            ranked = [(p, s) for kk, _, p, s in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2])) if s is not None]
+            want += [(k, p) for p in chunks.fit(ranked, budget)]
+        assert got == sorted(want, key=str), budget
+    assert chunks.fit_budget(df.limit(0), ["k"], ["r"], "p", "s", 9).count() == 0
+
+
+def test_budget_of_a_key_with_a_million_rows(spark):
+    n, budget = 1_000_000, 5_000
+    df = spark.range(n).select(F.lit("hot").alias("k"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("r"), F.col("id").alias("p"), (F.lit(1) + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(700))).alias("s"))
+    got = sorted(r.p for r in chunks.fit_budget(df, ["k"], ["r"], "p", "s", budget).select("p").collect())
+    ranked = [(p, s) for _, p, s in sorted(df.select("r", "p", "s").toPandas().itertuples(index=False, name=None))]
+    assert got == chunks.fit(ranked, budget)

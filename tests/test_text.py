@@ -46,6 +46,23 @@ def test_sections(spark):
     assert sections.locate("alpha beta " * 20, ["x", "alpha beta " * 10, "alpha beta " * 10, "y"]) == (1, 2) and sections.locate("short", ["short"]) is None
 
 
+def test_sections_are_cut_where_they_are_read(spark):
+    long = "long words " * 30
+    body = "".join(f"<h2>{t}</h2><p>{w}</p>" for t, w in (("Item 1. Business", long), ("Item 1A. Risk Factors", "see elsewhere"), ("Item 2. Properties", "none"), ("Item 3. Legal", long), ("Item 7. MD&amp;A", "incorporated")))
+    rows = [(1, body), (1, body), (None, "<h2>Item 3. Claims</h2>" + "<p>\U0001f600 one</p>" * 90), (4, "<a>Item 7. Linked 12</a>"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "k int, html string")
+    out = sections.sections(df.withColumn("section", F.lit("clash")), "k", "html")
+    assert "Exchange" not in out._jdf.queryExecution().toString()
+    got = out.collect()
+    first = [r for r in got if r.k == 1]
+    assert len(first) == 10  # each row is a filing of its own
+    assert {(r.section, r.bundled_from) for r in first} == {("business", None), ("risk-factors", "legal-proceedings"), ("properties", "legal-proceedings"), ("legal-proceedings", None), ("mda", "legal-proceedings")}
+    assert all(r.text.startswith("Item 3. Legal") for r in first if r.section == "mda")
+    (other,) = [r for r in got if r.k is None]
+    assert other.section == "legal-proceedings" and other.text.count("\U0001f600") == 90
+    assert not [r for r in got if r.k in (4, 5, 6)]  # a link with a page number is a table of contents
+
+
 def test_boilerplate(spark):
     rows = ["Table of Contents", "See accompanying notes", "Page 3", "These forward-looking statements: actual results may differ materially", "forward-looking statements; actual results could differ materially given a covenant", "Real news", "/s/ Jane"]
     df = spark.createDataFrame([(i, t, "para") for i, t in enumerate(rows)] + [(9, "Page 3", "table")], "i int, text string, kind string")
