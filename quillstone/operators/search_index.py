@@ -33,7 +33,7 @@ from .retrieval import ranked, score_part
 #: Buckets of terms; files that a bucket goes to when the index is compacted, one for each ROWS of the whole, at most FILES.
 BUCKETS, FILES, ROWS = 16, 64, 1 << 24
 POSTINGS = "term string, doc bigint, filing string, generation bigint, tf int, dl int"
-#: What retrieval.TOKEN finds, letters and digits of any script, as Python says it; postings that a task holds before they leave.
+#: What retrieval.TOKEN finds, letters and digits of any script, as Python says it (they differ in characters that only one of the two's Unicode versions knows); postings that a task holds before they leave.
 WORD, HELD = re.compile(r"[^\W_]+"), 1 << 17
 FILINGS = "filing string, generation bigint, n_docs bigint, n_texts bigint, length bigint"
 

@@ -9,6 +9,8 @@ import os
 import random
 import sys
 import threading
+import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
@@ -20,7 +22,7 @@ from quillstone.operators import calls, facts, retrieval
 from quillstone.operators.fact_store import FactStore
 from quillstone.operators.jobs import JobQueue
 from quillstone.operators.joins import meet
-from quillstone.operators.search_index import SearchIndex
+from quillstone.operators.search_index import SearchIndex, counted, n_terms
 from quillstone.sources.sinks import Conflict, Table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not have this folder
@@ -73,6 +75,22 @@ def test_index_follows_its_filings(spark, tmp_path):
     assert len(read) == 1 and len({os.path.dirname(f) for f in postings.inputFiles()}) == 8
 
 
+def test_terms_of_every_character(spark):
+    """The index's terms are those of ranked search: on each character by itself, both patterns agree wherever both sides know the character."""
+    known = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    newer = spark.createDataFrame([("".join(known),)], "t string").select(F.regexp_extract_all("t", F.lit(r"\\p{Cn}"), F.lit(0)))
+    known = sorted(set(known) - set(newer.first()[0]))  # Java may know an older Unicode
+    texts = [(i, "f", " ".join(known[at : at + 500])) for i, at in enumerate(range(0, len(known), 500))]
+    df = spark.createDataFrame(texts, DOCS).withColumn("low", F.lower("text"))
+    native = {r.doc: r.t for r in df.select("doc", retrieval.tokens(F.col("text")).alias("t")).collect()}
+    got: dict = {}
+    for r in df.select("doc", "filing", "low").mapInArrow(counted, "term string, doc long, filing string, tf int, dl int").collect():
+        got.setdefault(r.doc, {})[r.term] = r.tf
+        assert r.dl == len(native[r.doc])
+    assert got == {d: dict(Counter(t)) for d, t in native.items() if t}
+    assert {r.doc: r.n for r in df.select("doc", n_terms("low").alias("n")).collect()} == {d: len(t) for d, t in native.items()}
+
+
 REPORTS = "k string, filed date, n int, value double, priority int, label string"
 
 
