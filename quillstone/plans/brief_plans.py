@@ -98,12 +98,12 @@ def q_length_confidence(spark, d):
 _SQUASH = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 
 
-@query(f"""WITH {_LINES}, q AS (SELECT doc_id, list({_SQUASH.format('line')} ORDER BY ord) AS b FROM lines GROUP BY 1), x AS (SELECT doc_id, b, array_to_string(b[2:3], '') AS text, array_to_string(b, '') AS joined, list_transform(range(1, len(b) + 1), lambda i: length(array_to_string(b[1:i], ''))) AS ends FROM q),
+@query(f"""WITH {_LINES}, q AS (SELECT doc_id, list({_SQUASH.format('line')} ORDER BY ord) AS b FROM lines GROUP BY 1), x AS (SELECT doc_id, b, array_to_string(b[2:len(b) - 1], '') AS text, array_to_string(b, '') AS joined, list_transform(range(1, len(b) + 1), lambda i: length(array_to_string(b[1:i], ''))) AS ends FROM q),
 y AS (SELECT *, strpos(joined, left(text, 200)) - 1 AS start FROM x WHERE length(text) >= 40), z AS (SELECT *, strpos(substr(joined, start + 1), right(text, 200)) AS tail FROM y)
 SELECT doc_id, CAST(len(list_filter(ends, lambda e: e <= start)) AS INTEGER) AS first, CAST(len(list_filter(ends, lambda e: e < CASE WHEN tail = 0 THEN length(joined) ELSE start + tail - 1 + least(200, length(text)) END)) AS INTEGER) AS last FROM z""")
 def q_locate_section(spark, d):
     g = _lines(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("x")).select("doc_id", F.col("x.line").alias("blocks"))
-    text = F.array_join(F.slice("blocks", 2, 2), "  \n ")
+    text = F.array_join(F.slice("blocks", 2, F.greatest(F.size("blocks") - 2, F.lit(0))), "  \n ")  # all but the first line and the last
     return sections.located(g.withColumn("text", text), ["doc_id"], "text", "blocks").select("doc_id", "first", "last")
 
 

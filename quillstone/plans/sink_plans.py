@@ -430,16 +430,19 @@ def q_findings_json(spark, d):
     return render.trends_json(table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")), "user_id", ["event_type", "n"])
 
 
-_ROUTED = """s AS (SELECT doc_id, ['business', 'risk-factors', 'mda'][i] AS section, string_split(text, chr(10))[i] AS text FROM documents, (VALUES (1), (2), (3)) t(i)), k AS (SELECT * FROM s WHERE length(text) > 0),
+_ROUTED = """s AS (SELECT doc_id, ['business', 'risk-factors', 'mda'][i] AS section, CASE WHEN i < 3 THEN l[i] ELSE array_to_string(l[3:], chr(10)) END AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), (VALUES (1), (2), (3)) t(i)), k AS (SELECT * FROM s WHERE length(text) > 0),
 r(dimension, pos, section) AS (VALUES ('moatDurability', 0, 'business'), ('moatDurability', 1, 'mda'), ('moatDurability', 2, 'risk-factors'), ('ownerEarningsQuality', 2, 'mda'), ('capitalAllocation', 0, 'mda'), ('debtSustainability', 2, 'mda'), ('cyclicalityAwareness', 0, 'risk-factors'), ('cyclicalityAwareness', 1, 'mda'))"""
 
 
 @query(f"""WITH {_ROUTED} SELECT doc_id, dimension, string_agg(section, ', ' ORDER BY pos) AS sources, string_agg('### ' || section || ' (' || format('{{:,}}', length(text)) || ' chars)' || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM k JOIN r USING (section) GROUP BY 1, 2""")
 def q_contexts(spark, d):
+    """Each whole text as three sections, its first line, its second and all the others, under a ceiling that none reaches."""
     lines = F.split("text", "\n")
-    s = table(spark, d, "documents").select("doc_id", F.explode(F.arrays_zip(F.array(*map(F.lit, ("business", "risk-factors", "mda"))).alias("section"), F.slice(lines, 1, 3).alias("text"))).alias("x")).select("doc_id", "x.*")
+    rest = F.array_join(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
+    parts = (("business", F.try_element_at(lines, F.lit(1))), ("risk-factors", F.try_element_at(lines, F.lit(2))), ("mda", rest))
+    s = table(spark, d, "documents").select("doc_id", F.inline(F.array(*(F.struct(F.lit(n).alias("section"), t.alias("text")) for n, t in parts))))
     s = s.withColumn("bundled", F.when(F.col("section") == "business", F.array(F.lit("mda"))))  # the business section stands for the discussion too
-    return contexts.contexts(s, "doc_id", {})
+    return contexts.contexts(s, "doc_id", {}, ceiling=1 << 40)
 
 
 _PARTS = "regexp_replace(substr(text, {0}, 30), '[^a-z]', ' ', 'g')"
