@@ -21,6 +21,8 @@ ROUTES = {
     "cyclicalityAwareness": ("risk-factors", "mda"),
 }
 CEILING, PART = 100_000, 4_000
+#: Characters that a task holds before they leave.
+HELD = 1 << 24
 ELIDED = "\n\n[… non-relevant content omitted …]"
 
 
@@ -68,27 +70,53 @@ def assemble(sources: list[tuple[str, str]], terms: tuple[str, ...], ceiling: in
     return "\n\n---\n\n".join(out)
 
 
+def routed(sections: list[dict], route: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(section, text) of one filing's sections that a route names or that these are bundled with, each at its first place; empty ones are left out."""
+    place: dict[str, tuple[int, int]] = {}
+    for at, name in enumerate(route):
+        for x in sections:
+            if x["section"] == name:
+                for k, s in enumerate([name, *(x["bundled"] or [])]):
+                    place[s] = min(place.get(s, (at, k)), (at, k))
+    found = sorted((place[x["section"]], x["section"], x["text"]) for x in sections if x["section"] in place and x["section"] is not None and x["text"])
+    return [(s, t) for _, s, t in found]
+
+
 def contexts(sections: DataFrame, key: str, terms: dict[str, tuple[str, ...]], routes: dict[str, tuple[str, ...]] | None = None, ceiling: int = CEILING) -> DataFrame:
     """key, dimension, sources (the names used, joined) and context, for every key and dimension that has a routed section.
 
     sections: key, section, text, bundled (sections whose text stands in this one's
     place, or null). A routed section brings those it is bundled with; each counts
-    once, at its first place. A filing has a few sections, which is what is gathered.
+    once, at its first place. A filing has a few sections, which is what is gathered,
+    once for all dimensions: a text is shuffled once. Rows without a key are left out.
     """
-    spark = sections.sparkSession
-    dims = spark.createDataFrame([(d, i, s) for d, ss in (routes or ROUTES).items() for i, s in enumerate(ss)], "dimension string, __at int, section string")
-    routed = sections.select(key, "section", "bundled").join(F.broadcast(dims), "section")
-    own = routed.select(key, "dimension", F.struct("__at", F.lit(0).alias("k")).alias("__place"), "section")
-    other = routed.select(key, "dimension", "__at", F.posexplode("bundled").alias("__k", "section")).select(key, "dimension", F.struct("__at", (F.col("__k") + 1).alias("k")).alias("__place"), "section")
-    first = own.unionByName(other).groupBy(key, "dimension", "section").agg(F.min("__place").alias("__place"))
-    texts = first.join(sections.select(key, "section", "text"), [key, "section"]).where(F.length("text") > 0)
-    g = texts.groupBy(key, "dimension").agg(F.array_sort(F.collect_list(F.struct("__place", "section", "text"))).alias("__s"))
+    routes = routes or ROUTES
+    g = sections.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("section", "text", "bundled")).alias("__s"))
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, str]]:
+        for i, filing in enumerate(batch.column("__s")):
+            rows = filing.as_py()
+            for dimension, route in routes.items():
+                found = routed(rows, route)
+                if found:
+                    yield i, dimension, ", ".join(n for n, _ in found), assemble(found, terms.get(dimension, ()), ceiling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[(x["section"], x["text"]) for x in s] for s in batch.column("__s").to_pylist()]
-            made = [assemble(s, terms.get(d, ()), ceiling) for s, d in zip(rows, batch.column("dimension").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("dimension"), pa.array([", ".join(n for n, _ in s) for s in rows], pa.string()), pa.array(made, pa.string())], names=[key, "dimension", "sources", "context"])
+            out, size = [], 0
+            for row in made(batch):
+                out.append(row)
+                size += len(row[3])
+                if size >= HELD:  # texts leave as they are made
+                    yield _batch(batch, key, out)
+                    out, size = [], 0
+            if out:
+                yield _batch(batch, key, out)
 
     kind = sections.schema[key].dataType.simpleString()
-    return g.select(key, "dimension", "__s").mapInArrow(run, f"`{key}` {kind}, dimension string, sources string, context string")
+    return g.select(key, "__s").mapInArrow(run, f"`{key}` {kind}, dimension string, sources string, context string")
+
+
+def _batch(batch: pa.RecordBatch, key: str, rows: list[tuple[int, str, str, str]]) -> pa.RecordBatch:
+    at, dimension, sources, context = zip(*rows)
+    return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), *(pa.array(c, pa.string()) for c in (dimension, sources, context))], names=[key, "dimension", "sources", "context"])
