@@ -180,6 +180,11 @@ def locate(section: str, blocks: list[str], probe: int = 200, least: int = 40) -
 
 
 def located(df: DataFrame, keep: list[str], section: str, blocks: str) -> DataFrame:
-    """locate() for a section's text and its document's blocks (an array): keep, first, last; sections that are not found are left out."""
-    found = F.udf(lambda s, b: locate(s or "", [x or "" for x in b]), "struct<first: int, last: int>")
-    return df.select(*keep, found(section, blocks).alias("__at")).where(F.col("__at").isNotNull()).select(*keep, "__at.first", "__at.last")
+    """locate() for a section's text and its document's blocks (an array): keep, first, last; sections that are not found are left out. Each is looked up once, in Arrow batches."""
+
+    @F.pandas_udf("array<array<int>>")
+    def found(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        at = (locate(t or "", [] if b is None else [x or "" for x in b]) for t, b in zip(texts, parts))
+        return pd.Series([[] if x is None else [list(x)] for x in at], dtype=object)
+
+    return df.select(*keep, F.explode(found(section, blocks)).alias("__at")).select(*keep, F.col("__at")[0].alias("first"), F.col("__at")[1].alias("last"))
