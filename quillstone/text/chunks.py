@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import row_by_row
 from .tokens import estimate, head, tail
 
 # The marks around what is repeated.
@@ -70,22 +71,18 @@ def pack(parts: list[tuple[str, str]], most: int = MOST, least: int = LEAST, rep
 
 
 def chunk(blocks: DataFrame, key: list[str], most: int = MOST, least: int = LEAST, repeated: int = REPEATED) -> DataFrame:
-    """blocks: key, ordinal, kind, markdown. A row for each chunk. A section's blocks are gathered in the JVM and packed in Arrow batches of sections."""
+    """blocks: key, ordinal, kind, markdown. A row for each chunk. A section's blocks are gathered in the JVM and packed section by section."""
     g = blocks.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind", "markdown"))).alias("__b"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*key).schema.fields)
     kinds = {"id": pa.string(), "n": pa.int32(), "total": pa.int32(), "n_blocks": pa.int32(), "has_table": pa.bool_(), "tokens": pa.int64(), "text": pa.string()}
 
+    def rows(section: list[dict], *names) -> Iterator[tuple]:
+        for r in pack([(x["kind"], x["markdown"]) for x in section], most, least, repeated):
+            yield (":".join([*map(str, names), str(r["n"])]), *r.values())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [c.to_pylist() for c in batch.columns[:-1]]
-            at, rows = [], []
-            for i, section in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for r in pack([(x["kind"], x["markdown"]) for x in section], most, least, repeated):
-                    at.append(i)
-                    rows.append((":".join([*(str(c[i]) for c in names), str(r["n"])]), *r.values()))
-            columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
-            columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *kinds])
+            yield from row_by_row(batch, rows, kinds)
 
     return g.mapInArrow(run, f"{types}, id string, n int, total int, n_blocks int, has_table boolean, tokens bigint, text string")
 

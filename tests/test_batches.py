@@ -37,3 +37,13 @@ def test_layout_goes_on_without_pandas(spark):
     df = spark.createDataFrame([(1, "one\n\ntwo")], "k long, text string")
     plan = layout.blocks(df, ["k"], "text", markdown=True)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_chunks_section_by_section(spark, monkeypatch):
+    """Sections go through the common step, one at a time; ids from keys of several types, a key that is null among them."""
+    monkeypatch.setattr(chunks, "row_by_row", chunks.row_by_row)  # absent before
+    blocks = [("a", 1, i, "para", f"w{i} " * 30) for i in range(40)] + [(None, 2, 0, "heading", "only one")]
+    df = spark.createDataFrame(blocks, "k string, j int, ordinal int, kind string, markdown string")
+    got = sorted(map(tuple, chunks.chunk(df, ["k", "j"], most=100, least=50, repeated=0).select("k", "j", "id", "n", "total", "n_blocks").collect()), key=str)
+    want = [(k, j, f"{k}:{j}:{r['n']}", r["n"], r["total"], r["n_blocks"]) for k, j in (("a", 1), (None, 2)) for r in chunks.pack([(x[3], x[4]) for x in blocks if x[0] == k], 100, 50, 0)]
+    assert got == sorted(want, key=str) and len(want) > 10
