@@ -98,9 +98,18 @@ def current_report(filings: DataFrame, exhibits_: DataFrame, key: str, items: st
     return filings.join(e, key, "left").withColumn(body, F.when(has & F.col("__e").isNotNull(), F.concat_ws("\n\n", body, "__e")).otherwise(F.col(body))).drop("__e")
 
 
+def may_purchase(xml: Column) -> Column:
+    """False only where no transactionCode can be P: each ends in another letter or digit. Space, references, comments, CDATA and other marks before an end tag leave it open. Names count in either case, as from_xml takes them."""
+    return xml.rlike("</(?i:transactioncode)(?<![0-9A-OQ-Za-oq-z]</.{15})")
+
+
 def form4_purchases(forms: DataFrame, xml: str = "xml") -> DataFrame:
-    """Open-market purchases of ownership forms (columns cik, accession, filing_date, xml): code P, acquired or unsaid, shares above 0; a price of 0 or none gives no value."""
-    x = F.from_xml(F.col(xml), FORM4_SCHEMA, {"rowTag": "ownershipDocument"})
+    """Open-market purchases of ownership forms (columns cik, accession, filing_date, xml): code P, acquired or unsaid, shares above 0; a price of 0 or none gives no value.
+
+    Forms that cannot hold one are not parsed; the test stands in the parse's column,
+    not in a filter, which Spark would push below xml and so make xml twice.
+    """
+    x = F.when(may_purchase(F.col(xml)), F.from_xml(F.col(xml), FORM4_SCHEMA, {"rowTag": "ownershipDocument"}))
     t = forms.withColumn("x", x).select("cik", "accession", "filing_date", "x", F.explode("x.nonDerivativeTable.nonDerivativeTransaction").alias("t"))
     amount = lambda c: F.try_to_number(F.regexp_replace(F.trim(F.col(f"t.transactionAmounts.{c}.value")), ",", ""), F.lit("999999999999.9999")).cast("double")
     flag = lambda c: F.lower(F.trim(F.col(f"x.reportingOwner.reportingOwnerRelationship.{c}"))).isin("1", "true")

@@ -175,6 +175,18 @@ def test_form4(spark):
     assert got == [("acc:99:2020-01-01:100", "ACME", 500.0, True, "0000000012"), ("acc:99:2020-01-03:50", "ACME", None, True, "0000000012")]
 
 
+def test_form4_without_a_purchase_is_not_parsed(spark):
+    """Only codes that surely are not P pass unparsed; P in odd writing is found still."""
+    code = lambda x: FORM4.format(TRADE.format(n=1, code="__", shares=7, price=5, ad="A").replace("<transactionCode>__</transactionCode>", x))
+    bought = ["P", "p", " P ", "\nP\r\n", "&#80;", "&#x50;", "<![CDATA[P]]>", "<![CDATA[]]>P<![CDATA[]]>", "P<!-- S -->", "<!-- S -->P", "P<?a S?>", "P&#32;"]
+    bought = [code(f"<transactionCode>{x}</transactionCode>") for x in bought] + [code(x) for x in ("<TRANSACTIONCODE>P</TRANSACTIONCODE>", "<transactionCode a='b' >P</transactionCode >", "<transactionCode>S</transactionCode><transactionCode>P</transactionCode>")]
+    sold = [code(f"<transactionCode>{x}</transactionCode>") for x in ("S", "a", "9", "PS", "<!-- P -->S")] + [code("<transactionCode/>"), code("")]
+    df = spark.createDataFrame([(str(i), "acc", d("2020-01-09"), x) for i, x in enumerate(bought + sold)], "cik string, accession string, filing_date date, xml string")
+    assert sorted(int(r.cik) for r in filings.form4_purchases(df).collect()) == list(range(len(bought)))
+    parsed = df.where(filings.may_purchase(F.col("xml"))).collect()
+    assert sorted(int(r.cik) for r in parsed) == list(range(len(bought)))
+
+
 def test_lists_and_feeds(spark):
     df = spark.createDataFrame([("x", ["10-K", "8-K", "10-K/A"], ["2020-01-01", "2020-02-01", "2020-03-01"])], "t string, form array<string>, date array<string>")
     assert [r.date for r in filings.list_filings(df, ["t"], ["form", "date"], ["10-K"], "form", "date").orderBy("rn").collect()] == ["2020-03-01", "2020-01-01"]
