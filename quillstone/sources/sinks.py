@@ -136,13 +136,13 @@ class Transaction:
         got = [s.getPath().getName() for s in store.files.fs.listStatus(store.files._at(folder)) if s.isDirectory() and s.getPath().getName().startswith("__bucket=")]
         return {g.split("=", 1)[1]: f"{folder}/{g}" for g in got}
 
-    def _rewrite(self, table: str, new: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    def _rewrite(self, table: str, new: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], files: int = 1) -> None:
         """change(old, new) on the buckets that new touches; the others keep their folders."""
         store = self.store
-        staged = self._write(table, new.select(*store._folders(table, []).columns))  # new is computed once, and tells the buckets
+        staged = self._write(table, new.select(*store._folders(table, []).columns), files)  # new is computed once, and tells the buckets
         before = self.old.get(table, {})
         old = store._folders(table, [f for b in staged for f in before.get(b, [])])
-        done = self._write(table, change(old, store._folders(table, list(staged.values()))))
+        done = self._write(table, change(old, store._folders(table, list(staged.values()))), files)
         self.new.setdefault(table, {}).update({b: [done[b]] if b in done else [] for b in staged})
 
     def append(self, table: str, rows: DataFrame, files: int = 1, order: tuple[str, ...] = ()) -> None:
@@ -181,12 +181,12 @@ class Transaction:
         (key,) = self.store.tables[table][1]
         self._rewrite(table, new, lambda old, fresh: upsert_keep_old(old, fresh, key, [c for c in old.columns if c != key]).select(*old.columns))
 
-    def replace(self, table: str, new: DataFrame, by: list[str] | None = None) -> None:
+    def replace(self, table: str, new: DataFrame, by: list[str] | None = None, files: int = 1) -> None:
         """Delete, then insert, for the keys of new (or other columns that fix the key's bucket: a prefix of what the store cuts by)."""
         key = by or self.store.tables[table][1]
         if not set(self.store.tables[table][1]) <= set(key):
             raise ValueError(f"{table} is cut by {self.store.tables[table][1]}; replacing by {key} would miss rows")
-        self._rewrite(table, new, lambda old, fresh: replace_children(old, fresh, key))
+        self._rewrite(table, new, lambda old, fresh: replace_children(old, fresh, key), files)
 
     def commit(self) -> None:
         if not self.store.files.create(f"manifest-{self.number + 1:010d}.json", json.dumps(self.new)):

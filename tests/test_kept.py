@@ -147,6 +147,26 @@ def test_untouched_periods_are_not_written(spark, tmp_path):
     assert sum(before[b] != after[b] for b in before) == 1
 
 
+def test_a_late_report_without_a_tie_counts_once(spark, tmp_path):
+    store = FactStore(spark, f"file://{tmp_path}/s", "k string", "n int", "label string", buckets=2)
+    first = [("a", day(1), None, 1.0, 0, "x"), ("a", day(2), None, 9.0, 0, "y")]
+    store.add(spark.createDataFrame(first, REPORTS))
+    store.add(spark.createDataFrame([*first, ("a", day(1), 3, 5.0, 0, "z")], REPORTS))
+    assert [tuple(r) for r in store.points().collect()] == [("a", 9.0, 1.0, 3, "x")] and store.store.read("reports").count() == 3
+
+
+def test_no_bucket_is_written_by_one_task(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = FactStore(spark, f"file://{tmp_path}/s", "k string", "n int", "label string", buckets=1)
+        store.add(spark.createDataFrame([(f"p{i}", day(1), 1, float(i), 0, "x") for i in range(50)], REPORTS))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name in ("reports", "points"):
+        ((folder,),) = store.store.state()[1][name].values()
+        assert len([f for f in os.listdir(f"{tmp_path}/s/{folder}") if f.endswith(".parquet")]) > 1
+
+
 # --- replies
 
 SCHEMA = T.StructType(
