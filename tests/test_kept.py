@@ -264,6 +264,20 @@ def test_replies_are_repaired(spark):
     assert calls.ask(df.limit(0), ["p"], "p", model, "a string not null").count() == 0
 
 
+@pytest.mark.parametrize("remembered", [False, True])
+def test_only_prompts_that_are_asked_again_are_written(spark, tmp_path, monkeypatch, remembered):
+    held, written = [], calls.written
+    monkeypatch.setattr(calls, "written", lambda df, name: held.append(written(df, name)) or held[-1])
+    word = "long " * 50
+    model = lambda prompt: '{"a": "ok"}' if prompt.startswith("good") or "---" in prompt else '{"a": 1}'
+    df = spark.createDataFrame([(i, f"{'typed' if i < 2 else 'good'} {i // 2} {word}") for i in range(20)] + [(20, None)], "id int, p string")
+    memo = Table(spark, f"file://{tmp_path}/memo", calls.MEMO, ["key"], 2) if remembered else None
+    got = {r.id: tuple(r)[1:] for r in calls.ask(df, ["id"], "p", model, "a string not null", memo=memo).collect()}
+    assert got == {i: ('{"a": "ok"}', 2 if i < 2 else 1, None) for i in range(20)} | {20: (None, 1, "no prompt")}
+    texts = [v for w in held for row in w.collect() for v in row if isinstance(v, str) and word in v]
+    assert len(texts) == 1 and texts[0].startswith("typed")
+
+
 # --- tool rounds
 
 
