@@ -23,6 +23,8 @@ from .joins import meet
 MEMO = "key string, reply string, cut_off boolean"
 #: A model's context and the room that a reply needs, in tokens.
 CONTEXT, RESERVE = 16_000, 7_168
+#: Rows that share a prompt, from which on they meet its outcome in slices.
+OFTEN = 10_000
 #: Commits that another writer may make first before a run gives up.
 TRIES = 5
 
@@ -139,7 +141,7 @@ def ask(df: DataFrame, key: list[str], prompt: str, model: Model, schema: DataTy
     for part in done[1:]:
         outcome = outcome.unionByName(part)
     size = F.lit(12) + F.floor((F.coalesce(F.length("value"), F.lit(0)) + F.coalesce(F.length("error"), F.lit(0))) / 8)
-    out = meet(rows, outcome, "__of", F.xxhash64(*(F.col(f"`{c}`") for c, t in rows.dtypes if not t.startswith("map"))), size)
+    out = meet(rows, outcome, "__of", F.xxhash64(*(F.col(f"`{c}`") for c, t in rows.dtypes if not t.startswith("map"))), size, often=lambda: written(rows.groupBy("__of").count().where(F.col("__of").isNotNull() & (F.col("count") > OFTEN)).select("__of"), "often"))
     none = F.col("__of").isNull()
     return out.select(*key, "value", F.when(none, 1).otherwise(F.col("rounds")).alias("rounds"), F.when(none, "no prompt").otherwise(F.col("error")).alias("error"))
 

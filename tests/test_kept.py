@@ -278,6 +278,17 @@ def test_only_prompts_that_are_asked_again_are_written(spark, tmp_path, monkeypa
     assert len(texts) == 1 and texts[0].startswith("typed")
 
 
+def test_only_prompts_of_many_rows_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr("quillstone.operators.joins.SENT_VALUES", 0)
+    monkeypatch.setattr(calls, "OFTEN", 5)
+    df = spark.createDataFrame([(i, "many" if i < 30 else None if i < 35 else f"one {i}") for i in range(50)], "id int, p string")
+    got = calls.ask(df, ["id"], "p", lambda prompt: json.dumps({"a": prompt}), "a string not null")
+    said = {r.id: r.value and json.loads(r.value)["a"] for r in got.collect()}
+    assert said == {r.id: r.p for r in df.collect()}
+    right = got.sparkSession.sparkContext._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "__often" in right and "BroadcastHashJoin" in right
+
+
 # --- tool rounds
 
 
